@@ -64,60 +64,62 @@ MEASURES = (
 )
 
 
-def _list(words: list[str]) -> str:
-    return ", ".join(f"'{w}'" for w in words)
-
-
-def _without(text: str, characters: str) -> str:
-    return f"length({text}) - length(translate({text}, '{characters}', ''))"
+def _among(words: list[str]) -> str:
+    """SQL list of the words, bare or with one closing mark."""
+    return ", ".join(f"'{w}{mark}'" for w in words for mark in ("", ".", ",", ";", ":", "!", "?"))
 
 
 def measure(docs: DataFrame) -> DataFrame:
-    """(doc_id, measurements) of each whole text, by built-in expressions only."""
+    """(doc_id, measurements) of each whole text, by built-in expressions only.
+
+    What can be skipped is: only a text with two equal hashes of 3-word windows has its windows compared as text,
+    and characters are counted in what one regular expression leaves of the text.
+    """
     rows = id_text(docs).select(
         "doc_id",
-        "text",
         F.expr(words_sql("text")).alias("words"),
         F.expr(r"filter(split(text, '\n'), l -> l rlike '[^\\x20\\x09-\\x0D]')").alias("lines"),
+        F.expr("regexp_replace(text, '[^A-Z0-9#*$%&|<>]+', '')").alias("marks"),
     )
-    # Every 3-word window with its position, sorted by content: equal windows are neighbours.
-    rows = rows.withColumn(
-        "windows",
-        F.expr(
-            """CASE WHEN size(words) < 3 THEN array() ELSE array_sort(zip_with(
-                 zip_with(words, slice(words, 2, size(words)), (a, b) -> concat(a, ' ', b)),
-                 zip_with(slice(words, 3, size(words)), sequence(0, size(words) - 3), (c, i) -> struct(c, i)),
-                 (ab, ci) -> IF(ci IS NULL, NULL, struct(concat(ab, ' ', ci.c) AS w, ci.i AS i)))) END"""
-        ),
-    ).withColumn("windows", F.expr("filter(windows, x -> x IS NOT NULL)"))
-    # A neighbour on either side with the same content makes a window a repeated one.
-    rows = rows.withColumn(
-        "repeated",
-        F.expr(
-            """array_sort(flatten(zip_with(windows, slice(windows, 2, greatest(size(windows), 1)),
-                 (a, b) -> IF(a.w = b.w, array(a.i, b.i), array()))))"""
-        ),
-    ).withColumn("repeated", F.expr("array_distinct(repeated)"))
-    # Sorted starts p: each covers three words, less where the next one starts within them.
-    covered = """CASE WHEN size(repeated) = 0 THEN 0 ELSE 3 + aggregate(
+    pairs = "zip_with(words, slice(words, 2, size(words)), (a, b) -> {})"
+    third = "slice(words, 3, greatest(size(words) - 2, 0))"
+    rows = rows.select(
+        "*",
+        F.expr(f"""zip_with(slice({pairs.format("xxhash64(a, b)")}, 1, greatest(size(words) - 2, 0)), {third},
+            (h, c) -> xxhash64(h, c))""").alias("hashes"),
+        F.expr(f"filter(transform(words, w -> lower(w)), w -> w IN ({_among(STOP_WORDS + TOXIC_WORDS)}))").alias("listed"),
+    )
+    # Windows with their positions, sorted by content: equal ones are neighbours. Only where hashes repeat.
+    rows = rows.select(
+        "*",
+        F.expr(f"""IF(size(array_distinct(hashes)) = size(hashes), NULL, sort_array(zip_with(
+            zip_with(slice({pairs.format("concat(a, ' ', b)")}, 1, greatest(size(words) - 2, 0)), {third}, (ab, c) -> concat(ab, ' ', c)),
+            sequence(0, size(words) - 3), (w, i) -> struct(w, i))))""").alias("windows"),
+    )
+    rows = rows.select(
+        "*",
+        F.expr("""array_distinct(sort_array(flatten(zip_with(windows, slice(windows, 2, size(windows)),
+            (a, b) -> IF(a.w = b.w, array(a.i, b.i), array())))))""").alias("repeated"),
+    )
+    # Sorted starts: each covers three words, or less where the next one starts within them.
+    covered = """CASE WHEN repeated IS NULL OR size(repeated) = 0 THEN 0 ELSE 3 + aggregate(
         zip_with(slice(repeated, 2, size(repeated)), slice(repeated, 1, size(repeated) - 1), (b, a) -> least(3, b - a)),
         0L, (s, x) -> s + x) END"""
-    plain = "filter(split(translate(lower(text), '.,;:!?\"()|', '          '), '[\\\\x20\\\\x09-\\\\x0D]+'), w -> w"
     return rows.select(
         "doc_id",
         *(
             F.expr(e).cast("long").alias(name)
             for name, e in {
                 "n_words": "size(words)",
-                "word_chars": r"length(translate(text, ' \t\n\u000b\f\r', ''))".replace(r"\f", r"\u000c"),
-                "n_symbols": _without("text", "#*$%&|<>"),
+                "word_chars": "length(array_join(words, ''))",
+                "n_symbols": "length(regexp_replace(marks, '[A-Z0-9]+', ''))",
                 "n_lines": "size(lines)",
                 "n_dup_lines": "size(lines) - size(array_distinct(lines))",
                 "n_repeat_words": covered,
-                "n_capitals": _without("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
-                "n_digits": _without("text", "0123456789"),
-                "n_stop_words": f"size({plain} IN ({_list(STOP_WORDS)})))",
-                "n_toxic_words": f"size({plain} IN ({_list(TOXIC_WORDS)})))",
+                "n_capitals": "length(regexp_replace(marks, '[^A-Z]+', ''))",
+                "n_digits": "length(regexp_replace(marks, '[^0-9]+', ''))",
+                "n_stop_words": f"size(filter(listed, w -> w IN ({_among(STOP_WORDS)})))",
+                "n_toxic_words": f"size(filter(listed, w -> w IN ({_among(TOXIC_WORDS)})))",
                 "n_distinct_words": "size(array_distinct(words))",
             }.items()
         ),
