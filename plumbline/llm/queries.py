@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, lines, pieces, quality, simhash
+from . import decontaminate, lines, pieces, quality, simhash, suffix, treeweight
 from .common import table
 
 
@@ -27,15 +27,34 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_context_tree_weighting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return treeweight.score(table(spark, sf_dir, "documents")).drop("n_bytes")
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.digests(suffix.repeated_bytes(table(spark, sf_dir, "documents")))
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = pieces.decode(pieces.encode(table(spark, sf_dir, "documents")))
     same = F.col("decoded") == F.translate("text", pieces.SPACE, " ")
     return both.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", same.alias("decodes"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_line_dedup, op4_quality_rules, op8_decontamination, op10_sentencepiece)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_simhash,
+        op2_line_dedup,
+        op4_quality_rules,
+        op7_context_tree_weighting,
+        op8_decontamination,
+        op9_suffix_array,
+        op10_sentencepiece,
+    )
+}
 ORACLES: dict[str, str] = {}
