@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, lines, pieces, quality, simhash, suffix, treeweight
+from . import decontaminate, extract, licenses, lines, pieces, quality, simhash, suffix, treeweight, warc
 from .common import table
 
 
@@ -19,6 +19,11 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "text", "line_dedup.n_lines", "line_dedup.n_removed")
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = licenses.files_of_documents(table(spark, sf_dir, "documents"))
+    return licenses.scan(files, licenses.templates(spark)).withColumnRenamed("id", "doc_id")
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = quality.apply_policy(quality.ledger(table(spark, sf_dir, "documents")))
     failed = F.col("fail_bits").bitwiseAND(F.lit(quality.POLICIES["base-1"])) != 0
@@ -27,6 +32,14 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def op6_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derivatives(warc.responses_of_pages(table(spark, sf_dir, "pages"))).withColumnRenamed("id", "page_id")
+
+
 def op7_context_tree_weighting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return treeweight.score(table(spark, sf_dir, "documents")).drop("n_bytes")
 
@@ -50,7 +63,10 @@ QUERIES = {
     for f in (
         op1_simhash,
         op2_line_dedup,
+        op3_license_scan,
         op4_quality_rules,
+        op5_html_extraction,
+        op6_warc_derivatives,
         op7_context_tree_weighting,
         op8_decontamination,
         op9_suffix_array,
