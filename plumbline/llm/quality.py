@@ -10,6 +10,7 @@ and ties need no care, each row is judged on its own. Extra columns are kept out
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -64,17 +65,40 @@ MEASURES = (
 )
 
 
-def _among(words: list[str]) -> str:
-    """SQL list of the words, bare or with one closing mark."""
-    return ", ".join(f"'{w}{mark}'" for w in words for mark in ("", ".", ",", ";", ":", "!", "?"))
+_MARKS = ".,;:!?\"()#*$%&|"
+#: Most labelled rows that a lexicon is fitted on.
+LEXICON_ROWS = 20_000
 
 
-def measure(docs: DataFrame) -> DataFrame:
-    """(doc_id, measurements) of each whole text, by built-in expressions only.
+def _among(words: Sequence[str]) -> str:
+    return ", ".join("'{}'".format(w.replace("\\", "\\\\").replace("'", "\\'")) for w in sorted({*words}))
+
+
+def _plain(word: str) -> str:
+    return f"trim(BOTH '{_MARKS}' FROM lower({word}))"
+
+
+def fit_lexicon(docs: DataFrame, labels: DataFrame, rows: int = LEXICON_ROWS, least: int = 5) -> list[str]:
+    """Words that mark toxic documents: in `least` or more of the toxic ones, which are at least 19 of 20 that have it.
+
+    Fitted on at most `rows` labels (doc_id, toxic), those of least md5, so that the broadcast and the result are bounded.
+    """
+    sample = labels.where("toxic IS NOT NULL").select(F.col("doc_id").alias("labelled"), F.col("toxic").cast("int").alias("toxic")).distinct()
+    sample = sample.orderBy(F.md5(F.col("labelled").cast("string")), "toxic").limit(rows)
+    texts = id_text(docs).join(F.broadcast(sample), F.col("doc_id") == F.col("labelled"))
+    plain = F.expr(f"array_distinct(transform({words_sql('text')}, w -> {_plain('w')}))")
+    counts = texts.select("toxic", F.explode(plain).alias("w")).groupBy("w").agg(F.sum("toxic").alias("bad"), F.count("*").alias("n"))
+    found = counts.where((F.col("bad") >= least) & (20 * F.col("bad") >= 19 * F.col("n")) & (F.length("w") >= 3))
+    return sorted(r.w for r in found.select("w").collect())
+
+
+def measure(docs: DataFrame, lexicon: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, measurements) of each whole text, by built-in expressions only. `lexicon` adds to the plain insults.
 
     What can be skipped is: only a text with two equal hashes of 3-word windows has its windows compared as text,
     and characters are counted in what one regular expression leaves of the text.
     """
+    toxic = [*TOXIC_WORDS, *lexicon]
     rows = id_text(docs).select(
         "doc_id",
         F.expr(words_sql("text")).alias("words"),
@@ -87,7 +111,7 @@ def measure(docs: DataFrame) -> DataFrame:
         "*",
         F.expr(f"""zip_with(slice({pairs.format("xxhash64(a, b)")}, 1, greatest(size(words) - 2, 0)), {third},
             (h, c) -> xxhash64(h, c))""").alias("hashes"),
-        F.expr(f"filter(transform(words, w -> lower(w)), w -> w IN ({_among(STOP_WORDS + TOXIC_WORDS)}))").alias("listed"),
+        F.expr(f"filter(transform(words, w -> {_plain('w')}), w -> w IN ({_among([*STOP_WORDS, *toxic])}))").alias("listed"),
     )
     # Windows with their positions, sorted by content: equal ones are neighbours. Only where hashes repeat.
     rows = rows.select(
@@ -119,7 +143,7 @@ def measure(docs: DataFrame) -> DataFrame:
                 "n_capitals": "length(regexp_replace(marks, '[^A-Z]+', ''))",
                 "n_digits": "length(regexp_replace(marks, '[^0-9]+', ''))",
                 "n_stop_words": f"size(filter(listed, w -> w IN ({_among(STOP_WORDS)})))",
-                "n_toxic_words": f"size(filter(listed, w -> w IN ({_among(TOXIC_WORDS)})))",
+                "n_toxic_words": f"size(filter(listed, w -> w IN ({_among(toxic)})))",
                 "n_distinct_words": "size(array_distinct(words))",
             }.items()
         ),
@@ -130,9 +154,9 @@ def failure_bits() -> Column:
     return F.expr(" | ".join(f"IF({r.fails}, {1 << i}L, 0L)" for i, r in enumerate(RULES)))
 
 
-def ledger(docs: DataFrame) -> DataFrame:
+def ledger(docs: DataFrame, lexicon: Sequence[str] = ()) -> DataFrame:
     """(doc_id, measurements, fail_bits): every rule evaluated once for each document."""
-    return measure(docs).withColumn("fail_bits", failure_bits())
+    return measure(docs, lexicon).withColumn("fail_bits", failure_bits())
 
 
 def apply_policy(entries: DataFrame, policy: str = "quality-2") -> DataFrame:
@@ -161,12 +185,12 @@ def ablation(entries: DataFrame, policy: str = "quality-2") -> DataFrame:
     )
 
 
-def filter_documents(docs: DataFrame, policy: str = "quality-2") -> DataFrame:
+def filter_documents(docs: DataFrame, policy: str = "quality-2", lexicon: Sequence[str] = ()) -> DataFrame:
     """The rows of `docs` (all columns) that the policy keeps.
 
     The verdict of a text is joined to nothing: it is computed beside the row, so repeated or null ids do no harm.
     """
     names = docs.columns
     whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("doc_id"), "text")
-    kept = apply_policy(ledger(whole), policy).where("kept")
+    kept = apply_policy(ledger(whole, lexicon), policy).where("kept")
     return kept.select(*(F.col("doc_id").getField(c).alias(c) for c in names))

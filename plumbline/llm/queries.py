@@ -25,7 +25,9 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entries = quality.apply_policy(quality.ledger(table(spark, sf_dir, "documents")))
+    docs = table(spark, sf_dir, "documents")
+    lexicon = quality.fit_lexicon(docs, table(spark, sf_dir, "labels"))
+    entries = quality.apply_policy(quality.ledger(docs, lexicon))
     failed = F.col("fail_bits").bitwiseAND(F.lit(quality.POLICIES["base-1"])) != 0
     return entries.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "kept", "fail_bits"

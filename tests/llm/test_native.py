@@ -94,3 +94,14 @@ def test_line_dedup_edges(spark):
     assert set(out.columns) == {"doc_id", "text", "fp", "words", "lines", "n_chars", "line_dedup"}
     assert out.count() == len(HARD)
     assert lines.dedup_lines(empty(spark)).count() == 0
+
+
+def test_lexicon(spark):
+    rows = [(i, f"plain words of all kinds {'zug, Zug! it\'s\\' if i % 3 == 0 else 'here'} and more") for i in range(60)] + [(None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(60)] + [(None, 1), (61, None)], "doc_id long, toxic int")
+    lexicon = quality.fit_lexicon(docs, labels)
+    assert lexicon == ["it's\\", "zug"]
+    assert quality.fit_lexicon(docs, labels, rows=4) == [] == quality.fit_lexicon(docs, labels.limit(0))
+    got = {r.doc_id: r.n_toxic_words for r in quality.measure(docs, lexicon).collect()}
+    assert all(got[i] == (3 if i % 3 == 0 else 0) for i in range(60)) and got[None] == 0
