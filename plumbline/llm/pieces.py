@@ -124,10 +124,9 @@ def _ids_of(symbol: str, pieces: Pieces) -> list[int]:
 def lattice(units: DataFrame, spark: SparkSession, pieces: Pieces) -> DataFrame:
     """(unit, n, length, edges) of distinct units: edges are the structs (s, e, id, score) of all pieces in the unit."""
     table = spark.createDataFrame(pieces.rows, "piece string, id int, score double")
-    n = "length(unit)"
-    spans = f"""flatten(transform(sequence(0, {n} - 1), s -> transform(
-        sequence(1, least({pieces.longest}, {n} - s)), l -> struct(s AS s, s + l AS e, substring(unit, s + 1, l) AS piece))))"""
-    edges = units.select("unit", "n", F.explode(F.expr(spans)).alias("x")).select("unit", "n", "x.*")
+    starts = units.select("unit", "n", F.explode(F.expr("sequence(0, length(unit) - 1)")).alias("s"))
+    spans = starts.select("unit", "n", "s", F.explode(F.expr(f"sequence(s + 1, least(s + {pieces.longest}, length(unit)))")).alias("e"))
+    edges = spans.withColumn("piece", F.expr("substring(unit, s + 1, e - s)"))
     # The piece table is the vocabulary file: its rows do not grow with the corpus.
     found = edges.join(F.broadcast(table), "piece", "left").where("id IS NOT NULL OR e = s + 1")
     return found.groupBy("unit").agg(
@@ -140,12 +139,13 @@ def fold_merges(latticed: DataFrame) -> DataFrame:
     joined = latticed.withColumn(
         "joins",
         F.expr(
-            """transform(array_sort(transform(filter(edges, x -> x.e > x.s + 1), x -> struct(-x.score AS o, x.s AS s, x.e AS e))),
+            """transform(sort_array(transform(filter(edges, x -> x.e > x.s + 1), x -> struct(-x.score AS o, x.s AS s, x.e AS e))),
             x -> struct(shiftleft(1L, x.s) | shiftleft(1L, x.e) AS ends, shiftleft(1L, x.e) - shiftleft(1L, x.s + 1) AS mid))"""
         ),
     )
     # Bit i of the state: a boundary at i. An edge joins two neighbours if both its ends are boundaries and one lies within.
-    state = """aggregate(sequence(1, length(unit)), shiftleft(1L, length(unit) + 1) - 1, (m, i) ->
+    # Naming `joins` outside of the lambda, too, keeps the planner from sorting it anew in every step.
+    state = """aggregate(sequence(1, least(length(unit), size(joins) + 1)), shiftleft(1L, length(unit) + 1) - 1, (m, i) ->
         m & ~coalesce(get(filter(joins, x -> (m & x.ends) = x.ends AND bit_count(m & x.mid) = 1), 0).mid, 0L))"""
     path = "array_sort(filter(edges, x -> bit_count(state & (shiftleft(1L, x.e + 1) - shiftleft(1L, x.s))) = 2 AND (state & (shiftleft(1L, x.s) | shiftleft(1L, x.e))) = (shiftleft(1L, x.s) | shiftleft(1L, x.e))))"
     return joined.withColumn("state", F.expr(state)).select("unit", "n", F.expr(path).alias("path"))
