@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, partitions
 
-WINDOW, GRAM = 50, 24
+WINDOW, GRAM = 50, 16
 MAX_RUN = WINDOW - GRAM + 1
 NO_ID = (1 << 63) - 1
 _SLICE, _FLUSH = 1 << 20, 1 << 23  # bytes hashed at once; bytes whose minimizers are sent together
@@ -248,22 +248,20 @@ def _send(n_buckets: int):
         h, key, at = np.concatenate(hs), np.concatenate(keys), np.zeros(sum(map(len, starts)), _AT)
         at["start"], at["size"] = np.concatenate(starts), np.concatenate(sizes)
         order = np.argsort(h, kind="stable")
-        h, key, at = h[order], key[order], at[order]
-        head = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        shared = np.minimum.reduceat(key, head) != np.maximum.reduceat(key, head)
-        count = np.diff(np.append(head, len(h)))
-        known = np.repeat(shared, count)
+        head = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1]]))
+        shared = np.minimum.reduceat(key[order], head) != np.maximum.reduceat(key[order], head)
+        known = np.zeros(len(h), bool)
+        known[order] = np.repeat(shared, np.diff(np.append(head, len(h))))
         rows: list[tuple[int, int, bytes, bytes, bytes]] = []
         # kind 1: (document, where), sent as bucket rows are, so that one pass over the texts makes both
         k, p = key[known], at[known]
-        order = np.argsort(k, kind="stable")
-        k, p = k[order], p[order]
         cut = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else []
         for x, y in zip(cut, [*cut[1:], len(k)], strict=False):
             rows.append((int(k[x]) % n_buckets, int(k[x]), b"", b"", p[x:y].tobytes()))
         # kind 0: a minimizer of one document here (all its places), or the bare hash of a shared one
+        # Both in the order of the texts, in which keys and places compress well.
         keep = ~known
-        keep[head[shared]] = True
+        keep[order[head[shared]]] = True
         h, key, at, known = h[keep], key[keep], at[keep], known[keep]
         bucket = (h % np.uint64(n_buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
@@ -325,7 +323,9 @@ def _shared(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The segments of each document: (minimizer, segment, key, doc, start)."""
+    """The segments of each document: (minimizer, label, segment, key, doc, start). Minimizer and label stand for the segment, with 128 bits."""
+    import xxhash
+
     for b in batches:
         for row in range(b.num_rows):
             text = b.column("text")[row].as_py().encode()
@@ -343,9 +343,10 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             flat = gram_hashes(grid.reshape(-1))
             m = np.minimum.reduceat(flat, np.ravel(np.column_stack([np.arange(len(start)) * WINDOW, np.arange(len(start)) * WINDOW + MAX_RUN]))[: 2 * len(start) - 1])[::2]
             n = len(start)
+            label = np.array([xxhash.xxh64_intdigest(x) for x in seg], np.uint64).view(np.int64)
             yield pa.record_batch(
-                [pa.array(m.view(np.int64)), pa.array(seg, pa.binary()), pa.array(np.full(n, b.column("key")[row].as_py())), pa.array(np.full(n, b.column("doc")[row].as_py())), pa.array(start)],
-                ["m", "seg", "key", "doc", "start"],
+                [pa.array(m.view(np.int64)), pa.array(label), pa.array(seg, pa.binary()), pa.array(np.full(n, b.column("key")[row].as_py())), pa.array(np.full(n, b.column("doc")[row].as_py())), pa.array(start)],
+                ["m", "label", "seg", "key", "doc", "start"],
             )
 
 
@@ -354,7 +355,7 @@ def _shard(pdf: pd.DataFrame) -> pd.DataFrame:
     first, last = pdf["first"].to_numpy(), pdf["last"].to_numpy()
     least = least_of_windows(pdf["seg"].tolist(), first)
     useful = [i for i, x in enumerate(least) if x.min() < last[i]]
-    return pd.DataFrame({"m": pdf["m"].to_numpy()[useful], "seg": pdf["seg"].iloc[useful].tolist(), "least": [least[i] for i in useful]})
+    return pd.DataFrame({"m": pdf["m"].to_numpy()[useful], "label": pdf["label"].to_numpy()[useful], "least": [least[i] for i in useful]})
 
 
 def _removed(places: list[dict] | None, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -378,12 +379,12 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shared = sent.groupBy("bucket").applyInPandas(_shared, "key long, at binary")
     places = shared.groupBy("key").agg(F.collect_list("at").alias("places"))
     segments = rows.select("key", "doc", "text").join(places, "key").select("key", "doc", "text", "places")
-    found = materialize(segments.mapInArrow(_segments, "m long, seg binary, key long, doc long, start long"))
-    distinct = found.groupBy("m", "seg").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
-    sharded = distinct.groupBy(F.pmod("m", F.lit(n)).alias("shard")).applyInPandas(_shard, "m long, seg binary, least array<long>")
+    found = materialize(segments.mapInArrow(_segments, "m long, label long, seg binary, key long, doc long, start long"))
+    distinct = found.groupBy("m", "label").agg(F.first("seg").alias("seg"), F.min("doc").alias("first"), F.max("doc").alias("last"))
+    sharded = distinct.groupBy(F.pmod("m", F.lit(n)).alias("shard")).applyInPandas(_shard, "m long, label long, least array<long>")
     mask = "aggregate(transform(least, (x, i) -> IF(x < doc, shiftleft(1L, i), 0L)), 0L, (a, b) -> a | b)"
-    marks = found.join(sharded, ["m", "seg"]).select("key", "start", F.expr(mask).alias("mask")).where("mask <> 0")
-    per_doc = marks.groupBy("key").agg(F.collect_list(F.struct("start", "mask")).alias("marks"))
+    marks = found.drop("seg").join(materialize(sharded), ["m", "label"]).select("key", "start", F.expr(mask).alias("mask")).where("mask <> 0")
+    per_doc = materialize(marks.groupBy("key").agg(F.collect_list(F.struct("start", "mask")).alias("marks")))
     joined = rows.join(per_doc, "key", "left").select("doc_id", "text", "marks")
     id_type = rows.schema["doc_id"].dataType.simpleString()
 
