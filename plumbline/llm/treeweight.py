@@ -36,7 +36,7 @@ from .common import id_text, materialize
 DEPTH = 5
 TABLE = 1 << 18
 BLOCK_ROWS = 1 << 22
-_FLUSH = 1 << 22
+_FLUSH, _LOOK = 1 << 21, 1 << 19  # bytes counted, and scored, together
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _EMPTY = np.uint64((1 << 64) - 1)
 
@@ -276,7 +276,7 @@ def score(docs: DataFrame, table_words: int = TABLE, block_rows: int = BLOCK_ROW
                 at = 0
                 while at < len(texts):
                     stop, size = at, 0
-                    while stop < len(texts) and size < _FLUSH:
+                    while stop < len(texts) and size < _LOOK:
                         size += len(texts[stop])
                         stop += 1
                     yield _look(b.slice(at, stop - at), texts[at:stop], table, block)
