@@ -34,7 +34,7 @@ def queue_positions(jobs: DataFrame, buckets: int = 64) -> DataFrame:
 
 def rolling_count(events: DataFrame, keys: list[str], at: str = "at", seconds: int = 86400) -> DataFrame:
     """`recent`: earlier events of the key strictly within the last `seconds`; equal times do not count each other."""
-    w = Window.partitionBy(*keys).orderBy(F.unix_micros(at)).rangeBetween(-(seconds * 1_000_000) + 1, -1)
+    w = Window.partitionBy(*keys).orderBy(F.unix_micros(F.col(at).cast("timestamp"))).rangeBetween(-(seconds * 1_000_000) + 1, -1)
     return events.withColumn("recent", F.count("*").over(w))
 
 
