@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, extract, licenses, lines, pieces, quality, simhash, suffix, treeweight, warc
+from . import decontaminate, extract, licenses, lines, oracles, pieces, quality, simhash, suffix, treeweight, warc
 from .common import table
 
 
@@ -75,4 +75,4 @@ QUERIES = {
         op10_sentencepiece,
     )
 }
-ORACLES: dict[str, str] = {}
+ORACLES = oracles.ORACLES
