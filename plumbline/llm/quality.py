@@ -192,5 +192,7 @@ def filter_documents(docs: DataFrame, policy: str = "quality-2", lexicon: Sequen
     """
     names = docs.columns
     whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("doc_id"), "text")
-    kept = apply_policy(ledger(whole, lexicon), policy).where("kept")
+    # An explode, not a filter: the planner would copy all measurements into a filter on them, each as often as it is used.
+    judged = apply_policy(ledger(whole, lexicon), policy)
+    kept = judged.select(F.explode(F.when(F.col("kept"), F.array("doc_id"))).alias("doc_id"))
     return kept.select(*(F.col("doc_id").getField(c).alias(c) for c in names))
