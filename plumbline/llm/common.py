@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Words are maximal runs of characters outside this class (space, tab to carriage return).
 SPACE_CLASS = r"[\x20\x09-\x0D]"
+#: With this Spark deletes what an action shuffled when the action ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,10 +29,12 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/plumbline/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    # What the write shuffled is of no more use; the files go once the JVM has noticed.
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

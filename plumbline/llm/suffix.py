@@ -7,14 +7,15 @@ bucket. `permuted_lcp` compares only irreducible positions; the others follow fr
 `repeated_bytes` shards the corpus by content. Every WINDOW-byte string holds a k-gram of least hash, its
 minimizer; equal strings have the same one and meet in the same shard:
 
-1. of all minimizers, those found in one document only are dropped (compared by hash, a collision only keeps more);
-2. around the others segments are cut: neighbouring windows with the same minimizer, at most MAX_RUN;
-3. each distinct segment, with the smallest document it occurs in, goes to the shard of its minimizer, which builds
+1. equal texts are looked at once, for the smallest id that has them: a copy of another id is covered whole;
+2. of all minimizers, those found in one text only are dropped (compared by hash, a collision only keeps more);
+3. around the others segments are cut: neighbouring windows with the same minimizer, at most MAX_RUN;
+4. each distinct segment, with the smallest document it occurs in, goes to the shard of its minimizer, which builds
    the suffix array of its segments; suffixes with WINDOW bytes in common are neighbours there;
-4. segments learn for each window the smallest document that holds it, occurrences compare it with their own.
+5. segments learn for each window the smallest document that holds it, occurrences compare it with their own.
 
-What a task sees more than once is reduced before it is shuffled, so a passage that a third of the documents hold
-costs one row a task, and the joins back to occurrences are plain ones that adaptive execution can split.
+What a task sees more than once within some MB is reduced before it is shuffled, so a passage that a third of the
+documents hold costs one row for these, and the joins back to occurrences are plain ones that adaptive execution can split.
 
 Document ids are integers; a null id counts as larger than any. Documents of equal ids do not remove from each
 other, so repeated rows all stay as they are. A null text is the empty one. Other columns are ignored.
@@ -36,7 +37,9 @@ from .common import materialize, partitions
 WINDOW, GRAM = 50, 16
 MAX_RUN = WINDOW - GRAM + 1
 NO_ID = (1 << 63) - 1
-_SLICE, _FLUSH = 1 << 20, 1 << 23  # bytes hashed at once; bytes whose minimizers are sent together
+SHARD_BYTES = 1 << 20  # of segments, before equal ones become one
+_LAST = np.uint64((1 << 64) - 1)
+_SLICE, _FLUSH = 1 << 20, 1 << 23  # bytes hashed at once; bytes whose minimizers, or segments, are sent together
 
 
 # --- suffix array of one shard ---
@@ -242,7 +245,7 @@ _AT = np.dtype([("start", "<u4"), ("size", "u1")])
 
 
 def _send(n_buckets: int):
-    """Of each flush every minimizer once: to the bucket of its hash, or, if two documents share it, as known to be shared."""
+    """Of each flush every text and every minimizer once: to the bucket of its hash, or, if two texts share it, as known to be shared."""
 
     def flush(hs, keys, starts, sizes) -> Iterator[pa.RecordBatch]:
         h, key, at = np.concatenate(hs), np.concatenate(keys), np.zeros(sum(map(len, starts)), _AT)
@@ -253,12 +256,12 @@ def _send(n_buckets: int):
         known = np.zeros(len(h), bool)
         known[order] = np.repeat(shared, np.diff(np.append(head, len(h))))
         rows: list[tuple[int, int, bytes, bytes, bytes]] = []
-        # kind 1: (document, where), sent as bucket rows are, so that one pass over the texts makes both
+        # kind 1: (text, where), sent as bucket rows are, so that one pass over the texts makes both
         k, p = key[known], at[known]
         cut = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else []
         for x, y in zip(cut, [*cut[1:], len(k)], strict=False):
             rows.append((int(k[x]) % n_buckets, int(k[x]), b"", b"", p[x:y].tobytes()))
-        # kind 0: a minimizer of one document here (all its places), or the bare hash of a shared one
+        # kind 0: a minimizer of one text here (all its places), or the bare hash of a shared one
         # Both in the order of the texts, in which keys and places compress well.
         keep = ~known
         keep[order[head[shared]]] = True
@@ -279,9 +282,14 @@ def _send(n_buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hs, keys, starts, sizes, size = [], [], [], [], 0
+        seen: set[int] = set()
         for b in batches:
             for key, text in zip(b.column("key").to_pylist(), b.column("text"), strict=True):
+                if key in seen:
+                    continue
                 a = np.frombuffer(text.as_buffer(), np.uint8) if text.as_py() else np.zeros(0, np.uint8)
+                if len(a) >= WINDOW:
+                    seen.add(key)
                 for at in range(0, max(1, len(a) - WINDOW + 1), _SLICE):
                     part = a[at : at + _SLICE + WINDOW - 1]
                     if len(part) < WINDOW:
@@ -292,6 +300,7 @@ def _send(n_buckets: int):
                     if size >= _FLUSH:
                         yield from flush(hs, keys, starts, sizes)
                         hs, keys, starts, sizes, size = [], [], [], [], 0
+                        seen = {key}
         if hs:
             yield from flush(hs, keys, starts, sizes)
 
@@ -299,10 +308,11 @@ def _send(n_buckets: int):
 
 
 def _shared(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One bucket: (key, at) for the places of minimizers that more than one document has."""
-    known = pdf[pdf["hashes"].str.len() == 0]
-    out_key, out_at = known["key"].tolist(), known["at"].tolist()
-    rest = pdf[pdf["hashes"].str.len() > 0]
+    """One bucket: (key, at) for the places of minimizers that more than one text has, each once."""
+    known = pdf["hashes"].str.len() == 0
+    keys = [np.repeat(pdf["key"][known].to_numpy(np.int64), (pdf["at"][known].str.len() // _AT.itemsize).to_numpy(np.int64))]
+    ats = [np.frombuffer(b"".join(pdf["at"][known]), _AT)]
+    rest = pdf[~known]
     if len(rest):
         h = np.frombuffer(b"".join(rest["hashes"]), "<u4")
         key = np.frombuffer(b"".join(rest["keys"]), "<i8")
@@ -312,42 +322,79 @@ def _shared(pdf: pd.DataFrame) -> pd.DataFrame:
         head = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
         shared = (np.minimum.reduceat(key, head) != np.maximum.reduceat(key, head)) | (np.minimum.reduceat(at["size"], head) == 0)
         keep = np.repeat(shared, np.diff(np.append(head, len(h)))) & (at["size"] > 0)
-        key, at = key[keep], at[keep]
-        order = np.argsort(key, kind="stable")
-        key, at = key[order], at[order]
-        cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else []
-        for x, y in zip(cut, [*cut[1:], len(key)], strict=False):
-            out_key.append(int(key[x]))
-            out_at.append(at[x:y].tobytes())
-    return pd.DataFrame({"key": pd.Series(out_key, dtype="int64"), "at": pd.Series(out_at, dtype=object)})
+        keys.append(key[keep])
+        ats.append(at[keep])
+    key, at = np.concatenate(keys), np.concatenate(ats)
+    order = np.lexsort((at["start"], key))
+    key, at = key[order], at[order]
+    once = np.ones(len(key), bool)
+    once[1:] = (key[1:] != key[:-1]) | (at["start"][1:] != at["start"][:-1])
+    key, at = key[once], at[once]
+    cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    blobs = [at[x:y].tobytes() for x, y in zip(cut, [*cut[1:], len(key)], strict=False)]
+    return pd.DataFrame({"key": key[cut], "at": pd.Series(blobs, dtype=object)})
 
 
-def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The segments of each document: (minimizer, label, segment, key, doc, start). Minimizer and label stand for the segment, with 128 bits."""
+_SEGMENT = "m long, label long, key long, doc long, start long, seg binary, first long, last long"
+
+
+def _cut(text: bytes, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """(minimizers, labels, segments) of the runs that start there."""
     import xxhash
 
+    a = np.frombuffer(text, np.uint8)
+    seg = [text[x:y] for x, y in zip(start.tolist(), (start + size + WINDOW - 1).tolist(), strict=True)]
+    # The minimizer of the first window is that of the run. What is hashed: the windows, or the text if that is shorter.
+    at = start
+    if len(a) > WINDOW * len(start):
+        a, at = a[start[:, None] + np.arange(WINDOW)].reshape(-1), np.arange(len(start)) * WINDOW
+    h = np.append(gram_hashes(a), _LAST)
+    m = np.minimum.reduceat(h, np.column_stack([at, at + MAX_RUN]).ravel())[::2]
+    return m.view(np.int64), np.array([xxhash.xxh64_intdigest(x) for x in seg], np.uint64).view(np.int64), seg
+
+
+def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The segments of each text. Minimizer and label stand for a segment, with 128 bits; of equal ones in a flush one row has the bytes,
+    and the least and largest document here."""
+
+    def flush(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
+        m, label, key, doc, start = (np.concatenate([p[i] for p in parts]) for i in range(5))
+        seg = [x for p in parts for x in p[5]]
+        order = np.lexsort((label, m))
+        head = np.flatnonzero(np.concatenate([[True], (m[order][1:] != m[order][:-1]) | (label[order][1:] != label[order][:-1])]))
+        whole = np.zeros(len(m), bool)
+        whole[order[head]] = True
+        ends = np.zeros((2, len(m)), np.int64)
+        ends[:, order[head]] = np.minimum.reduceat(doc[order], head), np.maximum.reduceat(doc[order], head)
+        table = pa.RecordBatch.from_arrays(
+            [
+                *(pa.array(x) for x in (m, label, key, doc, start)),
+                pa.array([x if w else None for x, w in zip(seg, whole, strict=True)], pa.binary()),
+                *(pa.array(e, mask=~whole) for e in ends),
+            ],
+            ["m", "label", "key", "doc", "start", "seg", "first", "last"],
+        )
+        for at in range(0, len(m), 1 << 16):
+            yield table.slice(at, 1 << 16)
+
+    parts, size = [], 0
     for b in batches:
         for row in range(b.num_rows):
             text = b.column("text")[row].as_py().encode()
-            at = np.frombuffer(b"".join(b.column("places")[row].as_py()), _AT)
-            start, size = at["start"].astype(np.int64), at["size"].astype(np.int64)
-            inside = start + size + WINDOW - 1 <= len(text)
-            start, size = start[inside], size[inside]
+            at = np.unique(np.frombuffer(b"".join(b.column("places")[row].as_py()), _AT))
+            start, n = at["start"].astype(np.int64), at["size"].astype(np.int64)
+            inside = start + n + WINDOW - 1 <= len(text)
+            start, n = start[inside], n[inside]
             if not len(start):
                 continue
-            a = np.frombuffer(text, np.uint8)
-            seg = [text[x:y] for x, y in zip(start.tolist(), (start + size + WINDOW - 1).tolist(), strict=True)]
-            # The minimizer of the first window is that of the run.
-            grid = a[start[:, None] + np.arange(WINDOW)]
-            m = np.array([0], np.uint64)
-            flat = gram_hashes(grid.reshape(-1))
-            m = np.minimum.reduceat(flat, np.ravel(np.column_stack([np.arange(len(start)) * WINDOW, np.arange(len(start)) * WINDOW + MAX_RUN]))[: 2 * len(start) - 1])[::2]
-            n = len(start)
-            label = np.array([xxhash.xxh64_intdigest(x) for x in seg], np.uint64).view(np.int64)
-            yield pa.record_batch(
-                [pa.array(m.view(np.int64)), pa.array(label), pa.array(seg, pa.binary()), pa.array(np.full(n, b.column("key")[row].as_py())), pa.array(np.full(n, b.column("doc")[row].as_py())), pa.array(start)],
-                ["m", "label", "seg", "key", "doc", "start"],
-            )
+            m, label, seg = _cut(text, start, n)
+            parts.append((m, label, *(np.full(len(start), b.column(c)[row].as_py()) for c in ("key", "doc")), start, seg))
+            size += sum(map(len, seg))
+            if size >= _FLUSH:
+                yield from flush(parts)
+                parts, size = [], 0
+    if parts:
+        yield from flush(parts)
 
 
 def _shard(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -358,8 +405,10 @@ def _shard(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"m": pdf["m"].to_numpy()[useful], "label": pdf["label"].to_numpy()[useful], "least": [least[i] for i in useful]})
 
 
-def _removed(places: list[dict] | None, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the maximal runs of bytes that go."""
+def _removed(places: list[dict] | None, whole: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the maximal runs of bytes that go; of a copy all `whole` ones."""
+    if whole:
+        return np.array([0]), np.array([whole])
     if not places:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     start = np.array([p["start"] for p in places])
@@ -373,24 +422,30 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(doc_id, text, starts, ends): the byte ranges of each text covered by strings of WINDOW bytes that a document with a smaller id holds."""
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    rows = rows.withColumn("doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("key", F.xxhash64("doc", "text"))
+    rows = rows.withColumn("doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("key", F.xxhash64("text"))
     n = partitions(spark, rows)
     sent = rows.select("key", "text").mapInArrow(_send(n), "bucket long, key long, hashes binary, keys binary, at binary")
     shared = sent.groupBy("bucket").applyInPandas(_shared, "key long, at binary")
-    places = shared.groupBy("key").agg(F.collect_list("at").alias("places"))
-    segments = rows.select("key", "doc", "text").join(places, "key").select("key", "doc", "text", "places")
-    found = materialize(segments.mapInArrow(_segments, "m long, label long, seg binary, key long, doc long, start long"))
-    distinct = found.groupBy("m", "label").agg(F.first("seg").alias("seg"), F.min("doc").alias("first"), F.max("doc").alias("last"))
-    sharded = distinct.groupBy(F.pmod("m", F.lit(n)).alias("shard")).applyInPandas(_shard, "m long, label long, least array<long>")
+    places = materialize(shared.groupBy("key").agg(F.collect_list("at").alias("places")))
+    texts = rows.groupBy("key").agg(F.min("doc").alias("doc"), F.first("text").alias("text"))
+    found = materialize(texts.join(places, "key").select("key", "doc", "text", "places").mapInArrow(_segments, _SEGMENT))
+    # Shards of a fixed size, many to a task. One shuffle: rows of a shard stay together when they are made distinct.
+    n_shards = (found.agg(F.sum(F.octet_length("seg"))).first()[0] or 0) // SHARD_BYTES + 1
+    owned = found.where("seg IS NOT NULL").select(F.pmod("m", F.lit(n_shards)).alias("shard"), "m", "label", "seg", "first", "last").repartition(n, "shard")
+    distinct = owned.groupBy("shard", "m", "label").agg(F.first("seg").alias("seg"), F.min("first").alias("first"), F.max("last").alias("last"))
+    sharded = materialize(distinct.groupBy("shard").applyInPandas(_shard, "m long, label long, least array<long>"))
     mask = "aggregate(transform(least, (x, i) -> IF(x < doc, shiftleft(1L, i), 0L)), 0L, (a, b) -> a | b)"
-    marks = found.drop("seg").join(materialize(sharded), ["m", "label"]).select("key", "start", F.expr(mask).alias("mask")).where("mask <> 0")
-    per_doc = materialize(marks.groupBy("key").agg(F.collect_list(F.struct("start", "mask")).alias("marks")))
-    joined = rows.join(per_doc, "key", "left").select("doc_id", "text", "marks")
+    marks = found.select("m", "label", "key", "doc", "start").join(sharded, ["m", "label"]).select("key", "start", F.expr(mask).alias("mask")).where("mask <> 0")
+    marks = marks.groupBy("key").agg(F.collect_list(F.struct("start", "mask")).alias("marks"))
+    per_text = materialize(rows.groupBy("key").agg(F.min("doc").alias("first_doc")).join(marks, "key", "left"))
+    joined = rows.join(per_text, "key", "left")
+    copied = F.when((F.col("doc") > F.col("first_doc")) & (F.octet_length("text") >= WINDOW), F.octet_length("text"))
+    joined = joined.select("doc_id", "text", "marks", copied.alias("whole"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
 
     def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            spans = [_removed(x, 0) for x in b.column("marks").to_pylist()]
+            spans = [_removed(x, n) for x, n in zip(b.column("marks").to_pylist(), b.column("whole").to_pylist(), strict=True)]
             yield pa.record_batch(
                 [b.column("doc_id"), b.column("text"), *(pa.array([s[i] for s in spans], pa.list_(pa.int64())) for i in (0, 1))],
                 ["doc_id", "text", "starts", "ends"],
