@@ -175,12 +175,13 @@ def permuted_lcp(text: np.ndarray, sa: np.ndarray) -> np.ndarray:
     return np.where(reducible, lcp[head] - (np.arange(n) - head), lcp)
 
 
-def least_of_windows(segments: list[bytes], first: np.ndarray) -> list[np.ndarray]:
-    """For each segment, for each of its WINDOW-byte strings, the least of `first` over the segments that hold it."""
-    text = np.frombuffer(b"".join(s + b"\xff" for s in segments), np.uint8)  # 255 is no byte of UTF-8
-    lengths = np.array([len(s) for s in segments])
+def least_of_windows(text: np.ndarray, lengths: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """For each WINDOW-byte string of each segment in turn, the least of `first` over the segments that hold it.
+
+    `text` has the segments one after another, each closed by byte 255, which is no byte of UTF-8.
+    """
     ends = np.cumsum(lengths + 1)
-    owner = np.repeat(np.arange(len(segments)), lengths + 1)
+    owner = np.repeat(np.arange(len(lengths)), lengths + 1)
     whole = np.arange(len(text)) + WINDOW < ends[owner]
     sa = suffix_array(text)
     shared = permuted_lcp(text, sa)[sa] >= WINDOW
@@ -190,7 +191,7 @@ def least_of_windows(segments: list[bytes], first: np.ndarray) -> list[np.ndarra
     least = np.minimum.reduceat(first[owner[sa]], heads)
     of_position = np.empty(len(text), np.int64)
     of_position[sa] = least[sa_group]
-    return np.split(of_position[whole], np.cumsum(lengths - WINDOW + 1)[:-1])
+    return of_position[whole]
 
 
 # --- minimizers ---
@@ -308,7 +309,7 @@ def _send(n_buckets: int):
 
 
 def _shared(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One bucket: (key, at) for the places of minimizers that more than one text has, each once."""
+    """One bucket: (key, place) for the places of minimizers that more than one text has, each once; a place is start << 8 | size."""
     known = pdf["hashes"].str.len() == 0
     keys = [np.repeat(pdf["key"][known].to_numpy(np.int64), (pdf["at"][known].str.len() // _AT.itemsize).to_numpy(np.int64))]
     ats = [np.frombuffer(b"".join(pdf["at"][known]), _AT)]
@@ -329,10 +330,7 @@ def _shared(pdf: pd.DataFrame) -> pd.DataFrame:
     key, at = key[order], at[order]
     once = np.ones(len(key), bool)
     once[1:] = (key[1:] != key[:-1]) | (at["start"][1:] != at["start"][:-1])
-    key, at = key[once], at[once]
-    cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-    blobs = [at[x:y].tobytes() for x, y in zip(cut, [*cut[1:], len(key)], strict=False)]
-    return pd.DataFrame({"key": key[cut], "at": pd.Series(blobs, dtype=object)})
+    return pd.DataFrame({"key": key[once], "place": (at["start"][once].astype(np.int64) << 8) | at["size"][once]})
 
 
 _SEGMENT = "m long, label long, key long, doc long, start long, seg binary, first long, last long"
@@ -381,8 +379,8 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for row in range(b.num_rows):
             text = b.column("text")[row].as_py().encode()
-            at = np.unique(np.frombuffer(b"".join(b.column("places")[row].as_py()), _AT))
-            start, n = at["start"].astype(np.int64), at["size"].astype(np.int64)
+            at = np.unique(b.column("places")[row].values.to_numpy())
+            start, n = at >> 8, at & 255
             inside = start + n + WINDOW - 1 <= len(text)
             start, n = start[inside], n[inside]
             if not len(start):
@@ -397,18 +395,29 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from flush(parts)
 
 
-def _shard(pdf: pd.DataFrame) -> pd.DataFrame:
+def _shard(table: pa.Table) -> pa.Table:
     """The suffix array of a shard's segments: those that some document but the first has a window of."""
-    first, last = pdf["first"].to_numpy(), pdf["last"].to_numpy()
-    least = least_of_windows(pdf["seg"].tolist(), first)
-    useful = [i for i, x in enumerate(least) if x.min() < last[i]]
-    return pd.DataFrame({"m": pdf["m"].to_numpy()[useful], "label": pdf["label"].to_numpy()[useful], "least": [least[i] for i in useful]})
+    seg = table["seg"].combine_chunks().cast(pa.large_binary())
+    offsets = np.frombuffer(seg.buffers()[1], np.int64)[seg.offset : seg.offset + len(seg) + 1]
+    lengths = np.diff(offsets)
+    text = np.full(lengths.sum() + len(lengths), 255, np.uint8)
+    text[np.arange(lengths.sum()) + np.repeat(np.arange(len(lengths)), lengths)] = np.frombuffer(seg.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    least = least_of_windows(text, lengths, table["first"].to_numpy())
+    windows = lengths - WINDOW + 1
+    useful = np.minimum.reduceat(least, np.cumsum(windows) - windows) < table["last"].to_numpy()
+    cut = np.concatenate([[0], np.cumsum(windows[useful])]).astype(np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(cut), pa.array(least[np.repeat(useful, windows)]))
+    return pa.table([*(table[c].filter(pa.array(useful)) for c in ("m", "label")), lists], ["m", "label", "least"])
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        spans = [_removed(x) for x in b.column("marks").to_pylist()]
+        yield pa.record_batch([b.column("key"), b.column("first_doc"), *(pa.array([s[i] for s in spans], pa.list_(pa.int64())) for i in (0, 1))], ["key", "first_doc", "starts", "ends"])
 
 
-def _removed(places: list[dict] | None, whole: int | None) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the maximal runs of bytes that go; of a copy all `whole` ones."""
-    if whole:
-        return np.array([0]), np.array([whole])
+def _removed(places: list[dict] | None) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the maximal runs of bytes that go."""
     if not places:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     start = np.array([p["start"] for p in places])
@@ -425,33 +434,28 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = rows.withColumn("doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("key", F.xxhash64("text"))
     n = partitions(spark, rows)
     sent = rows.select("key", "text").mapInArrow(_send(n), "bucket long, key long, hashes binary, keys binary, at binary")
-    shared = sent.groupBy("bucket").applyInPandas(_shared, "key long, at binary")
-    places = materialize(shared.groupBy("key").agg(F.collect_list("at").alias("places")))
+    shared = sent.groupBy("bucket").applyInPandas(_shared, "key long, place long")
+    places = materialize(shared.groupBy("key").agg(F.collect_list("place").alias("places")))
     texts = rows.groupBy("key").agg(F.min("doc").alias("doc"), F.first("text").alias("text"))
     found = materialize(texts.join(places, "key").select("key", "doc", "text", "places").mapInArrow(_segments, _SEGMENT))
     # Shards of a fixed size, many to a task. One shuffle: rows of a shard stay together when they are made distinct.
     n_shards = (found.agg(F.sum(F.octet_length("seg"))).first()[0] or 0) // SHARD_BYTES + 1
     owned = found.where("seg IS NOT NULL").select(F.pmod("m", F.lit(n_shards)).alias("shard"), "m", "label", "seg", "first", "last").repartition(n, "shard")
     distinct = owned.groupBy("shard", "m", "label").agg(F.first("seg").alias("seg"), F.min("first").alias("first"), F.max("last").alias("last"))
-    sharded = materialize(distinct.groupBy("shard").applyInPandas(_shard, "m long, label long, least array<long>"))
+    sharded = materialize(distinct.groupBy("shard").applyInArrow(_shard, "m long, label long, least array<long>"))
     mask = "aggregate(transform(least, (x, i) -> IF(x < doc, shiftleft(1L, i), 0L)), 0L, (a, b) -> a | b)"
     marks = found.select("m", "label", "key", "doc", "start").join(sharded, ["m", "label"]).select("key", "start", F.expr(mask).alias("mask")).where("mask <> 0")
     marks = marks.groupBy("key").agg(F.collect_list(F.struct("start", "mask")).alias("marks"))
-    per_text = materialize(rows.groupBy("key").agg(F.min("doc").alias("first_doc")).join(marks, "key", "left"))
+    firsts = rows.groupBy("key").agg(F.min("doc").alias("first_doc")).join(marks, "key", "left")
+    per_text = materialize(firsts.mapInArrow(_runs, "key long, first_doc long, starts array<long>, ends array<long>"))
     joined = rows.join(per_text, "key", "left")
-    copied = F.when((F.col("doc") > F.col("first_doc")) & (F.octet_length("text") >= WINDOW), F.octet_length("text"))
-    joined = joined.select("doc_id", "text", "marks", copied.alias("whole"))
-    id_type = rows.schema["doc_id"].dataType.simpleString()
-
-    def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            spans = [_removed(x, n) for x, n in zip(b.column("marks").to_pylist(), b.column("whole").to_pylist(), strict=True)]
-            yield pa.record_batch(
-                [b.column("doc_id"), b.column("text"), *(pa.array([s[i] for s in spans], pa.list_(pa.int64())) for i in (0, 1))],
-                ["doc_id", "text", "starts", "ends"],
-            )
-
-    return joined.mapInArrow(cover, f"doc_id {id_type}, text string, starts array<long>, ends array<long>")
+    copy = (F.col("doc") > F.col("first_doc")) & (F.octet_length("text") >= WINDOW)
+    return joined.select(
+        "doc_id",
+        "text",
+        F.when(copy, F.array(F.lit(0).cast("long"))).otherwise(F.col("starts")).alias("starts"),
+        F.when(copy, F.array(F.octet_length("text").cast("long"))).otherwise(F.col("ends")).alias("ends"),
+    )
 
 
 def digests(found: DataFrame) -> DataFrame:
