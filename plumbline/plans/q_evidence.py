@@ -136,11 +136,11 @@ def duplicate_span_stats(spark, d):
     return ev.duplicate_stats(_lines(spark, d).select((F.col("project") % 50).alias("project"), F.col("project").alias("page_ix"), "span_ix", "text"))
 
 
-@query("""WITH m AS (SELECT c_nationkey AS project, list(sha256(p_name) ORDER BY p_partkey) AS hashes FROM customer JOIN part ON p_partkey = c_custkey % 40 + 1 GROUP BY 1) SELECT project, CAST(i - 1 AS BIGINT) AS page_ix, p_name AS text
-  FROM (SELECT project, unnest(hashes) AS h, generate_subscripts(hashes, 1) AS i FROM m) JOIN (SELECT DISTINCT p_name FROM part WHERE p_partkey <= 40) ON sha256(p_name) = h""")
+@query("""WITH m AS (SELECT c_nationkey AS project, list(sha256(p_name) ORDER BY p_partkey) AS hashes FROM customer JOIN part ON p_partkey = c_custkey GROUP BY 1) SELECT project, CAST(i - 1 AS BIGINT) AS page_ix, p_name AS text
+  FROM (SELECT project, unnest(hashes) AS h, generate_subscripts(hashes, 1) AS i FROM m) JOIN (SELECT DISTINCT p_name FROM part) ON sha256(p_name) = h""")
 def manifest_spans(spark, d):
-    p, c = table(spark, d, "part").where("p_partkey <= 40"), table(spark, d, "customer")
-    hashed = c.join(p, F.col("p_partkey") == F.col("c_custkey") % 40 + 1).groupBy(F.col("c_nationkey").alias("project")).agg(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", F.sha2("p_name", 256).alias("h")))), lambda x: x["h"]).alias("hashes"))
+    p, c = table(spark, d, "part"), table(spark, d, "customer")
+    hashed = c.join(p, F.col("p_partkey") == F.col("c_custkey")).groupBy(F.col("c_nationkey").alias("project")).agg(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", F.sha2("p_name", 256).alias("h")))), lambda x: x["h"]).alias("hashes"))
     snapshots = p.select(F.sha2("p_name", 256).alias("hash"), F.col("p_name").alias("text")).dropDuplicates(["hash"])
     return ev.manifest_spans(hashed, snapshots).select("project", F.col("page_ix").cast("long").alias("page_ix"), "text")
 

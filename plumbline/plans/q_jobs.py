@@ -143,11 +143,11 @@ def approvals(spark, d):
     return jb.approved(j).withColumn("rule", F.lit("last")).unionByName(jb.approved(j, True).withColumn("rule", F.lit("never")))
 
 
-@query("""WITH p AS (SELECT DISTINCT user_id AS project, event_id % 3 AS page_ix FROM events WHERE user_id < 40), c AS (SELECT DISTINCT user_id AS project, event_id % 3 AS page_ix, event_id % 11 AS span_ix FROM events WHERE user_id < 40 AND value > 10),
+@query("""WITH p AS (SELECT DISTINCT user_id AS project, event_id % 3 AS page_ix FROM events), c AS (SELECT DISTINCT user_id AS project, event_id % 3 AS page_ix, event_id % 11 AS span_ix FROM events WHERE value > 10),
   a AS (SELECT project, page_ix, 0 AS k, 0 AS s, 'page' AS kind, 'u' || page_ix AS ref FROM p UNION ALL SELECT project, page_ix, 1, span_ix, 'span', 's' || span_ix FROM c UNION ALL SELECT DISTINCT project, 2147483647, 2, 0, 'report', '' FROM p)
   SELECT project, row_number() OVER (PARTITION BY project ORDER BY page_ix, k, s) AS step, kind, ref FROM a""")
 def replay_steps(spark, d):
-    e = table(spark, d, "events").where("user_id < 40").select(F.col("user_id").alias("project"), (F.col("event_id") % 3).cast("int").alias("page_ix"), (F.col("event_id") % 11).cast("int").alias("span_ix"), "value")
+    e = table(spark, d, "events").select(F.col("user_id").alias("project"), (F.col("event_id") % 3).cast("int").alias("page_ix"), (F.col("event_id") % 11).cast("int").alias("span_ix"), "value")
     pages = e.select("project", "page_ix").distinct().withColumn("url", F.concat(F.lit("u"), F.col("page_ix").cast("string")))
     return jb.replay_steps(pages, e.where("value > 10").withColumn("span_id", F.concat(F.lit("s"), F.col("span_ix").cast("string"))))
 

@@ -199,10 +199,10 @@ def pseudonyms(spark, d):
     return table(spark, d, "customer").select("c_custkey", rl.pseudonym(F.col("c_custkey"), "secret").alias("pseudonym"))
 
 
-@query("""WITH r AS (SELECT CAST(c_nationkey % 3 AS VARCHAR) AS figure, c_mktsegment AS decision, c_custkey AS ordinal FROM customer WHERE c_custkey <= 60), f AS (SELECT figure, decision, min(ordinal) AS first, count(*) AS n FROM r GROUP BY ALL), t AS (SELECT *, sum(n) OVER (PARTITION BY figure) AS total FROM f)
+@query("""WITH r AS (SELECT CAST(c_nationkey % 3 AS VARCHAR) AS figure, c_mktsegment AS decision, c_custkey AS ordinal FROM customer), f AS (SELECT figure, decision, min(ordinal) AS first, count(*) AS n FROM r GROUP BY ALL), t AS (SELECT *, sum(n) OVER (PARTITION BY figure) AS total FROM f)
   SELECT figure, decision, CASE WHEN total > 16 THEN row_number() OVER (PARTITION BY figure ORDER BY first) ELSE 1 END AS part, CASE WHEN total > 16 THEN count(*) OVER (PARTITION BY figure) ELSE 1 END AS parts FROM t""")
 def figure_parts(spark, d):
-    c = table(spark, d, "customer").where("c_custkey <= 60")
+    c = table(spark, d, "customer")
     return rl.figure_parts(c.select((F.col("c_nationkey") % 3).cast("string").alias("figure"), F.col("c_mktsegment").alias("decision"), F.col("c_custkey").alias("ordinal")))
 
 

@@ -159,7 +159,7 @@ def wilson_rows(spark, d):
 
 @query()
 def permutation_test(spark, d):
-    """Random labels of projects against states: one family of 150 projects, 200 draws."""
-    c = table(spark, d, "customer").where("c_custkey <= 150")
-    rows = c.select(F.lit("h2").alias("family"), F.col("c_custkey").alias("project"), F.col("c_mktsegment").alias("grp"), F.explode(F.array(*(F.lit(i) for i in range(6)))).alias("check_id"), "c_acctbal")
+    """Random labels of projects against states: a family of projects for each nation, 200 draws."""
+    c = table(spark, d, "customer")
+    rows = c.select(F.col("c_nationkey").cast("string").alias("family"), F.col("c_custkey").alias("project"), F.col("c_mktsegment").alias("grp"), F.explode(F.array(*(F.lit(i) for i in range(6)))).alias("check_id"), "c_acctbal")
     return ss.permutation_test(rows.withColumn("positive", (F.col("c_acctbal") * (F.col("check_id") + 3)).cast("long") % 3 == 0), "seed", 200)
