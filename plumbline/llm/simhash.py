@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import id_text, materialize
 from .components import connected_components
+from .resemblance import keep_one as keep_one  # what documents stay is decided on whole shingle sets
 
 MAX_DISTANCE, N_PIVOTS, MAX_BLOCK = 2, 16, 64
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -127,10 +128,3 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 3) -> DataFrame:
     best = classes.groupBy("root").agg(F.min("least_id").alias("component_id"))
     named = classes.join(best, "root").select("fp", "component_id")
     return fps.join(named, "fp", "left").select("doc_id", "fp", "component_id")
-
-
-def keep_one(docs: DataFrame, shingle_words: int = 3) -> DataFrame:
-    """The rows of `docs` (all columns) that are the first of their class; of repeated rows of that id one stays."""
-    found = near_duplicates(docs, shingle_words)
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(first, docs["doc_id"].eqNullSafe(first["kept_id"]), "left_semi").dropDuplicates(["doc_id"])
