@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -173,38 +174,71 @@ def _start_ranges(c: int, n: int, floor: int) -> list[tuple[int, int]]:
     return [low] if high[0] <= low[1] + 1 and low[1] >= n else [low, high]
 
 
-def feasible_sets(tuples: dict[str, tuple[int, int]], suppressed: dict[str, str], rows: list[tuple[dict[str, int], str, int]], floor: int = FLOOR) -> dict[str, list[int]]:
-    """All values that each suppressed cell may take given the published ones: exact, by propagation and search.
+def _exact_by_propagation(rows: list[tuple[list[tuple[int, int]], str, int]]) -> bool:
+    """Unit coefficients and no cycle of rows and cells: then shrunken ranges hold feasible values only."""
+    root: dict = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for r, (terms, _, _) in enumerate(rows):
+        for i, k in terms:
+            a, b = find(("row", r)), find(("cell", i))
+            if abs(k) != 1 or a == b:
+                return False
+            root[a] = b
+    return True
+
+
+def _merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(ranges):
+        if out and a <= out[-1][1] + 1:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def feasible_ranges(tuples: dict[str, tuple[int, int]], suppressed: dict[str, str], rows: list[tuple[dict[str, int], str, int]], floor: int = FLOOR) -> dict[str, list[tuple[int, int]]]:
+    """The ranges of values that each suppressed cell may take given the published ones: exact.
 
-    `suppressed` maps ids to "primary" or "complementary"; rows that name no suppressed cell are dropped.
+    `suppressed` maps ids to "primary" or "complementary"; rows that name no suppressed cell are dropped. Linked cells are solved
+    together: propagation gives ranges' ends; only where rows form cycles or have other coefficients are values searched.
     """
-    ids = sorted(suppressed)
-    at = {t: i for i, t in enumerate(ids)}
-    folded = []
+    folded, linked = [], {t: {t} for t in suppressed}
     for terms, sense, rhs in rows:
-        unknown = [(at[t], k) for t, k in terms.items() if t in at]
+        unknown = {t: k for t, k in terms.items() if t in suppressed}
         if unknown:
-            folded.append((unknown, sense, rhs - sum(k * tuples[t][0] for t, k in terms.items() if t not in at)))
-    choices = [_start_ranges(*tuples[t], floor) if suppressed[t] == "primary" else [(0, tuples[t][1])] for t in ids]
-    out = {}
-    for t in ids:
-        i, found = at[t], []
-        for v in range(tuples[t][1] + 1):
-            mine = [c for c in choices[i] if c[0] <= v <= c[1]]
-            linked = {i}
-            while True:
-                more = {j for terms, _, _ in folded if any(j in linked for j, _ in terms) for j, _ in terms} | linked
-                if more == linked:
-                    break
-                linked = more
-            near = [(x, s, r) for x, s, r in folded if any(j in linked for j, _ in x)]
-            options = [[(v, v)] if j == i else choices[j] if j in linked else choices[j][:1] for j in range(len(ids))]
-            if mine and any(_solvable([list(d) for d in pick], near) for pick in itertools.product(*options)):
-                found.append(v)
-        out[t] = found
+            folded.append((unknown, sense, rhs - sum(k * tuples[t][0] for t, k in terms.items() if t not in suppressed)))
+            group = set().union(*(linked[t] for t in unknown))
+            for t in group:
+                linked[t] = group
+    out: dict[str, list[tuple[int, int]]] = {}
+    for t in sorted(suppressed):
+        if t in out:
+            continue
+        ids = sorted(linked[t])
+        at = {x: i for i, x in enumerate(ids)}
+        near = [([(at[x], k) for x, k in terms.items()], s, r) for terms, s, r in folded if next(iter(terms)) in at]
+        choices = [_start_ranges(*tuples[x], floor) if suppressed[x] == "primary" else [(0, tuples[x][1])] for x in ids]
+        exact, found = _exact_by_propagation(near), [[] for _ in ids]
+        for pick in itertools.product(*choices):
+            domain = [list(d) for d in pick]
+            if _propagate(domain, near):
+                for i, (a, b) in enumerate(domain):
+                    found[i] += [(a, b)] if exact else [(v, v) for v in range(a, b + 1) if _solvable([*domain[:i], [v, v], *domain[i + 1 :]], near)]
+        out.update((x, _merged(f)) for x, f in zip(ids, found, strict=True))
     return out
 
 
+def feasible_sets(tuples: dict[str, tuple[int, int]], suppressed: dict[str, str], rows: list[tuple[dict[str, int], str, int]], floor: int = FLOOR) -> dict[str, list[int]]:
+    """All values of `feasible_ranges`."""
+    return {t: [v for a, b in r for v in range(a, b + 1)] for t, r in feasible_ranges(tuples, suppressed, rows, floor).items()}
+
+
 def close_release(tuples: dict[str, tuple[int, int]], rows: list[tuple[dict[str, int], str, int]], floor: int = FLOOR, least: int = MIN_VALUES) -> dict[str, str]:
     """Suppressions (id -> primary or complementary) after which every suppressed cell has `least` feasible values, or all its own.
 
@@ -212,9 +246,9 @@ def close_release(tuples: dict[str, tuple[int, int]], rows: list[tuple[dict[str,
     """
     state = {t: "primary" for t, (c, n) in tuples.items() if n < floor or c < floor or n - c < floor}
     while True:
-        sets = feasible_sets(tuples, state, rows, floor)
+        sizes = {t: sum(b - a + 1 for a, b in r) for t, r in feasible_ranges(tuples, state, rows, floor).items()}
         prior = {t: sum(b - a + 1 for a, b in _start_ranges(*tuples[t], floor)) if state[t] == "primary" else tuples[t][1] + 1 for t in state}
-        failing = {t for t, v in sets.items() if len(v) < min(least, prior[t])}
+        failing = {t for t, v in sizes.items() if v < min(least, prior[t])}
         if not failing:
             return state
         options = [(tuples[t][0], t) for terms, _, _ in rows if failing & set(terms) for t in terms if t not in state]
@@ -223,6 +257,24 @@ def close_release(tuples: dict[str, tuple[int, int]], rows: list[tuple[dict[str,
         state[min(options)[1]] = "complementary"
 
 
+def disclosure(shares: DataFrame, close: bool, family: str = "check_id") -> DataFrame:
+    """(tuple_id, kind, n_values): the suppressed cells of all partitions and how many counts each may hold.
+
+    With `close` after complementary suppression. No row links two families, so each family is a task of its own.
+    """
+    cells = shares.select(family, F.concat_ws("|", family, "partition").alias("tuple_id"), "c", "n")
+    terms = sum_constraints(shares, family).join(cells, "tuple_id")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        tuples = {r.tuple_id: (int(r.c), int(r.n)) for r in pdf.itertuples()}
+        rows = [({r.tuple_id: int(r.coef) for r in g.itertuples()}, g["sense"].iloc[0], int(g["rhs"].iloc[0])) for _, g in pdf.groupby("row_id")]
+        state = close_release(tuples, rows) if close else {t: "primary" for t, (c, n) in tuples.items() if n < FLOOR or c < FLOOR or n - c < FLOOR}
+        found = feasible_ranges(tuples, state, rows)
+        return pd.DataFrame([(t, state[t], sum(b - a + 1 for a, b in r)) for t, r in sorted(found.items())], columns=["tuple_id", "kind", "n_values"])
+
+    return terms.groupBy(family).applyInPandas(run, "tuple_id string, kind string, n_values long")
+
+
 def ledger_union(ledger: DataFrame, published: DataFrame, version: str) -> DataFrame:
     """Append-only: what is new joins the ledger under the version; ids that are there stay as they are."""
     new = published.join(ledger.select("id"), "id", "left_anti").select("id", "n", "c", F.lit(version).alias("version"))

@@ -22,11 +22,6 @@ def _shares(spark, d):
     return rl.check_shares(shims.states(spark, d), shims.projects(spark, d), shims.domain(spark), "pass")
 
 
-def _quarters(spark, d):
-    """The release's cells over all projects and over each quarter."""
-    return _shares(spark, d).where("partition NOT LIKE 'src:%'")
-
-
 @query(f"WITH {SHARES} SELECT * FROM shares")
 def check_shares_grouping_sets(spark, d):
     return _shares(spark, d)
@@ -103,25 +98,14 @@ def cells_components(spark, d):
 
 @query()
 def feasible_values(spark, d):
-    """Exact feasible counts of each suppressed cell of the release by quarters: (tuple_id, kind, n_values)."""
-    return _closed(spark, d, close=False)
+    """Exact feasible counts of each suppressed cell of the release, over all projects, quarters and sources: (tuple_id, kind, n_values)."""
+    return rl.disclosure(_shares(spark, d), close=False)
 
 
 @query()
 def closure(spark, d):
     """The same release after complementary suppression."""
-    return _closed(spark, d, close=True)
-
-
-def _closed(spark, d, close):
-    shares = _quarters(spark, d)
-    # A release is a few hundred cells by construction: checks x partitions, not a function of the data.
-    tuples = {f"{r.check_id}|{r.partition}": (r.c, r.n) for r in shares.collect()}
-    checks = sorted({t.split("|")[0] for t in tuples})
-    rows = [({f"{c}|all": -1} | {t: 1 for t in tuples if t.startswith(f"{c}|q")}, "=", 0) for c in checks]
-    state = rl.close_release(tuples, rows) if close else {t: "primary" for t, (c, n) in tuples.items() if n < 10 or c < 10 or n - c < 10}
-    sets = rl.feasible_sets(tuples, state, rows)
-    return spark.createDataFrame([(t, state[t], len(v)) for t, v in sorted(sets.items())], "tuple_id string, kind string, n_values long")
+    return rl.disclosure(_shares(spark, d), close=True)
 
 
 @query(f"WITH {STATES}, {PROJECTS} SELECT count(DISTINCT project) AS c, (SELECT count(*) FROM projects) AS n FROM states WHERE check_id IN ('1', '2') AND state IN ('pass', 'claimed')")
