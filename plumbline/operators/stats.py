@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..constants import AC1_MIN, AUDIT_BAR, ESTIMABLE_PASSES, PRECISION_MIN, RECALL_BAR, RECALL_CONTRIBUTING
+from ..constants import AC1_MIN, AUDIT_BAR, ESTIMABLE_PASSES, H2_GROUP_MIN, PRECISION_MIN, RECALL_BAR, RECALL_CONTRIBUTING
 from ..functions.numbers import ratio, seeded_uniform
 
 
@@ -73,15 +73,19 @@ def bootstrap_draws(spark: SparkSession, clusters: DataFrame, seed: str, draws:
     return picked.join(clusters, "ix").select("draw", "cluster", "weight")
 
 
-def bootstrap_ci(pairs: DataFrame, seed: str, draws: int = 2000, by: list[str] = ()) -> DataFrame:
+def bootstrap_ci(pairs: DataFrame, seed: str, draws: int = 2000, by: list[str] = (), pooled: bool = False) -> DataFrame:
     """Percentile intervals of all five metrics over clusters (column `cluster`): (by, metric, low, high).
 
     Pairs shrink to four counts for each cluster and group before the draws are joined, and all metrics share the draws.
+    `pooled` adds the intervals over all groups, from the same draws.
     """
     spark = pairs.sparkSession
     a, b = F.col("a"), F.col("b")
     counts = {"tt": a & b, "tf": a & ~b, "ft": ~a & b, "ff": ~a & ~b}
     cells = pairs.groupBy(*by, "cluster").agg(*(F.count_if(v).alias(k) for k, v in counts.items()))
+    if pooled:
+        whole = cells.groupBy("cluster").agg(*(F.sum(k).alias(k) for k in counts))
+        cells = cells.unionByName(whole.select(*(F.lit(None).cast(pairs.schema[c].dataType).alias(c) for c in by), "cluster", *counts))
     clusters = pairs.select("cluster").distinct().withColumn("ix", F.row_number().over(Window.orderBy("cluster")).cast("long") - 1)
     drawn = cells.join(bootstrap_draws(spark, clusters, seed, draws), "cluster")
     sums = drawn.groupBy(*by, "draw").agg(*(F.sum(F.col(k) * F.col("weight")).alias(k) for k in counts))
@@ -150,20 +154,23 @@ def permutation_p(labels: list[int], positives: np.ndarray, seed: str, draws: in
         e = np.outer(sizes, totals[live] / n)
         return float((((c - e) ** 2) * (1 / e + 1 / (sizes[:, None] - e))).sum())
 
-    order = np.arange(n)
-    t, hits, i = statistic(order), 0, 0
+    order, digest = list(range(n)), hashlib.sha256
+    t, hits, i = statistic(np.arange(n)), 0, 0
+    stream = f"{seed}:bootstrap:".encode()
     for _ in range(draws):
         for j in range(n - 1, 0, -1):
-            u = int(hashlib.sha256(f"{seed}:bootstrap:{i}".encode()).hexdigest()[:13], 16) / (1 << 52)
+            u = (int.from_bytes(digest(b"%b%d" % (stream, i)).digest()[:7]) >> 4) / (1 << 52)  # the first 13 hex digits
             k = int(u * (j + 1))
             order[j], order[k] = order[k], order[j]
             i += 1
-        hits += statistic(order) >= t - 1e-9 * max(1.0, t)
+        hits += statistic(np.array(order, int)) >= t - 1e-9 * max(1.0, t)
     return t, (1 + hits) / (draws + 1)
 
 
 def permutation_test(rows: DataFrame, seed: str, draws: int = 2000, by: str = "family") -> DataFrame:
-    """(by, statistic, p, v) for each family of (by, project, grp, check_id, positive); one family's sample is one task's work.
+    """(by, tested, reason, statistic, p, v) for each family of (by, project, grp, check_id, positive); one family's sample is one task's work.
+
+    A family of fewer than two groups, or with a group of fewer than H2_GROUP_MIN projects, is not tested and has a reason instead of figures.
 
     A family is a review's sample (hundreds of projects), so its size does not grow with the table's number of families.
     """
@@ -173,12 +180,15 @@ def permutation_test(rows: DataFrame, seed: str, draws: int = 2000, by: str = "f
         names = {g: i for i, g in enumerate(sorted(wide.index.get_level_values("grp").unique()))}
         y = [names[g] for g in wide.index.get_level_values("grp")]
         x = wide.to_numpy(float)
-        t, p = permutation_p(y, x, seed, draws)
+        reason = "fewer than two groups" if len(names) < 2 else f"a group has fewer than {H2_GROUP_MIN} projects" if np.bincount(y).min() < H2_GROUP_MIN else None
+        if reason:
+            return pd.DataFrame({by: [pdf[by].iloc[0]], "tested": [False], "reason": [reason], "statistic": [None], "p": [None], "v": [None]})
+        t, p = permutation_p(y, x, f"{seed}:h2-permutation", draws)
         v = math.sqrt(t / (len(y) * x.shape[1])) if len(y) else 0.0
-        return pd.DataFrame({by: [pdf[by].iloc[0]], "statistic": [t], "p": [p], "v": [v]})
+        return pd.DataFrame({by: [pdf[by].iloc[0]], "tested": [True], "reason": [None], "statistic": [t], "p": [p], "v": [v]})
 
     kind = rows.schema[by].dataType.simpleString()
-    return rows.withColumn("positive", F.col("positive").cast("int")).groupBy(by).applyInPandas(run, f"{by} {kind}, statistic double, p double, v double")
+    return rows.withColumn("positive", F.col("positive").cast("int")).groupBy(by).applyInPandas(run, f"{by} {kind}, tested boolean, reason string, statistic double, p double, v double")
 
 
 def recall_figure(projects: DataFrame) -> DataFrame:

@@ -65,6 +65,12 @@ def bootstrap_ci_small(spark, d):
     return _r(ss.bootstrap_ci(shims.raters(spark, d), "seed", 60))
 
 
+@query()
+def bootstrap_ci(spark, d):
+    """Intervals of each check and of all, 2000 draws; `bootstrap_ci_small` is its short form that SQL can follow."""
+    return ss.bootstrap_ci(shims.raters(spark, d), "seed", 2000, ["check_id"], pooled=True)
+
+
 @query("""WITH g AS (SELECT CAST(c_nationkey AS BIGINT) AS k, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (c_acctbal > 4000) AS BIGINT) AS x FROM customer GROUP BY 1)
   SELECT g.k, n, x, round((SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2.0::DOUBLE))) FROM range(0, 200) t(i) WHERE i <= n AND i >= x), 9) AS upper,
   round((SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2.0::DOUBLE))) FROM range(0, 200) t(i) WHERE i <= x), 9) AS lower FROM g""")
@@ -159,7 +165,7 @@ def wilson_rows(spark, d):
 
 @query()
 def permutation_test(spark, d):
-    """Random labels of projects against states: a family of projects for each nation, 200 draws."""
+    """Random labels of projects against states: a family of projects for each nation, 2000 draws."""
     c = table(spark, d, "customer")
     rows = c.select(F.col("c_nationkey").cast("string").alias("family"), F.col("c_custkey").alias("project"), F.col("c_mktsegment").alias("grp"), F.explode(F.array(*(F.lit(i) for i in range(6)))).alias("check_id"), "c_acctbal")
-    return ss.permutation_test(rows.withColumn("positive", (F.col("c_acctbal") * (F.col("check_id") + 3)).cast("long") % 3 == 0), "seed", 200)
+    return ss.permutation_test(rows.withColumn("positive", (F.col("c_acctbal") * (F.col("check_id") + 3)).cast("long") % 3 == 0), "seed", 2000)
