@@ -4,11 +4,12 @@ A text becomes units: white space is written as U+2581, one is put in front, and
 those with what follows up to the next; no piece crosses a unit. Each distinct unit of the corpus is
 segmented once:
 
-1. its substrings of bounded length are exploded and equi-joined to the piece table: the lattice's edges;
-2. the edges are grouped by unit, on the partitioning that made the units distinct (no shuffle);
+1. its substrings, bounded by the longest piece that begins as they do, are exploded and equi-joined to the
+   piece table: the lattice's edges;
+2. the edges are packed and grouped by unit, on the partitioning that made the units distinct (no shuffle);
 3. a higher-order `aggregate` folds them. For a unigram model that is Viterbi over the scores. A BPE
    model's segmentation is not the path of the best score but that of its merges in order, so there the
-   fold applies, step by step, the best edge that joins two neighbours. Single characters that are no
+   fold goes through the edges by rank and applies each that joins two neighbours. Single characters that are no
    piece fall back to bytes.
 
 Units that a text uses are then replaced by their ids: those of at least 1 / TABLE of all occurrences (so at
@@ -20,12 +21,13 @@ Null and empty texts have no ids. Decoding inverts encoding but for U+2581 itsel
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_text, materialize
@@ -33,8 +35,11 @@ from .common import id_text, materialize
 SPACE = "▁"
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Most rows of the broadcast table of frequent units.
-TABLE = 1 << 19
-#: Longer units are folded by a heap, in a Pandas UDF: the fold's boundaries are bits of a long.
+TABLE = 1 << 20
+#: Score of a character that is no piece, in a unigram model.
+UNKNOWN = -1e6
+_SLICE, _FLUSH = 1 << 21, 1 << 18  # bytes looked at together; distinct units counted together
+#: Longer units are segmented one by one, in an Arrow function: the fold's boundaries are bits of a long.
 LONG_UNIT = 60
 
 
@@ -67,12 +72,8 @@ class Pieces:
         return max(len(p) for p, _, _ in self.rows)
 
 
-def units_sql(text: str) -> str:
-    return rf"IF({text} = '', array(), split(concat('{SPACE}', replace({text}, ' ', '{SPACE}')), '(?<=[^{SPACE}])(?={SPACE})'))"
-
-
 def _split(text: str) -> list[str]:
-    """The units of a text, as in units_sql()."""
+    """The units of a text."""
     if not text:
         return []
     out: list[str] = []
@@ -116,79 +117,147 @@ def _by_heap(unit: str, pieces: Pieces) -> list[int]:
     return [k for s in text if s for k in _ids_of(s, pieces)]
 
 
+def _by_score(unit: str, pieces: Pieces) -> list[int]:
+    """The best path through a unit of any length; the same as the Viterbi fold."""
+    best, longest = [(0.0, 0)], pieces.longest
+    for e in range(1, len(unit) + 1):
+        ways = []
+        for s in range(max(0, e - longest), e):
+            hit = pieces.score_of.get(unit[s:e])
+            if hit or s == e - 1:
+                ways.append((best[s][0] + (hit[1] if hit else UNKNOWN), -s))
+        total, back = max(ways)
+        best.append((total, -back))
+    cuts = [len(unit)]
+    while cuts[-1]:
+        cuts.append(best[cuts[-1]][1])
+    cuts.reverse()
+    return [k for x, y in zip(cuts, cuts[1:], strict=False) for k in _ids_of(unit[x:y], pieces)]
+
+
 def _ids_of(symbol: str, pieces: Pieces) -> list[int]:
     hit = pieces.score_of.get(symbol)
     return [hit[0]] if hit else [pieces.byte_ids[b] for b in symbol.encode("utf-8", "surrogatepass")]
 
 
-def lattice(units: DataFrame, spark: SparkSession, pieces: Pieces) -> DataFrame:
-    """(unit, n, length, edges) of distinct units: edges are the structs (s, e, id, score) of all pieces in the unit."""
-    table = spark.createDataFrame(pieces.rows, "piece string, id int, score double")
-    starts = units.select("unit", "n", F.explode(F.expr("sequence(0, length(unit) - 1)")).alias("s"))
-    spans = starts.select("unit", "n", "s", F.explode(F.expr(f"sequence(s + 1, least(s + {pieces.longest}, length(unit)))")).alias("e"))
-    edges = spans.withColumn("piece", F.expr("substring(unit, s + 1, e - s)"))
-    # The piece table is the vocabulary file: its rows do not grow with the corpus.
-    found = edges.join(F.broadcast(table), "piece", "left").where("id IS NOT NULL OR e = s + 1")
-    return found.groupBy("unit").agg(
-        F.first("n").alias("n"), F.collect_list(F.struct("s", "e", F.coalesce("id", F.lit(-1)).alias("id"), "score")).alias("edges")
-    )
+def turns_late(pieces: Pieces) -> set[str]:
+    """Pieces that a pass over their own merges in order of priority does not form, though repeated passes do.
+
+    Inside a piece's span merges run as they do in the piece alone, as none may cross its ends; so a unit without such
+    pieces is segmented by one pass, in whatever surroundings its pieces stand.
+    """
+    rank = {p: -s for p, _, s in pieces.rows}
+    late = set()
+    for piece, i, _ in pieces.rows:
+        n, m = len(piece), (2 << len(piece)) - 1
+        for _, s, e in sorted((rank[piece[s:e]], s, e) for s in range(n) for e in range(s + 2, n + 1) if piece[s:e] in rank):
+            ends, span = 1 << s | 1 << e, (2 << e) - (1 << s)
+            if (m & span).bit_count() == 3 and m & ends == ends:
+                m = m & ~span | ends
+        if m != 1 | 1 << n and _by_heap(piece, pieces) == [i]:
+            late.add(piece)
+    return late
+
+
+def lattice(units: DataFrame, pieces: Pieces) -> DataFrame:
+    """(unit, n, edges, late) of distinct units of at most LONG_UNIT characters.
+
+    For merges an edge is rank << 12 | start << 6 | end of a piece of two or more characters, and `late` tells that one of
+    them may have to be tried again; for a unigram model it is the struct (e, s, score) and single characters have one, too.
+    """
+    spark, merges = units.sparkSession, pieces.kind == "bpe"
+    late = turns_late(pieces) if merges else set()
+    rank = {s: i for i, s in enumerate(sorted({s for _, _, s in pieces.rows}, reverse=True))}
+    table = spark.createDataFrame([(p, rank[s], s, p in late) for p, _, s in pieces.rows if len(p) > merges], "piece string, rank long, score double, late boolean")
+    reach: dict[str, int] = {}
+    for p, _, _ in pieces.rows:
+        if len(p) >= 3:
+            reach[p[:3]] = max(reach.get(p[:3], 0), len(p))
+    heads = spark.createDataFrame(list(reach.items()), "head string, reach int")
+    # Both tables come from the vocabulary file: their rows do not grow with the corpus.
+    rows = units.select(F.monotonically_increasing_id().alias("uid"), "unit", "n")
+    starts = rows.select("uid", "unit", "n", F.explode(F.expr("sequence(0, greatest(length(unit) - 2, 0))" if merges else "sequence(0, length(unit) - 1)")).alias("s"))
+    starts = starts.withColumn("head", F.expr("substring(unit, s + 1, 3)")).join(F.broadcast(heads), "head", "left")
+    least = "IF(s = 0, 1, s + 2)" if merges else "s + 1"
+    spans = starts.select("uid", "unit", "n", "s", F.explode(F.expr(f"sequence({least}, least(s + coalesce(reach, 2), length(unit)))")).alias("e"))
+    found = spans.withColumn("piece", F.expr("substring(unit, s + 1, e - s)")).join(F.broadcast(table), "piece", "left")
+    edge = F.expr("shiftleft(rank, 12) | shiftleft(s, 6) | e") if merges else F.struct("e", "s", F.coalesce("score", F.lit(UNKNOWN)).alias("score"))
+    # Rows of a unit follow each other and ids rise, so the sort below the aggregate finds them in order; no shuffle: `unit` is a key.
+    grouped = found.where("rank IS NOT NULL OR e = s + 1").groupBy("uid", "unit", "n")
+    return grouped.agg(F.sort_array(F.collect_list(edge)).alias("edges"), F.coalesce(F.max("late"), F.lit(False)).alias("late")).drop("uid")
 
 
 def fold_merges(latticed: DataFrame) -> DataFrame:
-    """(unit, n, path): the structs (s, e, id) after the merges of a BPE model; id -1 for what is no piece."""
-    joined = latticed.withColumn(
-        "joins",
-        F.expr(
-            """transform(sort_array(transform(filter(edges, x -> x.e > x.s + 1), x -> struct(-x.score AS o, x.s AS s, x.e AS e))),
-            x -> struct(shiftleft(1L, x.s) | shiftleft(1L, x.e) AS ends, shiftleft(1L, x.e) - shiftleft(1L, x.s + 1) AS mid))"""
-        ),
-    )
+    """(unit, n, cuts): where the symbols end after the merges of a BPE model."""
     # Bit i of the state: a boundary at i. An edge joins two neighbours if both its ends are boundaries and one lies within.
-    # Naming `joins` outside of the lambda, too, keeps the planner from sorting it anew in every step.
-    state = """aggregate(sequence(1, least(length(unit), size(joins) + 1)), shiftleft(1L, length(unit) + 1) - 1, (m, i) ->
-        m & ~coalesce(get(filter(joins, x -> (m & x.ends) = x.ends AND bit_count(m & x.mid) = 1), 0).mid, 0L))"""
-    path = "array_sort(filter(edges, x -> bit_count(state & (shiftleft(1L, x.e + 1) - shiftleft(1L, x.s))) = 2 AND (state & (shiftleft(1L, x.s) | shiftleft(1L, x.e))) = (shiftleft(1L, x.s) | shiftleft(1L, x.e))))"
-    return joined.withColumn("state", F.expr(state)).select("unit", "n", F.expr(path).alias("path"))
-
-
-def fold_viterbi(latticed: DataFrame, unknown_penalty: float = -1e6) -> DataFrame:
-    """(unit, n, path) of the highest sum of scores; of equal sums the shorter last piece. Unknown characters cost the penalty."""
-    best = f"""aggregate(sequence(1, length(unit)),
-        array(struct(0D AS total, -1 AS at, struct(0 AS s, 0 AS e, -1 AS id) AS edge)),
-        (best, j) -> concat(best, array(array_max(transform(filter(edges, x -> x.e = j), x -> struct(
-            best[x.s].total + coalesce(x.score, {unknown_penalty}D) AS total, x.s AS at, struct(x.s AS s, x.e AS e, x.id AS id) AS edge))))))"""
-    walk = """aggregate(sequence(1, length(unit)), struct(length(unit) AS at, array(best[0].edge) AS path),
-        (w, i) -> IF(w.at <= 0, w, struct(best[w.at].at AS at, concat(array(best[w.at].edge), w.path) AS path))).path"""
-    rows = latticed.withColumn("best", F.expr(best)).withColumn("walked", F.expr(walk))
-    return rows.select("unit", "n", F.expr("filter(walked, x -> x.e > x.s)").alias("path"))
+    s, e = "cast(shiftright(x, 6) & 63 AS int)", "cast(x & 63 AS int)"
+    span, ends = f"(shiftleft(2L, {e}) - shiftleft(1L, {s}))", f"(shiftleft(1L, {s}) | shiftleft(1L, {e}))"
+    fits = f"(bit_count(m & {span}) = 3 AND (m & {ends}) = {ends})"
+    full = "shiftleft(2L, length(unit)) - 1"
+    merged = f"m & ~{span} | {ends}"
+    once = f"aggregate(edges, {full}, (m, x) -> IF({fits}, {merged}, m))"
+    again = f"aggregate(sequence(0, size(edges)), {full}, (m, i) -> coalesce(get(transform(slice(filter(edges, x -> {fits}), 1, 1), x -> {merged}), 0), m))"
+    state = latticed.withColumn("m", F.expr(f"IF(late, {again}, {once})"))
+    return state.select("unit", "n", F.expr("filter(sequence(1, length(unit)), i -> shiftright(m, i) & 1 = 1)").alias("cuts"))
+
+
+def fold_viterbi(latticed: DataFrame) -> DataFrame:
+    """(unit, n, cuts): where the pieces of the highest sum of scores end; of equal sums that of the longest last piece."""
+    best = """aggregate(sequence(1, length(unit)),
+        array(struct(0D AS total, 1 AS back)),
+        (best, j) -> concat(best, array(array_max(transform(filter(edges, x -> x.e = j), x -> struct(best[x.s].total + x.score AS total, -x.s AS back))))))"""
+    walk = """aggregate(sequence(1, length(unit)), struct(length(unit) AS at, array(length(unit)) AS cuts),
+        (w, i) -> IF(best[w.at].back >= 0, w, struct(-best[w.at].back AS at, concat(array(-best[w.at].back), w.cuts) AS cuts))).cuts"""
+    return latticed.withColumn("best", F.expr(best)).select("unit", "n", F.expr(walk).alias("cuts"))
 
 
 def encode_units(units: DataFrame, pieces: Pieces) -> DataFrame:
     """(unit, n, ids) for distinct, non-empty units (unit, n)."""
-    spark = units.sparkSession
-    byte_ids = "array({})".format(", ".join(map(str, pieces.byte_ids)))
-    fold = fold_merges if pieces.kind == "bpe" else fold_viterbi
-    short = units if pieces.kind != "bpe" else units.where(F.length("unit") <= LONG_UNIT)
-    path = fold(lattice(short, spark, pieces))
-    spelled = f"""flatten(transform(path, x -> IF(x.id >= 0, array(x.id), transform(
-        regexp_extract_all(hex(encode(substring(unit, x.s + 1, 1), 'UTF-8')), '..', 0), h -> {byte_ids}[int(conv(h, 16, 10))]))))"""
-    done = path.select("unit", "n", F.expr(spelled).cast("array<int>").alias("ids"))
-    if pieces.kind != "bpe":
-        return done
+    fold, alone = (fold_merges, _by_heap) if pieces.kind == "bpe" else (fold_viterbi, _by_score)
+    cut = fold(lattice(units.where(F.length("unit") <= LONG_UNIT), pieces))
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = []
+            for u, cuts in zip(b.column("unit").to_pylist(), b.column("cuts").to_pylist(), strict=True):
+                ids.append([k for x, y in zip([0, *cuts], cuts, strict=False) for k in _ids_of(u[x:y], pieces)])
+            yield pa.record_batch([b.column("unit"), b.column("n"), pa.array(ids, pa.list_(pa.int32()))], ["unit", "n", "ids"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = [_by_heap(u, pieces) for u in b.column("unit").to_pylist()]
+            ids = [alone(u, pieces) for u in b.column("unit").to_pylist()]
             yield pa.record_batch([b.column("unit"), b.column("n"), pa.array(ids, pa.list_(pa.int32()))], ["unit", "n", "ids"])
 
-    return done.unionByName(units.where(F.length("unit") > LONG_UNIT).mapInArrow(run, "unit string, n long, ids array<int>"))
+    schema = "unit string, n long, ids array<int>"
+    return cut.mapInArrow(spell, schema).unionByName(units.where(F.length("unit") > LONG_UNIT).mapInArrow(run, schema))
+
+
+def _slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    """Parts of batches of about _SLICE bytes of a column, so that a task holds few of them at once."""
+    for b in batches:
+        sizes = np.diff(np.frombuffer(b.column(column).buffers()[1], "<i4")[b.column(column).offset :][: b.num_rows + 1]) if b.num_rows else np.zeros(0)
+        part = np.cumsum(sizes) // _SLICE
+        heads = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if b.num_rows else []
+        for x, y in zip(heads, [*heads[1:], b.num_rows], strict=False):
+            yield b.slice(x, y - x)
+
+
+def _count_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts: Counter[str] = Counter()
+    for b in _slices(batches, "text"):
+        for t in b.column("text").to_pylist():
+            counts.update(_split(t))
+        if len(counts) >= _FLUSH:
+            yield pa.record_batch([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["unit", "n"])
+            counts = Counter()
+    yield pa.record_batch([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["unit", "n"])
 
 
 def encode(docs: DataFrame, model: str = DEFAULT_MODEL, kind: str = "bpe", table_rows: int = TABLE) -> DataFrame:
-    """(doc_id, text, ids) of every row."""
+    """(doc_id, digest, ids) of every row; digest is the xxhash64 of the text that decoding gives back."""
     spark, pieces = docs.sparkSession, Pieces.load(model, kind)
     rows = id_text(docs)
-    units = rows.select(F.explode(F.expr(units_sql("text"))).alias("unit")).groupBy("unit").agg(F.count("*").alias("n"))
+    units = rows.select("text").mapInArrow(_count_units, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
     table = materialize(encode_units(units, pieces))
     total = table.agg(F.sum("n")).first()[0] or 0
     # At most `table_rows` units can have this share of all occurrences.
@@ -200,37 +269,35 @@ def encode(docs: DataFrame, model: str = DEFAULT_MODEL, kind: str = "bpe", table
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = handle.value
-        for b in batches:
+        for b in _slices(batches, "text"):
             ids, rare = [], []
             for t in b.column("text").to_pylist():
                 us = _split(t)
                 got = [known.get(u, hole) for u in us]
                 ids.append(b"".join(got))
                 rare.append([u for u, g in zip(us, got, strict=True) if g is hole])
-            yield pa.record_batch(
-                [b.column("doc_id"), b.column("text"), pa.array(ids, pa.binary()), pa.array(rare, pa.list_(pa.string()))], ["doc_id", "text", "ids", "rare"]
-            )
+            yield pa.record_batch([b.column("doc_id"), b.column("digest"), pa.array(ids, pa.binary()), pa.array(rare, pa.list_(pa.string()))], ["doc_id", "digest", "ids", "rare"])
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches, "ids"):
             out = []
             for raw, extra in zip(b.column("ids").to_pylist(), b.column("extra").to_pylist(), strict=True):
                 a = np.frombuffer(raw, "<i4")
                 if extra:
-                    at = np.flatnonzero(a < 0)
-                    parts = np.split(a, at)
-                    a = np.concatenate([parts[0], *(y for x, p in zip(extra, parts[1:], strict=True) for y in (np.array(x["ids"], "<i4"), p[1:]))])
+                    extra.sort(key=lambda x: x["pos"])
+                    parts = np.split(a, np.flatnonzero(a < 0))
+                    a = np.concatenate([parts[0], *(y for x, p in zip(extra, parts[1:], strict=True) for y in (x["ids"], p[1:]))])
                 out.append(a)
-            yield pa.record_batch([b.column("doc_id"), b.column("text"), pa.array(out, pa.list_(pa.int32()))], ["doc_id", "text", "ids"])
-
-    looked = rows.mapInArrow(look_up, f"doc_id {id_type}, text string, ids binary, rare array<string>")
-    keyed = looked.withColumn("k", F.xxhash64("text"))
-    rare = keyed.select("doc_id", "k", F.posexplode("rare").alias("pos", "unit")).join(table.select("unit", F.col("ids").alias("unit_ids")), "unit")
-    # Repeated rows would each bring their units: a set keeps one of each position.
-    extra = rare.groupBy("doc_id", "k").agg(F.sort_array(F.collect_set(F.struct("pos", F.col("unit_ids").alias("ids")))).alias("extra"))
-    extra = extra.withColumnsRenamed({"doc_id": "d", "k": "dk"})
-    joined = keyed.drop("rare").join(extra, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("k") == F.col("dk")), "left")
-    return joined.select("doc_id", "text", "ids", "extra").mapInArrow(fill, f"doc_id {id_type}, text string, ids array<int>")
+            yield pa.record_batch([b.column("doc_id"), b.column("digest"), pa.array(out, pa.list_(pa.int32()))], ["doc_id", "digest", "ids"])
+
+    keyed = rows.withColumn("digest", F.xxhash64(F.translate("text", SPACE, " ")))
+    looked = keyed.mapInArrow(look_up, f"doc_id {id_type}, digest long, ids binary, rare array<string>")
+    # Written once and read twice. The number names a row, whatever its id.
+    looked = materialize(looked.withColumn("row", F.monotonically_increasing_id()))
+    rare = looked.select("row", F.posexplode("rare").alias("pos", "unit")).join(table.select("unit", F.col("ids").alias("unit_ids")), "unit")
+    extra = rare.groupBy("row").agg(F.collect_list(F.struct("pos", F.col("unit_ids").alias("ids"))).alias("extra"))
+    joined = looked.drop("rare").join(extra, "row", "left")
+    return joined.select("doc_id", "digest", "ids", "extra").mapInArrow(fill, f"doc_id {id_type}, digest long, ids array<int>")
 
 
 def decode_ids(ids: list[int] | None, pieces: Pieces, byte_of: dict[int, int]) -> str:
