@@ -35,7 +35,7 @@ from .common import id_text, materialize
 SPACE = "▁"
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Most rows of the broadcast table of frequent units.
-TABLE = 1 << 20
+TABLE = 1 << 21
 #: Score of a character that is no piece, in a unigram model.
 UNKNOWN = -1e6
 _SLICE, _FLUSH = 1 << 21, 1 << 18  # bytes looked at together; distinct units counted together
@@ -73,17 +73,21 @@ class Pieces:
 
 
 def _split(text: str) -> list[str]:
-    """The units of a text."""
+    """The units of a text, each without the U+2581 that all begin with."""
     if not text:
         return []
+    words = text.replace(SPACE, " ").split(" ")
+    if "" not in words:
+        return words
     out: list[str] = []
-    spaces = 1
-    for x in text.replace(SPACE, " ").split(" "):
+    spaces = 0
+    for x in words:
         if x:
             out.append(SPACE * spaces + x)
             spaces = 0
-        spaces += 1
-    if spaces > 1:
+        else:
+            spaces += 1
+    if spaces:
         out.append(SPACE * (spaces - 1))
     return out
 
@@ -184,7 +188,7 @@ def lattice(units: DataFrame, pieces: Pieces) -> DataFrame:
     edge = F.expr("shiftleft(rank, 12) | shiftleft(s, 6) | e") if merges else F.struct("e", "s", F.coalesce("score", F.lit(UNKNOWN)).alias("score"))
     # Rows of a unit follow each other and ids rise, so the sort below the aggregate finds them in order; no shuffle: `unit` is a key.
     grouped = found.where("rank IS NOT NULL OR e = s + 1").groupBy("uid", "unit", "n")
-    return grouped.agg(F.sort_array(F.collect_list(edge)).alias("edges"), F.coalesce(F.max("late"), F.lit(False)).alias("late")).drop("uid")
+    return grouped.agg(F.collect_list(edge).alias("edges"), F.coalesce(F.max("late"), F.lit(False)).alias("late")).drop("uid")
 
 
 def fold_merges(latticed: DataFrame) -> DataFrame:
@@ -195,10 +199,12 @@ def fold_merges(latticed: DataFrame) -> DataFrame:
     fits = f"(bit_count(m & {span}) = 3 AND (m & {ends}) = {ends})"
     full = "shiftleft(2L, length(unit)) - 1"
     merged = f"m & ~{span} | {ends}"
-    once = f"aggregate(edges, {full}, (m, x) -> IF({fits}, {merged}, m))"
-    again = f"aggregate(sequence(0, size(edges)), {full}, (m, i) -> coalesce(get(transform(slice(filter(edges, x -> {fits}), 1, 1), x -> {merged}), 0), m))"
-    state = latticed.withColumn("m", F.expr(f"IF(late, {again}, {once})"))
-    return state.select("unit", "n", F.expr("filter(sequence(1, length(unit)), i -> shiftright(m, i) & 1 = 1)").alias("cuts"))
+    # What is used in a lambda is bound by one, else the planner copies it there, to be evaluated again and again.
+    cuts = "m -> filter(sequence(1, length(unit)), i -> shiftright(m, i) & 1 = 1)"
+    once = f"aggregate(sort_array(edges), {full}, (m, x) -> IF({fits}, {merged}, m), {cuts})"
+    first = f"array_compact(array(array_min(filter(edges, x -> {fits}))))"
+    again = f"aggregate(sequence(0, size(edges)), {full}, (m, i) -> coalesce(get(transform({first}, x -> {merged}), 0), m), {cuts})"
+    return latticed.select("unit", "n", F.expr(f"IF(late, {again}, {once})").alias("cuts"))
 
 
 def fold_viterbi(latticed: DataFrame) -> DataFrame:
@@ -211,25 +217,56 @@ def fold_viterbi(latticed: DataFrame) -> DataFrame:
     return latticed.withColumn("best", F.expr(best)).select("unit", "n", F.expr(walk).alias("cuts"))
 
 
-def encode_units(units: DataFrame, pieces: Pieces) -> DataFrame:
-    """(unit, n, ids) for distinct, non-empty units (unit, n)."""
+def _id_kind(pieces: Pieces) -> np.dtype:
+    """Of packed ids: two bytes where they fit. The largest number is no id."""
+    return np.dtype("<u2" if len(pieces.names) < 1 << 16 else "<u4")
+
+
+def _packed_units(units: DataFrame, pieces: Pieces) -> DataFrame:
+    """(unit, n, ids) for distinct, non-empty units (unit, n), ids packed."""
     fold, alone = (fold_merges, _by_heap) if pieces.kind == "bpe" else (fold_viterbi, _by_score)
-    cut = fold(lattice(units.where(F.length("unit") <= LONG_UNIT), pieces))
+    cut, kind = fold(lattice(units.where(F.length("unit") <= LONG_UNIT), pieces)), _id_kind(pieces)
+
+    def packer(ids_of):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                ids = [np.array(x, kind).tobytes() for x in ids_of(b)]
+                yield pa.record_batch([b.column("unit"), b.column("n"), pa.array(ids, pa.binary())], ["unit", "n", "ids"])
+
+        return run
+
+    def spelled(b: pa.RecordBatch) -> Iterator[list[int]]:
+        known = pieces.score_of
+        flat, offsets = b.column("cuts").values.to_pylist(), b.column("cuts").offsets.to_pylist()
+        for u, x, y in zip(b.column("unit").to_pylist(), offsets, offsets[1:], strict=False):
+            ids, start = [], 0
+            for stop in flat[x:y]:
+                hit = known.get(u[start:stop])
+                if hit:
+                    ids.append(hit[0])
+                else:
+                    ids += _ids_of(u[start:stop], pieces)
+                start = stop
+            yield ids
+
+    def one_by_one(b: pa.RecordBatch) -> Iterator[list[int]]:
+        return (alone(u, pieces) for u in b.column("unit").to_pylist())
+
+    schema = "unit string, n long, ids binary"
+    long = units.where(F.length("unit") > LONG_UNIT)
+    return cut.mapInArrow(packer(spelled), schema).unionByName(long.mapInArrow(packer(one_by_one), schema))
 
-    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids = []
-            for u, cuts in zip(b.column("unit").to_pylist(), b.column("cuts").to_pylist(), strict=True):
-                ids.append([k for x, y in zip([0, *cuts], cuts, strict=False) for k in _ids_of(u[x:y], pieces)])
-            yield pa.record_batch([b.column("unit"), b.column("n"), pa.array(ids, pa.list_(pa.int32()))], ["unit", "n", "ids"])
+
+def encode_units(units: DataFrame, pieces: Pieces) -> DataFrame:
+    """(unit, n, ids) for distinct, non-empty units (unit, n)."""
+    kind = _id_kind(pieces)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = [alone(u, pieces) for u in b.column("unit").to_pylist()]
+            ids = [np.frombuffer(x, kind).astype(np.int32) for x in b.column("ids").to_pylist()]
             yield pa.record_batch([b.column("unit"), b.column("n"), pa.array(ids, pa.list_(pa.int32()))], ["unit", "n", "ids"])
 
-    schema = "unit string, n long, ids array<int>"
-    return cut.mapInArrow(spell, schema).unionByName(units.where(F.length("unit") > LONG_UNIT).mapInArrow(run, schema))
+    return _packed_units(units, pieces).mapInArrow(run, "unit string, n long, ids array<int>")
 
 
 def _slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
@@ -244,27 +281,31 @@ def _slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Recor
 
 def _count_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: Counter[str] = Counter()
+
+    def rows() -> pa.RecordBatch:
+        return pa.record_batch([pa.array([SPACE + u for u in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], ["unit", "n"])
+
     for b in _slices(batches, "text"):
         for t in b.column("text").to_pylist():
             counts.update(_split(t))
         if len(counts) >= _FLUSH:
-            yield pa.record_batch([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["unit", "n"])
-            counts = Counter()
-    yield pa.record_batch([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["unit", "n"])
+            yield rows()
+            counts.clear()
+    yield rows()
 
 
 def encode(docs: DataFrame, model: str = DEFAULT_MODEL, kind: str = "bpe", table_rows: int = TABLE) -> DataFrame:
     """(doc_id, digest, ids) of every row; digest is the xxhash64 of the text that decoding gives back."""
     spark, pieces = docs.sparkSession, Pieces.load(model, kind)
-    rows = id_text(docs)
+    rows, id_kind = id_text(docs), _id_kind(pieces)
+    gap = np.iinfo(id_kind).max
     units = rows.select("text").mapInArrow(_count_units, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
-    table = materialize(encode_units(units, pieces))
+    table = materialize(_packed_units(units, pieces))
     total = table.agg(F.sum("n")).first()[0] or 0
     # At most `table_rows` units can have this share of all occurrences.
     often = table.where(F.col("n") * table_rows >= total).select("unit", "ids").toArrow()
-    packed = dict(zip(often["unit"].to_pylist(), (np.array(x, "<i4").tobytes() for x in often["ids"].to_pylist()), strict=True))
-    handle = spark.sparkContext.broadcast(packed)
-    hole = np.array([-1], "<i4").tobytes()
+    handle = spark.sparkContext.broadcast(dict(zip((u[1:] for u in often["unit"].to_pylist()), often["ids"].to_pylist(), strict=True)))
+    hole = np.array([gap], id_kind).tobytes()
     id_type = rows.schema["doc_id"].dataType.simpleString()
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,19 +316,19 @@ def encode(docs: DataFrame, model: str = DEFAULT_MODEL, kind: str = "bpe", table
                 us = _split(t)
                 got = [known.get(u, hole) for u in us]
                 ids.append(b"".join(got))
-                rare.append([u for u, g in zip(us, got, strict=True) if g is hole])
+                rare.append([SPACE + u for u, g in zip(us, got, strict=True) if g is hole])
             yield pa.record_batch([b.column("doc_id"), b.column("digest"), pa.array(ids, pa.binary()), pa.array(rare, pa.list_(pa.string()))], ["doc_id", "digest", "ids", "rare"])
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _slices(batches, "ids"):
             out = []
             for raw, extra in zip(b.column("ids").to_pylist(), b.column("extra").to_pylist(), strict=True):
-                a = np.frombuffer(raw, "<i4")
                 if extra:
-                    extra.sort(key=lambda x: x["pos"])
-                    parts = np.split(a, np.flatnonzero(a < 0))
-                    a = np.concatenate([parts[0], *(y for x, p in zip(extra, parts[1:], strict=True) for y in (x["ids"], p[1:]))])
-                out.append(a)
+                    found = sorted((x["pos"], x["ids"]) for x in extra)
+                    at = (np.flatnonzero(np.frombuffer(raw, id_kind) == gap) * id_kind.itemsize).tolist()
+                    ends = [0, *(x + id_kind.itemsize for x in at)]
+                    raw = b"".join(y for x, a, (_, ids) in zip(ends, at, found, strict=False) for y in (raw[x:a], ids)) + raw[ends[-1] :]
+                out.append(np.frombuffer(raw, id_kind).astype(np.int32))
             yield pa.record_batch([b.column("doc_id"), b.column("digest"), pa.array(out, pa.list_(pa.int32()))], ["doc_id", "digest", "ids"])
 
     keyed = rows.withColumn("digest", F.xxhash64(F.translate("text", SPACE, " ")))
@@ -300,22 +341,24 @@ def encode(docs: DataFrame, model: str = DEFAULT_MODEL, kind: str = "bpe", table
     return joined.select("doc_id", "digest", "ids", "extra").mapInArrow(fill, f"doc_id {id_type}, digest long, ids array<int>")
 
 
-def decode_ids(ids: list[int] | None, pieces: Pieces, byte_of: dict[int, int]) -> str:
-    out = b"".join(bytes([byte_of[i]]) if i in byte_of else pieces.names[i].replace(SPACE, " ").encode() for i in ids or [])
-    text = out.decode("utf-8", "replace")
-    return text[1:] if text.startswith(" ") else text
-
-
 def decode(encoded: DataFrame, model: str = DEFAULT_MODEL) -> DataFrame:
     """All columns of `encoded` and `decoded`, the text of its `ids`; null ids give the empty text."""
     pieces = Pieces.load(model)
-    byte_of = {i: b for b, i in enumerate(pieces.byte_ids)}
+    spelt = [x.replace(SPACE, " ").encode() for x in pieces.names]
+    for b, i in enumerate(pieces.byte_ids):
+        spelt[i] = bytes([b])
     names = encoded.columns
 
+    def text_of(ids: list[int] | None) -> str:
+        text = b"".join([spelt[i] for i in ids or []]).decode("utf-8", "replace")
+        return text[1:] if text.startswith(" ") else text
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [decode_ids(x, pieces, byte_of) for x in b.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*names, "decoded"])
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                texts = [text_of(x) for x in part.column("ids").to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*names, "decoded"])
 
     from pyspark.sql.types import StringType, StructType
 

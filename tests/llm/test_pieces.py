@@ -18,7 +18,7 @@ def library():
 
 def test_units():
     for t in ODD + [t or "" for _, t in HARD]:
-        assert "".join(pc._split(t)) == (pc.SPACE + t.replace(" ", pc.SPACE) if t else "")
+        assert "".join(pc.SPACE + u for u in pc._split(t)) == (pc.SPACE + t.replace(" ", pc.SPACE) if t else "")
 
 
 def test_equals_library(spark, sf, library):
