@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, materialize
+from .common import id_text, materialize, settings
 
 SPACE = "▁"
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -38,7 +38,7 @@ DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 TABLE = 1 << 21
 #: Score of a character that is no piece, in a unigram model.
 UNKNOWN = -1e6
-_SLICE, _FLUSH = 1 << 21, 1 << 18  # bytes looked at together; distinct units counted together
+_SLICE, _FLUSH = 1 << 21, 1 << 17  # bytes looked at together; distinct units counted together
 #: Longer units are segmented one by one, in an Arrow function: the fold's boundaries are bits of a long.
 LONG_UNIT = 60
 
@@ -164,7 +164,7 @@ def turns_late(pieces: Pieces) -> set[str]:
 
 
 def lattice(units: DataFrame, pieces: Pieces) -> DataFrame:
-    """(unit, n, edges, late) of distinct units of at most LONG_UNIT characters.
+    """(unit, n, edges, late) of distinct units; longer ones than LONG_UNIT have no edges.
 
     For merges an edge is rank << 12 | start << 6 | end of a piece of two or more characters, and `late` tells that one of
     them may have to be tried again; for a unigram model it is the struct (e, s, score) and single characters have one, too.
@@ -180,10 +180,12 @@ def lattice(units: DataFrame, pieces: Pieces) -> DataFrame:
     heads = spark.createDataFrame(list(reach.items()), "head string, reach int")
     # Both tables come from the vocabulary file: their rows do not grow with the corpus.
     rows = units.select(F.monotonically_increasing_id().alias("uid"), "unit", "n")
-    starts = rows.select("uid", "unit", "n", F.explode(F.expr("sequence(0, greatest(length(unit) - 2, 0))" if merges else "sequence(0, length(unit) - 1)")).alias("s"))
+    short, last = f"length(unit) <= {LONG_UNIT}", "greatest(length(unit) - 2, 0)" if merges else "length(unit) - 1"
+    starts = rows.select("uid", "unit", "n", F.explode(F.expr(f"sequence(0, IF({short}, {last}, 0))")).alias("s"))
     starts = starts.withColumn("head", F.expr("substring(unit, s + 1, 3)")).join(F.broadcast(heads), "head", "left")
     least = "IF(s = 0, 1, s + 2)" if merges else "s + 1"
-    spans = starts.select("uid", "unit", "n", "s", F.explode(F.expr(f"sequence({least}, least(s + coalesce(reach, 2), length(unit)))")).alias("e"))
+    ends = f"sequence({least}, IF({short}, least(s + coalesce(reach, 2), length(unit)), 1))"
+    spans = starts.select("uid", "unit", "n", "s", F.explode(F.expr(ends)).alias("e"))
     found = spans.withColumn("piece", F.expr("substring(unit, s + 1, e - s)")).join(F.broadcast(table), "piece", "left")
     edge = F.expr("shiftleft(rank, 12) | shiftleft(s, 6) | e") if merges else F.struct("e", "s", F.coalesce("score", F.lit(UNKNOWN)).alias("score"))
     # Rows of a unit follow each other and ids rise, so the sort below the aggregate finds them in order; no shuffle: `unit` is a key.
@@ -192,7 +194,7 @@ def lattice(units: DataFrame, pieces: Pieces) -> DataFrame:
 
 
 def fold_merges(latticed: DataFrame) -> DataFrame:
-    """(unit, n, cuts): where the symbols end after the merges of a BPE model."""
+    """(unit, n, cuts): where the symbols end after the merges of a BPE model; null for a long unit."""
     # Bit i of the state: a boundary at i. An edge joins two neighbours if both its ends are boundaries and one lies within.
     s, e = "cast(shiftright(x, 6) & 63 AS int)", "cast(x & 63 AS int)"
     span, ends = f"(shiftleft(2L, {e}) - shiftleft(1L, {s}))", f"(shiftleft(1L, {s}) | shiftleft(1L, {e}))"
@@ -204,17 +206,18 @@ def fold_merges(latticed: DataFrame) -> DataFrame:
     once = f"aggregate(sort_array(edges), {full}, (m, x) -> IF({fits}, {merged}, m), {cuts})"
     first = f"array_compact(array(array_min(filter(edges, x -> {fits}))))"
     again = f"aggregate(sequence(0, size(edges)), {full}, (m, i) -> coalesce(get(transform({first}, x -> {merged}), 0), m), {cuts})"
-    return latticed.select("unit", "n", F.expr(f"IF(late, {again}, {once})").alias("cuts"))
+    return latticed.select("unit", "n", F.expr(f"CASE WHEN length(unit) > {LONG_UNIT} THEN NULL WHEN late THEN {again} ELSE {once} END").alias("cuts"))
 
 
 def fold_viterbi(latticed: DataFrame) -> DataFrame:
-    """(unit, n, cuts): where the pieces of the highest sum of scores end; of equal sums that of the longest last piece."""
+    """(unit, n, cuts): where the pieces of the highest sum of scores end; of equal sums that of the longest last piece; null for a long unit."""
     best = """aggregate(sequence(1, length(unit)),
         array(struct(0D AS total, 1 AS back)),
         (best, j) -> concat(best, array(array_max(transform(filter(edges, x -> x.e = j), x -> struct(best[x.s].total + x.score AS total, -x.s AS back))))))"""
     walk = """aggregate(sequence(1, length(unit)), struct(length(unit) AS at, array(length(unit)) AS cuts),
         (w, i) -> IF(best[w.at].back >= 0, w, struct(-best[w.at].back AS at, concat(array(-best[w.at].back), w.cuts) AS cuts))).cuts"""
-    return latticed.withColumn("best", F.expr(best)).select("unit", "n", F.expr(walk).alias("cuts"))
+    rows = latticed.withColumn("best", F.expr(f"IF(length(unit) <= {LONG_UNIT}, {best}, NULL)"))
+    return rows.select("unit", "n", F.expr(f"IF(length(unit) <= {LONG_UNIT}, {walk}, NULL)").alias("cuts"))
 
 
 def _id_kind(pieces: Pieces) -> np.dtype:
@@ -225,36 +228,24 @@ def _id_kind(pieces: Pieces) -> np.dtype:
 def _packed_units(units: DataFrame, pieces: Pieces) -> DataFrame:
     """(unit, n, ids) for distinct, non-empty units (unit, n), ids packed."""
     fold, alone = (fold_merges, _by_heap) if pieces.kind == "bpe" else (fold_viterbi, _by_score)
-    cut, kind = fold(lattice(units.where(F.length("unit") <= LONG_UNIT), pieces)), _id_kind(pieces)
-
-    def packer(ids_of):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                ids = [np.array(x, kind).tobytes() for x in ids_of(b)]
-                yield pa.record_batch([b.column("unit"), b.column("n"), pa.array(ids, pa.binary())], ["unit", "n", "ids"])
-
-        return run
-
-    def spelled(b: pa.RecordBatch) -> Iterator[list[int]]:
-        known = pieces.score_of
-        flat, offsets = b.column("cuts").values.to_pylist(), b.column("cuts").offsets.to_pylist()
-        for u, x, y in zip(b.column("unit").to_pylist(), offsets, offsets[1:], strict=False):
-            ids, start = [], 0
-            for stop in flat[x:y]:
-                hit = known.get(u[start:stop])
-                if hit:
-                    ids.append(hit[0])
-                else:
-                    ids += _ids_of(u[start:stop], pieces)
-                start = stop
-            yield ids
-
-    def one_by_one(b: pa.RecordBatch) -> Iterator[list[int]]:
-        return (alone(u, pieces) for u in b.column("unit").to_pylist())
-
-    schema = "unit string, n long, ids binary"
-    long = units.where(F.length("unit") > LONG_UNIT)
-    return cut.mapInArrow(packer(spelled), schema).unionByName(long.mapInArrow(packer(one_by_one), schema))
+    kind, known = _id_kind(pieces), pieces.score_of
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            flat, offsets, packed = b.column("cuts").values.to_numpy().tolist(), b.column("cuts").offsets.to_pylist(), []
+            for u, x, y in zip(b.column("unit").to_pylist(), offsets, offsets[1:], strict=False):
+                ids, start = ([], 0) if x < y else (alone(u, pieces), len(u))
+                for stop in flat[x:y]:
+                    hit = known.get(u[start:stop])
+                    if hit:
+                        ids.append(hit[0])
+                    else:
+                        ids += _ids_of(u[start:stop], pieces)
+                    start = stop
+                packed.append(np.array(ids, kind).tobytes())
+            yield pa.record_batch([b.column("unit"), b.column("n"), pa.array(packed, pa.binary())], ["unit", "n", "ids"])
+
+    return fold(lattice(units, pieces)).mapInArrow(run, "unit string, n long, ids binary")
 
 
 def encode_units(units: DataFrame, pieces: Pieces) -> DataFrame:
@@ -300,7 +291,9 @@ def encode(docs: DataFrame, model: str = DEFAULT_MODEL, kind: str = "bpe", table
     rows, id_kind = id_text(docs), _id_kind(pieces)
     gap = np.iinfo(id_kind).max
     units = rows.select("text").mapInArrow(_count_units, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
-    table = materialize(_packed_units(units, pieces))
+    with settings(spark, spark__sql__execution__useObjectHashAggregateExec="false"):
+        # The rows of a unit come one after another: a sort finds them in order, where a hash table would first fill up.
+        table = materialize(_packed_units(units, pieces))
     total = table.agg(F.sum("n")).first()[0] or 0
     # At most `table_rows` units can have this share of all occurrences.
     often = table.where(F.col("n") * table_rows >= total).select("unit", "ids").toArrow()
@@ -328,10 +321,13 @@ def encode(docs: DataFrame, model: str = DEFAULT_MODEL, kind: str = "bpe", table
                     at = (np.flatnonzero(np.frombuffer(raw, id_kind) == gap) * id_kind.itemsize).tolist()
                     ends = [0, *(x + id_kind.itemsize for x in at)]
                     raw = b"".join(y for x, a, (_, ids) in zip(ends, at, found, strict=False) for y in (raw[x:a], ids)) + raw[ends[-1] :]
-                out.append(np.frombuffer(raw, id_kind).astype(np.int32))
-            yield pa.record_batch([b.column("doc_id"), b.column("digest"), pa.array(out, pa.list_(pa.int32()))], ["doc_id", "digest", "ids"])
+                out.append(raw)
+            ends = np.cumsum([0, *map(len, out)]) // id_kind.itemsize
+            flat = np.frombuffer(b"".join(out), id_kind).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
+            yield pa.record_batch([b.column("doc_id"), b.column("digest"), lists], ["doc_id", "digest", "ids"])
 
-    keyed = rows.withColumn("digest", F.xxhash64(F.translate("text", SPACE, " ")))
+    keyed = rows.withColumn("digest", F.xxhash64(F.replace("text", F.lit(SPACE), F.lit(" "))))
     looked = keyed.mapInArrow(look_up, f"doc_id {id_type}, digest long, ids binary, rare array<string>")
     # Written once and read twice. The number names a row, whatever its id.
     looked = materialize(looked.withColumn("row", F.monotonically_increasing_id()))
@@ -349,15 +345,15 @@ def decode(encoded: DataFrame, model: str = DEFAULT_MODEL) -> DataFrame:
         spelt[i] = bytes([b])
     names = encoded.columns
 
-    def text_of(ids: list[int] | None) -> str:
-        text = b"".join([spelt[i] for i in ids or []]).decode("utf-8", "replace")
-        return text[1:] if text.startswith(" ") else text
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                texts = [text_of(x) for x in part.column("ids").to_pylist()]
+                offsets, texts = part.column("ids").offsets.to_pylist(), []
+                flat = part.column("ids").values.to_numpy()
+                for x, y in zip(offsets, offsets[1:], strict=False):
+                    text = b"".join([spelt[i] for i in flat[x:y].tolist()]).decode("utf-8", "replace")
+                    texts.append(text[1:] if text.startswith(" ") else text)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*names, "decoded"])
 
     from pyspark.sql.types import StringType, StructType
