@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column
@@ -29,14 +30,24 @@ FOOTER_HAS_NOT = r"(?i)\b(?:test\w*|eval\w*|fail\w*|benchmark\w*|accuracy|risk\w
 TITLE_KEYWORDS = r"(?i)\b(ai|a\.i\.|llm|llms|agent|agents|agentic|rag|chatbot|neural|diffusion|embedding|embeddings|transformer|inference|prompt|prompts|assistant|ml|gen ?ai|generative)\b"
 CODE_HOSTS = r"(^|\.)(github\.com|gitlab\.com|codeberg\.org|bitbucket\.org)$"
 RESERVED_OWNERS = ["sponsors", "orgs", "features", "settings", "marketplace", "topics"]
-#: Shared suffixes below which each name is its own registrable domain.
-SHARED_SUFFIXES = ["github.io", "gitlab.io", "netlify.app", "vercel.app", "pages.dev", "web.app", "herokuapp.com", "fly.dev", "hf.space", "streamlit.app", "co.uk", "com.au", "co.jp"]
+#: Hosts whose projects are paths, and suffixes whose projects are subdomains.
+SHARED_PATH_HOSTS = ["github.com", "huggingface.co"]
+SHARED_SUFFIXES = ["github.io", "vercel.app", "netlify.app", "pages.dev", "hf.space", "onrender.com", "fly.dev", "streamlit.app", "gitlab.io"]
+#: Public suffixes of two labels, where a registrable domain has three; a full list can be given to `boundary`.
+PUBLIC_SUFFIXES = ["co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.jp", "ne.jp", "or.jp", "co.nz", "co.za", "co.in", "co.kr", "com.br", "com.cn", "com.mx", "com.tr", "com.sg", "com.hk", "com.tw", "com.ar"]
+#: Edge of an ASCII word. Java's own counts accented letters as parts of words, which the fixed patterns do not.
+_EDGE = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
+
+
+def ascii_edges(pattern: str) -> str:
+    """The pattern with `\\b` as the edge of an ASCII word."""
+    return pattern.replace(r"\b", _EDGE)
 
 
 def page_text(html: Column) -> Column:
     """Visible text: hidden elements dropped, line feeds at block ends, six entities decoded, blanks collapsed."""
     t = F.coalesce(html, F.lit(""))
-    t = F.regexp_replace(t, rf"(?is)<({'|'.join(HIDDEN_TAGS)})\b.*?</\1>", " ")
+    t = F.regexp_replace(t, ascii_edges(rf"(?is)<({'|'.join(HIDDEN_TAGS)})\b.*?</\1>"), " ")
     t = F.regexp_replace(t, r"(?i)<br\s*/?>", "\n")
     t = F.regexp_replace(t, rf"(?i)</(?:{BLOCK_TAGS})\s*>", "\n")
     t = F.regexp_replace(t, r"<[^>]+>", " ")
@@ -54,8 +65,8 @@ def flat_text(html: Column) -> Column:
 
 
 def links(html: Column) -> Column:
-    """href values but for fragments, mail and scripts, without their fragment, in page order, distinct."""
-    found = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r"""(?i)<a\b[^>]*\bhref\s*=\s*["']([^"']+)["']"""), 1)
+    """href values, of any element, but for fragments, mail and scripts, without their fragment, in page order, distinct."""
+    found = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r"""(?i)href\s*=\s*["']([^"']+)["']"""), 1)
     wanted = F.filter(found, lambda x: ~x.rlike(r"(?i)^(#|mailto:|javascript:)"))
     return F.array_distinct(F.transform(wanted, lambda x: F.regexp_replace(x, r"#.*$", "")))
 
@@ -107,34 +118,40 @@ def priority_rank(url: Column) -> Column:
     return F.when(is_url(url), out).otherwise(len(PRIORITY_PATHS))
 
 
-def registrable(h: Column) -> Column:
-    """Registrable domain by a short list of shared suffixes: three labels under those, else two."""
-    shared = h.rlike("(^|\\.)(" + "|".join(s.replace(".", "\\.") for s in SHARED_SUFFIXES) + ")$")
-    return F.when(shared, F.regexp_extract(h, r"([^.]+\.[^.]+\.[^.]+)$", 1)).otherwise(F.regexp_extract(h, r"([^.]+\.[^.]+)$", 1))
+def registrable(h: Column, suffixes: Sequence[str] = PUBLIC_SUFFIXES) -> Column:
+    """Registrable domain: three labels under the given suffixes, else two; an address of numbers is its own."""
+    by_suffix = h.rlike("(^|\\.)(" + "|".join(re.escape(s) for s in suffixes) + ")$") if suffixes else F.lit(False)
+    name = F.when(by_suffix, F.regexp_extract(h, r"([^.]+\.[^.]+\.[^.]+)$", 1)).otherwise(F.regexp_extract(h, r"([^.]+\.[^.]+)$", 1))
+    return F.when(h.rlike(r"^[0-9.]+$") | (name == ""), h).otherwise(name)
+
 
+def boundary(url: Column, suffixes: Sequence[str] = PUBLIC_SUFFIXES) -> Column:
+    """struct(host, path_prefix, exact): what a project owns, from its address.
 
-def boundary(url: Column) -> Column:
-    """struct(host, path_prefix, exact): what a project owns, from its address."""
-    h, p = F.regexp_replace(host(url), r"^www\.", ""), path(url)
-    hosted = h.rlike(CODE_HOSTS) | (h == "huggingface.co")
-    prefix = F.regexp_extract(p, r"^(/[^/]+/[^/]+)", 1)
-    shared = h.isin(SHARED_SUFFIXES)
+    On a host of many projects a path, under a shared suffix exactly that host, else the registrable domain.
+    """
+    h = F.regexp_replace(host(url), r"^www\.", "")
+    parts = F.filter(F.split(F.lower(path(url)), "/"), lambda x: x != "")
+    deep = F.when((h == "huggingface.co") & F.get(parts, 0).isin("spaces", "datasets"), 3).otherwise(2)
+    on_path = F.coalesce(h.isin(SHARED_PATH_HOSTS) & (F.size(parts) >= deep), F.lit(False))
+    shared = h.rlike("(^|\\.)(" + "|".join(re.escape(s) for s in SHARED_SUFFIXES) + ")$") & ~on_path
     return F.when(
         is_url(url),
         F.struct(
-            F.when(hosted | shared, h).otherwise(F.when(registrable(h) == "", h).otherwise(registrable(h))).alias("host"),
-            F.when(hosted & (prefix != ""), prefix).alias("path_prefix"),
+            F.when(on_path | shared, h).otherwise(registrable(h, suffixes)).alias("host"),
+            F.when(on_path, F.concat(F.lit("/"), F.array_join(F.slice(parts, F.lit(1), deep), "/"))).alias("path_prefix"),
             F.coalesce(shared, F.lit(False)).alias("exact"),
         ),
     )
 
 
 def within(url: Column, b: Column) -> Column:
-    """The host is the boundary's, or under it unless exact; and the path starts with its prefix, at a slash."""
-    h, p, prefix = host(url), path(url), b.getField("path_prefix")
-    on_host = (h == b.getField("host")) | (~F.coalesce(b.getField("exact"), F.lit(False)) & h.endswith(F.concat(F.lit("."), b.getField("host"))))
-    on_path = prefix.isNull() | (p == prefix) | p.startswith(F.concat(F.regexp_replace(prefix, "/+$", ""), F.lit("/")))
-    return F.coalesce(is_url(url) & on_host & on_path, F.lit(False))
+    """On a path below the boundary's prefix on its very host; without one on its host, or under it unless it is exact."""
+    h, p = F.regexp_replace(host(url), r"^www\.", ""), F.lower(path(url))
+    own, prefix = F.regexp_replace(F.lower(b.getField("host")), r"^www\.", ""), F.regexp_replace(F.lower(b.getField("path_prefix")), "/+$", "")
+    below = (p == prefix) | p.startswith(F.concat(prefix, F.lit("/")))
+    under = ~F.coalesce(b.getField("exact"), F.lit(False)) & h.endswith(F.concat(F.lit("."), own))
+    return F.coalesce(is_url(url) & F.when(prefix.isNull(), (h == own) | under).otherwise((h == own) & below), F.lit(False))
 
 
 def source_type(url: Column) -> Column:
@@ -186,16 +203,16 @@ def injected(text: Column) -> Column:
     """Any of the patterns that address a reading model."""
     t, out = F.coalesce(text, F.lit("")), F.lit(False)
     for p in INJECTION:
-        out = out | t.rlike(p)
+        out = out | t.rlike(ascii_edges(p))
     return out
 
 
 def boilerplate_quote(text: Column) -> Column:
-    return (F.length(F.trim(text)) < 12) | text.rlike(CALL_TO_ACTION)
+    return (F.length(F.trim(text)) < 12) | text.rlike(ascii_edges(CALL_TO_ACTION))
 
 
 def irrelevant_footer(text: Column) -> Column:
-    return F.length(text).between(20, 240) & text.rlike(FOOTER_HAS) & ~text.rlike(FOOTER_HAS_NOT)
+    return F.length(text).between(20, 240) & text.rlike(FOOTER_HAS) & ~text.rlike(ascii_edges(FOOTER_HAS_NOT))
 
 
 def lint_text(text: Column) -> Column:
@@ -215,11 +232,11 @@ def scrub(text: Column, secrets: list[str]) -> Column:
     """Known secret values, and what looks like a bearer token or key, taken out of text to be logged."""
     for s in sorted(secrets, key=len, reverse=True):
         text = F.replace(text, F.lit(s), F.lit("[secret]")) if s else text
-    return F.regexp_replace(text, r"(?i)\b(?:bearer\s+[a-z0-9._~+/=-]{8,}|tvly-[a-z0-9-]{8,})", "[secret]")
+    return F.regexp_replace(text, ascii_edges(r"(?i)\b(?:bearer\s+[a-z0-9._~+/=-]{8,}|tvly-[a-z0-9-]{8,})"), "[secret]")
 
 
 def is_quota_response(status: Column, body: Column) -> Column:
-    return F.when(status.isin(402, 403, 429), True).when(status.between(200, 299), False).otherwise(F.coalesce(F.lower(body).rlike(r"\b(credit|balance|quota)\b"), F.lit(False)))
+    return F.when(status.isin(402, 403, 429), True).when(status.between(200, 299), False).otherwise(F.coalesce(F.lower(body).rlike(ascii_edges(r"\b(credit|balance|quota)\b")), F.lit(False)))
 
 
 def without_thinking(raw: Column) -> Column:
@@ -235,12 +252,14 @@ def json_in(raw: Column) -> Column:
 
 
 def range_text(values: Column) -> Column:
-    """Sorted distinct integers as runs: "0-3,66-75"."""
+    """Sorted distinct integers as runs: "0-3,66-75". A run ends where the next value is not one more."""
     v = F.array_sort(F.array_distinct(values))
-    starts = F.filter(v, lambda x: ~F.array_contains(v, x - 1))
-    ends = F.filter(v, lambda x: ~F.array_contains(v, x + 1))
-    parts = F.transform(F.arrays_zip(starts.alias("a"), ends.alias("b")), lambda r: F.when(r["a"] == r["b"], r["a"].cast("string")).otherwise(F.concat_ws("-", r["a"].cast("string"), r["b"].cast("string"))))
-    return F.array_join(parts, ",")
+    before = F.concat(F.array(F.lit(None).cast("bigint")), F.slice(v, 1, F.greatest(F.size(v) - 1, F.lit(0))))
+    after = F.concat(F.slice(v, 2, F.size(v)), F.array(F.lit(None).cast("bigint")))
+    starts = F.filter(F.arrays_zip(v.alias("x"), before.alias("y")), lambda z: ~F.coalesce(z["x"] == z["y"] + 1, F.lit(False)))
+    ends = F.filter(F.arrays_zip(v.alias("x"), after.alias("y")), lambda z: ~F.coalesce(z["x"] == z["y"] - 1, F.lit(False)))
+    text = lambda a, b: F.when(a == b, a.cast("string")).otherwise(F.concat_ws("-", a.cast("string"), b.cast("string")))
+    return F.array_join(F.zip_with(starts, ends, lambda a, b: text(a["x"], b["x"])), ",")
 
 
 # --- what built-in expressions cannot say: vectorised functions ---

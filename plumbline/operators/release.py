@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..constants import FLOOR, MIN_VALUES, SOURCE_GROUP_MIN, TOP_SOURCES
 from ..functions.numbers import feasible_values, primary_suppressed, round_half_up, wilson
-from ..functions.text import EVALUATIVE, TREND, lint_text
+from ..functions.text import EVALUATIVE, TREND, ascii_edges, lint_text
 
 
 def check_shares(states: DataFrame, projects: DataFrame, domain: DataFrame, state: str) -> DataFrame:
@@ -290,8 +290,8 @@ def lint_statements(statements: DataFrame) -> DataFrame:
     """(id, rule) violations of (id, kind, text): findings get all rules, statements on cohorts the trend rule."""
     t, finding = lint_text(F.col("text")), F.col("kind") == "finding"
     rules = F.array(
-        F.when(finding & t.rlike(EVALUATIVE), "evaluative-term"), F.when(finding & ~t.rlike("(?i)publicly evidence"), "missing-publicly-evidence"),
-        F.when((finding | F.col("id").startswith("cohort")) & t.rlike(TREND), "trend-wording"),
+        F.when(finding & t.rlike(ascii_edges(EVALUATIVE)), "evaluative-term"), F.when(finding & ~t.rlike("(?i)publicly evidence"), "missing-publicly-evidence"),
+        F.when((finding | F.col("id").startswith("cohort")) & t.rlike(ascii_edges(TREND)), "trend-wording"),
     )
     return statements.select("id", F.explode(F.filter(rules, lambda r: r.isNotNull())).alias("rule"))
 

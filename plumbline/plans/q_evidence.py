@@ -35,14 +35,21 @@ def flat_page_text(spark, d):
     return table(spark, d, "pages").select("page_id", tx.flat_text(F.col("html")).alias("text"))
 
 
-@query("""SELECT page_id, list_sort(list_distinct(list_transform(list_filter(regexp_extract_all(html, '(?i)<a\\b[^>]*\\bhref\\s*=\\s*["'']([^"'']+)["'']', 1), lambda x: NOT regexp_matches(x, '(?i)^(#|mailto:|javascript:)')), lambda x: regexp_replace(x, '#.*$', '')))) AS links FROM pages""")
+@query("""SELECT page_id, list_sort(list_distinct(list_transform(list_filter(regexp_extract_all(html, '(?i)href\\s*=\\s*["'']([^"'']+)["'']', 1), lambda x: NOT regexp_matches(x, '(?i)^(#|mailto:|javascript:)')), lambda x: regexp_replace(x, '#.*$', '')))) AS links FROM pages""")
 def page_links(spark, d):
     return table(spark, d, "pages").select("page_id", F.sort_array(tx.links(F.col("html"))).alias("links"))
 
 
-@query("""SELECT page_id, href, regexp_extract(url, '^(https?://[^/?#]+)', 1) || href AS target FROM (SELECT page_id, url, unnest(list_distinct(regexp_extract_all(html, 'href="(/[^"#]+)"', 1))) AS href FROM pages)""")
+_HREFS = "list_distinct(list_transform(list_filter(regexp_extract_all(html, '(?i)href\\s*=\\s*[\"'']([^\"'']+)[\"'']', 1), lambda x: NOT regexp_matches(x, '(?i)^(#|mailto:|javascript:)')), lambda x: regexp_replace(x, '#.*$', '')))"
+
+
+@query(f"""WITH p AS (SELECT page_id, url, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS origin, regexp_replace(regexp_replace(regexp_replace(url, '[?#].*$', ''), '^https?://[^/]+', ''), '[^/]*$', '') AS folder, html FROM pages),
+  h AS (SELECT * EXCLUDE (html), unnest(list_distinct(list_concat({_HREFS}, ['//cdn.example.net/x', 'ftp://old/', 'next.html', 'HTTPS://Up.example/y']))) AS href FROM p)
+  SELECT page_id, href, CASE WHEN regexp_matches(href, '(?i)^https?://') THEN href WHEN starts_with(href, '//') THEN regexp_extract(url, '^(https?:)', 1) || href WHEN regexp_matches(href, '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN NULL
+    WHEN starts_with(href, '/') THEN origin || href ELSE origin || CASE WHEN folder = '' THEN '/' ELSE folder END || href END AS target FROM h""")
 def resolved_links(spark, d):
-    p = table(spark, d, "pages").select("page_id", "url", F.explode(tx.links(F.col("html"))).alias("href")).where(F.col("href").startswith("/"))
+    more = F.array(*(F.lit(x) for x in ("//cdn.example.net/x", "ftp://old/", "next.html", "HTTPS://Up.example/y")))
+    p = table(spark, d, "pages").select("page_id", "url", F.explode(F.array_union(tx.links(F.col("html")), more)).alias("href"))
     return p.select("page_id", "href", tx.resolve(F.col("url"), F.col("href")).alias("target"))
 
 
@@ -57,12 +64,32 @@ _PATH = "CASE WHEN regexp_extract(url, '^[a-z]+://[^/?#]+(/[^?#]*)', 1) = '' THE
 PARTS = f"parts AS (SELECT page_id, url, {_HOST} AS host, {_PATH} AS path FROM pages)"
 
 
-@query(f"WITH {PARTS} SELECT page_id, regexp_extract(host, '([^.]+\\.[^.]+)$', 1) AS host, CAST(NULL AS VARCHAR) AS path_prefix, false AS exact FROM parts")
+#: Addresses of all kinds, by page number, with what a project owns there: url, host, path_prefix, exact.
+_KINDS = [
+    ("url", "regexp_extract(url, '//(?:[^./]+\\.)*([^./]+\\.[^./]+)/', 1)", None, False),
+    ("'https://user' || page_id || '.github.io/x'", "'user' || page_id || '.github.io'", None, True),
+    ("'https://a.b.onrender.com/'", "'a.b.onrender.com'", None, True),
+    ("'https://www.GitHub.com/Acme/Tool' || page_id || '/tree/main'", "'github.com'", "'/acme/tool' || page_id", False),
+    ("'https://github.com/acme'", "'github.com'", None, False),
+    ("'https://huggingface.co/spaces/Me/App' || page_id", "'huggingface.co'", "'/spaces/me/app' || page_id", False),
+    ("'https://huggingface.co/datasets/me'", "'huggingface.co'", None, False),
+    ("'https://gitlab.com/me/tool'", "'gitlab.com'", None, False),
+    ("'https://blog.shop' || page_id || '.co.uk/a'", "'shop' || page_id || '.co.uk'", None, False),
+    ("'http://192.168.0.' || page_id || '/a'", "'192.168.0.' || page_id", None, False),
+]
+
+
+def _by_kind(at: int) -> str:
+    """SQL that picks a column of _KINDS by page number; concatenation of numbers works alike in both engines."""
+    return "CASE " + " ".join(f"WHEN page_id % {len(_KINDS)} = {i} THEN {'NULL' if k[at] is None else k[at]}" for i, k in enumerate(_KINDS)) + " END"
+
+
+@query(f"SELECT page_id, {_by_kind(1)} AS host, {_by_kind(2)} AS path_prefix, {_by_kind(3)} AS exact FROM pages")
 def url_boundary(spark, d):
-    return table(spark, d, "pages").select("page_id", tx.boundary(F.col("url")).alias("b")).select("page_id", "b.host", "b.path_prefix", "b.exact")
+    return table(spark, d, "pages").select("page_id", tx.boundary(F.expr(_by_kind(0))).alias("b")).select("page_id", "b.host", "b.path_prefix", "b.exact")
 
 
-@query(f"WITH {PARTS} SELECT page_id, host = 'example.com' OR host LIKE '%.example.com' AS inside, (host = 'example.org' OR host LIKE '%.example.org') AND (path = '/en' OR path LIKE '/en/%') AS under FROM parts")
+@query(f"WITH {PARTS} SELECT page_id, host = 'example.com' OR host LIKE '%.example.com' AS inside, host = 'example.org' AND (path = '/en' OR path LIKE '/en/%') AS under FROM parts")
 def within_boundary(spark, d):
     b = lambda h, p: F.struct(F.lit(h).alias("host"), F.lit(p).cast("string").alias("path_prefix"), F.lit(False).alias("exact"))
     return table(spark, d, "pages").select("page_id", tx.within(F.col("url"), b("example.com", None)).alias("inside"), tx.within(F.col("url"), b("example.org", "/en")).alias("under"))
@@ -168,11 +195,19 @@ def boilerplate_quotes(spark, d):
 _NORM = "trim(regexp_replace(regexp_replace(lower({}), '[^\\pL\\pN\\s]+', ' ', 'g'), '\\s+', ' ', 'g'))"
 
 
-@query(f"""WITH q AS (SELECT item_id, {_NORM.format("text")} AS q FROM benchmark UNION ALL SELECT 1000000 + item_id, {_NORM.format("substr(text, 1, 14)")} FROM benchmark), t AS (SELECT doc_id, {_NORM.format("text")} AS t FROM documents)
-  SELECT item_id, (SELECT min(doc_id) FROM t WHERE contains(t, q)) AS page_id FROM q""")
+#: Whole items; their first 14, 9 and 4 characters; and items that name a page, known or not.
+_CUTS = {1: 14, 2: 9, 3: 4}
+
+
+@query(f"""WITH q AS (SELECT item_id, {_NORM.format("text")} AS q, NULL AS own FROM benchmark UNION ALL SELECT 4000000 + item_id, {_NORM.format("text")}, item_id % 20 - 3 FROM benchmark
+    {" ".join(f"UNION ALL SELECT {k}000000 + item_id, {_NORM.format(f'substr(text, 1, {n})')}, NULL FROM benchmark" for k, n in _CUTS.items())}), t AS (SELECT doc_id, {_NORM.format("text")} AS t FROM documents)
+  SELECT item_id, (SELECT min(doc_id) FROM t WHERE contains(t, q) AND (doc_id = own OR own IS NULL OR own < 0)) AS page_id FROM q""")
 def verbatim_match(spark, d):
     b = table(spark, d, "benchmark")
-    items = b.select("item_id", F.col("text").alias("quote")).unionByName(b.select((1000000 + F.col("item_id")).alias("item_id"), F.substring("text", 1, 14).alias("quote")))
+    none = F.lit(None).cast("long").alias("own_page")
+    items = b.select("item_id", F.col("text").alias("quote"), none).unionByName(b.select((4000000 + F.col("item_id")).alias("item_id"), F.col("text").alias("quote"), (F.col("item_id") % 20 - 3).alias("own_page")))
+    for k, n in _CUTS.items():
+        items = items.unionByName(b.select((k * 1000000 + F.col("item_id")).alias("item_id"), F.substring("text", 1, n).alias("quote"), none))
     return ev.verbatim(items, table(spark, d, "documents").select(F.col("doc_id").alias("page_id"), "text"))
 
 

@@ -39,9 +39,9 @@ def stratify_quarter(spark, d):
     return _posts(spark, d).groupBy(F.col("quarter").cast("long").alias("quarter"), "source").agg(F.count("*").alias("n"))
 
 
-@query("SELECT conv_id, turn FROM conversations WHERE regexp_matches(text, '(?i)\\b(ai|a\\.i\\.|llm|llms|agent|agents|agentic|rag|chatbot|neural|diffusion|embedding|embeddings|transformer|inference|prompt|prompts|assistant|ml|gen ?ai|generative)\\b')")
+@query(f"SELECT conv_id, turn FROM conversations WHERE regexp_matches(text, '{tx.TITLE_KEYWORDS}')")
 def title_keyword_filter(spark, d):
-    return table(spark, d, "conversations").where(F.col("text").rlike(tx.TITLE_KEYWORDS)).select("conv_id", "turn")
+    return table(spark, d, "conversations").where(F.col("text").rlike(tx.ascii_edges(tx.TITLE_KEYWORDS))).select("conv_id", "turn")
 
 
 @query(f"""WITH {POSTS} SELECT id, quarter, draw_rank FROM (SELECT id, quarter, row_number() OVER (PARTITION BY quarter ORDER BY sha256('{SEED}:' || id)) AS draw_rank FROM posts) WHERE draw_rank <= 75""")
