@@ -13,7 +13,7 @@ segmented once:
    piece fall back to bytes.
 
 Units that a text uses are then replaced by their ids: those of at least 1 / TABLE of all occurrences (so at
-most TABLE units, whatever the corpus) from a broadcast table, all others by a join.
+most TABLE units, whatever the corpus) from a broadcast table, all others by a join on the unit and one back on the row.
 
 Null and empty texts have no ids. Decoding inverts encoding but for U+2581 itself, which comes back as a space
 (as in the library). Repeated rows and null ids each keep their row; other columns are ignored.
@@ -24,18 +24,19 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, materialize, settings
+from .common import id_text, materialize, partitions, settings
 
 SPACE = "▁"
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Most rows of the broadcast table of frequent units.
-TABLE = 1 << 21
+TABLE = 1 << 22
 #: Score of a character that is no piece, in a unigram model.
 UNKNOWN = -1e6
 _SLICE, _FLUSH = 1 << 21, 1 << 17  # bytes looked at together; distinct units counted together
@@ -67,6 +68,10 @@ class Pieces:
     def __post_init__(self):
         self.score_of = {p: (i, s) for p, i, s in self.rows}
 
+    @cached_property
+    def late(self) -> set[str]:
+        return turns_late(self)
+
     @property
     def longest(self) -> int:
         return max(len(p) for p, _, _ in self.rows)
@@ -170,7 +175,7 @@ def lattice(units: DataFrame, pieces: Pieces) -> DataFrame:
     them may have to be tried again; for a unigram model it is the struct (e, s, score) and single characters have one, too.
     """
     spark, merges = units.sparkSession, pieces.kind == "bpe"
-    late = turns_late(pieces) if merges else set()
+    late = pieces.late if merges else set()
     rank = {s: i for i, s in enumerate(sorted({s for _, _, s in pieces.rows}, reverse=True))}
     table = spark.createDataFrame([(p, rank[s], s, p in late) for p, _, s in pieces.rows if len(p) > merges], "piece string, rank long, score double, late boolean")
     reach: dict[str, int] = {}
@@ -225,27 +230,37 @@ def _id_kind(pieces: Pieces) -> np.dtype:
     return np.dtype("<u2" if len(pieces.names) < 1 << 16 else "<u4")
 
 
-def _packed_units(units: DataFrame, pieces: Pieces) -> DataFrame:
-    """(unit, n, ids) for distinct, non-empty units (unit, n), ids packed."""
-    fold, alone = (fold_merges, _by_heap) if pieces.kind == "bpe" else (fold_viterbi, _by_score)
-    kind, known = _id_kind(pieces), pieces.score_of
+def _segmented(units: DataFrame, pieces: Pieces) -> DataFrame:
+    """(unit, n, cuts) of distinct, non-empty units (unit, n); cuts null for a long one."""
+    return (fold_merges if pieces.kind == "bpe" else fold_viterbi)(lattice(units, pieces))
+
+
+def _speller(pieces: Pieces, keep: list[str]):
+    """An Arrow function from rows with unit and cuts to the columns `keep` and packed ids."""
+    kind, known, alone = _id_kind(pieces), pieces.score_of, _by_heap if pieces.kind == "bpe" else _by_score
+
+    def ids_of(u: str, cuts: list[int]) -> bytes:
+        ids, start = ([], 0) if cuts else (alone(u, pieces), len(u))
+        for stop in cuts:
+            hit = known.get(u[start:stop])
+            if hit:
+                ids.append(hit[0])
+            else:
+                ids += _ids_of(u[start:stop], pieces)
+            start = stop
+        return np.array(ids, kind).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, out = None, b""
         for b in batches:
             flat, offsets, packed = b.column("cuts").values.to_numpy().tolist(), b.column("cuts").offsets.to_pylist(), []
             for u, x, y in zip(b.column("unit").to_pylist(), offsets, offsets[1:], strict=False):
-                ids, start = ([], 0) if x < y else (alone(u, pieces), len(u))
-                for stop in flat[x:y]:
-                    hit = known.get(u[start:stop])
-                    if hit:
-                        ids.append(hit[0])
-                    else:
-                        ids += _ids_of(u[start:stop], pieces)
-                    start = stop
-                packed.append(np.array(ids, kind).tobytes())
-            yield pa.record_batch([b.column("unit"), b.column("n"), pa.array(packed, pa.binary())], ["unit", "n", "ids"])
+                if u != last:  # occurrences of a unit come one after another
+                    last, out = u, ids_of(u, flat[x:y])
+                packed.append(out)
+            yield pa.record_batch([*(b.column(c) for c in keep), pa.array(packed, pa.binary())], [*keep, "ids"])
 
-    return fold(lattice(units, pieces)).mapInArrow(run, "unit string, n long, ids binary")
+    return run
 
 
 def encode_units(units: DataFrame, pieces: Pieces) -> DataFrame:
@@ -257,7 +272,8 @@ def encode_units(units: DataFrame, pieces: Pieces) -> DataFrame:
             ids = [np.frombuffer(x, kind).astype(np.int32) for x in b.column("ids").to_pylist()]
             yield pa.record_batch([b.column("unit"), b.column("n"), pa.array(ids, pa.list_(pa.int32()))], ["unit", "n", "ids"])
 
-    return _packed_units(units, pieces).mapInArrow(run, "unit string, n long, ids array<int>")
+    spelt = _segmented(units, pieces).mapInArrow(_speller(pieces, ["unit", "n"]), "unit string, n long, ids binary")
+    return spelt.mapInArrow(run, "unit string, n long, ids array<int>")
 
 
 def _slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
@@ -290,34 +306,49 @@ def encode(docs: DataFrame, model: str = DEFAULT_MODEL, kind: str = "bpe", table
     spark, pieces = docs.sparkSession, Pieces.load(model, kind)
     rows, id_kind = id_text(docs), _id_kind(pieces)
     gap = np.iinfo(id_kind).max
-    units = rows.select("text").mapInArrow(_count_units, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
-    with settings(spark, spark__sql__execution__useObjectHashAggregateExec="false"):
-        # The rows of a unit come one after another: a sort finds them in order, where a hash table would first fill up.
-        table = materialize(_packed_units(units, pieces))
-    total = table.agg(F.sum("n")).first()[0] or 0
+    counts = materialize(rows.select("text").mapInArrow(_count_units, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n")))
+    total = counts.agg(F.sum("n")).first()[0] or 0
     # At most `table_rows` units can have this share of all occurrences.
-    often = table.where(F.col("n") * table_rows >= total).select("unit", "ids").toArrow()
+    often = _segmented(counts.where(F.col("n") * table_rows >= total).repartition(partitions(spark, counts), "unit"), pieces)
+    with settings(spark, spark__sql__execution__useObjectHashAggregateExec="false"):
+        # The edges of a unit come one after another: a sort finds them in order, where a hash table would first fill up.
+        often = often.mapInArrow(_speller(pieces, ["unit"]), "unit string, ids binary").toArrow()
     handle = spark.sparkContext.broadcast(dict(zip((u[1:] for u in often["unit"].to_pylist()), often["ids"].to_pylist(), strict=True)))
     hole = np.array([gap], id_kind).tobytes()
     id_type = rows.schema["doc_id"].dataType.simpleString()
 
-    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def find_rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = handle.value
         for b in _slices(batches, "text"):
-            ids, rare = [], []
-            for t in b.column("text").to_pylist():
-                us = _split(t)
-                got = [known.get(u, hole) for u in us]
-                ids.append(b"".join(got))
-                rare.append([SPACE + u for u, g in zip(us, got, strict=True) if g is hole])
-            yield pa.record_batch([b.column("doc_id"), b.column("digest"), pa.array(ids, pa.binary()), pa.array(rare, pa.list_(pa.string()))], ["doc_id", "digest", "ids", "rare"])
+            row, pos, units = [], [], []
+            for r, t in enumerate(b.column("text").to_pylist()):
+                for i, u in enumerate(_split(t)):
+                    if u not in known:
+                        row.append(r)
+                        pos.append(i)
+                        units.append(SPACE + u)
+            at = pa.array(row, pa.int32())
+            yield pa.record_batch([b.column("k1").take(at), b.column("k2").take(at), pa.array(pos, pa.int32()), pa.array(units, pa.string())], ["k1", "k2", "pos", "unit"])
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        known, small = handle.value, zstandard.ZstdCompressor(level=1)
+        for b in _slices(batches, "text"):
+            ids = [small.compress(b"".join([known.get(u, hole) for u in _split(t)])) for t in b.column("text").to_pylist()]
+            yield pa.record_batch([*(b.column(c) for c in ("doc_id", "digest", "k1", "k2")), pa.array(ids, pa.binary())], ["doc_id", "digest", "k1", "k2", "ids"])
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        large = zstandard.ZstdDecompressor()
         for b in _slices(batches, "ids"):
             out = []
             for raw, extra in zip(b.column("ids").to_pylist(), b.column("extra").to_pylist(), strict=True):
+                raw = large.decompress(raw)
                 if extra:
-                    found = sorted((x["pos"], x["ids"]) for x in extra)
+                    # Equal rows each bring their units: one of each place.
+                    found = sorted({x["pos"]: x["ids"] for x in extra}.items())
                     at = (np.flatnonzero(np.frombuffer(raw, id_kind) == gap) * id_kind.itemsize).tolist()
                     ends = [0, *(x + id_kind.itemsize for x in at)]
                     raw = b"".join(y for x, a, (_, ids) in zip(ends, at, found, strict=False) for y in (raw[x:a], ids)) + raw[ends[-1] :]
@@ -327,13 +358,18 @@ def encode(docs: DataFrame, model: str = DEFAULT_MODEL, kind: str = "bpe", table
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
             yield pa.record_batch([b.column("doc_id"), b.column("digest"), lists], ["doc_id", "digest", "ids"])
 
-    keyed = rows.withColumn("digest", F.xxhash64(F.replace("text", F.lit(SPACE), F.lit(" "))))
-    looked = keyed.mapInArrow(look_up, f"doc_id {id_type}, digest long, ids binary, rare array<string>")
-    # Written once and read twice. The number names a row, whatever its id.
-    looked = materialize(looked.withColumn("row", F.monotonically_increasing_id()))
-    rare = looked.select("row", F.posexplode("rare").alias("pos", "unit")).join(table.select("unit", F.col("ids").alias("unit_ids")), "unit")
-    extra = rare.groupBy("row").agg(F.collect_list(F.struct("pos", F.col("unit_ids").alias("ids"))).alias("extra"))
-    joined = looked.drop("rare").join(extra, "row", "left")
+    # A row is known by 128 bits of its id and text.
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    keyed = rows.select("doc_id", "text", F.xxhash64(F.replace("text", F.lit(SPACE), F.lit(" "))).alias("digest"), F.xxhash64(name, "text").alias("k1"), F.xxhash64("text", name).alias("k2"))
+    # Rare units and where they occur, both dealt by unit before the units become edges: these never move.
+    n = partitions(spark, rows)
+    places = keyed.select("text", "k1", "k2").mapInArrow(find_rare, "k1 long, k2 long, pos int, unit string").repartition(n, "unit")
+    rare = _segmented(counts.where(F.col("n") * table_rows < total).repartition(n, "unit"), pieces).select("unit", "cuts")
+    spelt = places.join(rare, "unit").select("k1", "k2", "pos", "unit", "cuts").mapInArrow(_speller(pieces, ["k1", "k2", "pos"]), "k1 long, k2 long, pos int, ids binary")
+    with settings(spark, spark__sql__execution__useObjectHashAggregateExec="false"):
+        extra = materialize(spelt.groupBy("k1", "k2").agg(F.collect_list(F.struct("pos", "ids")).alias("extra")))
+    looked = keyed.mapInArrow(look_up, f"doc_id {id_type}, digest long, k1 long, k2 long, ids binary")
+    joined = looked.join(extra, ["k1", "k2"], "left")
     return joined.select("doc_id", "digest", "ids", "extra").mapInArrow(fill, f"doc_id {id_type}, digest long, ids array<int>")
 
 
