@@ -320,15 +320,15 @@ def encode(docs: DataFrame, model: str = DEFAULT_MODEL, kind: str = "bpe", table
     def find_rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = handle.value
         for b in _slices(batches, "text"):
-            row, pos, units = [], [], []
+            row, nth, units = [], [], []
             for r, t in enumerate(b.column("text").to_pylist()):
-                for i, u in enumerate(_split(t)):
-                    if u not in known:
-                        row.append(r)
-                        pos.append(i)
-                        units.append(SPACE + u)
+                some = [SPACE + u for u in _split(t) if u not in known]
+                units += some
+                row += [r] * len(some)
+                nth += range(len(some))
             at = pa.array(row, pa.int32())
-            yield pa.record_batch([b.column("k1").take(at), b.column("k2").take(at), pa.array(pos, pa.int32()), pa.array(units, pa.string())], ["k1", "k2", "pos", "unit"])
+            place = b.column("k2").to_numpy()[row] | np.array(nth, np.int64)
+            yield pa.record_batch([b.column("k1").take(at), pa.array(place, pa.int64()), pa.array(units, pa.string())], ["k1", "place", "unit"])
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -348,8 +348,10 @@ def encode(docs: DataFrame, model: str = DEFAULT_MODEL, kind: str = "bpe", table
                 raw = large.decompress(raw)
                 if extra:
                     # Equal rows each bring their units: one of each place.
-                    found = sorted({x["pos"]: x["ids"] for x in extra}.items())
+                    found = sorted({x["place"]: x["ids"] for x in extra}.items())
                     at = (np.flatnonzero(np.frombuffer(raw, id_kind) == gap) * id_kind.itemsize).tolist()
+                    if len(at) != len(found):
+                        raise ValueError("two texts under one id have the same hash")
                     ends = [0, *(x + id_kind.itemsize for x in at)]
                     raw = b"".join(y for x, a, (_, ids) in zip(ends, at, found, strict=False) for y in (raw[x:a], ids)) + raw[ends[-1] :]
                 out.append(raw)
@@ -358,16 +360,18 @@ def encode(docs: DataFrame, model: str = DEFAULT_MODEL, kind: str = "bpe", table
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
             yield pa.record_batch([b.column("doc_id"), b.column("digest"), lists], ["doc_id", "digest", "ids"])
 
-    # A row is known by 128 bits of its id and text.
-    name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    keyed = rows.select("doc_id", "text", F.xxhash64(F.replace("text", F.lit(SPACE), F.lit(" "))).alias("digest"), F.xxhash64(name, "text").alias("k1"), F.xxhash64("text", name).alias("k2"))
+    # A row is known by its id, or a hash of it or, without one, of the text, and by 32 more bits of the text.
+    own = F.col("doc_id").cast("long") if id_type in ("tinyint", "smallint", "int", "bigint") else F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id"))
+    k1, k2 = F.coalesce(own, F.xxhash64("text")).alias("k1"), F.shiftleft(F.hash("text").cast("long"), 32).alias("k2")
+    keyed = rows.select("doc_id", "text", F.xxhash64(F.replace("text", F.lit(SPACE), F.lit(" "))).alias("digest"), k1, k2)
     # Rare units and where they occur, both dealt by unit before the units become edges: these never move.
     n = partitions(spark, rows)
-    places = keyed.select("text", "k1", "k2").mapInArrow(find_rare, "k1 long, k2 long, pos int, unit string").repartition(n, "unit")
+    places = keyed.select("text", "k1", "k2").mapInArrow(find_rare, "k1 long, place long, unit string").repartition(n, "unit")
     rare = _segmented(counts.where(F.col("n") * table_rows < total).repartition(n, "unit"), pieces).select("unit", "cuts")
-    spelt = places.join(rare, "unit").select("k1", "k2", "pos", "unit", "cuts").mapInArrow(_speller(pieces, ["k1", "k2", "pos"]), "k1 long, k2 long, pos int, ids binary")
+    spelt = places.join(rare, "unit").select("k1", "place", "unit", "cuts").mapInArrow(_speller(pieces, ["k1", "place"]), "k1 long, place long, ids binary")
+    spelt = spelt.withColumn("k2", F.shiftleft(F.shiftright("place", 32), 32)).repartition(n, "k1", "k2")
     with settings(spark, spark__sql__execution__useObjectHashAggregateExec="false"):
-        extra = materialize(spelt.groupBy("k1", "k2").agg(F.collect_list(F.struct("pos", "ids")).alias("extra")))
+        extra = materialize(spelt.groupBy("k1", "k2").agg(F.collect_list(F.struct("place", "ids")).alias("extra")))
     looked = keyed.mapInArrow(look_up, f"doc_id {id_type}, digest long, k1 long, k2 long, ids binary")
     joined = looked.join(extra, ["k1", "k2"], "left")
     return joined.select("doc_id", "digest", "ids", "extra").mapInArrow(fill, f"doc_id {id_type}, digest long, ids array<int>")
