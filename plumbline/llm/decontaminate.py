@@ -1,14 +1,17 @@
 """Benchmark decontamination by q-gram lemma filtering.
 
 A text within e edits of an item of m characters keeps at least m - q + 1 - q * e of its q-grams, all
-on diagonals that lie at most e apart. For each document the shared q-grams are counted in overlapping
+on diagonals that lie at most e apart. For each document the places with a shared q-gram are counted in overlapping
 diagonal bands of 2 * (e + 1); bands that reach the bound become regions, and a banded alignment of the
-item against the region keeps those within the budget e = floor(EDIT_RATE * m).
+item against the region keeps those within the budget e = floor(EDIT_RATE * m). q is the largest for which the bound
+is at least one: short items have shorter grams. Items of fewer than EXACT characters are looked for as they are, as whole words.
 
-Texts are compared lower-cased (A-Z), each run of white space as one space, trimmed. Items of fewer than Q
-characters hold no q-gram and match nothing; a short item's budget shrinks so that its bound stays positive.
+A gram that an item repeats counts a place once for each band: offsets at most a band apart are one interval, so a run of
+one sign costs as many rows as it has bands, not as many as it has characters.
+
+Texts are compared lower-cased (A-Z), each run of white space as one space, trimmed.
 Documents are only mapped over, never shuffled. The benchmark is the query side: it is indexed in blocks of
-at most BLOCK_CHARS characters (a longer item has a block of its own), one pass over the documents for each block.
+about BLOCK_CHARS characters, one pass over the documents for each block.
 
 Null or empty texts and items match nothing. Repeated document rows each report their regions; items that
 repeat are reported under each id. Other columns are ignored.
@@ -27,11 +30,15 @@ from pyspark.sql import functions as F
 
 from .common import id_text
 
-Q, EDIT_RATE = 10, 0.08
+EDIT_RATE, EXACT = 0.08, 10
+#: (q, least length of an item): with that length and more the lemma's bound is at least one.
+GRAMS = ((10, 40), (8, 20), (6, EXACT))
 BLOCK_CHARS = 4_000_000
 _SLICE_CHARS = 1_000_000  # of documents looked at together
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _FILTER_BITS = 22
+_CELLS = 1 << 22  # of regions aligned together
+_ROWS = 1 << 21  # places and bands counted together
 
 
 def normalize(text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -50,7 +57,7 @@ def normalize(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return a, at
 
 
-def qgram_hashes(a: np.ndarray, q: int = Q) -> np.ndarray:
+def qgram_hashes(a: np.ndarray, q: int) -> np.ndarray:
     """A mixed polynomial hash of every q-gram."""
     if len(a) < q:
         return np.zeros(0, np.uint64)
@@ -65,78 +72,141 @@ def qgram_hashes(a: np.ndarray, q: int = Q) -> np.ndarray:
 
 
 def budget(m: int) -> int:
-    """Edits allowed in an item of m characters; the lemma's bound stays at 1 or more."""
-    return max(0, min(int(EDIT_RATE * m), (m - Q) // Q))
+    """Edits allowed in an item of m characters."""
+    return int(EDIT_RATE * m) if m >= EXACT else 0
 
 
 @dataclass
-class Index:
-    """All q-grams of a block of items: sorted hashes, and where each occurs (item, offset)."""
+class Grams:
+    """All q-grams of items of some lengths: sorted hashes, and the intervals of offsets (item, low, high) where each occurs."""
 
-    ids: list
-    items: list[np.ndarray]
+    q: int
     hashes: np.ndarray
     first: np.ndarray
     item_of: np.ndarray
-    offset_of: np.ndarray
+    low_of: np.ndarray
+    high_of: np.ndarray
     member: np.ndarray
 
+    @classmethod
+    def build(cls, q: int, items: dict[int, np.ndarray]) -> Grams:
+        none = np.zeros(0, np.int64)
+        hs = {i: qgram_hashes(a, q) for i, a in items.items()}
+        h = np.concatenate([*hs.values(), np.zeros(0, np.uint64)])
+        item = np.concatenate([np.full(len(x), i) for i, x in hs.items()] + [none])
+        offset = np.concatenate([np.arange(len(x)) for x in hs.values()] + [none])
+        width = np.concatenate([np.full(len(x), budget(len(items[i])) + 1) for i, x in hs.items()] + [none])
+        order = np.lexsort((offset, item, h))
+        h, item, offset, width = h[order], item[order], offset[order], width[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (item[1:] != item[:-1]) | (offset[1:] - offset[:-1] > width[1:])
+        head = np.flatnonzero(new)
+        last = np.append(head[1:], len(h)) - 1 if len(h) else head
+        h, item, low, high = h[head], item[head], offset[head], offset[last]
+        unique, first = np.unique(h, return_index=True)
+        member = np.zeros(1 << _FILTER_BITS, bool)
+        member[unique >> np.uint64(64 - _FILTER_BITS)] = True
+        return cls(q, unique, np.append(first, len(h)), item, low, high, member)
+
+
+@dataclass
+class Index:
+    """A block of items: by grams, and those too short for any by their whole form."""
+
+    ids: list
+    items: list[np.ndarray]
+    grams: list[Grams]
+    exact: dict[int, dict[bytes, list[int]]]
+
     @classmethod
     def build(cls, rows: list[tuple[object, str | None]]) -> Index:
         ids, items = [], []
         for i, text in rows:
             a, _ = normalize(text)
-            if len(a) >= Q:
+            if len(a):
                 ids.append(i)
                 items.append(a)
-        hs = [qgram_hashes(a) for a in items]
-        h = np.concatenate([*hs, np.zeros(0, np.uint64)])
-        item = np.repeat(np.arange(len(items)), [len(x) for x in hs]) if hs else np.zeros(0, np.int64)
-        offset = np.concatenate([np.arange(len(x)) for x in hs] + [np.zeros(0, np.int64)])
-        order = np.argsort(h, kind="stable")
-        h = h[order]
-        unique, first = np.unique(h, return_index=True)
-        member = np.zeros(1 << _FILTER_BITS, bool)
-        member[unique >> np.uint64(64 - _FILTER_BITS)] = True
-        return cls(ids, items, unique, np.append(first, len(h)), item[order], offset[order], member)
+        left, grams = {i: a for i, a in enumerate(items)}, []
+        for q, least in GRAMS:
+            some = {i: a for i, a in left.items() if len(a) >= least}
+            left = {i: a for i, a in left.items() if len(a) < least}
+            if some:
+                grams.append(Grams.build(q, some))
+        exact: dict[int, dict[bytes, list[int]]] = {}
+        for i, a in left.items():
+            exact.setdefault(len(a), {}).setdefault(a.astype("<u4").tobytes(), []).append(i)
+        return cls(ids, items, grams, exact)
 
     def regions(self, texts: list[np.ndarray]) -> Iterator[tuple[int, int, int, int]]:
-        """(text, item, start, stop) of the bands that reach the bound."""
+        """(text, item, start, stop) of the bands that reach the bound, and of the places of short items."""
         lengths = np.array([len(a) for a in texts])
         starts = np.concatenate([[0], np.cumsum(lengths + 1)])
         joined = np.zeros(starts[-1], np.uint32)  # a zero after each text; hits across it cannot be verified
         for a, s in zip(texts, starts, strict=False):
             joined[s : s + len(a)] = a
-        h = qgram_hashes(joined)
-        at = np.flatnonzero(self.member[h >> np.uint64(64 - _FILTER_BITS)])
-        k = np.searchsorted(self.hashes, h[at])
-        k[k == len(self.hashes)] = 0
-        found = self.hashes[k] == h[at]
+        for g in self.grams:
+            yield from self._bands(g, joined, starts, lengths)
+        edge = (joined == 32) | (joined == 0)
+        for m, wanted in self.exact.items():
+            begins = np.flatnonzero(np.concatenate([[True], edge[:-1]]) & ~edge)
+            begins = begins[begins + m < len(joined)]
+            for at in begins[edge[begins + m]].tolist():
+                for i in wanted.get(joined[at : at + m].astype("<u4").tobytes(), ()):
+                    t = int(np.searchsorted(starts, at, "right")) - 1
+                    yield t, i, int(at - starts[t]), int(at - starts[t]) + m
+
+    def _bands(self, g: Grams, joined: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        h = qgram_hashes(joined, g.q)
+        at = np.flatnonzero(g.member[h >> np.uint64(64 - _FILTER_BITS)])
+        k = np.searchsorted(g.hashes, h[at])
+        k[k == len(g.hashes)] = 0
+        found = g.hashes[k] == h[at]
         at, k = at[found], k[found]
-        n = self.first[k + 1] - self.first[k]
-        occurrence = np.repeat(self.first[k] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        pos = np.repeat(at, n)
-        item, offset = self.item_of[occurrence], self.offset_of[occurrence]
+        if not len(at):
+            return
         sizes = np.array([len(a) for a in self.items])
         edits = np.array([budget(m) for m in sizes])
+        longest = sizes.max()  # added to diagonals, so that none is negative
+        # How many rows each place makes, so that they are made and counted some at a time.
+        bands = np.add.reduceat(np.append((g.high_of - g.low_of) // (edits[g.item_of] + 1) + 2, 0), g.first[:-1])
+        part = np.cumsum(bands[k]) // _ROWS
+        keys, counts = np.zeros((0, 3), np.int64), np.zeros(0, np.int64)
+        for p in np.unique(part):
+            here = part == p
+            more = self._count(g, at[here], k[here], starts, edits, longest)
+            keys, counts = np.concatenate([keys, more[0]]), np.concatenate([counts, more[1]])
+        order = np.lexsort((keys[:, 2], keys[:, 1], keys[:, 0]))
+        keys, counts = keys[order], counts[order]
+        head = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(1)]))
+        keys, counts = keys[head], np.add.reduceat(counts, head)
+        m, e = sizes[keys[:, 1]], edits[keys[:, 1]]
+        good = counts >= m - g.q + 1 - g.q * e
+        for (t, i, b), m, e in zip(keys[good].tolist(), m[good].tolist(), e[good].tolist(), strict=True):  # noqa: B020
+            start = b * (e + 1) - int(longest) - int(starts[t])
+            yield t, i, max(0, start), min(int(lengths[t]), start + 2 * (e + 1) + m + e)
+
+    def _count(self, g: Grams, at: np.ndarray, k: np.ndarray, starts: np.ndarray, edits: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct (text, item, band of twice the width) and how many places are in each."""
+
+        def spread(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """(row, number within the row) for rows that are repeated n times."""
+            return np.repeat(np.arange(len(n)), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+
+        row, nth = spread(g.first[k + 1] - g.first[k])
+        interval = g.first[k[row]] + nth
+        pos, item = at[row], g.item_of[interval]
         width = edits[item] + 1
-        # Shifted by the longest item, so that no diagonal is negative.
-        band = (pos - offset + sizes.max()) // width
-        text = np.searchsorted(starts, pos, "right") - 1
+        low, high = (pos - g.high_of[interval] + longest) // width, (pos - g.low_of[interval] + longest) // width
         # Each diagonal lies in two bands of twice the width.
-        item, band, text = (np.concatenate([x, y]) for x, y in ((item, item), (band, band - 1), (text, text)))
+        row, nth = spread(high - low + 2)
+        text = np.searchsorted(starts, pos, "right") - 1
+        item, band, text = item[row], low[row] - 1 + nth, text[row]
         order = np.lexsort((band, item, text))
         item, band, text = item[order], band[order], text[order]
         new = np.ones(len(item), bool)
         new[1:] = (item[1:] != item[:-1]) | (band[1:] != band[:-1]) | (text[1:] != text[:-1])
         head = np.flatnonzero(new)
-        count = np.diff(np.append(head, len(item)))
-        item, band, text = item[head], band[head], text[head]
-        m, e = sizes[item], edits[item]
-        good = count >= m - Q + 1 - Q * e
-        for i, b, t, m, e in zip(item[good], band[good], text[good], m[good], e[good], strict=True):  # noqa: B020
-            start = int(b * (e + 1) - sizes.max() - starts[t])
-            yield int(t), int(i), max(0, start), min(int(lengths[t]), int(start + 2 * (e + 1) + m + e))
+        return np.column_stack([text[head], item[head], band[head]]), np.diff(np.append(head, len(item)))
 
 
 def align(item: np.ndarray, regions: list[np.ndarray], e: int) -> tuple[np.ndarray, np.ndarray]:
@@ -174,8 +244,9 @@ def _verified(index: Index, kept: list[tuple]) -> Iterator[tuple]:
         by_item.setdefault(x[1], []).append(x)
     for i, xs in by_item.items():
         item, e = index.items[i], budget(len(index.items[i]))
-        for at in range(0, len(xs), 256):
-            some = xs[at : at + 256]
+        few = max(1, _CELLS // (3 * len(item) + max(len(x[2]) for x in xs)))
+        for at in range(0, len(xs), few):
+            some = xs[at : at + few]
             edits, ends = align(item, [x[2] for x in some], e)
             some = [(x, int(d), int(end)) for x, d, end in zip(some, edits, ends, strict=True) if d <= e]
             if some:

@@ -10,7 +10,8 @@ The trees are fitted by Spark ML on `TRAIN_PAGES` generated pages of known conte
 the corpus), as the tables carry no labels.
 
 Null and empty html give the empty text. Repeated rows each get their row; other columns are ignored. Very long pages
-are read whole; nesting beyond MAX_DEPTH is kept as text of the node at that depth.
+are read whole, however deep they nest. The tags of head and body may be left out: the first element or text that a head
+cannot hold ends it.
 """
 
 from __future__ import annotations
@@ -28,12 +29,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-TRAIN_PAGES, N_TREES, TREE_DEPTH, SEED, MAX_DEPTH = 500, 20, 5, 11, 400
+TRAIN_PAGES, N_TREES, TREE_DEPTH, SEED = 500, 20, 5, 11
+_CHARS = 4_000_000  # of html looked at together
 
 # HTML's element kinds.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = set("a abbr acronym b bdi bdo big cite code data dfn em font i kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
-HIDDEN = set("head iframe math noscript object script select style svg template textarea title".split())
+HIDDEN = set("iframe math noscript object script select style svg template textarea title".split())
+#: Elements whose content is text up to their end tag, whatever it looks like.
+RAW = set("iframe noscript script style textarea title".split())
+IN_HEAD = set("base basefont link meta noscript script style template title".split())
 BREAKS = {"br", "hr"}
 #: A start tag of the key closes open elements of the values.
 CLOSES = {"li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -77,7 +82,7 @@ class Node:
 def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
     """The page's block elements (the first is a root), and its blocks of text as (node, text), in page order."""
     nodes, blocks, stack, parts = [Node("", -1, 0, [], 0)], [], [0], []
-    hidden, in_link, linked = "", 0, 0
+    hidden, depth_hidden, in_head, in_link, linked = "", 0, False, 0, 0
 
     def close_block() -> None:
         nonlocal linked
@@ -102,25 +107,28 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
         del stack[n:]
 
     at = 0
-    for m in _TOKEN.finditer(html):
+    while m := _TOKEN.search(html, at):
         if not hidden and m.start() > at:
-            parts.append(html[at : m.start()])
-            if in_link:
-                linked += m.start() - at
+            text = html[at : m.start()]
+            if in_head and not text.isspace():
+                in_head = False
+            if not in_head:
+                parts.append(text)
+                linked += len(text) if in_link else 0
         at = m.end()
         tag = m[2]
         if not tag:
             continue
         tag = tag.lower()
-        if hidden:
-            if m[1] and tag == hidden:
-                hidden = ""
-            elif hidden != "head" or tag != "body":
-                continue
-            else:
-                hidden = ""
-            if m[1]:
-                continue
+        if hidden:  # an element of markup that is not shown, with others of its name within
+            depth_hidden += (-1 if m[1] else not m[3].endswith("/")) if tag == hidden else 0
+            hidden = hidden if depth_hidden else ""
+            continue
+        if tag == "head" or in_head and m[1] and tag in IN_HEAD:
+            in_head = not m[1]
+            continue
+        if in_head and tag not in IN_HEAD:
+            in_head = False
         if m[1]:  # an end tag
             if tag == "a":
                 in_link = 0
@@ -131,14 +139,16 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
                     close(i)
                     break
             continue
+        if tag in RAW:
+            end = re.compile(f"</{tag}[^a-z0-9]", re.I).search(html, at)
+            close_at = html.find(">", end.start()) if end else -1
+            at = close_at + 1 if close_at >= 0 else len(html)
+            continue
         if tag in HIDDEN:
-            if tag == "script" or tag == "style":
-                end = re.compile(f"</{tag}", re.I).search(html, at)
-                # Their text is no markup: go on at the end tag.
-                hidden = tag
-                if end:
-                    continue
-            hidden = tag if not m[3].endswith("/") else ""
+            if not m[3].endswith("/"):
+                hidden, depth_hidden = tag, 1
+            continue
+        if in_head:
             continue
         if tag in VOID or tag in INLINE:
             in_link = 1 if tag == "a" else in_link
@@ -150,14 +160,14 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
         while len(stack) > 1 and nodes[stack[-1]].tag in ends:
             stack.pop()
         in_link = 0
-        if len(stack) > MAX_DEPTH or m[3].endswith("/"):
+        if m[3].endswith("/"):
             continue
         tokens = [_TOKEN_OF[t] for a in _ATTRIBUTE.finditer(m[3]) for t in _SPLIT.findall((a[2] or a[3] or a[4] or "").lower()) if t in _TOKEN_OF] if m[3] else []
         parent = nodes[stack[-1]]
         parent.children.append(len(nodes))
         nodes.append(Node(tag, stack[-1], len(stack), tokens, len(parent.children) - 1))
         stack.append(len(nodes) - 1)
-    if not hidden and at < len(html):
+    if not hidden and at < len(html) and not (in_head and html[at:].isspace()):
         parts.append(html[at:])
     close_block()
     return nodes, blocks
@@ -194,7 +204,7 @@ def features(nodes: list[Node]) -> np.ndarray:
             total[:, 0] / np.maximum(total[:, 1], 1), total[:, 5], total[:, 0] / max(1.0, total[0, 0]),
         ]
     )
-    return np.column_stack([tag, mine, above, over, rest, dense])
+    return np.column_stack([tag, mine, above, over, rest, dense]).astype(np.float32)
 
 
 @dataclass
@@ -374,15 +384,20 @@ def fit(spark: SparkSession, n_pages: int = TRAIN_PAGES, n_trees: int = N_TREES,
     return _fitted[key]
 
 
-def texts_of(pages: list[str | None], trees: Trees) -> list[str]:
-    parsed = [parse(p or "") for p in pages]
-    odds = trees.log_odds(np.concatenate([features(nodes) for nodes, _ in parsed])) if parsed else np.zeros(0)
-    out, at = [], 0
-    for nodes, blocks in parsed:
-        label = decode(nodes, odds[at : at + len(nodes)])
-        at += len(nodes)
-        out.append(" ".join(text for node, text in blocks if label[node]))
-    return out
+def texts_of(pages: list[str | None], trees: Trees) -> Iterator[str]:
+    """The main text of each page, looking at about _CHARS characters together."""
+    some, size = [], 0
+    for i, page in enumerate(pages):
+        some.append(parse(page or ""))
+        size += len(page or "")
+        if size < _CHARS and i + 1 < len(pages):
+            continue
+        odds, at = trees.log_odds(np.concatenate([features(nodes) for nodes, _ in some])), 0
+        for nodes, blocks in some:
+            label = decode(nodes, odds[at : at + len(nodes)])
+            at += len(nodes)
+            yield " ".join(text for node, text in blocks if label[node])
+        some, size = [], 0
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", trees: Trees | None = None) -> DataFrame:
@@ -394,7 +409,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 b = whole.slice(at, 256)
-                texts = texts_of(b.column("html").to_pylist(), trees)
+                texts = list(texts_of(b.column("html").to_pylist(), trees))
                 yield pa.record_batch([b.column("page_id"), b.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
     kind = lambda c: rows.schema[c].dataType.simpleString()

@@ -40,7 +40,12 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of `docs` but with the text deduplicated, and in `line_dedup` a struct of n_lines and n_removed."""
+    """All columns of `docs` but with the text deduplicated, and in `line_dedup` a struct of n_lines and n_removed.
+
+    Input that has a column of that name is refused.
+    """
+    if "line_dedup" in {c.lower() for c in docs.columns}:
+        raise ValueError("the input has a column line_dedup, which is the name of the result: rename it first")
     others = [c for c in docs.columns if c not in (id_col, text_col)]
     rows = docs.select(
         F.col(f"`{id_col}`").alias("doc_id"),

@@ -2,7 +2,8 @@
 
 Both refer to the response by WARC-Refers-To and share its target and date. The metadata block is JSON with
 the source's HTTP headers and digests, title and links; the conversion block is the page's visible text, a
-line for each block. Record ids are derived from the response's, so that rebuilding gives the same files.
+line for each block. Record ids are derived from the response's id, target, date and payload, so that rebuilding gives the
+same files, and two captures of one address have records of their own.
 
 Null uris, dates, headers and bodies count as empty; such responses still get both records. Rows that repeat repeat
 theirs. Extra columns are ignored. A row's two records are made in one task, whatever its length.
@@ -65,7 +66,7 @@ def derive(record_id: str, uri: str, date: str, headers: str, body: str) -> list
     out = []
     for kind, content_type, content in (("metadata", "application/json", json.dumps(about, ensure_ascii=False)), ("conversion", "text/plain", text)):
         data = content.encode("utf-8", "surrogatepass")
-        out.append((urn(kind, record_id), kind, record_id, uri, date, content_type, payload, digest(data), len(data), content))
+        out.append((urn(kind, record_id, uri, date, payload), kind, record_id, uri, date, content_type, payload, digest(data), len(data), content))
     return out
 
 
@@ -88,9 +89,10 @@ def derivatives(responses: DataFrame) -> DataFrame:
 
 
 def responses_of_pages(pages: DataFrame, date: str = "2026-01-01T00:00:00Z") -> DataFrame:
-    """Crawled pages as responses; ids from the page's id and url."""
+    """Crawled pages as responses; ids from the page's id, url, date and content. Rows equal in all of these are one capture."""
     length = F.octet_length(F.coalesce("html", F.lit(""))).cast("string")
-    h = F.md5(F.concat_ws("|", F.col("page_id").cast("string"), "url"))
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    h = F.md5(F.concat_ws("|", text("page_id"), text("url"), F.lit(date), F.md5(text("html"))))
     part = lambda a, n: F.substring(h, a, n)
     return pages.select(
         F.col("page_id").alias("id"),
@@ -102,8 +104,8 @@ def responses_of_pages(pages: DataFrame, date: str = "2026-01-01T00:00:00Z") ->
     )
 
 
-def write_warc(records: DataFrame, path: str) -> None:
-    """WARC files, one for each partition, by Spark's own text writer: its line feed ends the record."""
+def write_warc(records: DataFrame, path: str, most: int = 10_000) -> None:
+    """WARC files of at most `most` records, by Spark's own text writer: its line feed ends the record."""
     line = lambda name, column: F.concat(F.lit(f"{CRLF}{name}: "), column)
     record = F.concat(
         F.lit(VERSION),
@@ -112,7 +114,9 @@ def write_warc(records: DataFrame, path: str) -> None:
         line("WARC-Refers-To", F.col("refers_to")),
         line("WARC-Target-URI", F.col("target_uri")),
         line("WARC-Date", F.col("warc_date")),
-        line("WARC-Refers-To-Payload-Digest", F.col("source_payload_digest")),
+        line("WARC-Refers-To-Target-URI", F.col("target_uri")),
+        line("WARC-Refers-To-Date", F.col("warc_date")),
+        line("WARC-Source-Payload-Digest", F.col("source_payload_digest")),  # an extension, which readers skip
         line("WARC-Block-Digest", F.col("block_digest")),
         line("Content-Type", F.col("content_type")),
         line("Content-Length", F.col("content_length").cast("string")),
@@ -120,7 +124,7 @@ def write_warc(records: DataFrame, path: str) -> None:
         F.col("block"),
         F.lit("\r\n\r"),
     )
-    records.select(record.alias("value")).write.text(path)
+    records.select(record.alias("value")).write.option("maxRecordsPerFile", most).text(path)
 
 
 def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -135,7 +139,10 @@ def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """(fields map, block) of the records of all files under `path`; a file is read by one task, as any WARC is."""
+    """(fields map, block) of the records of all files under `path`; a file is read by one task, as any WARC is.
+
+    A file of over 2 GB is no value of a column: `write_warc` bounds its files by a number of records.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+
 from plumbline.llm import decontaminate as dc
 
 from .rows import HARD, documents, empty, hard
@@ -34,6 +36,7 @@ def test_equals_brute_force(spark, sf):
     rng = random.Random(3)
     texts = [t for _, t in documents(sf) if 50 < len(t) < 900][:24]
     items = [(k, texts[k][5 : 5 + rng.randrange(40, 160)]) for k in range(8)] + [(50, "tiny"), (51, None), (52, ""), (53, texts[0][5:80])]
+    items += [(60 + n, texts[n % 8][3 : 3 + n]) for n in range(10, 45, 2)] + [(200 + i, w) for i, w in enumerate(norm(texts[9]).split()[:6])]
     docs = []
     for d, t in enumerate(texts[8:]):
         item = norm(items[d % 8][1])
@@ -47,9 +50,29 @@ def test_equals_brute_force(spark, sf):
     want = {}
     for d, t in docs:
         for i, x in items:
-            if len(norm(x)) >= dc.Q and (n := within(norm(x), norm(t))) <= dc.budget(len(norm(x))):
+            x = norm(x)
+            if len(x) >= dc.EXACT and (n := within(x, norm(t))) <= dc.budget(len(x)):
                 want[d, i] = n
-    assert got == want and len(want) > 15
+            elif 0 < len(x) < dc.EXACT and f" {x} " in f" {norm(t)} ":
+                want[d, i] = 0
+    assert got == want and len(want) > 25
+
+
+def test_short_items(spark):
+    docs = spark.createDataFrame([(1, "this is Too\nShort for grams"), (2, "this is too shortish"), (3, "too short"), (4, "xtoo short")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "too short"), (2, "a")], "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id, r.start, r.end, r.edits) for r in dc.contamination(docs, bench).collect()) == [(1, 1, 8, 17, 0), (3, 1, 0, 9, 0)]
+
+
+def test_runs_of_one_sign_stay_small():
+    """Places times offsets would be 4e9 rows here."""
+    import resource
+
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    index = dc.Index.build([(1, "-" * 4000), (2, "ab" * 2000)])
+    assert {(t, i) for t, i, *_ in dc._scan(index, ["=" * 5000, "-" * 30_000, "x" + "ab" * 9000, "-" * 3600])} == {(1, 0), (2, 1)}
+    assert len(list(index.regions([np.full(1_000_000, ord("-"), np.uint32)]))) > 1000
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 600_000
 
 
 def test_edges(spark, sf):

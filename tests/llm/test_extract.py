@@ -69,6 +69,29 @@ def test_parser():
         ex.parse(odd)
 
 
+@pytest.mark.parametrize(
+    "page, texts",
+    [
+        ("<html><head><title>x</title><p>Article one</p><p>two</p>", ["Article one", "two"]),
+        ("<html><head><title>a <b>c</title><script>document.write('<body><p>no</p>')</script></head><body><p>yes</p>", ["yes"]),
+        ("<head><meta charset=x><style>p > a {x: '</p>'}</style> bare text<p>more", ["bare text", "more"]),
+        ("<title>t</title><p>a</p><script>if (a<b && c=='\"') {x}</script ><p>b</p>", ["a", "b"]),
+        ("<p>a</p><svg><svg><path/></svg><p>no</p></svg><p>b</p>", ["a", "b"]),
+        ("<p>a</p><script>never closed <p>x</p>", ["a"]),
+        ("<head></head><body><p>b</p></body>", ["b"]),
+    ],
+)
+def test_head_and_raw_text(page, texts):
+    assert [t for _, t in ex.parse(page)[1]] == texts
+
+
+def test_deep_nesting_keeps_nodes_apart():
+    deep = "<div>" * 2000
+    nodes, blocks = ex.parse(deep + "<div>in</div>out" + "</div>" * 2000 + "<p>after</p>")
+    assert [t for _, t in blocks] == ["in", "out", "after"]
+    assert nodes[blocks[0][0]].depth == nodes[blocks[1][0]].depth + 1 and nodes[blocks[2][0]].depth == 1
+
+
 def test_edges(spark, trees):
     rows = [(1, None, None), (2, "u", ""), (2, "u", ""), (None, "v", "<article><p>words of text here</p></article>"), (4, "w", "<div>" * 3000 + "deep"), (5, "x", "<p>" + "long text. " * 30000)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 AS text", "2 AS nodes")

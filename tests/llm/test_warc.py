@@ -2,6 +2,8 @@ import base64
 import hashlib
 import json
 
+from pyspark.sql import functions as F
+
 from plumbline.llm import warc
 
 
@@ -25,6 +27,30 @@ def test_links_and_digests(spark, sf):
             assert "<p>" not in r.block and "track(" not in r.block and "&copy;" not in r.block
 
 
+def test_two_captures_of_one_address(spark):
+    rows = [(1, "http://a", "<p>one</p>"), (1, "http://a", "<p>two</p>"), (1, "http://a", None), (None, None, "<p>x</p>"), (None, "http://a", "<p>x</p>")]
+    responses = warc.responses_of_pages(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert len({r.record_id for r in responses.collect()}) == 5
+    made = warc.derivatives(responses).collect()
+    assert len({r.record_id for r in made}) == 10
+    again = warc.derivatives(responses.withColumn("record_id", F.lit("")).withColumn("warc_date", F.lit(""))).collect()
+    assert len({r.record_id for r in again}) >= 8
+
+
+def test_conversion_text_is_the_visible_text(spark, sf):
+    """All of it, by another way: tags to line feeds, inline tags to nothing."""
+    import re
+    from html import unescape
+
+    for r in warc.derivatives(warc.responses_of_pages(spark.read.parquet(f"{sf}/pages.parquet").limit(150))).where("warc_type = 'conversion'").collect():
+        source = {x.page_id: x.html for x in spark.read.parquet(f"{sf}/pages.parquet").where(f"page_id = {r.id}").collect()}[r.id] if r.id < 12 else None
+        if source:
+            t = re.sub(r"(?is)<!--.*?-->|<(script|style|title|head)\b.*?</\1>|<(textarea|svg)\b.*?</\2>", "", source)
+            t = re.sub(r"(?i)</?(a|b|em|i|span|strong|u|code|label|button|input|time|small|sup|sub)\b[^>]*>", lambda m: "" if m[1].lower() != "button" else "\n", t)
+            want = [" ".join(unescape(x).split()) for x in re.sub(r"<[^>]+>", "\n", t).split("\n")]
+            assert "".join(r.block.split()) == "".join("".join(w.split()) for w in want if w)
+
+
 def test_files_round_trip(spark, sf, tmp_path):
     records = warc.derivatives(warc.responses_of_pages(spark.read.parquet(f"{sf}/pages.parquet"))).repartition(3)
     warc.write_warc(records, f"{tmp_path}/out")
