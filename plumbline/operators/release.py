@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -107,7 +105,7 @@ def fold_published(terms: DataFrame, tuples: DataFrame) -> DataFrame:
 def cell_components(folded: DataFrame) -> DataFrame:
     """(tuple_id, component): suppressed cells that rows link, named by the smallest id. By rounds of least labels.
 
-    Cells of a release are few; rows with thousands of cells do not occur.
+    Cells of a release are few; rows with thousands of cells do not occur. A round's labels are kept until the next has its own.
     """
     member = folded.select("row_id", "tuple_id").distinct().cache()
     label = member.select("tuple_id", F.col("tuple_id").alias("component")).distinct()
@@ -115,6 +113,7 @@ def cell_components(folded: DataFrame) -> DataFrame:
         of_row = member.join(label, "tuple_id").groupBy("row_id").agg(F.min("component").alias("m"))
         new = member.join(of_row, "row_id").groupBy("tuple_id").agg(F.min("m").alias("component")).cache()
         changed = new.join(label.withColumnRenamed("component", "old"), "tuple_id").where("component <> old").limit(1).count()
+        label.unpersist()
         label = new
         if not changed:
             return label
@@ -192,6 +191,22 @@ def _exact_by_propagation(rows: list[tuple[list[tuple[int, int]], str, int]]) ->
     return True
 
 
+def _picks(domain: list[list[int]], choices: list[list[tuple[int, int]]], rows, at: int = 0):
+    """Shrunken domains of each choice of one range for every cell; a choice that the rows rule out is not gone on with."""
+    domain = [list(d) for d in domain]
+    if not _propagate(domain, rows):
+        return
+    while at < len(choices) and len(choices[at]) == 1:
+        at += 1
+    if at == len(choices):
+        yield domain
+        return
+    for low, high in choices[at]:
+        a, b = max(low, domain[at][0]), min(high, domain[at][1])
+        if a <= b:
+            yield from _picks([*domain[:at], [a, b], *domain[at + 1 :]], choices, rows, at + 1)
+
+
 def _merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, b in sorted(ranges):
@@ -225,11 +240,9 @@ def feasible_ranges(tuples: dict[str, tuple[int, int]], suppressed: dict[str, st
         near = [([(at[x], k) for x, k in terms.items()], s, r) for terms, s, r in folded if next(iter(terms)) in at]
         choices = [_start_ranges(*tuples[x], floor) if suppressed[x] == "primary" else [(0, tuples[x][1])] for x in ids]
         exact, found = _exact_by_propagation(near), [[] for _ in ids]
-        for pick in itertools.product(*choices):
-            domain = [list(d) for d in pick]
-            if _propagate(domain, near):
-                for i, (a, b) in enumerate(domain):
-                    found[i] += [(a, b)] if exact else [(v, v) for v in range(a, b + 1) if _solvable([*domain[:i], [v, v], *domain[i + 1 :]], near)]
+        for domain in _picks([[min(r[0] for r in c), max(r[1] for r in c)] for c in choices], choices, near):
+            for i, (a, b) in enumerate(domain):
+                found[i] += [(a, b)] if exact else [(v, v) for v in range(a, b + 1) if _solvable([*domain[:i], [v, v], *domain[i + 1 :]], near)]
         out.update((x, _merged(f)) for x, f in zip(ids, found, strict=True))
     return out
 
@@ -296,21 +309,44 @@ def lint_statements(statements: DataFrame) -> DataFrame:
     return statements.select("id", F.explode(F.filter(rules, lambda r: r.isNotNull())).alias("rule"))
 
 
+#: What may not stand next to an identifier of a rule, if it is to count as a whole.
+_NEIGHBOURS = {"title": "a-z0-9", "hostname": "a-z0-9-"}
+
+
 def identifier_scan(files: DataFrame, identifiers: DataFrame, baseline: DataFrame | None = None) -> DataFrame:
-    """(file, rule, hits) of files (file, text) that hold identifiers (rule, value) as whole words; values are never returned.
+    """(file, rule, hits) of files (file, text) that hold identifiers (rule, value); values are never returned.
 
-    Both sides are joined on an identifier's first word, so a file meets only identifiers that it may hold.
+    Titles and hostnames count as whole words, numbers (`hn-id`) as whole numbers, addresses (`url`) anywhere.
+    Files meet identifiers by one word that both have: of an identifier's the one that the fewest files hold, so none is joined on a
+    word such as "www" if it has another. Only ids are joined; texts come in once, for the pairs left.
     """
     low = F.lower("text")
-    words = F.array_distinct(F.regexp_extract_all(low, F.lit(r"[\p{L}\p{N}]+"), 0))
-    head = F.regexp_extract(F.lower("value"), r"[\p{L}\p{N}]+", 0)
-    ids = identifiers.select("rule", F.lower("value").alias("v"), head.alias("w")).where("w <> ''").distinct()
+    tokens = F.array_union(F.regexp_extract_all(low, F.lit("[a-z0-9]+"), 0), F.regexp_extract_all(low, F.lit("[0-9]+"), 0))
+    words = files.select("file", F.explode(tokens).alias("w"))
+    counts = words.groupBy("w").agg(F.count("*").alias("files"))
+    ids = identifiers.select("rule", F.lower("value").alias("v")).distinct().withColumn("ws", F.regexp_extract_all("v", F.lit("[a-z0-9]+"), 0))
     if baseline is not None:
         ids = ids.join(baseline.select(F.lower("value").alias("v")).distinct(), "v", "left_anti")
-    tokens = files.select("file", F.explode(words).alias("w"))
-    hits = tokens.join(ids, "w").join(files.select("file", low.alias("t")), "file")
-    quoted = F.regexp_replace("v", r"([^\p{L}\p{N}\s])", r"\\$1")
-    whole = F.regexp_like("t", F.concat(F.lit(r"(?<![\p{L}\p{N}])"), quoted, F.lit(r"(?![\p{L}\p{N}])")))
+    # The ends of an address may be cut out of longer words.
+    address, size = F.col("rule") == "url", F.size("ws")
+    inner = F.slice("ws", F.lit(2), F.greatest(size - 2, F.lit(0)))
+    asked = ids.select("rule", "v", F.explode(F.array_distinct(F.when(address, inner).otherwise(F.col("ws")))).alias("w")).join(counts, "w", "left")
+    rarest = asked.groupBy("rule", "v").agg(F.min_by("w", F.struct(F.coalesce("files", F.lit(0)), "w")).alias("w"))
+    # An address of one or two words: by words that end as its first one does.
+    short = ids.where(address & (size <= 2)).select("rule", "v", "ws", F.get("ws", 0).alias("end"))
+    ends = counts.select("w", F.explode(F.expr("transform(sequence(1, length(w)), i -> substring(w, i))")).alias("end"))
+    by_end = short.where(size == 2).join(ends, "end").select("rule", "v", "w")
+    alone = short.where(size == 1)
+    within = counts.select("w", F.explode(F.expr("array_distinct(flatten(transform(sequence(1, least(length(w), 40)), k -> transform(sequence(1, length(w) - k + 1), i -> substring(w, i, k)))))")).alias("end"))
+    by_part = alone.join(within, "end").select("rule", "v", "w")
+    met = rarest.select("rule", "v", "w").unionByName(by_end).unionByName(by_part).join(words, "w").select("rule", "v", "file").distinct()
+    hits = met.join(files.select("file", low.alias("t")), "file")
+    quoted = F.regexp_replace("v", r"([^A-Za-z0-9\s])", r"\\$1")
+    whole = F.contains("t", "v")
+    for rule, signs in _NEIGHBOURS.items():
+        apart = F.regexp_like("t", F.concat(F.lit(f"(?<![{signs}])"), quoted, F.lit(f"(?![{signs}])")))
+        whole = F.when(F.col("rule") == rule, apart).otherwise(whole)
+    whole = F.when(F.col("rule") == "hn-id", F.regexp_like("t", F.concat(F.lit("(?<![0-9])"), quoted, F.lit("(?![0-9])")))).otherwise(whole)
     return hits.where(whole).groupBy("file", "rule").agg(F.countDistinct("v").alias("hits"))
 
 

@@ -15,6 +15,8 @@ SHARES = f"""{STATES}, {PROJECTS}, {DOMAIN},
   member AS (SELECT project, unnest(['all', 'q' || CAST(quarter AS VARCHAR), 'src:' || source]) AS partition FROM projects), sizes AS (SELECT partition, count(*) AS n FROM member GROUP BY 1),
   hits AS (SELECT check_id, partition, count(*) AS c FROM states JOIN member USING (project) WHERE state = 'pass' GROUP BY ALL),
   shares AS (SELECT check_id, partition, coalesce(c, 0) AS c, n FROM sizes CROSS JOIN domain LEFT JOIN hits USING (check_id, partition))"""
+#: Shares of a rarer state over nations instead of quarters: many small cells, so that there is something to suppress.
+FINE = SHARES.replace("state = 'pass'", "state = 'claimed'").replace("CAST(1 + c_nationkey % 4 AS BIGINT) AS quarter", "c_nationkey AS quarter")
 PRIMARY = "(n < 10 OR c < 10 OR n - c < 10)"
 
 
@@ -22,6 +24,11 @@ def _shares(spark, d):
     return rl.check_shares(shims.states(spark, d), shims.projects(spark, d), shims.domain(spark), "pass")
 
 
+def _fine(spark, d):
+    by_nation = table(spark, d, "customer").select(F.col("c_custkey").alias("project"), F.col("c_nationkey").alias("quarter"), F.col("c_mktsegment").alias("source"))
+    return rl.check_shares(shims.states(spark, d), by_nation, shims.domain(spark), "claimed")
+
+
 @query(f"WITH {SHARES} SELECT * FROM shares")
 def check_shares_grouping_sets(spark, d):
     return _shares(spark, d)
@@ -84,28 +91,28 @@ def constraint_check(spark, d):
 _FOLD = """fold AS (SELECT row_id, tuple_id, coef, '=' AS sense, (-k)::BIGINT AS rhs FROM terms JOIN tup USING (tuple_id) JOIN (SELECT row_id, sum(CASE WHEN suppressed THEN 0 ELSE coef * c END) AS k FROM terms JOIN tup USING (tuple_id) GROUP BY 1) USING (row_id) WHERE suppressed)"""
 
 
-@query(f"WITH {SHARES}, {_TERMS}, {_FOLD} SELECT * FROM fold")
+@query(f"WITH {FINE}, {_TERMS}, {_FOLD} SELECT * FROM fold")
 def fold_published(spark, d):
-    s = _shares(spark, d)
+    s = _fine(spark, d)
     return rl.fold_published(rl.sum_constraints(s), _tuples(s))
 
 
-@query(f"WITH RECURSIVE {SHARES}, {_TERMS}, {_FOLD}, e AS (SELECT DISTINCT a.tuple_id AS a, b.tuple_id AS b FROM fold a JOIN fold b USING (row_id)), reach AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM reach r JOIN e ON r.b = e.a) SELECT a AS tuple_id, min(b) AS component FROM reach GROUP BY a")
+@query(f"WITH RECURSIVE {FINE}, {_TERMS}, {_FOLD}, e AS (SELECT DISTINCT a.tuple_id AS a, b.tuple_id AS b FROM fold a JOIN fold b USING (row_id)), reach AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM reach r JOIN e ON r.b = e.a) SELECT a AS tuple_id, min(b) AS component FROM reach GROUP BY a")
 def cells_components(spark, d):
-    s = _shares(spark, d)
+    s = _fine(spark, d)
     return rl.cell_components(rl.fold_published(rl.sum_constraints(s), _tuples(s)))
 
 
 @query()
 def feasible_values(spark, d):
-    """Exact feasible counts of each suppressed cell of the release, over all projects, quarters and sources: (tuple_id, kind, n_values)."""
-    return rl.disclosure(_shares(spark, d), close=False)
+    """Exact feasible counts of each suppressed cell of the release, over all projects, nations and sources: (tuple_id, kind, n_values)."""
+    return rl.disclosure(_fine(spark, d), close=False)
 
 
 @query()
 def closure(spark, d):
     """The same release after complementary suppression."""
-    return rl.disclosure(_shares(spark, d), close=True)
+    return rl.disclosure(_fine(spark, d), close=True)
 
 
 @query(f"WITH {STATES}, {PROJECTS} SELECT count(DISTINCT project) AS c, (SELECT count(*) FROM projects) AS n FROM states WHERE check_id IN ('1', '2') AND state IN ('pass', 'claimed')")
@@ -138,10 +145,10 @@ def ledger_union(spark, d):
     return rl.ledger_union(old, c.where("id % 3 = 0").select("id", F.lit(20).alias("n"), F.lit(2).alias("c")), "v2")
 
 
-@query(f"WITH {SHARES} SELECT check_id || '|' || partition AS id FROM shares WHERE {PRIMARY} AND partition = 'all'")
+@query(f"WITH {FINE} SELECT check_id || '|' || partition AS id FROM shares WHERE {PRIMARY} AND check_id IN ('1', '2', '3')")
 def ledger_pins(spark, d):
-    t = _tuples(_shares(spark, d)).withColumn("id", F.col("tuple_id"))
-    return rl.pinned(t.where("partition = 'all'"), t.where("suppressed"))
+    t = _tuples(_fine(spark, d)).withColumn("id", F.col("tuple_id"))
+    return rl.pinned(t.where("check_id IN ('1', '2', '3')"), t.where("suppressed"))
 
 
 _STRIP = "regexp_replace(regexp_replace(t, '`[^`]*`', '', 'g'), '(?is)<code>.*?</code>|<cite>.*?</cite>', '', 'g')"
@@ -158,14 +165,22 @@ def lint_statements(spark, d):
     return rl.lint_statements(s)
 
 
-@query("""WITH i AS (SELECT DISTINCT lower(regexp_extract(url, '^https?://([^/?#]+)', 1)) AS v FROM pages WHERE page_id % 2 = 0), f AS (SELECT page_id AS file, lower(html) AS t FROM pages)
-  SELECT file, 'hostname' AS rule, count(DISTINCT v) AS hits FROM f JOIN i ON regexp_matches(t, '(^|[^\\pL\\pN])' || replace(replace(v, '.', '\\.'), '-', '\\-') || '([^\\pL\\pN]|$)') GROUP BY file""")
+_HOSTS = "regexp_extract(lower(url), '^https?://([^/?#]+)', 1)"
+
+
+@query(f"""WITH i AS (SELECT DISTINCT 'hostname' AS rule, {_HOSTS} AS v FROM pages UNION SELECT DISTINCT 'url', regexp_replace(lower(url), '^https?://', '') FROM pages UNION SELECT DISTINCT 'hn-id', CAST(page_id AS VARCHAR) FROM pages
+    UNION SELECT DISTINCT 'title', lower(split_part(trim(regexp_replace(html, '<[^>]+>', ' ', 'g')), ' ', 1)) FROM pages UNION SELECT 'url', 'xample.co' UNION SELECT 'url', 'xampl'),
+  f AS (SELECT page_id AS file, lower(html) || ' at ' || lower(url) AS t, list_distinct(regexp_extract_all(lower(html) || ' at ' || lower(url), '[0-9]+')) AS numbers FROM pages)
+  SELECT file, rule, count(DISTINCT v) AS hits FROM f JOIN i ON contains(t, v) AND regexp_matches(v, '[a-z0-9]') AND CASE rule WHEN 'url' THEN true WHEN 'hn-id' THEN list_contains(numbers, v)
+    WHEN 'hostname' THEN regexp_matches(t, '(^|[^a-z0-9-])' || replace(replace(v, '.', '\\.'), '-', '\\-') || '([^a-z0-9-]|$)') ELSE regexp_matches(t, '(^|[^a-z0-9])' || regexp_escape(v) || '([^a-z0-9]|$)') END GROUP BY ALL""")
 def identifier_scan(spark, d):
     from ..functions.text import host
 
     p = table(spark, d, "pages")
-    ids = p.where("page_id % 2 = 0").select(F.lit("hostname").alias("rule"), host(F.col("url")).alias("value"))
-    return rl.identifier_scan(p.select(F.col("page_id").alias("file"), F.col("html").alias("text")), ids)
+    title = F.split(F.trim(F.regexp_replace("html", "<[^>]+>", " ")), " ")[0]
+    values = [("hostname", host(F.col("url"))), ("url", F.regexp_replace(F.lower("url"), "^https?://", "")), ("hn-id", F.col("page_id").cast("string")), ("title", title), ("url", F.lit("xample.co")), ("url", F.lit("xampl"))]
+    ids = p.select(F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), v.alias("value")) for r, v in values))).alias("i")).select("i.rule", "i.value")
+    return rl.identifier_scan(p.select(F.col("page_id").alias("file"), F.concat("html", F.lit(" at "), "url").alias("text")), ids)
 
 
 @query("SELECT s FROM (SELECT DISTINCT lang AS view, word AS s FROM (SELECT lang, unnest(string_split(text, ' ')) AS word FROM documents)) GROUP BY s HAVING count(*) = (SELECT count(DISTINCT lang) FROM documents)")
