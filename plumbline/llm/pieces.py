@@ -31,12 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, materialize, partitions, settings
+from .common import discard, id_text, materialize, partitions, settings
 
 SPACE = "▁"
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Most rows of the broadcast table of frequent units.
-TABLE = 1 << 22
+TABLE = 1 << 23
 #: Score of a character that is no piece, in a unigram model.
 UNKNOWN = -1e6
 _SLICE, _FLUSH = 1 << 21, 1 << 17  # bytes looked at together; distinct units counted together
@@ -338,6 +338,17 @@ def encode(docs: DataFrame, model: str = DEFAULT_MODEL, kind: str = "bpe", table
             ids = [small.compress(b"".join([known.get(u, hole) for u in _split(t)])) for t in b.column("text").to_pylist()]
             yield pa.record_batch([*(b.column(c) for c in ("doc_id", "digest", "k1", "k2")), pa.array(ids, pa.binary())], ["doc_id", "digest", "k1", "k2", "ids"])
 
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row's rare units in order: how many, how many ids each has, and the ids."""
+        for b in batches:
+            packed = []
+            for extra in b.column("extra").to_pylist():
+                # Equal rows each bring their units: one of each place.
+                ids = [x for _, x in sorted({x["place"]: x["ids"] for x in extra}.items())]
+                sizes = np.array([len(x) // id_kind.itemsize for x in ids], "<u4")
+                packed.append(np.uint32(len(ids)).tobytes() + sizes.tobytes() + b"".join(ids))
+            yield pa.record_batch([b.column("k1"), b.column("k2"), pa.array(packed, pa.binary())], ["k1", "k2", "extra"])
+
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
@@ -347,13 +358,16 @@ def encode(docs: DataFrame, model: str = DEFAULT_MODEL, kind: str = "bpe", table
             for raw, extra in zip(b.column("ids").to_pylist(), b.column("extra").to_pylist(), strict=True):
                 raw = large.decompress(raw)
                 if extra:
-                    # Equal rows each bring their units: one of each place.
-                    found = sorted({x["place"]: x["ids"] for x in extra}.items())
-                    at = (np.flatnonzero(np.frombuffer(raw, id_kind) == gap) * id_kind.itemsize).tolist()
-                    if len(at) != len(found):
+                    n = int(np.frombuffer(extra, "<u4", 1)[0])
+                    stops = (np.cumsum(np.frombuffer(extra, "<u4", n, 4)) * id_kind.itemsize + 4 * (n + 1)).tolist()
+                    gaps = (np.flatnonzero(np.frombuffer(raw, id_kind) == gap) * id_kind.itemsize).tolist()
+                    if len(gaps) != n:
                         raise ValueError("two texts under one id have the same hash")
-                    ends = [0, *(x + id_kind.itemsize for x in at)]
-                    raw = b"".join(y for x, a, (_, ids) in zip(ends, at, found, strict=False) for y in (raw[x:a], ids)) + raw[ends[-1] :]
+                    parts, at, start = [], 0, 4 * (n + 1)
+                    for x, stop in zip(gaps, stops, strict=True):
+                        parts += (raw[at:x], extra[start:stop])
+                        at, start = x + id_kind.itemsize, stop
+                    raw = b"".join(parts) + raw[at:]
                 out.append(raw)
             ends = np.cumsum([0, *map(len, out)]) // id_kind.itemsize
             flat = np.frombuffer(b"".join(out), id_kind).astype(np.int32)
@@ -369,9 +383,11 @@ def encode(docs: DataFrame, model: str = DEFAULT_MODEL, kind: str = "bpe", table
     places = keyed.select("text", "k1", "k2").mapInArrow(find_rare, "k1 long, place long, unit string").repartition(n, "unit")
     rare = _segmented(counts.where(F.col("n") * table_rows < total).repartition(n, "unit"), pieces).select("unit", "cuts")
     spelt = places.join(rare, "unit").select("k1", "place", "unit", "cuts").mapInArrow(_speller(pieces, ["k1", "place"]), "k1 long, place long, ids binary")
-    spelt = spelt.withColumn("k2", F.shiftleft(F.shiftright("place", 32), 32)).repartition(n, "k1", "k2")
+    spelt = spelt.repartition(n, "k1").withColumn("k2", F.shiftleft(F.shiftright("place", 32), 32))
+    of_rows = spelt.groupBy("k1", "k2").agg(F.collect_list(F.struct("place", "ids")).alias("extra"))
     with settings(spark, spark__sql__execution__useObjectHashAggregateExec="false"):
-        extra = materialize(spelt.groupBy("k1", "k2").agg(F.collect_list(F.struct("place", "ids")).alias("extra")))
+        extra = materialize(of_rows.mapInArrow(pack, "k1 long, k2 long, extra binary"))
+    discard(counts)
     looked = keyed.mapInArrow(look_up, f"doc_id {id_type}, digest long, k1 long, k2 long, ids binary")
     joined = looked.join(extra, ["k1", "k2"], "left")
     return joined.select("doc_id", "digest", "ids", "extra").mapInArrow(fill, f"doc_id {id_type}, digest long, ids array<int>")
