@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, extract, licenses, lines, oracles, pieces, quality, simhash, suffix, treeweight, warc
-from .common import table
+from .common import materialize, table
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,13 +27,21 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     lexicon = quality.fit_lexicon(docs, table(spark, sf_dir, "labels"))
-    entries = quality.apply_policy(quality.ledger(docs, lexicon))
+    # The stored ledger is all that policies and ablations read.
+    entries = quality.apply_policy(materialize(quality.ledger(docs, lexicon)))
     failed = F.col("fail_bits").bitwiseAND(F.lit(quality.POLICIES["base-1"])) != 0
     return entries.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "kept", "fail_bits"
     )
 
 
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the strictest policy removes, alone and in all, from the stored ledger: (policy, rule, n_failed, ...)."""
+    docs = table(spark, sf_dir, "documents")
+    lexicon = quality.fit_lexicon(docs, table(spark, sf_dir, "labels"))
+    return quality.ablation(materialize(quality.ledger(docs, lexicon)))
+
+
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 
@@ -43,7 +51,9 @@ def op6_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_context_tree_weighting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return treeweight.score(table(spark, sf_dir, "documents")).drop("n_bytes")
+    found = treeweight.score(table(spark, sf_dir, "documents"))
+    # The closing zero byte is coded, too.
+    return found.withColumn("bits_per_byte", -F.col("score") / (F.log10(F.lit(2.0)) * (F.col("n_bytes") + 1)))
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,6 +77,7 @@ QUERIES = {
         op2_line_dedup,
         op3_license_scan,
         op4_quality_rules,
+        quality_ablation,
         op5_html_extraction,
         op6_warc_derivatives,
         op7_context_tree_weighting,
