@@ -20,22 +20,30 @@ def latest_by_stage(events: DataFrame, stages: list[str]) -> DataFrame:
     return joined.select("job", "stage", "ord", F.coalesce("status", F.when(F.col("ord") < last, "skipped").otherwise("waiting")).alias("status"))
 
 
-def queue_positions(jobs: DataFrame, buckets: int = 64) -> DataFrame:
-    """(id, ahead): active jobs with a smaller id. Two levels: ranges of ids are counted, then rows within a range, so no task sees all."""
-    active = jobs.where("active").select("id")
-    edge = active.agg(F.min("id").alias("low"), F.max("id").alias("high"))
-    width = F.greatest(F.lit(1), F.ceil((F.col("high") - F.col("low") + 1) / buckets))
-    ranged = active.crossJoin(F.broadcast(edge)).select("id", F.floor((F.col("id") - F.col("low")) / width).alias("r"))
+def queue_positions(jobs: DataFrame, width: int = 1 << 20) -> DataFrame:
+    """(id, ahead): active jobs with a smaller id. Two levels: ranges of `width` ids are counted, then rows within a range.
+
+    So no task has more than `width` rows of the table, and the window over the ranges' counts one row for each range.
+    """
+    ranged = jobs.where("active").select("id", F.floor(F.col("id") / width).alias("r"))
     counts = ranged.groupBy("r").agg(F.count("*").alias("n"))
-    before = counts.select("r", (F.sum("n").over(Window.orderBy("r")) - F.col("n")).alias("before"))  # at most `buckets` rows
+    before = counts.select("r", (F.sum("n").over(Window.orderBy("r")) - F.col("n")).alias("before"))
     within = F.row_number().over(Window.partitionBy("r").orderBy("id")) - 1
-    return ranged.join(F.broadcast(before), "r").select("id", (F.col("before") + within).cast("long").alias("ahead"))
+    return ranged.join(before, "r").select("id", (F.col("before") + within).cast("long").alias("ahead"))
 
 
 def rolling_count(events: DataFrame, keys: list[str], at: str = "at", seconds: int = 86400) -> DataFrame:
-    """`recent`: earlier events of the key strictly within the last `seconds`; equal times do not count each other."""
-    w = Window.partitionBy(*keys).orderBy(F.unix_micros(F.col(at).cast("timestamp"))).rangeBetween(-(seconds * 1_000_000) + 1, -1)
-    return events.withColumn("recent", F.count("*").over(w))
+    """`recent`: earlier events of the key strictly within the last `seconds`; equal times do not count each other.
+
+    Time is cut into spans of `seconds`; an event counts in its own span and stands by in the next, so that a key's spans are apart
+    and a key with most of the events is no single task's work.
+    """
+    micros, length = F.unix_micros(F.col(at).cast("timestamp")), seconds * 1_000_000
+    span = F.floor(micros / length)
+    both = F.explode(F.array(F.struct(span.alias("span"), F.lit(True).alias("own")), F.struct((span + 1).alias("span"), F.lit(False).alias("own")))).alias("_s")
+    w = Window.partitionBy(*keys, "_s.span").orderBy("_micros").rangeBetween(-length + 1, -1)
+    counted = events.select("*", micros.alias("_micros"), both).withColumn("recent", F.count("*").over(w))
+    return counted.where("_s.own").drop("_micros", "_s")
 
 
 def quota_resets(events: DataFrame, keys: list[str], limit: int, seconds: int = 86400) -> DataFrame:
