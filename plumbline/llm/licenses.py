@@ -3,7 +3,7 @@
 A file's units are its lines with a licence cue and, if its name is that of a licence file, its whole text.
 Units and templates are sparse TF-IDF vectors, with document frequencies over all units and templates;
 dot products come from an equi-join on the token. A file takes the template most like one of its units, from
-`THRESHOLD` on (ties: the smaller licence id). A file without one inherits that of the nearest
+`THRESHOLD` on, the whole text of a licence file before its lines, some of which licences share (ties: the smaller licence id). A file without one inherits that of the nearest
 directory, its own or an ancestor, with a licence file (of several there the most alike, then the smaller id); ancestors
 are exploded from distinct directories and equi-joined.
 
@@ -96,7 +96,8 @@ def scan(files: DataFrame, patterns: DataFrame, threshold: float = THRESHOLD) ->
     rows = files.select("id", "path", F.coalesce("text", F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text"))
     distinct = rows.select("path", "text_key", "text")
     hits = matches(units(distinct).dropDuplicates(["path", "text_key", "unit"]), patterns).where(F.col("score") >= threshold)
-    own = hits.groupBy("path", "text_key").agg(F.min(F.struct((-F.col("score")).alias("o"), "license_id")).alias("own"), F.max("licence_file").alias("is_file"))
+    best = F.min(F.struct((~F.col("licence_file")).alias("line"), (-F.col("score")).alias("o"), "license_id"))
+    own = hits.groupBy("path", "text_key").agg(best.alias("b"), F.max("licence_file").alias("is_file")).withColumn("own", F.struct("b.o", "b.license_id"))
     folder = F.regexp_replace("path", r"/?[^/]*$", "")
     of_dir = own.where("is_file AND path IS NOT NULL").select(folder.alias("licence_dir"), "own").groupBy("licence_dir").agg(F.min("own").alias("of_dir"))
     own = own.select(F.col("path").alias("p"), F.col("text_key").alias("k"), "own")

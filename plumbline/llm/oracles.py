@@ -89,8 +89,8 @@ idf AS (SELECT token, ln((1 + (SELECT count(*) FROM units) + (SELECT count(*) FR
 uw AS (SELECT doc_id, unit, token, tf * idf AS w FROM ut JOIN idf USING (token)), tw AS (SELECT license_id, template, token, tf * idf AS w FROM tt JOIN idf USING (token)),
 un AS (SELECT doc_id, unit, sqrt(sum(w * w)) AS norm FROM uw GROUP BY ALL), tn AS (SELECT template, sqrt(sum(w * w)) AS norm FROM tw GROUP BY ALL),
 dots AS (SELECT doc_id, unit, license_id, template, sum(uw.w * tw.w) AS dot FROM uw JOIN tw USING (token) GROUP BY ALL),
-hits AS (SELECT doc_id, license_id, round(dot / un.norm / tn.norm, 9) AS score FROM dots JOIN un USING (doc_id, unit) JOIN tn USING (template)),
-own AS (SELECT doc_id, arg_min(license_id, (-score, license_id)) AS license_id, max(score) AS score FROM hits WHERE score >= {THRESHOLD} GROUP BY doc_id),
+hits AS (SELECT doc_id, license_id, unit <> -1 AS line, round(dot / un.norm / tn.norm, 9) AS score FROM dots JOIN un USING (doc_id, unit) JOIN tn USING (template)),
+own AS (SELECT doc_id, arg_min(license_id, (line, -score, license_id)) AS license_id, arg_min(score, (line, -score, license_id)) AS score FROM hits WHERE score >= {THRESHOLD} GROUP BY doc_id),
 dirs AS (SELECT regexp_replace(path, '/?[^/]*$', '') AS dir, arg_min(o.license_id, (-o.score, o.license_id)) AS license_id, max(o.score) AS score FROM own o JOIN (SELECT DISTINCT doc_id, path FROM units WHERE is_file) USING (doc_id) GROUP BY 1),
 near AS (SELECT doc_id, arg_max(dir, length(dir)) AS dir FROM files JOIN dirs ON starts_with(path, dir || '/') GROUP BY doc_id)
 SELECT f.doc_id, path, coalesce(o.license_id, d.license_id) AS license_id, coalesce(o.score, d.score) AS score, CASE WHEN o.doc_id IS NOT NULL THEN 'own' WHEN d.dir IS NOT NULL THEN 'inherited' END AS found,

@@ -17,6 +17,8 @@ minimizer; equal strings have the same one and meet in the same shard:
 What a task sees more than once within some MB is reduced before it is shuffled, so a passage that a third of the
 documents hold costs one row for these, and the joins back to occurrences are plain ones that adaptive execution can split.
 
+A text is known by a 64-bit hash, or a second one if another text has the same first; a segment by 128 bits.
+
 Document ids are integers; a null id counts as larger than any. Documents of equal ids do not remove from each
 other, so repeated rows all stay as they are. A null text is the empty one. Other columns are ignored.
 """
@@ -29,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, partitions
@@ -427,11 +429,23 @@ def _removed(places: list[dict] | None) -> tuple[np.ndarray, np.ndarray]:
     return at[new], np.append(at[np.flatnonzero(new)[1:] - 1], at[-1]) + WINDOW
 
 
-def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def text_keys(rows: DataFrame, first: Column | None = None) -> DataFrame:
+    """Adds `key`, a number for each text: a 64-bit hash, or another where two texts share it.
+
+    Texts that share a hash are few (of n about n * n / 2^65), so their hashes may come to the driver.
+    """
+    first, other = F.xxhash64("text") if first is None else first, F.xxhash64(F.lit("another"), "text")
+    both = rows.select(first.alias("key"), other.alias("other")).groupBy("key").agg(F.min("other").alias("low"), F.max("other").alias("high"))
+    shared = [r.key for r in both.where("low <> high").select("key").collect()]
+    return rows.withColumn("key", F.when(first.isin(shared), other).otherwise(first) if shared else first)
+
+
+def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", first_key: Column | None = None) -> DataFrame:
     """(doc_id, text, starts, ends): the byte ranges of each text covered by strings of WINDOW bytes that a document with a smaller id holds."""
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    rows = rows.withColumn("doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("key", F.xxhash64("text"))
+    rows = rows.withColumn("doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
+    rows = text_keys(rows, first_key)
     n = partitions(spark, rows)
     sent = rows.select("key", "text").mapInArrow(_send(n), "bucket long, key long, hashes binary, keys binary, at binary")
     shared = sent.groupBy("bucket").applyInPandas(_shared, "key long, place long")

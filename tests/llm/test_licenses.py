@@ -29,7 +29,8 @@ def brute(files, threshold=lc.THRESHOLD):
         for licence, p in patterns:
             dot = sum(n * p[w] * idf[w] ** 2 for w, n in c.items() if w in p)
             if dot and (s := round(dot / norm(c) / norm(p), 9)) >= threshold:
-                own[path, text] = min(own.get((path, text), (0, "~")), (-s, licence))
+                own[path, text] = min(own.get((path, text), (1, 0, "~")), (i != -1, -s, licence))
+    own = {k: v[1:] for k, v in own.items()}
     for (path, text, i) in units:
         if i == -1 and (path, text) in own:
             d = path.rpartition("/")[0]
@@ -79,3 +80,10 @@ def test_empty(spark):
     assert lc.scan(df, lc.templates(spark)).count() == 0
     some = spark.createDataFrame([(1, "a", "license")], "id long, path string, text string")
     assert lc.scan(some, lc.templates(spark).limit(0)).collect()[0].license_id is None
+
+
+@pytest.mark.parametrize("licence, text", [*lc.WHOLE, ("Apache-2.0", "// Copyright 2020 The Authors. All rights reserved. Licensed under the Apache License, Version 2.0.")])
+def test_whole_licences_are_found(spark, licence, text):
+    files = spark.createDataFrame([(1, "a/LICENSE", "Copyright (c) 2021 Some One\n\n" + text), (2, "a/b.py", "x = 1")], "id long, path string, text string")
+    got = {r.id: (r.license_id, r.found, r.score) for r in lc.scan(files, lc.templates(spark)).collect()}
+    assert got[1][:2] == (licence, "own") and got[1][2] >= (0.85 if "\n" in text else lc.THRESHOLD) and got[2][:2] == (licence, "inherited")

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from plumbline.llm import suffix
 
@@ -68,6 +69,14 @@ def test_flushes_and_slices(spark, sf, monkeypatch):
     assert found(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
 
 
+def test_texts_of_one_hash_stay_apart(spark, sf):
+    """With the length as first hash many texts share one."""
+    rows = documents(sf)[:80] + [(900 + i, t[::-1]) for i, t in documents(sf)[:20]] + [(950 + i, t) for i, t in documents(sf)[:10]]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = suffix.digests(suffix.repeated_bytes(df, first_key=F.length("text").cast("long"))).collect()
+    assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute(rows)
+
+
 def test_hard_rows(spark):
     short = [(i, t and t[:2000]) for i, t in HARD]
     df = spark.createDataFrame(short, "doc_id long, text string")
