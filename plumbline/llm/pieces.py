@@ -314,6 +314,7 @@ def encode(docs: DataFrame, model: str = DEFAULT_MODEL, kind: str = "bpe", table
         # The edges of a unit come one after another: a sort finds them in order, where a hash table would first fill up.
         often = often.mapInArrow(_speller(pieces, ["unit"]), "unit string, ids binary").toArrow()
     handle = spark.sparkContext.broadcast(dict(zip((u[1:] for u in often["unit"].to_pylist()), often["ids"].to_pylist(), strict=True)))
+    discard(counts)
     hole = np.array([gap], id_kind).tobytes()
     id_type = rows.schema["doc_id"].dataType.simpleString()
 
@@ -341,12 +342,20 @@ def encode(docs: DataFrame, model: str = DEFAULT_MODEL, kind: str = "bpe", table
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row's rare units in order: how many, how many ids each has, and the ids."""
         for b in batches:
-            packed = []
-            for extra in b.column("extra").to_pylist():
-                # Equal rows each bring their units: one of each place.
-                ids = [x for _, x in sorted({x["place"]: x["ids"] for x in extra}.items())]
-                sizes = np.array([len(x) // id_kind.itemsize for x in ids], "<u4")
-                packed.append(np.uint32(len(ids)).tobytes() + sizes.tobytes() + b"".join(ids))
+            lists, packed = b.column("extra"), []
+            ends, values = lists.offsets.to_numpy(), lists.flatten()
+            ends = ends - ends[0]
+            row, place = np.repeat(np.arange(b.num_rows), np.diff(ends)), values.field("place").to_numpy()
+            order = np.lexsort((place, row))
+            row, place = row[order], place[order]
+            once = np.ones(len(row), bool)  # equal rows each bring their units: one of each place
+            once[1:] = (row[1:] != row[:-1]) | (place[1:] != place[:-1])
+            ids = values.field("ids").take(pa.array(order[once])).cast(pa.large_binary())
+            at = np.frombuffer(ids.buffers()[1], np.int64)[ids.offset : ids.offset + len(ids) + 1]
+            data, sizes = bytes(ids.buffers()[2] or b""), (np.diff(at) // id_kind.itemsize).astype("<u4")
+            cut = np.searchsorted(row[once], np.arange(b.num_rows + 1))
+            for x, y in zip(cut.tolist(), cut[1:].tolist(), strict=False):
+                packed.append(np.uint32(y - x).tobytes() + sizes[x:y].tobytes() + data[at[x] : at[y]])
             yield pa.record_batch([b.column("k1"), b.column("k2"), pa.array(packed, pa.binary())], ["k1", "k2", "extra"])
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -378,16 +387,17 @@ def encode(docs: DataFrame, model: str = DEFAULT_MODEL, kind: str = "bpe", table
     own = F.col("doc_id").cast("long") if id_type in ("tinyint", "smallint", "int", "bigint") else F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id"))
     k1, k2 = F.coalesce(own, F.xxhash64("text")).alias("k1"), F.shiftleft(F.hash("text").cast("long"), 32).alias("k2")
     keyed = rows.select("doc_id", "text", F.xxhash64(F.replace("text", F.lit(SPACE), F.lit(" "))).alias("digest"), k1, k2)
-    # Rare units and where they occur, both dealt by unit before the units become edges: these never move.
+    # Where rare units occur, dealt by unit once: the distinct ones become edges, and find their occurrences again, where they are.
+    # Both sides take all columns and drop nulls themselves, so that the planner sees one and the same exchange.
     n = partitions(spark, rows)
-    places = keyed.select("text", "k1", "k2").mapInArrow(find_rare, "k1 long, place long, unit string").repartition(n, "unit")
-    rare = _segmented(counts.where(F.col("n") * table_rows < total).repartition(n, "unit"), pieces).select("unit", "cuts")
+    places = keyed.select("text", "k1", "k2").mapInArrow(find_rare, "k1 long, place long, unit string").where("unit IS NOT NULL").repartition(n, "unit")
+    distinct = places.groupBy("unit").agg(F.count("*").alias("n"), F.max("k1").alias("k1"), F.max("place").alias("place"))
+    rare = _segmented(distinct.where("n > 0 OR k1 > place"), pieces).select("unit", "cuts")
     spelt = places.join(rare, "unit").select("k1", "place", "unit", "cuts").mapInArrow(_speller(pieces, ["k1", "place"]), "k1 long, place long, ids binary")
     spelt = spelt.repartition(n, "k1").withColumn("k2", F.shiftleft(F.shiftright("place", 32), 32))
     of_rows = spelt.groupBy("k1", "k2").agg(F.collect_list(F.struct("place", "ids")).alias("extra"))
     with settings(spark, spark__sql__execution__useObjectHashAggregateExec="false"):
         extra = materialize(of_rows.mapInArrow(pack, "k1 long, k2 long, extra binary"))
-    discard(counts)
     looked = keyed.mapInArrow(look_up, f"doc_id {id_type}, digest long, k1 long, k2 long, ids binary")
     joined = looked.join(extra, ["k1", "k2"], "left")
     return joined.select("doc_id", "digest", "ids", "extra").mapInArrow(fill, f"doc_id {id_type}, digest long, ids array<int>")
