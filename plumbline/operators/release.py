@@ -337,8 +337,9 @@ def identifier_scan(files: DataFrame, identifiers: DataFrame, baseline: DataFram
     ends = counts.select("w", F.explode(F.expr("transform(sequence(1, length(w)), i -> substring(w, i))")).alias("end"))
     by_end = short.where(size == 2).join(ends, "end").select("rule", "v", "w")
     alone = short.where(size == 1)
-    within = counts.select("w", F.explode(F.expr("array_distinct(flatten(transform(sequence(1, least(length(w), 40)), k -> transform(sequence(1, length(w) - k + 1), i -> substring(w, i, k)))))")).alias("end"))
-    by_part = alone.join(within, "end").select("rule", "v", "w")
+    heads = F.expr("array_distinct(flatten(transform(sequence(1, 5), k -> transform(sequence(1, greatest(length(w) - k + 1, 1)), i -> substring(w, i, k)))))")
+    within = counts.select("w", F.explode(heads).alias("head"))
+    by_part = alone.withColumn("head", F.substring("end", 1, 5)).join(within, "head").where(F.contains("w", "end")).select("rule", "v", "w").distinct()
     met = rarest.select("rule", "v", "w").unionByName(by_end).unionByName(by_part).join(words, "w").select("rule", "v", "file").distinct()
     hits = met.join(files.select("file", low.alias("t")), "file")
     quoted = F.regexp_replace("v", r"([^A-Za-z0-9\s])", r"\\$1")
