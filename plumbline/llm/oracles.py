@@ -5,8 +5,10 @@ Fingerprints (XXH64), alignments, tree weighting, JSON records and merges have n
 
 from __future__ import annotations
 
+from .clustering import CENTROIDS, DIMS, ROUNDS, SCALE
 from .licenses import CUE, LICENCE_FILE, TEMPLATES, THRESHOLD
 from .quality import BIT, LEXICON_ROWS, POLICIES, RULES, STOP_WORDS, TOXIC_WORDS
+from .variants import LEAST_CHARS, LEAST_COUNT, ONE_IN, TIMES
 
 _TRIM = "trim(l, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
 
@@ -98,10 +100,46 @@ SELECT f.doc_id, path, coalesce(o.license_id, d.license_id) AS license_id, coale
 FROM files f LEFT JOIN own o USING (doc_id) LEFT JOIN near n USING (doc_id) LEFT JOIN dirs d ON d.dir = n.dir
 """
 
+_ACCENTS = "".join(map(chr, range(0xC0, 0x100)))
+_PLAIN_SIGNS = "".join(chr(c) for c in range(0x21, 0x7F) if not chr(c).islower() and chr(c) not in "'-^\\\\")[: len(_ACCENTS)]
+
+#: Edit distances here are those of bytes, so accented letters are written as single signs first. The checksum goes bit by bit.
+VARIANTS = f"""
+WITH RECURSIVE runs AS (
+  SELECT id, run, count(*) AS n FROM (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents) GROUP BY ALL),
+bits AS (SELECT *, flatten(list_transform(range(0, octet_length(b)), lambda i: list_transform(range(0, 8), lambda j: (CAST('0x' || substr(hex(b), 2 * i + 1, 2) AS BIGINT) >> j) & 1))) AS bs FROM (SELECT *, encode(id || ':' || run) AS b FROM runs)),
+sums AS (SELECT run, n, xor(list_reduce(list_prepend(4294967295, bs), lambda c, b: xor(c >> 1, 3988292384 * (xor(c, b) & 1))), 4294967295) AS h FROM bits),
+typed AS (SELECT CASE WHEN h % {ONE_IN} = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM sums),
+v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n, translate(word, '{_ACCENTS}', '{_PLAIN_SIGNS}') AS plain FROM typed WHERE length(word) >= {LEAST_CHARS} GROUP BY word HAVING sum(n) >= {LEAST_COUNT}),
+cuts AS (SELECT word, n, plain, unnest(list_append(list_transform(range(0, length(word)), lambda i: left(word, i) || substr(word, i + 2)), word)) AS cut FROM v),
+near AS (SELECT DISTINCT a.word, a.n, b.word AS other, b.n AS m FROM cuts a JOIN cuts b ON a.cut = b.cut AND a.word <> b.word WHERE levenshtein(a.plain, b.plain) = 1),
+best AS (SELECT word, n, count(*) AS n_near, arg_min(other, (-m, other)) AS other, max(m) AS m FROM near GROUP BY ALL),
+named AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= {TIMES} * v.n THEN other END AS form, CASE WHEN m >= {TIMES} * v.n THEN m END AS form_n FROM v LEFT JOIN best USING (word)),
+steps AS (SELECT word, word AS root FROM named UNION ALL SELECT s.word, f.form FROM steps s JOIN named f ON s.root = f.word WHERE f.form IS NOT NULL)
+SELECT word, form, root, n, n_near, form_n FROM steps JOIN named USING (word) WHERE root NOT IN (SELECT word FROM named WHERE form IS NOT NULL)
+"""
+
+_NEAREST = "arg_min(k, (list_sum(list_transform(x.v, lambda e, i: (e - c.v[i]) * (e - c.v[i]))), k))"
+_ROUND = """a{r} AS (SELECT r, any_value(vec_id) AS vec_id, any_value(x.v) AS v, {nearest} AS k FROM kept x CROSS JOIN c{r} c GROUP BY r),
+m{r} AS (SELECT k, list((s - (s % n + n) % n) // n ORDER BY i) AS v FROM (SELECT k, i, CAST(sum(e) AS BIGINT) AS s, count(*) AS n FROM (SELECT k, unnest(v) AS e, generate_subscripts(v, 1) AS i FROM a{r}) GROUP BY ALL) GROUP BY k),
+c{next} AS (SELECT k, coalesce(m.v, c.v) AS v FROM c{r} c LEFT JOIN m{r} m USING (k))"""
+
+CLUSTERS = f"""
+WITH kept AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor({SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = {DIMS} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {DIMS}),
+c0 AS (SELECT row_number() OVER (ORDER BY h NULLS LAST, v) - 1 AS k, v FROM (SELECT sha256('1:' || vec_id) AS h, v FROM kept) ORDER BY h NULLS LAST, v LIMIT {CENTROIDS}),
+{", ".join(_ROUND.format(r=r, next=r + 1, nearest=_NEAREST) for r in range(ROUNDS))},
+last AS (SELECT r, any_value(vec_id) AS vec_id, {_NEAREST} AS cluster, min(list_sum(list_transform(x.v, lambda e, i: (e - c.v[i]) * (e - c.v[i])))) AS distance FROM kept x CROSS JOIN c{ROUNDS} c GROUP BY r)
+SELECT vec_id, CAST(cluster AS INTEGER) AS cluster, CAST(distance AS BIGINT) AS distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(c.v, ',')) AS centroid_sha256 FROM last JOIN c{ROUNDS} c ON c.k = cluster
+"""
+
 ORACLES = {
     "op2_line_dedup": LINE_DEDUP,
     "op3_license_scan": LICENSES,
     "op4_quality_rules": QUALITY,
     "op5_html_extraction": EXTRACTION,
     "op9_suffix_array": SUFFIXES,
+    "op11_spelling_variants": VARIANTS,
+    "op12_sort_means": CLUSTERS,
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, extract, licenses, lines, oracles, pieces, quality, simhash, suffix, treeweight, warc
+from . import clustering, decontaminate, extract, fingerprints, licenses, lines, oracles, pieces, quality, simhash, suffix, treeweight, variants, warc
 from .common import materialize, table
 
 
@@ -70,6 +70,24 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", same.alias("decodes"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.group(table(spark, sf_dir, "documents"))
+
+
+def op12_sort_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.report(*clustering.cluster(table(spark, sf_dir, "embeddings")))
+
+
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With `n_near` for ids divisible by 100, the search's queries: documents within three bits of theirs, itself included."""
+    lines = materialize(fingerprints.compare(table(spark, sf_dir, "documents")))
+    asks = F.col("doc_id") % 100 == 0
+    distinct = lines.groupBy("fp").agg(F.count("*").alias("n"), F.max(F.coalesce(asks, F.lit(False))).alias("asked"))
+    found = lines.join(fingerprints.search(distinct), "fp", "left")
+    text = lambda c: F.lower(F.lpad(F.hex(c), 16, "0"))
+    return found.select("doc_id", "n_chars", "edited_sha256", text("fp").alias("fingerprint"), text("edited_fp").alias("edited_fingerprint"), "near_edited", "near_next", F.when(asks, F.col("n_near")).alias("n_near"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -84,6 +102,9 @@ QUERIES = {
         op8_decontamination,
         op9_suffix_array,
         op10_sentencepiece,
+        op11_spelling_variants,
+        op12_sort_means,
+        op13_fingerprints,
     )
 }
 ORACLES = oracles.ORACLES
