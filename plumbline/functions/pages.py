@@ -125,10 +125,18 @@ def json_strings(json: Column) -> Column:
 
 
 def numbers_only(json: Column, keys: list[str]) -> Column:
-    """map(key, value as text) of the named fields that are numbers or truth values, and no others."""
-    value = lambda k: F.get_json_object(json, f"$.{k}")
-    plain = lambda k: F.regexp_like(json, F.lit(rf'"{k}"\s*:\s*(-?[0-9.eE+-]+|true|false)\s*[,}}]'))
-    return F.map_from_entries(F.array_compact(F.array(*(F.when(plain(k), F.struct(F.lit(k).alias("key"), value(k).alias("value"))) for k in keys))))
+    """map(key, value as text) of the named fields of the object itself that are numbers or truth values, and no others.
+
+    What is no object, or names a field twice, gives an empty map.
+    """
+    parsed = F.try_parse_json(json)
+    entries = []
+    for k in keys:
+        path = f"$['{k}']" if "'" not in k else f'$["{k}"]'
+        kind = F.schema_of_variant(F.try_variant_get(parsed, path, "variant"))
+        plain = kind.isin("BIGINT", "DOUBLE", "FLOAT", "BOOLEAN") | kind.startswith("DECIMAL")
+        entries.append(F.when(plain, F.struct(F.lit(k).alias("key"), F.try_variant_get(parsed, path, "string").alias("value"))))
+    return F.map_from_entries(F.array_compact(F.array(*entries)))
 
 
 def record_faults(line: Column, allowed_hosts: list[str]) -> Column:

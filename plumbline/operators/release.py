@@ -309,48 +309,6 @@ def lint_statements(statements: DataFrame) -> DataFrame:
     return statements.select("id", F.explode(F.filter(rules, lambda r: r.isNotNull())).alias("rule"))
 
 
-#: What may not stand next to an identifier of a rule, if it is to count as a whole.
-_NEIGHBOURS = {"title": "a-z0-9", "hostname": "a-z0-9-"}
-
-
-def identifier_scan(files: DataFrame, identifiers: DataFrame, baseline: DataFrame | None = None) -> DataFrame:
-    """(file, rule, hits) of files (file, text) that hold identifiers (rule, value); values are never returned.
-
-    Titles and hostnames count as whole words, numbers (`hn-id`) as whole numbers, addresses (`url`) anywhere.
-    Files meet identifiers by one word that both have: of an identifier's the one that the fewest files hold, so none is joined on a
-    word such as "www" if it has another. Only ids are joined; texts come in once, for the pairs left.
-    """
-    low = F.lower("text")
-    tokens = F.array_union(F.regexp_extract_all(low, F.lit("[a-z0-9]+"), 0), F.regexp_extract_all(low, F.lit("[0-9]+"), 0))
-    words = files.select("file", F.explode(tokens).alias("w"))
-    counts = words.groupBy("w").agg(F.count("*").alias("files"))
-    ids = identifiers.select("rule", F.lower("value").alias("v")).distinct().withColumn("ws", F.regexp_extract_all("v", F.lit("[a-z0-9]+"), 0))
-    if baseline is not None:
-        ids = ids.join(baseline.select(F.lower("value").alias("v")).distinct(), "v", "left_anti")
-    # The ends of an address may be cut out of longer words.
-    address, size = F.col("rule") == "url", F.size("ws")
-    inner = F.slice("ws", F.lit(2), F.greatest(size - 2, F.lit(0)))
-    asked = ids.select("rule", "v", F.explode(F.array_distinct(F.when(address, inner).otherwise(F.col("ws")))).alias("w")).join(counts, "w", "left")
-    rarest = asked.groupBy("rule", "v").agg(F.min_by("w", F.struct(F.coalesce("files", F.lit(0)), "w")).alias("w"))
-    # An address of one or two words: by words that end as its first one does.
-    short = ids.where(address & (size <= 2)).select("rule", "v", "ws", F.get("ws", 0).alias("end"))
-    ends = counts.select("w", F.explode(F.expr("transform(sequence(1, length(w)), i -> substring(w, i))")).alias("end"))
-    by_end = short.where(size == 2).join(ends, "end").select("rule", "v", "w")
-    alone = short.where(size == 1)
-    heads = F.expr("array_distinct(flatten(transform(sequence(1, 5), k -> transform(sequence(1, greatest(length(w) - k + 1, 1)), i -> substring(w, i, k)))))")
-    within = counts.select("w", F.explode(heads).alias("head"))
-    by_part = alone.withColumn("head", F.substring("end", 1, 5)).join(within, "head").where(F.contains("w", "end")).select("rule", "v", "w").distinct()
-    met = rarest.select("rule", "v", "w").unionByName(by_end).unionByName(by_part).join(words, "w").select("rule", "v", "file").distinct()
-    hits = met.join(files.select("file", low.alias("t")), "file")
-    quoted = F.regexp_replace("v", r"([^A-Za-z0-9\s])", r"\\$1")
-    whole = F.contains("t", "v")
-    for rule, signs in _NEIGHBOURS.items():
-        apart = F.regexp_like("t", F.concat(F.lit(f"(?<![{signs}])"), quoted, F.lit(f"(?![{signs}])")))
-        whole = F.when(F.col("rule") == rule, apart).otherwise(whole)
-    whole = F.when(F.col("rule") == "hn-id", F.regexp_like("t", F.concat(F.lit("(?<![0-9])"), quoted, F.lit("(?![0-9])")))).otherwise(whole)
-    return hits.where(whole).groupBy("file", "rule").agg(F.countDistinct("v").alias("hits"))
-
-
 def shared_strings(strings: DataFrame, n_views: int) -> DataFrame:
     """Strings that every one of the views has."""
     return strings.select("view", "s").distinct().groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") == n_views).select("s")

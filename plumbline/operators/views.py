@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from .release import any_state, decision_shares
 from .review import published_decisions
 
-#: Words that a qualification may not use, and how many words it may have if it names a clause.
-BANNED = ["certified", "compliant", "compliance", "guarantees", "satisfies", "fulfils", "meets"]
+#: Words that claim too much, kinds of relations, and how many words a qualification may have if it names a clause.
+BANNED = ["satisfies", "fulfils", "fulfills"]
+RELATION_TYPES = ["addresses", "supports", "partial"]
 QUALIFICATION_WORDS = 15
 
 
@@ -137,17 +138,18 @@ def dictionary_terms(views: DataFrame, platforms: list[str]) -> DataFrame:
     return first.select("project", "r.term", "r.placeholder")
 
 
-def codebook_faults(entries: DataFrame, wanted: DataFrame, edges: DataFrame, standards: list[str], clauses: list[str]) -> DataFrame:
+def codebook_faults(entries: DataFrame, wanted: DataFrame, edges: DataFrame, standards: list[str], clauses: list[str], also_banned: list[str] = ()) -> DataFrame:
     """(at, problem): what is wrong with a codebook.
 
-    `entries` (check_id, field, value) hold its texts, `edges` (check_id, standard, qualification) its crosswalk. Checks must be those `wanted`,
-    texts filled in and free of words that claim too much, every standard crossed, and long qualifications may not quote a clause.
+    `entries` (check_id, field, value) hold its texts, `edges` (check_id, standard, relation, qualification) its crosswalk. Checks must be those `wanted`,
+    texts filled in and free of words that claim too much, every standard crossed by a relation of a known kind, and long qualifications may not
+    quote a clause. `also_banned` adds words to the fixed ones.
     """
     have, want = entries.select("check_id").distinct(), wanted.select("check_id").distinct()
     out = lambda d, at, problem: d.select(at.alias("at"), F.lit(problem).alias("problem"))
     names = F.array(*(F.lit(s) for s in standards))
     needed = have.select("check_id", F.explode(names).alias("standard"))
-    banned = lambda c: F.exists(F.array(*(F.lit(w) for w in BANNED)), lambda w: F.contains(F.lower(c), w))
+    banned = lambda c: F.exists(F.array(*(F.lit(w.lower()) for w in [*BANNED, *also_banned])), lambda w: F.contains(F.lower(c), w))
     words = F.size(F.filter(F.split(F.trim("qualification"), r"\s+"), lambda x: x != ""))
     quoting = F.exists(F.array(*(F.lit(c.lower()) for c in clauses)), lambda c: F.contains(F.lower("qualification"), c))
     edge = F.concat_ws(".", "check_id", "standard")
@@ -157,5 +159,5 @@ def codebook_faults(entries: DataFrame, wanted: DataFrame, edges: DataFrame, sta
         out(entries.where(banned(F.col("value"))), F.concat_ws(".", "check_id", "field"), "word that claims too much"),
         out(edges.where(banned(F.col("qualification"))), edge, "word that claims too much"),
         out(needed.join(edges, ["check_id", "standard"], "left_anti"), edge, "standard not crossed"), out(edges.where(~F.col("standard").isin(standards)), edge, "extra standard"),
-        out(edges.where((words > QUALIFICATION_WORDS) & quoting), edge, "quotes a clause"),
+        out(edges.where((words > QUALIFICATION_WORDS) & quoting), edge, "quotes a clause"), out(edges.where(~F.coalesce(F.col("relation").isin(RELATION_TYPES), F.lit(False))), edge, "unknown relation"),
     ])

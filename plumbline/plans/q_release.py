@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import EVALUATIVE, TREND
+from ..operators import domains as dom
+from ..operators import identifiers as idn
 from ..operators import release as rl
 from ..operators import states as st
 from ..registry import query, table
@@ -166,21 +168,79 @@ def lint_statements(spark, d):
 
 
 _HOSTS = "regexp_extract(lower(url), '^https?://([^/?#]+)', 1)"
+#: Identifiers of pages in their own scripts, and short ones; the texts are the pages with what the odd ones add.
+_IDS = f"""ids AS (SELECT DISTINCT 'hostname' AS rule, {_HOSTS} AS v FROM pages UNION SELECT DISTINCT 'url', regexp_replace(lower(url), '^https?://', '') FROM pages UNION SELECT DISTINCT 'hn-id', CAST(page_id AS VARCHAR) FROM pages
+    UNION SELECT DISTINCT 'title', lower(split_part(trim(regexp_replace(html, '<[^>]+>', ' ', 'g')), ' ', 1)) FROM pages UNION SELECT 'url', 'xample.co' UNION SELECT 'url', 'xampl' UNION SELECT 'title', '日本語アプリ' UNION SELECT 'title', 'é' UNION SELECT 'url', '%%%')"""
+_HOLDS = """contains(t, v) AND CASE rule WHEN 'url' THEN true WHEN 'hn-id' THEN regexp_matches(t, '(^|[^0-9])' || v || '([^0-9]|$)')
+    WHEN 'hostname' THEN regexp_matches(t, '(^|[^a-z0-9-])' || regexp_escape(v) || '([^a-z0-9-]|$)') ELSE regexp_matches(t, '(^|[^a-z0-9])' || regexp_escape(v) || '([^a-z0-9]|$)') END"""
+_TEXT = "lower(html) || ' at ' || lower(url) || CASE WHEN page_id % 7 = 0 THEN 'x日本語アプリ!' WHEN page_id % 7 = 1 THEN ' 日本語アプリ版' ELSE '' END"
 
 
-@query(f"""WITH i AS (SELECT DISTINCT 'hostname' AS rule, {_HOSTS} AS v FROM pages UNION SELECT DISTINCT 'url', regexp_replace(lower(url), '^https?://', '') FROM pages UNION SELECT DISTINCT 'hn-id', CAST(page_id AS VARCHAR) FROM pages
-    UNION SELECT DISTINCT 'title', lower(split_part(trim(regexp_replace(html, '<[^>]+>', ' ', 'g')), ' ', 1)) FROM pages UNION SELECT 'url', 'xample.co' UNION SELECT 'url', 'xampl'),
-  f AS (SELECT page_id AS file, lower(html) || ' at ' || lower(url) AS t, list_distinct(regexp_extract_all(lower(html) || ' at ' || lower(url), '[0-9]+')) AS numbers FROM pages)
-  SELECT file, rule, count(DISTINCT v) AS hits FROM f JOIN i ON contains(t, v) AND regexp_matches(v, '[a-z0-9]') AND CASE rule WHEN 'url' THEN true WHEN 'hn-id' THEN list_contains(numbers, v)
-    WHEN 'hostname' THEN regexp_matches(t, '(^|[^a-z0-9-])' || replace(replace(v, '.', '\\.'), '-', '\\-') || '([^a-z0-9-]|$)') ELSE regexp_matches(t, '(^|[^a-z0-9])' || regexp_escape(v) || '([^a-z0-9]|$)') END GROUP BY ALL""")
-def identifier_scan(spark, d):
+def _identifiers(spark, d):
     from ..functions.text import host
 
     p = table(spark, d, "pages")
     title = F.split(F.trim(F.regexp_replace("html", "<[^>]+>", " ")), " ")[0]
-    values = [("hostname", host(F.col("url"))), ("url", F.regexp_replace(F.lower("url"), "^https?://", "")), ("hn-id", F.col("page_id").cast("string")), ("title", title), ("url", F.lit("xample.co")), ("url", F.lit("xampl"))]
-    ids = p.select(F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), v.alias("value")) for r, v in values))).alias("i")).select("i.rule", "i.value")
-    return rl.identifier_scan(p.select(F.col("page_id").alias("file"), F.concat("html", F.lit(" at "), "url").alias("text")), ids)
+    given = [("url", F.lit("xample.co")), ("url", F.lit("xampl")), ("title", F.lit("日本語アプリ")), ("title", F.lit("É")), ("url", F.lit("%%%"))]
+    values = [("hostname", host(F.col("url"))), ("url", F.regexp_replace(F.lower("url"), "^https?://", "")), ("hn-id", F.col("page_id").cast("string")), ("title", title), *given]
+    return p.select(F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), v.alias("value")) for r, v in values))).alias("i")).select("i.rule", "i.value")
+
+
+def _page_files(spark, d):
+    more = F.when(F.col("page_id") % 7 == 0, "x日本語アプリ!").when(F.col("page_id") % 7 == 1, " 日本語アプリ版").otherwise("")
+    return table(spark, d, "pages").select(F.col("page_id").alias("file"), "url", F.concat("html", F.lit(" at "), "url", more).alias("text"))
+
+
+@query(f"WITH {_IDS}, f AS (SELECT page_id AS file, {_TEXT} AS t FROM pages) SELECT file, rule, count(DISTINCT v) AS hits FROM f JOIN ids ON v <> '' AND {_HOLDS} GROUP BY ALL")
+def identifier_scan(spark, d):
+    return idn.identifier_scan(_page_files(spark, d).select("file", "text"), _identifiers(spark, d))
+
+
+_BASE = f"base AS (SELECT DISTINCT rule, v FROM ids JOIN (SELECT lower(coalesce(text, '')) AS t FROM conversations) ON v <> '' AND rule IN ('title', 'hostname') AND {_HOLDS})"
+
+
+@query(f"WITH {_IDS}, {_BASE} SELECT rule, v AS value FROM ids WHERE v <> '' AND (rule, v) NOT IN (SELECT (rule, v) FROM base)")
+def without_baseline(spark, d):
+    """Identifiers of pages, less titles and hosts that conversations hold."""
+    return idn.without_baseline(_identifiers(spark, d), table(spark, d, "conversations").select("text"))
+
+
+@query(f"""WITH {_IDS}, {_BASE}, kept AS (SELECT rule, v FROM ids WHERE v <> '' AND (rule, v) NOT IN (SELECT (rule, v) FROM base)),
+  f AS (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'out/' || url ELSE 'out/view-' || chr(CAST(97 + page_id % 26 AS INTEGER)) END AS file, {_TEXT} AS t FROM pages),
+  files AS (SELECT file, string_agg(t, chr(0) ORDER BY page_id) AS t FROM f GROUP BY file), names AS (SELECT DISTINCT file, rule FROM (SELECT DISTINCT file, lower(file) AS t FROM f) JOIN kept ON {_HOLDS}),
+  hits AS (SELECT DISTINCT file, rule FROM f JOIN kept ON {_HOLDS} UNION SELECT file, rule FROM names)
+  SELECT CASE WHEN file IN (SELECT file FROM names) THEN '(file name withheld)' ELSE file END AS file, rule FROM hits""")
+def scan_files(spark, d):
+    """Names and texts of output files, a baseline left out: a file, a rule, nothing else."""
+    k = F.col("file")
+    name = F.when(k % 3 == 0, F.concat(F.lit("out/"), "url")).otherwise(F.concat(F.lit("out/view-"), F.chr(97 + k % 26)))
+    return idn.scan_files(_page_files(spark, d).select(name.alias("file"), "text"), _identifiers(spark, d), table(spark, d, "conversations").select("text"))
+
+
+#: A suffix table made from the pages' hosts: the domain with most hosts stands with a wildcard and exceptions, the others are rules of their own.
+_RULES = f"""hosts AS (SELECT DISTINCT {_HOSTS} AS host FROM pages WHERE url LIKE 'http%'), two AS (SELECT host, regexp_extract(host, '[^.]+[.][^.]+$') AS d FROM hosts), sizes AS (SELECT d, count(*) AS n FROM two GROUP BY d),
+  most AS (SELECT arg_min(d, (-n, d)) AS d FROM sizes), rules AS (SELECT '*.' || d AS rule FROM most UNION SELECT d FROM sizes WHERE d NOT IN (SELECT d FROM most) UNION SELECT '!' || host FROM two WHERE d IN (SELECT d FROM most) AND regexp_matches(host, '^[a-m][^.]*[.][^.]*[.][^.]*$'))"""
+
+
+def _suffix_table(hosts):
+    two = hosts.where("host <> ''").distinct().select("host", F.regexp_extract("host", r"[^.]+\.[^.]+$", 0).alias("d"))
+    sizes = two.groupBy("d").agg(F.count("*").alias("n"))
+    most = sizes.agg(F.min(F.struct(-F.col("n"), "d")).alias("m")).select(F.col("m.d").alias("d"))
+    odd = two.join(most, "d", "left_semi").where(F.col("host").rlike(r"^[a-m][^.]*[.][^.]*[.][^.]*$"))
+    rule = lambda df, c: df.select(c.alias("rule"))
+    return rule(most, F.concat(F.lit("*."), "d")).unionByName(rule(sizes.join(most, "d", "left_anti"), F.col("d"))).unionByName(rule(odd, F.concat(F.lit("!"), "host")))
+
+
+@query(f"""WITH {_RULES}, e AS (SELECT host, len(string_split(host, '.')) AS n, unnest(range(1, len(string_split(host, '.')) + 1)) AS i FROM hosts),
+  c AS (SELECT host, n, i, array_to_string(string_split(host, '.')[n - i + 1:], '.') AS cut, array_to_string(string_split(host, '.')[n - i + 2:], '.') AS rest FROM e),
+  m AS (SELECT host, n, max((rule[1] = '!', CASE WHEN rule[1] = '!' THEN i - 1 ELSE i END)) AS b FROM c JOIN rules ON rule IN (cut, '!' || cut) OR i > 1 AND rule = '*.' || rest GROUP BY ALL),
+  s AS (SELECT host, len(string_split(host, '.')) AS n, coalesce(b[2], 1) AS k FROM hosts LEFT JOIN m USING (host))
+  SELECT host, array_to_string(string_split(host, '.')[n - k + 1:], '.') AS suffix, CASE WHEN n > k THEN array_to_string(string_split(host, '.')[n - k:], '.') END AS domain FROM s""")
+def registrable_domains(spark, d):
+    from ..functions.text import host
+
+    hosts = table(spark, d, "pages").select(host(F.col("url")).alias("host"))
+    return dom.registrable_domains(hosts, _suffix_table(hosts))
 
 
 @query("SELECT s FROM (SELECT DISTINCT lang AS view, word AS s FROM (SELECT lang, unnest(string_split(text, ' ')) AS word FROM documents)) GROUP BY s HAVING count(*) = (SELECT count(DISTINCT lang) FROM documents)")

@@ -435,11 +435,16 @@ def json_strings(spark, d):
     return table(spark, d, "customer").select("c_custkey", pg.json_strings(F.to_json(nested)).alias("strings"))
 
 
-@query("SELECT c_custkey, CAST(c_custkey AS VARCHAR) AS n, 'true' AS ok, CAST(NULL AS VARCHAR) AS name FROM customer")
+@query("""SELECT event_id, CAST(CAST(json_extract(props, '$.k') AS BIGINT) AS VARCHAR) AS k, CASE WHEN event_id % 3 <> 0 THEN CAST(event_id AS VARCHAR) END AS n, CASE WHEN event_id % 2 = 0 THEN 'true' END AS ok, CAST(NULL AS VARCHAR) AS event_type FROM events""")
 def numbers_only(spark, d):
-    j = F.to_json(F.struct(F.col("c_custkey").alias("n"), F.lit(True).alias("ok"), F.col("c_name").alias("name")))
-    m = pg.numbers_only(j, ["n", "ok", "name"])
-    return table(spark, d, "customer").select("c_custkey", *(m[k].alias(k) for k in ("n", "ok", "name")))
+    """Records of events: fields are let through by their own type, whatever other fields of that name hold deeper down."""
+    e, odd = table(spark, d, "events"), F.col("event_id") % 3 == 0
+    inner = F.to_json(F.struct(F.struct(F.col("event_id").alias("n"), F.lit(7).alias("event_type")).alias("inner"), F.when(odd, F.concat(F.lit("secret "), "event_type")).alias("n"), "event_type"))
+    own = F.when(odd, inner).otherwise(F.to_json(F.struct(F.struct(F.lit("x").alias("n")).alias("inner"), F.col("event_id").alias("n"), "event_type")))
+    ok = F.when(F.col("event_id") % 2 == 0, "true").otherwise('"true"')
+    line = F.concat(F.expr("substring(props, 1, length(props) - 1)"), F.lit(', "ok": '), ok, F.lit(", "), F.substring(own, F.lit(2), F.length(own)))
+    m = pg.numbers_only(line, ["k", "n", "ok", "event_type"])
+    return e.select("event_id", *(m[c].alias(c) for c in ("k", "n", "ok", "event_type")))
 
 
 @query("""WITH l AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN ['url-not-on-allow-list'] WHEN 1 THEN ['email-address'] WHEN 2 THEN ['api-key-assignment', 'bearer-token'] ELSE [] END AS rules FROM events) SELECT event_id, rules FROM l""")

@@ -124,17 +124,17 @@ def dictionary_terms(spark, d):
 
 @query("""WITH e AS (SELECT 'k' || s_suppkey AS c, s_suppkey AS k FROM supplier) SELECT c AS at, 'extra check' AS problem FROM e WHERE k % 10 = 0 UNION ALL SELECT 'absent', 'missing check'
   UNION ALL SELECT c || '.passRule', 'empty text' FROM e WHERE k % 3 = 0 UNION ALL SELECT c || '.failRule', 'word that claims too much' FROM e WHERE k % 4 = 0 UNION ALL SELECT c || '.iso', 'word that claims too much' FROM e WHERE k % 5 = 0
-  UNION ALL SELECT c || '.nist', 'standard not crossed' FROM e WHERE k % 2 = 0 UNION ALL SELECT c || '.other', 'extra standard' FROM e WHERE k % 6 = 0 UNION ALL SELECT c || '.iso', 'quotes a clause' FROM e WHERE k % 7 = 0 AND k % 5 <> 0""")
+  UNION ALL SELECT c || '.iso', 'unknown relation' FROM e WHERE k % 11 = 0 UNION ALL SELECT c || '.failRule', 'word that claims too much' FROM e WHERE k % 4 <> 0 AND k % 13 = 0 UNION ALL SELECT c || '.nist', 'standard not crossed' FROM e WHERE k % 2 = 0 UNION ALL SELECT c || '.other', 'extra standard' FROM e WHERE k % 6 = 0 UNION ALL SELECT c || '.iso', 'quotes a clause' FROM e WHERE k % 7 = 0 AND k % 5 <> 0""")
 def codebook_faults(spark, d):
     s = table(spark, d, "supplier").select(F.concat(F.lit("k"), F.col("s_suppkey").cast("string")).alias("check_id"), F.col("s_suppkey").alias("k"))
     k = F.col("k")
-    texts = F.array(F.struct(F.lit("passRule").alias("field"), F.when(k % 3 == 0, " ").otherwise("a rule").alias("value")), F.struct(F.lit("failRule").alias("field"), F.when(k % 4 == 0, "is Certified").otherwise("none").alias("value")))
+    texts = F.array(F.struct(F.lit("passRule").alias("field"), F.when(k % 3 == 0, " ").otherwise("a rule").alias("value")), F.struct(F.lit("failRule").alias("field"), F.when(k % 4 == 0, "it Fulfills the clause").when(k % 13 == 0, "is Certified").otherwise("meets a part").alias("value")))
     entries = s.select("check_id", F.explode(texts).alias("t")).select("check_id", "t.*")
     long = F.lit("one two three four five six seven eight nine ten eleven twelve thirteen Risk Treatment fifteen sixteen")
-    iso = F.struct(F.lit("iso").alias("standard"), F.when(k % 5 == 0, "fully compliant").when(k % 7 == 0, long).otherwise("risk treatment").alias("qualification"))
-    edges = F.array_compact(F.array(iso, F.when(k % 2 != 0, F.struct(F.lit("nist").alias("standard"), F.lit("near").alias("qualification"))), F.when(k % 6 == 0, F.struct(F.lit("other").alias("standard"), F.lit("x").alias("qualification")))))
+    iso = F.struct(F.lit("iso").alias("standard"), F.when(k % 5 == 0, "fully satisfies").when(k % 7 == 0, long).otherwise("risk treatment").alias("qualification"), F.when(k % 22 == 0, None).when(k % 11 == 0, "satisfying").otherwise("partial").alias("relation"))
+    edges = F.array_compact(F.array(iso, F.when(k % 2 != 0, F.struct(F.lit("nist").alias("standard"), F.lit("near").alias("qualification"), F.lit("supports").alias("relation"))), F.when(k % 6 == 0, F.struct(F.lit("other").alias("standard"), F.lit("x").alias("qualification"), F.lit("addresses").alias("relation")))))
     wanted = s.where("k % 10 <> 0").select("check_id").unionByName(spark.createDataFrame([("absent",)], "check_id string"))
-    return vw.codebook_faults(entries, wanted, s.select("check_id", F.explode(edges).alias("e")).select("check_id", "e.*"), ["iso", "nist"], ["risk treatment"])
+    return vw.codebook_faults(entries, wanted, s.select("check_id", F.explode(edges).alias("e")).select("check_id", "e.*"), ["iso", "nist"], ["risk treatment"], ["certified"])
 
 
 # --- functions and sinks that had no query of their own ---

@@ -7,6 +7,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """`df` without its lineage, in the folder that `spark.checkpoint.dir` names; one of this machine's own only in local mode."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        named = context.getConf().get("spark.checkpoint.dir", None)
+        if not named and context.master.partition("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(named or "file:///tmp/checkpoints")
+    return df.checkpoint()
+
+
 def conform(df: DataFrame, schema: StructType) -> DataFrame:
     """The schema's columns in order: missing ones are added as nulls, others dropped, types cast."""
     have = {f.name for f in df.schema}
