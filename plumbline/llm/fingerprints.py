@@ -72,9 +72,10 @@ def with_next(docs: DataFrame, n_ranges: int | None = None) -> DataFrame:
     spark = docs.sparkSession
     rows = id_text(docs).withColumn("row", F.monotonically_increasing_id())
     kind = rows.schema["doc_id"].dataType.simpleString()
+    # Ranges are equal in rows, not in bytes: more of them than partitions, so that a partition gets several.
     # Ascending, with nulls first: what comes before a row here is its next in descending order.
     rows = rows.withColumn("key", F.struct(F.col("doc_id"), F.unhex(F.sha2("text", 256)).alias("digest"), F.col("row")))
-    cuts = rows.select("key").repartitionByRange(n_ranges or partitions(spark, docs), "key").groupBy(F.spark_partition_id()).agg(F.max("key").alias("key"))
+    cuts = rows.select("key").repartitionByRange(n_ranges or 4 * partitions(spark, docs), "key").groupBy(F.spark_partition_id()).agg(F.max("key").alias("key"))
     last = [r.key for r in cuts.orderBy("key").collect()]  # a key for each range
     if not last:
         return spark.createDataFrame([], f"range int, place int, doc_id {kind}, text string, next_text string, guest boolean")

@@ -1,9 +1,12 @@
 """License scans: TF-IDF cosine of headers and licence files to templates, then inheritance by directory.
 
-A file's units are its lines with a licence cue and, if its name is that of a licence file, its whole text.
+A file's units are its lines with a licence cue, each alone and with the one or two lines after it (notices and titles run over
+lines), the ids of `SPDX-License-Identifier` lines, and, if its name is that of a licence file, its whole text.
 Units and templates are sparse TF-IDF vectors, with document frequencies over all units and templates;
-dot products come from an equi-join on the token. A file takes the template most like one of its units, from
-`THRESHOLD` on, the whole text of a licence file before its lines, some of which licences share (ties: the smaller licence id). A file without one inherits that of the nearest
+dot products come from an equi-join on the token. A file takes the template most like any of its units, from
+`THRESHOLD` on (ties: the smaller licence id); a whole text that is almost a template, from `VERBATIM` on, goes before lines, which
+licences share. Of the long licences (Apache, GNU, Mozilla, Eclipse, Boost) titles and notices are
+templates, not the whole texts. A file without one inherits that of the nearest
 directory, its own or an ancestor, with a licence file (of several there the most alike, then the smaller id); ancestors
 are exploded from distinct directories and equi-joined.
 
@@ -18,10 +21,10 @@ from pyspark.sql import functions as F
 
 from .licence_texts import WHOLE
 
-THRESHOLD = 0.6
+THRESHOLD, VERBATIM = 0.6, 0.85
 BROADCAST_ROWS = 100_000
 LICENCE_FILE = r"(?i)^(un)?(licen[cs]e|copying|copyright|notice)s?([-._].*)?$"
-CUE = r"(?i)licen[cs]|copyright|permission|redistribut|public domain|all rights"
+CUE = r"(?i)licen[cs]|creative commons|copyright|permission|redistribut|public domain|all rights"
 
 # Notices as their licences word them.
 TEMPLATES = [
@@ -46,8 +49,25 @@ TEMPLATES = [
     ("Apache-2.0", "Copyright. All rights reserved. Licensed under the Apache License, Version 2.0."),
     ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"),
     ("Proprietary", "Copyright. All rights reserved."),
+    ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
+    ("MIT", "The MIT License (MIT)"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("EPL-2.0", "Eclipse Public License - v 2.0"),
+    ("BSL-1.0", "Boost Software License - Version 1.0 - August 17th, 2003"),
+    ("CC0-1.0", "Creative Commons Legal Code CC0 1.0 Universal"),
     *WHOLE,
 ]
+#: By rule: each licence by its id, those of the GNU family also by the two forms that replaced it.
+TEMPLATES += [(i, f"spdx-{i}{form}") for i in sorted({i for i, _ in TEMPLATES} - {"Proprietary"}) for form in ("", "-only", "-or-later") if not form or "GPL" in i]
+SPDX = r"SPDX-License-Identifier:\s*([A-Za-z0-9.+() -]+)"
 
 
 def templates(spark: SparkSession) -> DataFrame:
@@ -62,7 +82,15 @@ def _tokens(units: DataFrame, *keys: str) -> DataFrame:
 
 def units(files: DataFrame) -> DataFrame:
     """(path, text_key, unit, licence_file, text) of files (path, text_key, text)."""
-    lines = files.select("path", "text_key", F.posexplode(F.split("text", r"\n")).alias("unit", "text")).where(F.col("text").rlike(CUE))
+    rows = files.select("path", "text_key", F.split("text", r"\n").alias("ls"))
+    # Of line i: unit 4 i its ids, 4 i + k it and what follows it, k lines in all. Ids become words of their own.
+    ids = F.regexp_extract_all(F.regexp_extract("line", SPDX, 1), F.lit("[A-Za-z0-9][A-Za-z0-9.+-]*"), F.lit(0))
+    names = F.array_join(F.transform(F.filter(ids, lambda x: ~x.isin("AND", "OR", "WITH")), lambda x: F.concat(F.lit("spdx-"), x)), " ")
+    after = lambda i, k: F.array_join(F.slice("ls", i + 1, F.lit(k)), " ")
+    cues = F.filter(F.transform("ls", lambda line, i: F.struct(i.alias("i"), line.alias("line"), F.array(*(F.when(i + k <= F.size("ls"), after(i, k)) for k in (1, 2, 3))).alias("texts"))), lambda x: x["line"].rlike(CUE))
+    found = rows.select("path", "text_key", F.explode(cues).alias("c")).select("path", "text_key", "c.i", "c.line", "c.texts")
+    texts = F.concat(F.array(F.when(names != "", names)), "texts")
+    lines = found.select("path", "text_key", "i", F.posexplode(texts).alias("k", "text")).where("text IS NOT NULL").select("path", "text_key", (4 * F.col("i") + F.col("k")).alias("unit"), "text")
     named = files.where(F.element_at(F.split("path", "/"), -1).rlike(LICENCE_FILE)).where("text <> ''")
     return lines.withColumn("licence_file", F.lit(False)).unionByName(named.withColumn("unit", F.lit(-1)).withColumn("licence_file", F.lit(True)))
 
@@ -96,7 +124,8 @@ def scan(files: DataFrame, patterns: DataFrame, threshold: float = THRESHOLD) ->
     rows = files.select("id", "path", F.coalesce("text", F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text"))
     distinct = rows.select("path", "text_key", "text")
     hits = matches(units(distinct).dropDuplicates(["path", "text_key", "unit"]), patterns).where(F.col("score") >= threshold)
-    best = F.min(F.struct((~F.col("licence_file")).alias("line"), (-F.col("score")).alias("o"), "license_id"))
+    first = F.col("licence_file") & (F.col("score") >= VERBATIM)
+    best = F.min(F.struct((~first).alias("part"), (-F.col("score")).alias("o"), "license_id"))
     own = hits.groupBy("path", "text_key").agg(best.alias("b"), F.max("licence_file").alias("is_file")).withColumn("own", F.struct("b.o", "b.license_id"))
     folder = F.regexp_replace("path", r"/?[^/]*$", "")
     of_dir = own.where("is_file AND path IS NOT NULL").select(folder.alias("licence_dir"), "own").groupBy("licence_dir").agg(F.min("own").alias("of_dir"))

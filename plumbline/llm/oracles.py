@@ -6,7 +6,7 @@ Fingerprints (XXH64), alignments, tree weighting, JSON records and merges have n
 from __future__ import annotations
 
 from .clustering import CENTROIDS, DIMS, ROUNDS, SCALE
-from .licenses import CUE, LICENCE_FILE, TEMPLATES, THRESHOLD
+from .licenses import CUE, LICENCE_FILE, SPDX, TEMPLATES, THRESHOLD, VERBATIM
 from .quality import BIT, LEXICON_ROWS, POLICIES, RULES, STOP_WORDS, TOXIC_WORDS
 from .variants import LEAST_CHARS, LEAST_COUNT, ONE_IN, TIMES
 
@@ -82,7 +82,10 @@ _TOKEN = "unnest(regexp_extract_all(lower(text), '[a-z0-9]+(?:[.-][a-z0-9]+)*'))
 LICENSES = f"""
 WITH files AS (SELECT doc_id, coalesce(text, '') AS text, source || '/' || doc_id // 1000 || CASE WHEN doc_id % 100 = 0 THEN '/LICENSE-' || doc_id ELSE '/' || doc_id // 100 || '/' || doc_id || '.txt' END AS path FROM documents),
 lines AS (SELECT doc_id, path, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS unit FROM files),
-units AS (SELECT doc_id, path, unit, text, false AS is_file FROM lines WHERE regexp_matches(text, '{CUE}')
+runs AS (SELECT *, lead(text) OVER w AS b, lead(text, 2) OVER w AS c FROM lines WINDOW w AS (PARTITION BY doc_id ORDER BY unit)),
+cues AS (SELECT doc_id, path, unit, [array_to_string(list_transform(list_filter(regexp_extract_all(regexp_extract(text, '{SPDX}', 1), '[A-Za-z0-9][A-Za-z0-9.+-]*'), lambda x: x NOT IN ('AND', 'OR', 'WITH')), lambda x: 'spdx-' || x), ' '),
+  text, text || ' ' || b, text || ' ' || b || ' ' || c] AS ts FROM runs WHERE regexp_matches(text, '{CUE}')),
+units AS (SELECT doc_id, path, 4 * unit + k AS unit, text, false AS is_file FROM (SELECT doc_id, path, unit, unnest(ts) AS text, generate_subscripts(ts, 1) AS k FROM cues) WHERE k > 1 AND text IS NOT NULL OR text <> ''
   UNION ALL SELECT doc_id, path, -1, text, true FROM files WHERE text <> '' AND regexp_matches(regexp_extract(path, '[^/]*$'), '{LICENCE_FILE}')),
 templates AS (SELECT *, row_number() OVER () AS template FROM (VALUES {_TEMPLATE_ROWS}) AS t(license_id, text)),
 ut AS (SELECT doc_id, unit, token, count(*) AS tf FROM (SELECT doc_id, unit, {_TOKEN} AS token FROM units) GROUP BY ALL),
@@ -91,8 +94,8 @@ idf AS (SELECT token, ln((1 + (SELECT count(*) FROM units) + (SELECT count(*) FR
 uw AS (SELECT doc_id, unit, token, tf * idf AS w FROM ut JOIN idf USING (token)), tw AS (SELECT license_id, template, token, tf * idf AS w FROM tt JOIN idf USING (token)),
 un AS (SELECT doc_id, unit, sqrt(sum(w * w)) AS norm FROM uw GROUP BY ALL), tn AS (SELECT template, sqrt(sum(w * w)) AS norm FROM tw GROUP BY ALL),
 dots AS (SELECT doc_id, unit, license_id, template, sum(uw.w * tw.w) AS dot FROM uw JOIN tw USING (token) GROUP BY ALL),
-hits AS (SELECT doc_id, license_id, unit <> -1 AS line, round(dot / un.norm / tn.norm, 9) AS score FROM dots JOIN un USING (doc_id, unit) JOIN tn USING (template)),
-own AS (SELECT doc_id, arg_min(license_id, (line, -score, license_id)) AS license_id, arg_min(score, (line, -score, license_id)) AS score FROM hits WHERE score >= {THRESHOLD} GROUP BY doc_id),
+hits AS (SELECT doc_id, license_id, unit <> -1 OR round(dot / un.norm / tn.norm, 9) < {VERBATIM} AS part, round(dot / un.norm / tn.norm, 9) AS score FROM dots JOIN un USING (doc_id, unit) JOIN tn USING (template)),
+own AS (SELECT doc_id, arg_min(license_id, (part, -score, license_id)) AS license_id, arg_min(score, (part, -score, license_id)) AS score FROM hits WHERE score >= {THRESHOLD} GROUP BY doc_id),
 dirs AS (SELECT regexp_replace(path, '/?[^/]*$', '') AS dir, arg_min(o.license_id, (-o.score, o.license_id)) AS license_id, max(o.score) AS score FROM own o JOIN (SELECT DISTINCT doc_id, path FROM units WHERE is_file) USING (doc_id) GROUP BY 1),
 near AS (SELECT doc_id, arg_max(dir, length(dir)) AS dir FROM files JOIN dirs ON starts_with(path, dir || '/') GROUP BY doc_id)
 SELECT f.doc_id, path, coalesce(o.license_id, d.license_id) AS license_id, coalesce(o.score, d.score) AS score, CASE WHEN o.doc_id IS NOT NULL THEN 'own' WHEN d.dir IS NOT NULL THEN 'inherited' END AS found,

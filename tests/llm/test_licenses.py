@@ -14,9 +14,12 @@ def brute(files, threshold=lc.THRESHOLD):
     words = lambda t: Counter(re.findall(r"[a-z0-9]+(?:[.-][a-z0-9]+)*", t.lower()))
     units = {}
     for path, text in files:
-        for i, line in enumerate((text or "").split("\n")):
+        lines = (text or "").split("\n")
+        for i, line in enumerate(lines):
             if re.search(lc.CUE, line):
-                units[path, text, i] = line
+                units |= {(path, text, (i, k)): " ".join(lines[i : i + k]) for k in (1, 2, 3) if i + k <= len(lines)}
+                if ids := [x for x in re.findall("[A-Za-z0-9][A-Za-z0-9.+-]*", (re.search(lc.SPDX, line) or ["", ""])[1]) if x not in ("AND", "OR", "WITH")]:
+                    units[path, text, (i, 0)] = " ".join("spdx-" + x for x in ids)
         if path and text and re.search(lc.LICENCE_FILE, path.split("/")[-1]):
             units[path, text, -1] = text
     tf = {k: words(t) for k, t in units.items()}
@@ -29,7 +32,7 @@ def brute(files, threshold=lc.THRESHOLD):
         for licence, p in patterns:
             dot = sum(n * p[w] * idf[w] ** 2 for w, n in c.items() if w in p)
             if dot and (s := round(dot / norm(c) / norm(p), 9)) >= threshold:
-                own[path, text] = min(own.get((path, text), (1, 0, "~")), (i != -1, -s, licence))
+                own[path, text] = min(own.get((path, text), (True, 0, "~")), (i != -1 or s < lc.VERBATIM, -s, licence))
     own = {k: v[1:] for k, v in own.items()}
     for (path, text, i) in units:
         if i == -1 and (path, text) in own:
@@ -66,6 +69,8 @@ def test_equals_brute_force(spark, sf):
         ("LICENSE", "Released under the MIT License."), ("a/LICENSE.txt", "Licensed under the Apache License, Version 2.0."), ("a/b/c/x.py", "no cue"),
         ("a/x.py", "# Licensed under CC BY-NC 4.0.\nprint(1)"), ("z/y/x", None), ("z/COPYING", "This work is licensed under the GNU General Public License, version 3."),
         ("z/LICENSE-MIT", "Released under the MIT License."), ("z/y/x", None), (None, "Released under the MIT License."), (None, "nothing"), ("top", ""), ("", ""),
+        ("s/a.c", "/* SPDX-License-Identifier: GPL-2.0-only */\nint x;"), ("s/b.c", "// SPDX-License-Identifier: (MIT OR Apache-2.0)"), ("s/c.c", "# SPDX-License-Identifier: Unheard-1.0"), ("s/d.c", "SPDX-License-Identifier:"),
+        ("n/LICENSE", "Apache License\nVersion 2.0, January 2004\n\n" + "You must give any other recipients of the Work a copy of this license\n" * 9), ("n/x.go", "// governed by a BSD-style\n// license that can be found in the LICENSE file."),
         ("a/b/NOTICE", "some license of no known kind at all but long prose about things"), ("abc/x", "permission " * 5000), ("a", "x"),
     ]
     got = same(spark, rows)
@@ -87,3 +92,27 @@ def test_whole_licences_are_found(spark, licence, text):
     files = spark.createDataFrame([(1, "a/LICENSE", "Copyright (c) 2021 Some One\n\n" + text), (2, "a/b.py", "x = 1")], "id long, path string, text string")
     got = {r.id: (r.license_id, r.found, r.score) for r in lc.scan(files, lc.templates(spark)).collect()}
     assert got[1][:2] == (licence, "own") and got[1][2] >= (0.85 if "\n" in text else lc.THRESHOLD) and got[2][:2] == (licence, "inherited")
+
+
+BODY = "Each contributor grants recipients a copyright license. Redistributions of the work in source or binary form, with or without modification, are permitted under the conditions of this license.\n"
+
+
+@pytest.mark.parametrize("licence, title", [
+    ("Apache-2.0", "                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n"),
+    ("GPL-3.0", "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n"), ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE\nVersion 2, June 1991\n"),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE\nVersion 3, 19 November 2007\n"), ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\n"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0\n==================================\n"), ("EPL-2.0", "Eclipse Public License - v 2.0\n"),
+])
+def test_long_licences_are_found_by_their_titles(spark, licence, title):
+    """Their bodies are no templates, and share much with licences that are."""
+    disclaimer = " ".join(lc.WHOLE[3][1].split()[60:140])
+    files = spark.createDataFrame([(1, "a/LICENSE", title + "\n" + BODY * 20 + disclaimer), (2, "a/b.py", "x = 1"), (3, "c/LICENSE", BODY * 3)], "id long, path string, text string")
+    got = {r.id: (r.license_id, r.found) for r in lc.scan(files, lc.templates(spark)).collect()}
+    assert got[1] == (licence, "own") and got[2] == (licence, "inherited") and got[3][1] != "inherited"
+
+
+def test_spdx_ids(spark):
+    texts = {"/* SPDX-License-Identifier: GPL-2.0-only */": "GPL-2.0", "// SPDX-License-Identifier: MIT": "MIT", "# SPDX-License-Identifier: LGPL-2.1-or-later": "LGPL-2.1", "# SPDX-License-Identifier: Unheard-9.9": None}
+    files = spark.createDataFrame([(i, f"d{i}/x.c", t + "\ncode();") for i, t in enumerate(texts)], "id long, path string, text string")
+    got = {r.id: r.license_id for r in lc.scan(files, lc.templates(spark)).collect()}
+    assert got == dict(enumerate(texts.values()))
