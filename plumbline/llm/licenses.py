@@ -1,7 +1,7 @@
 """License scans: TF-IDF cosine of headers and licence files to templates, then inheritance by directory.
 
 A file's units are its lines with a licence cue, each alone and with the one or two lines after it (notices and titles run over
-lines), the ids of `SPDX-License-Identifier` lines, and, if its name is that of a licence file, its whole text.
+lines) while these are `NOTICE_CHARS` together, the ids of `SPDX-License-Identifier` lines, and, if its name is that of a licence file, its whole text.
 Units and templates are sparse TF-IDF vectors, with document frequencies over all units and templates;
 dot products come from an equi-join on the token. A file takes the template most like any of its units, from
 `THRESHOLD` on (ties: the smaller licence id); a whole text that is almost a template, from `VERBATIM` on, goes before lines, which
@@ -16,12 +16,14 @@ get their row. Extra columns are kept out.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .licence_texts import WHOLE
 
 THRESHOLD, VERBATIM = 0.6, 0.85
+#: Lines are joined as long as they could be a notice or a title, the longest of which has about 250 characters.
+NOTICE_CHARS = 300
 BROADCAST_ROWS = 100_000
 LICENCE_FILE = r"(?i)^(un)?(licen[cs]e|copying|copyright|notice)s?([-._].*)?$"
 CUE = r"(?i)licen[cs]|creative commons|copyright|permission|redistribut|public domain|all rights"
@@ -80,6 +82,10 @@ def _tokens(units: DataFrame, *keys: str) -> DataFrame:
     return units.select(*keys, F.explode(words).alias("token")).groupBy(*keys, "token").agg(F.count("*").alias("tf"))
 
 
+def named_as_licence(path: Column) -> Column:
+    return F.element_at(F.split(path, "/"), -1).rlike(LICENCE_FILE)
+
+
 def units(files: DataFrame) -> DataFrame:
     """(path, text_key, unit, licence_file, text) of files (path, text_key, text)."""
     rows = files.select("path", "text_key", F.split("text", r"\n").alias("ls"))
@@ -87,11 +93,11 @@ def units(files: DataFrame) -> DataFrame:
     ids = F.regexp_extract_all(F.regexp_extract("line", SPDX, 1), F.lit("[A-Za-z0-9][A-Za-z0-9.+-]*"), F.lit(0))
     names = F.array_join(F.transform(F.filter(ids, lambda x: ~x.isin("AND", "OR", "WITH")), lambda x: F.concat(F.lit("spdx-"), x)), " ")
     after = lambda i, k: F.array_join(F.slice("ls", i + 1, F.lit(k)), " ")
-    cues = F.filter(F.transform("ls", lambda line, i: F.struct(i.alias("i"), line.alias("line"), F.array(*(F.when(i + k <= F.size("ls"), after(i, k)) for k in (1, 2, 3))).alias("texts"))), lambda x: x["line"].rlike(CUE))
+    cues = F.filter(F.transform("ls", lambda line, i: F.struct(i.alias("i"), line.alias("line"), F.array(*(F.when((i + k <= F.size("ls")) & ((F.length(after(i, k)) <= NOTICE_CHARS) if k > 1 else F.lit(True)), after(i, k)) for k in (1, 2, 3))).alias("texts"))), lambda x: x["line"].rlike(CUE))
     found = rows.select("path", "text_key", F.explode(cues).alias("c")).select("path", "text_key", "c.i", "c.line", "c.texts")
     texts = F.concat(F.array(F.when(names != "", names)), "texts")
     lines = found.select("path", "text_key", "i", F.posexplode(texts).alias("k", "text")).where("text IS NOT NULL").select("path", "text_key", (4 * F.col("i") + F.col("k")).alias("unit"), "text")
-    named = files.where(F.element_at(F.split("path", "/"), -1).rlike(LICENCE_FILE)).where("text <> ''")
+    named = files.where(named_as_licence(F.col("path"))).where("text <> ''")
     return lines.withColumn("licence_file", F.lit(False)).unionByName(named.withColumn("unit", F.lit(-1)).withColumn("licence_file", F.lit(True)))
 
 
@@ -126,7 +132,7 @@ def scan(files: DataFrame, patterns: DataFrame, threshold: float = THRESHOLD) ->
     hits = matches(units(distinct).dropDuplicates(["path", "text_key", "unit"]), patterns).where(F.col("score") >= threshold)
     first = F.col("licence_file") & (F.col("score") >= VERBATIM)
     best = F.min(F.struct((~first).alias("part"), (-F.col("score")).alias("o"), "license_id"))
-    own = hits.groupBy("path", "text_key").agg(best.alias("b"), F.max("licence_file").alias("is_file")).withColumn("own", F.struct("b.o", "b.license_id"))
+    own = hits.groupBy("path", "text_key").agg(best.alias("b"), F.first(named_as_licence(F.col("path"))).alias("is_file")).withColumn("own", F.struct("b.o", "b.license_id"))
     folder = F.regexp_replace("path", r"/?[^/]*$", "")
     of_dir = own.where("is_file AND path IS NOT NULL").select(folder.alias("licence_dir"), "own").groupBy("licence_dir").agg(F.min("own").alias("of_dir"))
     own = own.select(F.col("path").alias("p"), F.col("text_key").alias("k"), "own")

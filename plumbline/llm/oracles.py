@@ -6,7 +6,7 @@ Fingerprints (XXH64), alignments, tree weighting, JSON records and merges have n
 from __future__ import annotations
 
 from .clustering import CENTROIDS, DIMS, ROUNDS, SCALE
-from .licenses import CUE, LICENCE_FILE, SPDX, TEMPLATES, THRESHOLD, VERBATIM
+from .licenses import CUE, LICENCE_FILE, NOTICE_CHARS, SPDX, TEMPLATES, THRESHOLD, VERBATIM
 from .quality import BIT, LEXICON_ROWS, POLICIES, RULES, STOP_WORDS, TOXIC_WORDS
 from .variants import LEAST_CHARS, LEAST_COUNT, ONE_IN, TIMES
 
@@ -85,7 +85,7 @@ lines AS (SELECT doc_id, path, unnest(string_split(text, chr(10))) AS text, gene
 runs AS (SELECT *, lead(text) OVER w AS b, lead(text, 2) OVER w AS c FROM lines WINDOW w AS (PARTITION BY doc_id ORDER BY unit)),
 cues AS (SELECT doc_id, path, unit, [array_to_string(list_transform(list_filter(regexp_extract_all(regexp_extract(text, '{SPDX}', 1), '[A-Za-z0-9][A-Za-z0-9.+-]*'), lambda x: x NOT IN ('AND', 'OR', 'WITH')), lambda x: 'spdx-' || x), ' '),
   text, text || ' ' || b, text || ' ' || b || ' ' || c] AS ts FROM runs WHERE regexp_matches(text, '{CUE}')),
-units AS (SELECT doc_id, path, 4 * unit + k AS unit, text, false AS is_file FROM (SELECT doc_id, path, unit, unnest(ts) AS text, generate_subscripts(ts, 1) AS k FROM cues) WHERE k > 1 AND text IS NOT NULL OR text <> ''
+units AS (SELECT doc_id, path, 4 * unit + k AS unit, text, false AS is_file FROM (SELECT doc_id, path, unit, unnest(ts) AS text, generate_subscripts(ts, 1) AS k FROM cues) WHERE k = 2 OR text <> '' AND (k = 1 OR length(text) <= {NOTICE_CHARS})
   UNION ALL SELECT doc_id, path, -1, text, true FROM files WHERE text <> '' AND regexp_matches(regexp_extract(path, '[^/]*$'), '{LICENCE_FILE}')),
 templates AS (SELECT *, row_number() OVER () AS template FROM (VALUES {_TEMPLATE_ROWS}) AS t(license_id, text)),
 ut AS (SELECT doc_id, unit, token, count(*) AS tf FROM (SELECT doc_id, unit, {_TOKEN} AS token FROM units) GROUP BY ALL),

@@ -17,7 +17,7 @@ def brute(files, threshold=lc.THRESHOLD):
         lines = (text or "").split("\n")
         for i, line in enumerate(lines):
             if re.search(lc.CUE, line):
-                units |= {(path, text, (i, k)): " ".join(lines[i : i + k]) for k in (1, 2, 3) if i + k <= len(lines)}
+                units |= {(path, text, (i, k)): " ".join(lines[i : i + k]) for k in (1, 2, 3) if i + k <= len(lines) and (k == 1 or len(" ".join(lines[i : i + k])) <= lc.NOTICE_CHARS)}
                 if ids := [x for x in re.findall("[A-Za-z0-9][A-Za-z0-9.+-]*", (re.search(lc.SPDX, line) or ["", ""])[1]) if x not in ("AND", "OR", "WITH")]:
                     units[path, text, (i, 0)] = " ".join("spdx-" + x for x in ids)
         if path and text and re.search(lc.LICENCE_FILE, path.split("/")[-1]):
