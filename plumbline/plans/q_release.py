@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import EVALUATIVE, TREND
+from ..operators import constraints as cst
 from ..operators import domains as dom
 from ..operators import identifiers as idn
 from ..operators import release as rl
 from ..operators import states as st
 from ..registry import query, table
+from ..sources.tables import checkpointed
 from . import shims
 from .shims import DECISIONS, DOMAIN, GATED, PROJECTS, STATES
 
@@ -105,6 +107,88 @@ def cells_components(spark, d):
     return rl.cell_components(rl.fold_published(rl.sum_constraints(s), _tuples(s)))
 
 
+#: A whole model: states completed for all projects, passes and claims of checks, decisions by nation, both hypotheses and confirmation.
+_FULL = f"""{STATES}, {DOMAIN}, {DECISIONS}, projects AS (SELECT c_custkey AS project, c_nationkey AS quarter, c_mktsegment AS source, c_custkey % 7 = 0 AS failed FROM customer),
+  dense AS (SELECT project, check_id, coalesce(state, 'unknown') AS state FROM projects CROSS JOIN domain LEFT JOIN states USING (project, check_id)),
+  gate AS (SELECT project, decision, CASE WHEN bool_or(state = 'fail') THEN 'BLOCKED' WHEN bool_or(state IN ('unknown', 'claimed')) THEN 'INSUFFICIENT_EVIDENCE' ELSE 'PASS' END AS status FROM dense JOIN decision_of USING (check_id) GROUP BY ALL),
+  member AS (SELECT project, unnest(['all', 'q' || CAST(quarter AS VARCHAR), 'src:' || source]) AS partition FROM projects),
+  decided AS (SELECT check_id, CASE WHEN state = 'fail' THEN 'rejected' WHEN state = 'claimed' THEN 'downgraded' ELSE 'confirmed' END AS basis FROM dense WHERE state <> 'unknown'),
+  facts AS (SELECT (SELECT count(*) FROM projects WHERE failed) AS excluded, (SELECT count(*) FROM decided WHERE basis <> 'confirmed') AS changed),
+  hyp AS (SELECT * FROM (VALUES ('h1', ['1', '2'], 'claimed'), ('h3', ['3', '4'], 'pass')) AS t(h, cs, s)),
+  model AS (
+    SELECT 'chk|' || check_id || '|' || s || '|' || partition AS tuple_id, count(*) AS n, count(*) FILTER (state = s) AS c FROM dense JOIN member USING (project), (SELECT unnest(['pass', 'claimed']) AS s) GROUP BY ALL
+    UNION ALL SELECT 'dec|' || decision || '|' || partition, count(*), count(*) FILTER (status = 'PASS') FROM gate JOIN member USING (project) WHERE partition NOT LIKE 'src:%' GROUP BY decision, partition
+    UNION ALL SELECT 'sens|dec|' || decision || '|all', count(*), count(*) FILTER (status = 'PASS') FROM gate JOIN projects USING (project) WHERE NOT failed GROUP BY decision
+    UNION ALL SELECT h || '|all', count(DISTINCT project), count(DISTINCT project) FILTER (list_contains(cs, check_id) AND state = s) FROM dense, hyp GROUP BY h
+    UNION ALL SELECT 'sens|' || h || '|all', count(DISTINCT project), count(DISTINCT project) FILTER (list_contains(cs, check_id) AND state = s) FROM dense JOIN projects USING (project), hyp WHERE NOT failed GROUP BY h
+    UNION ALL SELECT 'conf|chk|' || check_id, count(*), count(*) FILTER (basis <> 'confirmed') FROM decided GROUP BY check_id
+    UNION ALL SELECT 'conf|' || b, (SELECT count(*) FROM decided), (SELECT count(*) FROM decided WHERE basis = b) FROM (SELECT unnest(['rejected', 'downgraded']) AS b)),
+  links AS (
+    SELECT 'sum|' || stem || '|' || k AS row_id, tuple_id, 1 AS coef, '=' AS sense, 0 AS rhs FROM (SELECT tuple_id, regexp_replace(tuple_id, '[|][^|]*$', '') AS stem, CASE WHEN contains(tuple_id, 'src:') THEN 'source' ELSE 'quarter' END AS k FROM model WHERE (tuple_id LIKE 'chk|%' OR tuple_id LIKE 'dec|%') AND tuple_id NOT LIKE '%|all')
+    UNION ALL SELECT 'sum|' || regexp_replace(tuple_id, '[|]all$', '') || '|' || k, tuple_id, -1, '=', 0 FROM model, (SELECT unnest(['quarter', 'source']) AS k) WHERE tuple_id LIKE 'chk|%|all' OR tuple_id LIKE 'dec|%|all' AND k = 'quarter'
+    UNION ALL SELECT 'le|' || tuple_id || '|' || check_id, unnest([tuple_id, 'chk|' || check_id || '|pass|' || string_split(tuple_id, '|')[3]]), unnest([1, -1]), '<=', 0 FROM model JOIN decision_of ON tuple_id LIKE 'dec|' || decision || '|%'
+    UNION ALL SELECT 'le|' || h || '|chk|' || c || '|' || s || '|all', unnest(['chk|' || c || '|' || s || '|all', h || '|all']), unnest([1, -1]), '<=', 0 FROM (SELECT h, s, unnest(cs) AS c FROM hyp)
+    UNION ALL SELECT 'ge|' || h, 'chk|' || c || '|' || s || '|all', 1, '>=', 0 FROM (SELECT h, s, unnest(cs) AS c FROM hyp) UNION ALL SELECT 'ge|' || h, h || '|all', -1, '>=', 0 FROM hyp
+    UNION ALL SELECT 'le|dec|d2|all|h3', unnest(['dec|d2|all', 'h3|all']), unnest([1, -1]), '<=', 0
+    UNION ALL SELECT 'ge|' || tuple_id, unnest([substr(tuple_id, 6), tuple_id]), unnest([1, -1]), '>=', 0 FROM model WHERE tuple_id LIKE 'sens|%' UNION ALL SELECT 'le|' || tuple_id, unnest([substr(tuple_id, 6), tuple_id]), unnest([1, -1]), '<=', excluded FROM model, facts WHERE tuple_id LIKE 'sens|%'
+    UNION ALL SELECT CASE WHEN tuple_id LIKE 'conf|chk|%' THEN 'sum|conf|chk' ELSE 'sum|conf|kind' END, tuple_id, 1, '=', changed FROM model, facts WHERE tuple_id LIKE 'conf|%')"""
+
+
+def _model(spark, d):
+    """(tuples, rows) of the whole model."""
+    from ..operators.views import model_tuples
+
+    c = table(spark, d, "customer")
+    projects = c.select(F.col("c_custkey").alias("project"), F.col("c_nationkey").alias("quarter"), F.col("c_mktsegment").alias("source"), (F.col("c_custkey") % 7 == 0).alias("failed"))
+    states, of = shims.states(spark, d).select("project", "check_id", "state"), shims.decision_of(spark)
+    dense = projects.select("project").crossJoin(shims.domain(spark)).join(states, ["project", "check_id"], "left").withColumn("state", F.coalesce("state", F.lit("unknown")))  # seven checks
+    basis = F.when(F.col("state") == "fail", "rejected").when(F.col("state") == "claimed", "downgraded").otherwise("confirmed")
+    decided = dense.where("state <> 'unknown'").select("project", "check_id", basis.alias("basis"))
+    shares = [rl.check_shares(dense, projects, shims.domain(spark), s).select(F.concat_ws("|", F.lit("chk"), "check_id", F.lit(s), "partition").alias("tuple_id"), F.col("n").cast("long").alias("n"), "c") for s in ("pass", "claimed")]
+    rest = model_tuples(dense, st.rule_gate(dense, of), projects, decided, ["1", "2"], ["3", "4"]).where(~F.col("tuple_id").startswith("st|"))
+    tuples = shares[0].unionByName(shares[1]).unionByName(rest.select("tuple_id", "n", "c"))
+    facts = projects.agg(F.count_if("failed").alias("excluded")).crossJoin(decided.agg(F.count_if(F.col("basis") != "confirmed").alias("changed")))
+    # Hundreds of tuples, which every family of rows reads: counted once.
+    tuples, facts = checkpointed(tuples), checkpointed(facts)
+    return rl.suppress(tuples), checkpointed(cst.linking_rows(tuples, of, ["1", "2"], ["3", "4"], "d2", facts))
+
+
+@query(f"WITH {_FULL} SELECT row_id, tuple_id, coef, sense, rhs FROM links")
+def model_rows(spark, d):
+    """Linking rows of all families."""
+    return _model(spark, d)[1]
+
+
+@query(f"""WITH {_FULL}, s AS (SELECT row_id, sense, rhs, CAST(sum(coef * c) AS BIGINT) AS value FROM links JOIN model USING (tuple_id) GROUP BY ALL)
+  SELECT row_id, value, CASE sense WHEN '=' THEN value = rhs WHEN '<=' THEN value <= rhs ELSE value >= rhs END AS holds FROM s""")
+def model_rows_hold(spark, d):
+    """Every row over the true counts."""
+    tuples, rows = _model(spark, d)
+    return rl.check_constraints(rows, tuples)
+
+
+def _required(rows):
+    """Rows of sources are only known where the whole is published."""
+    whole = rows.where("coef = -1 AND row_id LIKE 'sum|chk|%|source'")
+    return whole.select("row_id", "tuple_id")
+
+
+@query(f"""WITH {_FULL}, sup AS (SELECT *, {PRIMARY} AS suppressed FROM model), gone AS (SELECT DISTINCT row_id FROM links JOIN sup USING (tuple_id) WHERE suppressed AND coef = -1 AND row_id LIKE 'sum|chk|%|source'),
+  j AS (SELECT * FROM links JOIN sup USING (tuple_id) WHERE row_id NOT IN (SELECT row_id FROM gone)), k AS (SELECT row_id, CAST(sum(CASE WHEN suppressed THEN 0 ELSE coef * c END) AS BIGINT) AS known FROM j GROUP BY 1)
+  SELECT row_id, tuple_id, coef, sense, rhs - known AS rhs FROM j JOIN k USING (row_id) WHERE suppressed""")
+def model_fold(spark, d):
+    """What readers of the release know of suppressed counts."""
+    tuples, rows = _model(spark, d)
+    return cst.fold(rows, tuples, _required(rows))
+
+
+@query()
+def model_feasible(spark, d):
+    """The counts that each suppressed tuple of the whole model can still have: (tuple_id, component, n_values, least, most)."""
+    tuples, rows = _model(spark, d)
+    return cst.feasible_counts(tuples, rows, _required(rows))
+
+
 @query()
 def feasible_values(spark, d):
     """Exact feasible counts of each suppressed cell of the release, over all projects, nations and sources: (tuple_id, kind, n_values)."""
