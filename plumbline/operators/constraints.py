@@ -79,80 +79,120 @@ def fold(terms: DataFrame, tuples: DataFrame, requires: DataFrame | None = None)
 
 
 class Component:
-    """Cells with ranges of values, and rows over them; searched by shrinking intervals and branching on the narrowest cell."""
+    """Cells with sets of values, as bits of integers, and rows over them.
+
+    A row keeps those values of a cell that some values of its other cells go with: for sums by the reachable sums before and after the
+    cell, also bits, for inequalities by ends. Where no rows form a cycle, what all rows keep is exactly what is possible; else values
+    are tried by branching on the cell with the fewest.
+    """
 
     def __init__(self, ranges: list[list[tuple[int, int]]], rows: list[tuple[list[tuple[int, int]], str, int]]):
-        self.ranges, self.rows = ranges, rows
+        self.start = [sum(((1 << (b - a + 1)) - 1) << a for a, b in r) for r in ranges]
+        self.rows = rows
         self.of_cell: list[list[int]] = [[] for _ in ranges]
         for r, (terms, _, _) in enumerate(rows):
             for i, _ in terms:
                 self.of_cell[i].append(r)
 
-    def _clip(self, i: int, a: int, b: int) -> tuple[int, int] | None:
-        """[a, b] with ends that are values of the cell."""
-        inside = [(max(a, x), min(b, y)) for x, y in self.ranges[i] if max(a, x) <= min(b, y)]
-        return (inside[0][0], inside[-1][1]) if inside else None
+    def _cycle(self) -> bool:
+        root: dict[tuple[str, int], tuple[str, int]] = {}
 
-    def shrink(self, domain: list[tuple[int, int]], touched: list[int]) -> bool:
+        def find(x):
+            while root.setdefault(x, x) != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        for r, (terms, _, _) in enumerate(self.rows):
+            for i, _ in terms:
+                a, b = find(("row", r)), find(("cell", i))
+                if a == b:
+                    return True
+                root[a] = b
+        return False
+
+    @staticmethod
+    def _ends(bits: int, k: int) -> tuple[int, int]:
+        """Least and greatest of k times a value."""
+        low, high = (bits & -bits).bit_length() - 1, bits.bit_length() - 1
+        return (k * low, k * high) if k > 0 else (k * high, k * low)
+
+    def _equal(self, terms: list[tuple[int, int]], rhs: int, domain: list[int]) -> list[int]:
+        """The kept values of each term's cell, where the terms must sum to `rhs`."""
+        ends = [self._ends(domain[i], k) for i, k in terms]
+        shifts = [[(v, k * v - low) for v in range(domain[i].bit_length()) if domain[i] >> v & 1] for (i, k), (low, _) in zip(terms, ends, strict=True)]
+        target = rhs - sum(low for low, _ in ends)
+        if target < 0:
+            return [0] * len(terms)
+
+        def reachable(parts):
+            sums = [1]
+            for part in parts:
+                total = 0
+                for _, d in part:
+                    total |= sums[-1] << d
+                sums.append(total)
+            return sums
+
+        before, after, kept = reachable(shifts), reachable(shifts[::-1])[::-1], []
+        for j, part in enumerate(shifts):
+            turned = int(f"{after[j + 1] & ((2 << target) - 1):0{target + 1}b}"[::-1], 2)  # bit target - x for each sum x after the cell
+            kept.append(sum(1 << v for v, d in part if d <= target and before[j] & (turned >> d)))
+        return kept
+
+    def _unequal(self, terms: list[tuple[int, int]], sense: str, rhs: int, domain: list[int]) -> list[int]:
+        ends, at = [self._ends(domain[i], k) for i, k in terms], int(sense == ">=")
+        total = sum(e[at] for e in ends)
+        fits = (lambda x: x >= rhs) if at else (lambda x: x <= rhs)
+        return [sum(1 << v for v in range(domain[i].bit_length()) if domain[i] >> v & 1 and fits(total - e[at] + k * v)) for (i, k), e in zip(terms, ends, strict=True)]
+
+    def shrink(self, domain: list[int], touched: list[int]) -> bool:
+        """Let rows take values out of `domain` until none does; false if a cell has none left."""
         todo, waiting = list(touched), set(touched)
         while todo:
             r = todo.pop()
             waiting.discard(r)
             terms, sense, rhs = self.rows[r]
-            low = sum(k * domain[i][k < 0] for i, k in terms)
-            high = sum(k * domain[i][k > 0] for i, k in terms)
-            if sense != ">=" and low > rhs or sense != "<=" and high < rhs:
-                return False
-            for i, k in terms:
-                a, b = domain[i]
-                if sense != ">=":  # k x <= rhs - (low - k x's own least)
-                    most = rhs - low + k * (a if k > 0 else b)
-                    a, b = (a, min(b, most // k)) if k > 0 else (max(a, -(most // -k)), b)
-                if sense != "<=":
-                    least = rhs - high + k * (domain[i][1] if k > 0 else domain[i][0])
-                    a, b = (max(a, -(-least // k)), b) if k > 0 else (a, min(b, -least // -k))
-                new = self._clip(i, a, b)
-                if new is None:
+            kept = self._equal(terms, rhs, domain) if sense == "=" else self._unequal(terms, sense, rhs, domain)
+            for (i, _), bits in zip(terms, kept, strict=True):
+                if not bits:
                     return False
-                if new != domain[i]:
-                    low += k * (new[k < 0] - domain[i][k < 0])
-                    high += k * (new[k > 0] - domain[i][k > 0])
-                    domain[i] = new
-                    more = [q for q in self.of_cell[i] if q not in waiting]
+                if bits != domain[i]:
+                    domain[i] = bits
+                    more = [q for q in self.of_cell[i] if q != r and q not in waiting]
                     todo += more
                     waiting.update(more)
         return True
 
-    def solve(self, domain: list[tuple[int, int]], touched: list[int]) -> list[int] | None:
+    def solve(self, domain: list[int], touched: list[int]) -> list[int] | None:
         """Values of all cells that satisfy the rows, or none."""
         stack = [(list(domain), touched)]
         while stack:
             domain, touched = stack.pop()
             if not self.shrink(domain, touched):
                 continue
-            wide = [i for i, (a, b) in enumerate(domain) if a < b]
+            wide = [i for i, bits in enumerate(domain) if bits & (bits - 1)]
             if not wide:
-                return [a for a, _ in domain]
-            i = min(wide, key=lambda j: domain[j][1] - domain[j][0])
-            a, b = domain[i]
-            middle = (a + b) // 2
-            for part in (self._clip(i, middle + 1, b), self._clip(i, a, middle)):
-                if part:
-                    stack.append(([*domain[:i], part, *domain[i + 1 :]], self.of_cell[i]))
+                return [bits.bit_length() - 1 for bits in domain]
+            i = min(wide, key=lambda j: domain[j].bit_count())
+            first = domain[i] & -domain[i]
+            for part in (domain[i] ^ first, first):
+                stack.append(([*domain[:i], part, *domain[i + 1 :]], self.of_cell[i]))
         return None
 
     def feasible(self) -> list[set[int]]:
-        """The values that each cell can take: every solution found settles a value of every cell."""
-        every = list(range(len(self.rows)))
-        domain = [(r[0][0], r[-1][1]) for r in self.ranges]
-        found: list[set[int]] = [set() for _ in self.ranges]
-        if not self.shrink(domain, every):
-            return found
-        for i, (a, b) in enumerate(domain):
-            for v in (v for x, y in self.ranges[i] for v in range(max(a, x), min(b, y) + 1)):
+        """The values that each cell can take; with cycles every solution found settles a value of every cell."""
+        domain = list(self.start)
+        if not all(domain) or not self.shrink(domain, list(range(len(self.rows)))):
+            return [set() for _ in domain]
+        left = [{v for v in range(bits.bit_length()) if bits >> v & 1} for bits in domain]
+        if not self._cycle():
+            return left
+        found: list[set[int]] = [set() for _ in domain]
+        for i, values in enumerate(left):
+            for v in sorted(values):
                 if v not in found[i]:
-                    values = self.solve([*domain[:i], (v, v), *domain[i + 1 :]], self.of_cell[i])
-                    for j, x in enumerate(values or ()):
+                    for j, x in enumerate(self.solve([*domain[:i], 1 << v, *domain[i + 1 :]], self.of_cell[i]) or ()):
                         found[j].add(x)
         return found
 
