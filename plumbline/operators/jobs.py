@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import checkpointed
+
 
 def numbered(events: DataFrame, job: str, *order: str) -> DataFrame:
     return events.withColumn("seq", F.row_number().over(Window.partitionBy(job).orderBy(*order)).cast("long"))
@@ -89,6 +91,49 @@ def rolling_projection(done: DataFrame, keys: list[str], total: int) -> DataFram
     return done.withColumn("mean_cost", F.avg("cost").over(w)).withColumn("projected", F.col("mean_cost") * total)
 
 
+def running_totals(rows: DataFrame, keys: list[str], order: str, columns: list[str], n_ranges: int | None = None) -> DataFrame:
+    """Adds `sum_<column>`: whole-number sums of a key's rows up to each, in an order without ties.
+
+    Rows are cut into ranges of key and order, so that a key with most of the rows is many tasks' work: sums are taken within ranges, and what
+    lies before a range comes from the ranges' totals, of which a key has at most as many as there are ranges.
+    """
+    n = n_ranges or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = checkpointed(rows.repartitionByRange(n, *keys, order).withColumn("_range", F.spark_partition_id()))
+    totals = ranged.groupBy(*keys, "_range").agg(*(F.sum(c).alias(f"_{c}") for c in columns))
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*keys, "_range", *(F.coalesce(F.sum(f"_{c}").over(before), F.lit(0)).alias(f"_{c}") for c in columns))
+    within = Window.partitionBy(*keys, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    joined = ranged.join(offsets, [*keys, "_range"])
+    return joined.select(*rows.columns, *((F.col(f"_{c}") + F.coalesce(F.sum(c).over(within), F.lit(0))).cast("long").alias(f"sum_{c}") for c in columns))
+
+
+def calibrated_projection(done: DataFrame, planned: DataFrame, keys: list[str], prompt: float, completion: float, every: int = 20) -> DataFrame:
+    """After each completion (keys, ord, estimated, input, output) what all that is `planned` (keys, items, estimated, cap) will cost.
+
+    Input left over is estimated by the ratio of real to estimated input so far, output by its mean so far. The run stops at the first row
+    whose projection passes the cap, or whose usage is unknown (null): later rows are not there. `reason` names that row, and each
+    `every`-th completion.
+    """
+    missing = (F.col("input").isNull() | F.col("output").isNull()).cast("long")
+    sums = running_totals(done.withColumn("one", F.lit(1)).withColumn("missing", missing), keys, "ord", ["one", "estimated", "input", "output", "missing"])
+    s = sums.join(planned.select(*keys, F.col("items").alias("_items"), F.col("estimated").alias("_estimated"), F.col("cap").alias("_cap")), keys)
+    verified = (F.col("sum_missing") == 0) & (F.col("sum_estimated") > 0)
+    ratio = F.col("sum_input").cast("double") / F.col("sum_estimated")
+    mean = F.col("sum_output").cast("double") / F.col("sum_one")
+    left_in, left_out = F.ceil((F.col("_estimated") - F.col("sum_estimated")) * ratio), F.ceil(mean * (F.col("_items") - F.col("sum_one")))
+    spent = F.col("sum_input") * F.lit(prompt) + F.col("sum_output") * F.lit(completion)
+    known = lambda c: F.when(verified, c)
+    rows = s.select(
+        *keys, "ord", F.col("sum_one").alias("completed"), known(ratio).alias("ratio"), known(mean).alias("mean_output"), known(left_in).alias("left_input"), known(left_out).alias("left_output"),
+        spent.alias("spent"), known(spent + left_in * prompt + left_out * completion).alias("projected"), verified.alias("verified"), "_cap",
+    )
+    within = F.coalesce(F.col("projected") <= F.col("_cap"), F.lit(False))
+    judged = rows.withColumn("within_cap", within)
+    stop = judged.where(~F.col("within_cap")).groupBy(*keys).agg(F.min("ord").alias("_stop"))
+    reason = F.when(~F.col("verified"), "usage-unavailable").when(~F.col("within_cap"), "projected-budget-exceeded").when(F.col("completed") % every == 0, "completed")
+    return judged.join(stop, keys, "left").where(F.col("_stop").isNull() | (F.col("ord") <= F.col("_stop"))).withColumn("reason", reason).drop("_stop", "_cap", "verified")
+
+
 def early_failures(results: DataFrame, keys: list[str], first: int = 20, allowed: int = 2) -> DataFrame:
     """(keys, failures, goes_on): failures among the first results by `ord`."""
     w = Window.partitionBy(*keys).orderBy("ord")

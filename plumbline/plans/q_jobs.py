@@ -156,3 +156,81 @@ def replay_steps(spark, d):
 def paired_settings(spark, d):
     e = table(spark, d, "events").select(F.col("event_type").alias("stage"), F.explode(F.array(F.lit("on"), F.lit("off"))).alias("setting"), F.when(F.col("value") > 30, "slow").otherwise("ok").alias("reason"))
     return e.groupBy("stage", "setting", "reason").agg(F.count("*").alias("n"))
+
+
+_CALLS = """calls AS (SELECT event_type AS stage, event_id AS ord, k * 10 + event_id % 7 AS estimated, CASE WHEN event_type <> 'error' OR event_id % 400 <> 0 THEN k * (9 + event_id % 4) END AS input, k AS output FROM (SELECT *, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events)),
+  planned AS (SELECT stage, count(*) AS items, CAST(sum(estimated) AS BIGINT) AS estimated, CAST(sum(estimated) AS BIGINT) * CASE WHEN stage IN ('view', 'click', 'error') THEN 0.0000014::DOUBLE ELSE 0.00000125::DOUBLE END AS cap FROM calls GROUP BY stage)"""
+
+
+@query(f"""WITH {_CALLS}, s AS (SELECT stage, ord, count(*) OVER w AS n, sum(estimated) OVER w AS e, coalesce(sum(input) OVER w, 0) AS i, coalesce(sum(output) OVER w, 0) AS o, count(*) FILTER (input IS NULL) OVER w AS miss FROM calls WINDOW w AS (PARTITION BY stage ORDER BY ord)),
+  p AS (SELECT stage, ord, n, i * 0.000001::DOUBLE + o * 0.000002::DOUBLE AS spent, miss = 0 AND e > 0 AS ok, i::DOUBLE / e AS ratio, o::DOUBLE / n AS mean, ceil((estimated - e) * (i::DOUBLE / e)) AS li, ceil(o::DOUBLE / n * (items - n)) AS lo, cap FROM s JOIN planned USING (stage)),
+  j AS (SELECT *, ok AND spent + li * 0.000001::DOUBLE + lo * 0.000002::DOUBLE <= cap AS within FROM p), stop AS (SELECT stage, min(ord) AS at_ FROM j WHERE NOT within GROUP BY 1)
+  SELECT stage, ord, n AS completed, CASE WHEN ok THEN round(ratio, 9) END AS ratio, CASE WHEN ok THEN CAST(li AS BIGINT) END AS left_input, CASE WHEN ok THEN CAST(lo AS BIGINT) END AS left_output, CASE WHEN ok THEN round(spent + li * 0.000001::DOUBLE + lo * 0.000002::DOUBLE, 9) END AS projected, within AS within_cap,
+    CASE WHEN NOT ok THEN 'usage-unavailable' WHEN NOT within THEN 'projected-budget-exceeded' WHEN n % 20 = 0 THEN 'completed' END AS reason FROM j LEFT JOIN stop USING (stage) WHERE at_ IS NULL OR ord <= at_""")
+def calibrated_projection(spark, d):
+    e = table(spark, d, "events")
+    k, i = F.from_json("props", "k int")["k"].cast("long"), F.col("event_id")
+    calls = e.select(F.col("event_type").alias("stage"), i.alias("ord"), (k * 10 + i % 7).alias("estimated"), F.when((F.col("event_type") != "error") | (i % 400 != 0), k * (9 + i % 4)).alias("input"), k.alias("output"))
+    planned = calls.groupBy("stage").agg(F.count("*").alias("items"), F.sum("estimated").alias("estimated"))
+    planned = planned.withColumn("cap", F.col("estimated") * F.when(F.col("stage").isin("view", "click", "error"), 0.0000014).otherwise(0.00000125))
+    r = jb.calibrated_projection(calls, planned, ["stage"], 0.000001, 0.000002)
+    return r.select("stage", "ord", "completed", F.round("ratio", 9).alias("ratio"), "left_input", "left_output", F.round("projected", 9).alias("projected"), "within_cap", "reason")
+
+
+def budget_events(spark, d):
+    """Events as reservations of runs of 300 events, their settlements and expiries; caps by kind of call."""
+    e, i = table(spark, d, "events"), F.col("event_id")
+    kind = F.when(i % 3 == 0, "reserve").when((i % 3 == 1) & (i % 4 != 0), "settle").when((i % 3 == 2) & (i % 5 != 0), "expire").otherwise("reserve")
+    key = F.when(kind == "reserve", i).otherwise(i - i % 3)
+    return e.select(F.floor(i / 300).cast("long").alias("parent"), F.col("event_type").alias("child"), i.alias("ord"), kind.alias("kind"), key.cast("string").alias("id"), F.col("value").cast("double").alias("usd"), F.lit(250.0).alias("child_cap"), F.lit(900.0).alias("parent_cap"))
+
+
+@query()
+def reservations(spark, d):
+    """Reservations and settlements under caps of calls and runs."""
+    from ..operators import budgets
+
+    return budgets.reservations(budget_events(spark, d))
+
+
+_LINES = "lines AS (SELECT c_nationkey AS part, c_custkey AS k, CAST(c_custkey AS VARCHAR) || ' ' || c_name || ' ' || c_mktsegment AS line FROM customer)"
+
+
+def _written(spark, df):
+    """A folder of one text file for each part, lines in order of their keys."""
+    import uuid
+
+    from ..sources.tables import shared_folder
+
+    path = f"{shared_folder(spark).rstrip('/')}/packs/{uuid.uuid4().hex}"
+    df.repartition("part").sortWithinPartitions("part", "k").select("part", "line").write.partitionBy("part").text(path)
+    return path
+
+
+def _customer_lines(spark, d):
+    c = table(spark, d, "customer")
+    return c.select(F.col("c_nationkey").cast("int").alias("part"), F.col("c_custkey").alias("k"), F.concat_ws(" ", F.col("c_custkey").cast("string"), "c_name", "c_mktsegment").alias("line"))
+
+
+def _by_folder(df):
+    return df.withColumn("file", F.substring_index("file", "/", 1))
+
+
+@query(f"WITH {_LINES}, f AS (SELECT part, string_agg(line || chr(10), '' ORDER BY k) AS t FROM lines GROUP BY part) SELECT 'part=' || part AS file, octet_length(encode(t)) AS bytes, sha256(t) AS sha256 FROM f")
+def pack_digests(spark, d):
+    """Digests of written files."""
+    from ..sources import packs
+
+    return _by_folder(packs.file_digests(spark, _written(spark, _customer_lines(spark, d))))
+
+
+@query("SELECT 'part=' || part AS file, CASE WHEN part = 3 THEN 'missing' WHEN part = 99 THEN 'extra' ELSE 'changed' END AS problem FROM (SELECT DISTINCT c_nationkey AS part FROM customer WHERE c_nationkey % 5 = 0 OR c_nationkey = 3 UNION SELECT 99)")
+def pack_refusals(spark, d):
+    """Files of a later pack that are not those of the first one's manifest."""
+    from ..sources import packs
+
+    lines = _customer_lines(spark, d)
+    later = lines.where("part <> 3").withColumn("line", F.when(F.col("part") % 5 == 0, F.upper("line")).otherwise(F.col("line")))
+    later = later.unionByName(lines.withColumn("part", F.lit(99)))
+    listed, found = (packs.file_digests(spark, _written(spark, x)) for x in (lines, later))
+    return packs.refusals(_by_folder(listed), _by_folder(found))

@@ -7,14 +7,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """What `spark.checkpoint.dir` names; a folder of this machine's own only in local mode."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not named and spark.sparkContext.master.partition("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return named or "file:///tmp/checkpoints"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """`df` without its lineage, in the folder that `spark.checkpoint.dir` names; one of this machine's own only in local mode."""
+    """`df` without its lineage, in the shared folder."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        named = context.getConf().get("spark.checkpoint.dir", None)
-        if not named and context.master.partition("[")[0] != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        context.setCheckpointDir(named or "file:///tmp/checkpoints")
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
