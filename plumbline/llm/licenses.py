@@ -87,28 +87,29 @@ def named_as_licence(path: Column) -> Column:
 
 
 def units(files: DataFrame) -> DataFrame:
-    """(path, text_key, unit, licence_file, text) of files (path, text_key, text)."""
-    rows = files.select("path", "text_key", F.split("text", r"\n").alias("ls"))
+    """(a, b, unit, text) of files (a, b, path, text), `a` and `b` their names; the whole text of a licence file is unit -1."""
+    rows = files.select("a", "b", F.split("text", r"\n").alias("ls"))
     # Of line i: unit 4 i its ids, 4 i + k it and what follows it, k lines in all. Ids become words of their own.
     ids = F.regexp_extract_all(F.regexp_extract("line", SPDX, 1), F.lit("[A-Za-z0-9][A-Za-z0-9.+-]*"), F.lit(0))
     names = F.array_join(F.transform(F.filter(ids, lambda x: ~x.isin("AND", "OR", "WITH")), lambda x: F.concat(F.lit("spdx-"), x)), " ")
     after = lambda i, k: F.array_join(F.slice("ls", i + 1, F.lit(k)), " ")
-    cues = F.filter(F.transform("ls", lambda line, i: F.struct(i.alias("i"), line.alias("line"), F.array(*(F.when((i + k <= F.size("ls")) & ((F.length(after(i, k)) <= NOTICE_CHARS) if k > 1 else F.lit(True)), after(i, k)) for k in (1, 2, 3))).alias("texts"))), lambda x: x["line"].rlike(CUE))
-    found = rows.select("path", "text_key", F.explode(cues).alias("c")).select("path", "text_key", "c.i", "c.line", "c.texts")
-    texts = F.concat(F.array(F.when(names != "", names)), "texts")
-    lines = found.select("path", "text_key", "i", F.posexplode(texts).alias("k", "text")).where("text IS NOT NULL").select("path", "text_key", (4 * F.col("i") + F.col("k")).alias("unit"), "text")
+    few = lambda i, k: (F.length(after(i, k)) <= NOTICE_CHARS) if k > 1 else F.lit(True)
+    lines = F.transform("ls", lambda line, i: F.when(line.rlike(CUE), F.struct(i.alias("i"), line.alias("line"), F.array(*(F.when((i + k <= F.size("ls")) & few(i, k), after(i, k)) for k in (1, 2, 3))).alias("texts"))))
+    found = rows.select("a", "b", F.explode(F.array_compact(lines)).alias("c")).select("a", "b", "c.i", "c.line", "c.texts")
+    each = found.select("a", "b", "i", F.posexplode(F.concat(F.array(F.when(names != "", names)), "texts")).alias("k", "text")).where("text IS NOT NULL")
     named = files.where(named_as_licence(F.col("path"))).where("text <> ''")
-    return lines.withColumn("licence_file", F.lit(False)).unionByName(named.withColumn("unit", F.lit(-1)).withColumn("licence_file", F.lit(True)))
+    return each.select("a", "b", (4 * F.col("i") + F.col("k")).alias("unit"), "text").unionByName(named.select("a", "b", F.lit(-1).alias("unit"), "text"))
 
 
-def matches(found: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(path, text_key, unit, licence_file, license_id, score): each unit's best template."""
+def matches(found: DataFrame, copies: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(a, b, unit, license_id, score): each unit's best template. `copies` (a, b, m) are names of rows that are there m times, not once."""
     patterns = patterns.where("text IS NOT NULL").select("license_id", "text", F.xxhash64("license_id", "text").alias("template")).dropDuplicates(["template"])
-    keys = ("path", "text_key", "unit", "licence_file")
-    of_units = _tokens(found, *keys)
+    keys = ("a", "b", "unit")
+    # Texts are not shuffled to find copies: their counts are divided instead.
+    of_units = _tokens(found, *keys).join(copies, ["a", "b"], "left").select(*keys, "token", F.expr("tf div coalesce(m, 1)").alias("tf"))
     of_patterns = _tokens(patterns, "license_id", "template")
     seen = of_units.select("token").unionByName(of_patterns.select("token")).groupBy("token").agg(F.count("*").alias("df"))
-    n = found.select(F.lit(1)).unionByName(patterns.select(F.lit(1))).agg(F.count("*").alias("n_units"))
+    n = found.select(*keys).distinct().select(F.lit(1)).unionByName(patterns.select(F.lit(1))).agg(F.count("*").alias("n_units"))
     idf = seen.join(F.broadcast(n)).select("token", (F.log((1 + F.col("n_units")) / (1 + F.col("df"))) + 1).alias("idf"))
     weigh = lambda df, *by: df.join(idf, "token").select(*by, "token", (F.col("tf") * F.col("idf")).alias("w"))
     unit_w, pattern_w = weigh(of_units, *keys), weigh(of_patterns, "license_id", "template")
@@ -118,32 +119,35 @@ def matches(found: DataFrame, patterns: DataFrame) -> DataFrame:
     small = of_patterns.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     side = pattern_w.join(pattern_norm, ["license_id", "template"]).select("license_id", "template", "token", (F.col("w") / F.col("norm")).alias("v"))
     side = F.broadcast(side) if small else side
-    same = [F.col(f"u.{k}").eqNullSafe(F.col(f"m.{k}")) for k in keys]
     dots = unit_w.join(side, "token").groupBy(*keys, "license_id", "template").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
-    scored = dots.alias("m").join(unit_norm.alias("u"), same).select("m.*", F.round(F.col("m.dot") / F.col("u.norm"), 9).alias("score"))
+    scored = dots.join(unit_norm, list(keys)).withColumn("score", F.round(F.col("dot") / F.col("norm"), 9))
     best = scored.groupBy(*keys).agg(F.min(F.struct((-F.col("score")).alias("o"), "license_id")).alias("best"))
     return best.select(*keys, "best.license_id", (-F.col("best.o")).alias("score"))
 
 
 def scan(files: DataFrame, patterns: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(id, path, license_id, score, found, licence_dir) of files (id, path, text); found: own, inherited or null."""
-    rows = files.select("id", "path", F.coalesce("text", F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text"))
-    distinct = rows.select("path", "text_key", "text")
-    hits = matches(units(distinct).dropDuplicates(["path", "text_key", "unit"]), patterns).where(F.col("score") >= threshold)
-    first = F.col("licence_file") & (F.col("score") >= VERBATIM)
+    text = F.coalesce("text", F.lit(""))
+    # Files go by 128 bits of path and text; two equal files are one.
+    name = [F.xxhash64(F.lit(i), F.col("path"), F.col("path").isNull(), text) for i in (0, 1)]
+    whole = files.select("id", "path", text.alias("text"), name[0].alias("a"), name[1].alias("b"))
+    rows = whole.drop("text")
+    copies = rows.groupBy("a", "b").agg(F.count("*").alias("m")).where("m > 1")
+    hits = matches(units(whole.drop("id")), copies, patterns).where(F.col("score") >= threshold)
+    first = (F.col("unit") == -1) & (F.col("score") >= VERBATIM)
     best = F.min(F.struct((~first).alias("part"), (-F.col("score")).alias("o"), "license_id"))
-    own = hits.groupBy("path", "text_key").agg(best.alias("b"), F.first(named_as_licence(F.col("path"))).alias("is_file")).withColumn("own", F.struct("b.o", "b.license_id"))
+    own = hits.groupBy("a", "b").agg(best.alias("best")).select("a", "b", F.struct("best.o", "best.license_id").alias("own"))
+    joined = rows.join(own, ["a", "b"], "left")
     folder = F.regexp_replace("path", r"/?[^/]*$", "")
-    of_dir = own.where("is_file AND path IS NOT NULL").select(folder.alias("licence_dir"), "own").groupBy("licence_dir").agg(F.min("own").alias("of_dir"))
-    own = own.select(F.col("path").alias("p"), F.col("text_key").alias("k"), "own")
+    licence_files = rows.where("path IS NOT NULL").where(named_as_licence(F.col("path"))).join(own, ["a", "b"])
+    of_dir = licence_files.select(folder.alias("licence_dir"), "own").groupBy("licence_dir").agg(F.min("own").alias("of_dir"))
     # A directory and its ancestors, the root as ''.
     folders = rows.where("path IS NOT NULL").select(folder.alias("folder")).distinct()
     parts = F.split("folder", "/")
     up = F.expr("transform(sequence(0, IF(folder = '', 0, size(parts))), n -> struct(n, array_join(slice(parts, 1, n), '/') AS dir))")
     ancestors = folders.withColumn("parts", parts).select("folder", F.explode(up).alias("a")).select("folder", "a.n", F.col("a.dir").alias("licence_dir"))
     nearest = ancestors.join(of_dir, "licence_dir").groupBy("folder").agg(F.max_by(F.struct("licence_dir", "of_dir"), "n").alias("near"))
-    joined = rows.join(own, F.col("path").eqNullSafe(F.col("p")) & (F.col("text_key") == F.col("k")), "left").withColumn("folder", folder)
-    joined = joined.join(nearest, "folder", "left")
+    joined = joined.withColumn("folder", folder).join(nearest, "folder", "left")
     given = F.coalesce("own", "near.of_dir")
     return joined.select(
         "id",
