@@ -7,7 +7,7 @@ import pyarrow.parquet as pq
 import sentencepiece
 
 import corpus_pipeline
-from plumbline.llm import decontaminate, oracles, pieces
+from plumbline.llm import decontaminate, oracles, pieces, stages
 
 from ..oracle import TABLES
 from .test_decontaminate import norm, within
@@ -75,3 +75,13 @@ def test_pipeline_equals_plain_steps(spark, tmp_path):
     got = corpus_pipeline.run(spark, str(tmp_path / "first")).collect()
     assert {r.doc_id: r.ids for r in got} == want and len(got) == len(want)
     assert 8 < len(want) < len(docs) - 8 and all(r.n_ids == len(r.ids) for r in got)
+
+
+def test_columns_of_any_name_are_kept(spark):
+    words = " ".join(f"word{i}" for i in range(60))
+    rows = [(1, words, "a", "b", "c"), (2, words + " end", "d", "e", "f"), (3, "another text\nof two lines", None, "g", "h"), (4, None, "i", "j", "k")]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", "row_key", "row_key_", "x.y `z`"])
+    kept = stages.near_dedup(spark, docs, "")
+    assert kept.columns == docs.columns and {tuple(r) for r in kept.collect()} == {rows[0], rows[2], rows[3]}
+    lines = stages.line_dedup(spark, docs, "")
+    assert lines.columns == docs.columns and {r[0]: r[2:] for r in map(tuple, lines.collect())} == {r[0]: r[2:] for r in rows}
