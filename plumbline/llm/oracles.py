@@ -54,6 +54,14 @@ bits AS (SELECT *, CAST({_SQL_RULES} AS BIGINT) AS fail_bits FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits & {POLICIES["base-1"]} <> 0 AS base_failed, fail_bits & {POLICIES["quality-2"]} = 0 AS kept, fail_bits FROM bits
 """
 
+_RULE_ROWS = ", ".join(f"('{r.name}', {BIT[r.name]})" for r in RULES if BIT[r.name] & POLICIES["quality-2"])
+
+ABLATION = f"""
+WITH q AS ({QUALITY}), rules AS (SELECT * FROM (VALUES {_RULE_ROWS}) AS t(rule, bit)), m AS (SELECT fail_bits & {POLICIES["quality-2"]} AS bits FROM q)
+SELECT rule, 'quality-2' AS policy, count(*) FILTER (bits & bit <> 0) AS n_failed, count(*) FILTER (bits = bit) AS n_failed_alone, count(*) FILTER (bits = 0) AS n_kept, count(*) FILTER (bits = 0 OR bits = bit) AS n_kept_without
+FROM m, rules GROUP BY rule
+"""
+
 _INNER = "regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1)"
 for _a, _b in (("</?b>", ""), ("<[^>]+>", " ")):
     _INNER = f"regexp_replace({_INNER}, '{_a}', '{_b}', 'g')"
@@ -141,6 +149,7 @@ ORACLES = {
     "op2_line_dedup": LINE_DEDUP,
     "op3_license_scan": LICENSES,
     "op4_quality_rules": QUALITY,
+    "quality_ablation": ABLATION,
     "op5_html_extraction": EXTRACTION,
     "op9_suffix_array": SUFFIXES,
     "op11_spelling_variants": VARIANTS,
