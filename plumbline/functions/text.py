@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Sequence
 
 import pandas as pd
@@ -190,6 +191,19 @@ def repository_links(text: Column) -> Column:
     return F.array_distinct(F.filter(clean, lambda x: ~x.endswith("/") & ~F.substring_index(x, "/", 1).isin(RESERVED_OWNERS)))
 
 
+def _composed(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda x: x if x is None else unicodedata.normalize("NFC", x))
+
+
+def nfc(text: Column | str) -> Column:
+    """Letters and marks composed where Unicode has a composed form (NFC).
+
+    Spark has no expression for it. Text whose characters are all below the first combining mark is its own form and is not handed to Python.
+    """
+    text = F.col(text) if isinstance(text, str) else text
+    return F.coalesce(F.pandas_udf(_composed, "string")(F.when(text.rlike(r"[^\x{0000}-\x{02FF}]"), text)), text)
+
+
 def normalise(text: Column) -> Column:
     """Lower case, one blank for each run of what is no letter or digit."""
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}\s]+", " "), r"\s+", " "))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -141,54 +141,138 @@ def cramers_v(statistic: Column, n: Column, checks: Column, groups: Column) -> C
     return F.sqrt(F.try_divide(statistic, n * checks * F.least(F.lit(1), groups - 1)))
 
 
-def permutation_p(labels: list[int], positives: np.ndarray, seed: str, draws: int = 2000) -> tuple[float, float]:
-    """(statistic, p) of the omnibus statistic under seeded Fisher-Yates shuffles, each going on from the last."""
-    y, n = np.asarray(labels), len(labels)
-    groups = np.eye(y.max() + 1)[y] if n else np.zeros((0, 1))
-    totals = positives.sum(0)
-    live = (totals > 0) & (totals < n)
-    sizes = groups.sum(0)
-
-    def statistic(order: np.ndarray) -> float:
-        c = groups[order].T @ positives[:, live]
-        e = np.outer(sizes, totals[live] / n)
-        return float((((c - e) ** 2) * (1 / e + 1 / (sizes[:, None] - e))).sum())
-
-    order, digest = list(range(n)), hashlib.sha256
-    t, hits, i = statistic(np.arange(n)), 0, 0
-    stream = f"{seed}:bootstrap:".encode()
-    for _ in range(draws):
+def _shuffles(order: list[int], stream: bytes, first: int, last: int) -> Iterator[list[int]]:
+    """`order` after each of the seeded Fisher-Yates shuffles first..last, each going on from the last; changed in place.
+
+    A shuffle of n takes the next n - 1 uniforms of the stream.
+    """
+    n, digest = len(order), hashlib.sha256
+    for draw in range(first, last):
+        i = draw * max(n - 1, 0)
         for j in range(n - 1, 0, -1):
             u = (int.from_bytes(digest(b"%b%d" % (stream, i)).digest()[:7]) >> 4) / (1 << 52)  # the first 13 hex digits
             k = int(u * (j + 1))
             order[j], order[k] = order[k], order[j]
             i += 1
-        hits += statistic(np.array(order, int)) >= t - 1e-9 * max(1.0, t)
+        yield order
+
+
+class _Omnibus:
+    """The omnibus statistic of group numbers and positives (projects x checks) under orders of the projects."""
+
+    def __init__(self, labels: np.ndarray, positives: np.ndarray):
+        n, totals = len(labels), positives.sum(0)
+        live = (totals > 0) & (totals < n)
+        self.groups = np.eye(labels.max() + 1)[labels] if n else np.zeros((0, 1))
+        self.positives = positives[:, live]
+        sizes = self.groups.sum(0)[:, None]
+        self.expected = sizes * (totals[live] / n) if n else np.zeros((1, 0))
+        self.weight = 1 / self.expected + 1 / (sizes - self.expected)
+
+    def __call__(self, order: list[int]) -> float:
+        c = self.groups[np.asarray(order, int)].T @ self.positives
+        return float(((c - self.expected) ** 2 * self.weight).sum())
+
+
+def _reaches(statistic, observed):
+    """Whether a shuffle's statistic is the observed one or more, but for rounding."""
+    return statistic >= observed - 1e-9 * max(1.0, observed)
+
+
+def permutation_p(labels: list[int], positives: np.ndarray, seed: str, draws: int = 2000) -> tuple[float, float]:
+    """(statistic, p) of one family in memory, shuffle by shuffle; `permutation_test` gives the same over many."""
+    n, statistic = len(labels), _Omnibus(np.asarray(labels), positives)
+    t = statistic(list(range(n)))
+    hits = sum(_reaches(statistic(x), t) for x in _shuffles(list(range(n)), f"{seed}:bootstrap:".encode(), 0, draws))
     return t, (1 + hits) / (draws + 1)
 
 
-def permutation_test(rows: DataFrame, seed: str, draws: int = 2000, by: str = "family") -> DataFrame:
-    """(by, tested, reason, statistic, p, v) for each family of (by, project, grp, check_id, positive); one family's sample is one task's work.
+#: Checks that share one long for each project, and shuffles that one task of a family makes.
+_SLICE, _BLOCK = 62, 50
 
-    A family of fewer than two groups, or with a group of fewer than H2_GROUP_MIN projects, is not tested and has a reason instead of figures.
 
-    A family is a review's sample (hundreds of projects), so its size does not grow with the table's number of families.
+def _family_samples(rows: DataFrame, by: str) -> DataFrame:
+    """(by, slice, labels, bits, n, checks, groups, least): a sample's projects in order, their group numbers and a bit for each check.
+
+    Counted before they are gathered: what is gathered is two numbers for each project and slice of checks.
     """
+    rows = rows.where("project IS NOT NULL AND grp IS NOT NULL AND check_id IS NOT NULL")
+    key = F.struct(by)  # equal to itself where it is null
+    checks = rows.select(key.alias("f"), "check_id").distinct().withColumn("ix", F.row_number().over(Window.partitionBy("f").orderBy("check_id")) - 1)
+    sizes = checks.groupBy("f").agg(F.count("*").alias("checks"))
+    yes = rows.select(key.alias("f"), "project", "grp", "check_id", F.col("positive").cast("int").alias("yes"))
+    bit = F.call_function("shiftleft", F.coalesce("yes", F.lit(0)).cast("long"), (F.col("ix") % _SLICE).cast("int"))
+    masks = yes.join(checks, ["f", "check_id"]).groupBy("f", "project", "grp", F.floor(F.col("ix") / _SLICE).alias("slice")).agg(F.bit_or(bit).alias("mask"))
+    people = masks.groupBy("f", "project", "grp").agg(F.map_from_entries(F.collect_list(F.struct("slice", "mask"))).alias("masks"))
+    groups = people.groupBy("f", "grp").agg(F.count("*").alias("size")).groupBy("f").agg(F.array_sort(F.collect_list("grp")).alias("names"), F.min("size").alias("least"))
+    known = people.join(sizes.join(groups, "f"), "f")
+    slices = known.withColumn("slice", F.explode(F.sequence(F.lit(0), F.floor((F.col("checks") - 1) / _SLICE).cast("int"))))
+    one = F.struct("project", "grp", (F.array_position("names", F.col("grp")) - 1).cast("int").alias("label"), F.coalesce(F.try_element_at("masks", F.col("slice").cast("long")), F.lit(0)).alias("mask"))
+    gathered = slices.groupBy("f", "slice").agg(F.array_sort(F.collect_list(one)).alias("x"), F.first("checks").alias("checks"), F.first(F.size("names")).alias("groups"), F.first("least").alias("least"))
+    return gathered.select(F.col(f"f.{by}").alias(by), "slice", F.col("x.label").alias("labels"), F.col("x.mask").alias("bits"), F.size("x").alias("n"), "checks", "groups", "least")
+
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        wide = pdf.pivot_table(index=["project", "grp"], columns="check_id", values="positive", aggfunc="max", fill_value=0).sort_index()
-        names = {g: i for i, g in enumerate(sorted(wide.index.get_level_values("grp").unique()))}
-        y = [names[g] for g in wide.index.get_level_values("grp")]
-        x = wide.to_numpy(float)
-        reason = "fewer than two groups" if len(names) < 2 else f"a group has fewer than {H2_GROUP_MIN} projects" if np.bincount(y).min() < H2_GROUP_MIN else None
-        if reason:
-            return pd.DataFrame({by: [pdf[by].iloc[0]], "tested": [False], "reason": [reason], "statistic": [None], "p": [None], "v": [None]})
-        t, p = permutation_p(y, x, f"{seed}:h2-permutation", draws)
-        v = math.sqrt(t / (len(y) * x.shape[1])) if len(y) else 0.0
-        return pd.DataFrame({by: [pdf[by].iloc[0]], "tested": [True], "reason": [None], "statistic": [t], "p": [p], "v": [v]})
+def permutation_test(rows: DataFrame, seed: str, draws: int = 2000, by: str = "family") -> DataFrame:
+    """(by, tested, reason, statistic, p, v) for each family of (by, project, grp, check_id, positive).
+
+    A family of fewer than two groups, or with a group of fewer than H2_GROUP_MIN projects, is not tested and has a reason instead of figures.
+    A check that a project lacks counts as not positive; rows without project, group or check are left out.
 
+    Each shuffle goes on from the last, so a draw is a product of all shuffles before it. Blocks of shuffles are multiplied out apart,
+    their products joined to products of the blocks before in doubling steps, and each block then goes on from its own start: a task has one
+    block of a family, whose memory is its projects' numbers.
+    """
+    stream = f"{seed}:h2-permutation:bootstrap:".encode()
+    samples = _family_samples(rows, by)
+    few = F.when(F.col("groups") < 2, "fewer than two groups").when(F.col("least") < H2_GROUP_MIN, f"a group has fewer than {H2_GROUP_MIN} projects")
+    refused = samples.where("slice = 0").select(by, few.alias("reason")).where("reason IS NOT NULL")
+    tested = samples.where(few.isNull())
+    n_blocks = -(-draws // _BLOCK)
+    blocks = F.explode(F.sequence(F.lit(0), F.lit(max(n_blocks - 1, 0))))
     kind = rows.schema[by].dataType.simpleString()
-    return rows.withColumn("positive", F.col("positive").cast("int")).groupBy(by).applyInPandas(run, f"{by} {kind}, tested boolean, reason string, statistic double, p double, v double")
+
+    def products(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            done = []
+            for n, block in zip(pdf["n"], pdf["block"], strict=True):
+                order = list(range(n))
+                for order in _shuffles(order, stream, block * _BLOCK, min(draws, (block + 1) * _BLOCK)):  # noqa: B007
+                    pass
+                done.append(order)
+            yield pdf[["n", "block"]].assign(product=done)
+
+    # Shuffles know only how many are shuffled, so families of one size share them.
+    tasks = tested.select("n").distinct().select("n", blocks.alias("block")).repartition(max(n_blocks, 1), "n", "block")
+    product = tasks.mapInPandas(products, "n int, block int, product array<int>")
+    step = 1
+    while step < n_blocks:
+        earlier = product.select("n", (F.col("block") + step).alias("block"), F.col("product").alias("before"))
+        after = F.transform("product", lambda i: F.element_at("before", i + 1))
+        product = product.join(earlier, ["n", "block"], "left").select("n", "block", F.when(F.col("before").isNull(), F.col("product")).otherwise(after).alias("product"))
+        step *= 2
+    starts = product.select("n", (F.col("block") + 1).alias("block"), F.col("product").alias("start"))
+
+    def statistics(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for r in pdf.itertuples(index=False):
+                bits = np.asarray(r.bits, np.int64)
+                width = min(_SLICE, r.checks - _SLICE * r.slice)
+                statistic = _Omnibus(np.asarray(r.labels), (bits[:, None] >> np.arange(width) & 1).astype(float))
+                order = list(range(r.n)) if r.start is None else [int(x) for x in r.start]
+                first, last = r.block * _BLOCK, min(draws, (r.block + 1) * _BLOCK)
+                each = [statistic(x) for x in _shuffles(order, stream, first, last)]
+                observed = statistic(list(range(r.n)))
+                yield pd.DataFrame({by: [r[0]] * len(each), "draw": range(first, last), "part": each, "observed": observed, "size": r.n * r.checks})
+
+    work = tested.select(by, "slice", "labels", "bits", "n", "checks", blocks.alias("block")).join(starts, ["n", "block"], "left")
+    work = work.select(by, "slice", "labels", "bits", "n", "checks", "block", "start").repartition(max(n_blocks, 1), by, "slice", "block")
+    parts = work.mapInPandas(statistics, f"`{by}` {kind}, draw long, part double, observed double, size long")
+    drawn = parts.groupBy(by, "draw").agg(F.sum("part").alias("part"), F.sum("observed").alias("t"), F.first("size").alias("size"))
+    near = F.col("part") >= F.col("t") - 1e-9 * F.greatest(F.lit(1.0), F.col("t"))
+    sums = drawn.groupBy(by).agg(F.first("t").alias("t"), F.count_if(near).alias("hits"), F.first("size").alias("size"))
+    found = sums.select(by, F.lit(True).alias("tested"), F.lit(None).cast("string").alias("reason"), F.col("t").alias("statistic"), ((F.col("hits") + 1) / (draws + 1)).alias("p"), F.sqrt(F.col("t") / F.col("size")).alias("v"))
+    nothing = F.lit(None).cast("double")
+    return found.unionByName(refused.select(by, F.lit(False).alias("tested"), "reason", nothing.alias("statistic"), nothing.alias("p"), nothing.alias("v")))
 
 
 def recall_figure(projects: DataFrame) -> DataFrame:

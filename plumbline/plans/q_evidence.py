@@ -212,7 +212,7 @@ def verbatim_match(spark, d):
 
 
 _COMMON = ", ".join(f"'{w}'" for w in COMMON_WORDS)
-_WORDS = "regexp_extract_all(lower(text), '[\\pL\\pM\\pN]+(?:[''’.\\-][\\pL\\pM\\pN]+)*')"
+_WORDS = "regexp_extract_all(lower(nfc_normalize(text)), '[\\pL\\pM\\pN]+(?:[''’.\\-][\\pL\\pM\\pN]+)*')"
 
 
 @query(f"SELECT w AS word, count(DISTINCT source) AS df FROM (SELECT source, unnest({_WORDS}) AS w FROM documents) GROUP BY 1")
@@ -256,6 +256,20 @@ def chunk_pack(spark, d):
     return ev.pack(_lines(spark, d).withColumn("page_ix", F.floor(F.col("span_ix") / 3)), 4000)
 
 
+def _costs(chars, n):
+    """An estimate of a request's tokens, by a chunk's characters and spans."""
+    return F.ceil(chars / 4) + 25 * n + 100 <= 700
+
+
+@query()
+def chunk_halving(spark, d):
+    """Packed chunks of whole documents' capped spans, cut in halves until a request holds each."""
+    spans = ev.page_spans(table(spark, d, "documents").select(F.col("doc_id").alias("project"), F.lit(0).alias("page_ix"), "text"), 1500)
+    spans = spans.select("project", F.floor(F.col("span_ix") / 3).alias("page_ix"), "span_ix", "text")
+    packed = ev.pack(spans, 4000).join(spans, ["project", "page_ix", "span_ix"])
+    return ev.halve(packed, _costs, 4000)
+
+
 @query()
 def split_oversized(spark, d):
     """Capped spans of whole documents."""

@@ -41,3 +41,51 @@ def test_permutation_refuses_small_groups(spark):
     assert got["big"].tested and got["big"].p == pytest.approx(1 / 2001)
     assert not got["small"].tested and got["small"].p is None and "30" in got["small"].reason
     assert not got["one"].tested and got["one"].reason == "fewer than two groups"
+
+
+def plain_permutation(sample, seed, draws):
+    """(statistic, p, v) of {(project, grp): {check: positive}} by plain loops, all shuffles in sequence."""
+    people = sorted(sample)
+    checks = sorted({c for x in sample.values() for c in x})
+
+    def statistic(groups):
+        out = 0.0
+        for c in checks:
+            yes = [bool(sample[p].get(c)) for p in people]
+            if 0 < sum(yes) < len(yes):
+                for g in set(groups):
+                    mine = [y for y, h in zip(yes, groups, strict=True) if h == g]
+                    e = len(mine) * sum(yes) / len(yes)
+                    out += (sum(mine) - e) ** 2 * (1 / e + 1 / (len(mine) - e))
+        return out
+
+    groups, i, hits = [g for _, g in people], 0, 0
+    t = statistic(groups)
+    for _ in range(draws):
+        for j in range(len(groups) - 1, 0, -1):
+            u = int(hashlib.sha256(f"{seed}:h2-permutation:bootstrap:{i}".encode()).hexdigest()[:13], 16) / (1 << 52)
+            k, i = int(u * (j + 1)), i + 1
+            groups[j], groups[k] = groups[k], groups[j]
+        hits += statistic(groups) >= t - 1e-9 * max(1, t)
+    return t, (1 + hits) / (draws + 1), (t / len(people) / len(checks)) ** 0.5
+
+
+def test_permutations_split_over_tasks_equal_the_sequence(spark):
+    rng, samples, rows = random.Random(5), {}, []
+    for f, n, n_checks in (("a", 33, 3), ("b", 33, 2), ("c", 40, 65), (None, 44, 1)):
+        sample = samples[f] = {}
+        for p in range(2 * n):
+            x = sample[f"p{p:03d}", "uv"[p % 2]] = {c: rng.random() < 0.4 + 0.1 * (p % 2) for c in range(n_checks) if rng.random() < 0.9}
+            rows += [(f, f"p{p:03d}", "uv"[p % 2], c, y) for c, y in x.items()] + [(f, f"p{p:03d}", "uv"[p % 2], None, True)]
+    sample = {k: {k2: x for k2, x in v.items() if x} for k, v in samples.items()}
+    df = spark.createDataFrame(rows, "family string, project string, grp string, check_id int, positive boolean")
+    got = {r.family: r for r in ss.permutation_test(df, "s", 130).collect()}
+    assert len(got) == 4
+    for f, x in sample.items():
+        t, p, v = plain_permutation(x, "s", 130)
+        assert got[f].tested and (got[f].statistic, got[f].p, got[f].v) == (pytest.approx(t), pytest.approx(p), pytest.approx(v))
+
+
+def test_permutation_of_no_rows(spark):
+    df = spark.createDataFrame([], "family string, project string, grp string, check_id int, positive boolean")
+    assert ss.permutation_test(df, "s", 10).collect() == []
