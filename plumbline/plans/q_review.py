@@ -7,24 +7,34 @@ from pyspark.sql import functions as F
 from ..functions import pages as pg
 from ..operators import review as rv
 from ..operators import states as st
+from ..operators import stats as ss
 from ..registry import query, table
 from . import shims
 from .q_states import BOUND, _bound
+from .q_stats import COUNTS, DERIVED, METRICS
 from .shims import DECISIONS, EDITS, PROJECTS, STATES
 
-#: Gate statuses of the checks, in order.
-_STATUS = {"1": "released", "2": "released-not-estimable", "3": "corrected-revalidated", "4": "missed", "5": "person-coded", "6": "withheld", "7": "released"}
-_GATE = "gate AS (SELECT * FROM (VALUES " + ", ".join(f"('{c}', '{s}')" for c, s in _STATUS.items()) + ") AS t(check_id, status))"
+#: The gate over line items as pairs of two coders: the second errs the more often, the higher a check's number.
+_GATE = f"""gate AS (WITH c AS (SELECT check_id, withheld, person, {COUNTS} FROM (SELECT CAST(l_linenumber AS VARCHAR) AS check_id, (l_returnflag = 'A') <> (l_partkey % 64 < l_linenumber) AS a, l_returnflag = 'A' AS b,
+    sum(l_suppkey) OVER w % 2 = 1 AS withheld, count(*) OVER w % 4 = 1 AS person FROM lineitem WINDOW w AS (PARTITION BY l_linenumber)) GROUP BY ALL),
+  m AS ({DERIVED}), v AS (SELECT {METRICS}, check_id, withheld, person FROM m),
+  s AS (SELECT *, CASE WHEN gold_passes < 10 THEN 'released-not-estimable' WHEN ac1 >= 0.7 AND precision >= 0.85 THEN 'released' ELSE 'missed' END AS base FROM v)
+  SELECT check_id, n, gold_passes, ac1, precision, CASE WHEN person THEN 'person-coded' WHEN withheld AND base = 'missed' THEN 'withheld' ELSE base END AS status FROM s)"""
 _OK = "('released', 'released-not-estimable', 'corrected-revalidated', 'person-coded')"
 
 
-def _gate(spark):
-    return spark.createDataFrame(list(_STATUS.items()), "check_id string, status string")
+def _gate(spark, d):
+    li = table(spark, d, "lineitem")
+    check, gold = F.col("l_linenumber").cast("string").alias("check_id"), F.col("l_returnflag") == "A"
+    pairs = li.select(check, (gold != (F.col("l_partkey") % 64 < F.col("l_linenumber"))).alias("a"), gold.alias("b"))
+    flags = li.groupBy(check).agg((F.sum("l_suppkey") % 2 == 1).alias("withheld"), (F.count("*") % 4 == 1).alias("person_coded"))
+    metrics = ss.binary_agreement(pairs, ["check_id"]).join(flags, "check_id").withColumn("revalidated", F.lit(None).cast("boolean"))
+    return ss.gate_ladder(metrics)
 
 
 @query(f"WITH {_GATE} SELECT check_id FROM gate WHERE status IN {_OK}")
 def publishable_checks(spark, d):
-    return rv.publishable_checks(_gate(spark), F.lit(True))
+    return rv.publishable_checks(_gate(spark, d), F.col("n") > 0)
 
 
 @query(f"""WITH {STATES}, {BOUND}, {DECISIONS}, {PROJECTS}, {_GATE},
@@ -33,7 +43,7 @@ def publishable_checks(spark, d):
   SELECT project, decision, CASE WHEN bool_or(state = 'fail') THEN 'BLOCKED' WHEN bool_or(state IN ('unknown', 'claimed')) THEN 'INSUFFICIENT_EVIDENCE' ELSE 'PASS' END AS status FROM x JOIN decision_of USING (check_id) GROUP BY ALL""")
 def published_decisions(spark, d):
     published = st.published_states(*_bound(spark, d))
-    return rv.published_decisions(published, shims.projects(spark, d), rv.publishable_checks(_gate(spark)), shims.decision_of(spark))
+    return rv.published_decisions(published, shims.projects(spark, d), rv.publishable_checks(_gate(spark, d)), shims.decision_of(spark))
 
 
 @query(f"""WITH {STATES}, {DECISIONS}, {EDITS}, s AS (SELECT project, check_id, state, CASE WHEN state = 'claimed' THEN 'unknown' ELSE state END AS gate, CASE WHEN project % 3 <> 0 THEN state END AS shown, check_id = '4' AS override FROM states),
@@ -80,11 +90,10 @@ def hypothesis_family(spark, d):
     return rv.hypothesis_family(c.select(F.col("c_nationkey").alias("family"), k.alias("id"), p(37).alias("p"), F.when(k % 4 != 0, p(91)).alias("sensitivity_p"), (k % 5 != 0).alias("tested")))
 
 
-@query(f"""WITH {_GATE} SELECT check_id, '| ' || check_id || ' | ' || CAST(check_id AS INTEGER) * 10 || ' | ' || CAST(check_id AS INTEGER) || ' | 0.5 | ' || CASE WHEN status = 'missed' THEN 'not estimable' ELSE '0.75' END || ' | ' ||
+@query(f"""WITH {_GATE} SELECT check_id, '| ' || check_id || ' | ' || n || ' | ' || gold_passes || ' | ' || CAST(round(ac1, 3) AS VARCHAR) || ' | ' || coalesce(CAST(round(precision, 3) AS VARCHAR), 'not estimable') || ' | ' ||
   CASE WHEN status = 'released-not-estimable' THEN 'not estimable' ELSE status END || ' |' AS line FROM gate""")
 def gate_report(spark, d):
-    i = F.col("check_id").cast("int")
-    return rv.gate_report(_gate(spark).select("check_id", "status", (i * 10).alias("n"), i.alias("gold_passes"), F.lit(0.5).alias("ac1"), F.when(F.col("status") != "missed", 0.75).alias("precision")))
+    return rv.gate_report(_gate(spark, d).withColumns({c: F.round(c, 3) for c in ("ac1", "precision")}))
 
 
 # --- review ---

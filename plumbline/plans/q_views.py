@@ -33,7 +33,7 @@ def release_input(spark, d):
     k = F.col("span_id").cast("long")
     pages = s.select("project", F.explode("span_ids").alias("span_id")).distinct().where(k % 5 != 0)
     pages = pages.withColumn("source_type", F.concat(F.lit("t"), (k % 4).cast("string"))).withColumn("visibility", F.when(k % 3 != 0, "provider").otherwise("own"))
-    return vw.release_input(st.published_states(*_bound(spark, d)), s, shims.projects(spark, d), publishable_checks(_gate(spark)), shims.decision_of(spark), pages, _LETTERS)
+    return vw.release_input(st.published_states(*_bound(spark, d)), s, shims.projects(spark, d), publishable_checks(_gate(spark, d)), shims.decision_of(spark), pages, _LETTERS)
 
 
 _PASS = "count(*) FILTER (status = 'PASS')"
@@ -53,61 +53,70 @@ def model_tuples(spark, d):
     return vw.model_tuples(s, st.rule_gate(s, shims.decision_of(spark)), projects, st.published_states(*_bound(spark, d)), ["1", "2"], ["3", "4"])
 
 
-_PARTS = [("all", "all", 0), ("q1", "cohort", 1), ("q2", "cohort", 2), ("src:a", "source", 3)]
-_PART_SQL = "parts AS (SELECT * FROM (VALUES " + ", ".join(f"('{p}', '{k}', {i})" for p, k, i in _PARTS) + ") AS t(partition, kind, o))"
-_ROWS_SQL = f"""{DECISIONS}, {_PART_SQL}, s AS (SELECT * FROM (VALUES ('claimed', 0), ('pass', 1)) AS t(state, s)), d AS (SELECT decision, min(check_id) AS c FROM decision_of GROUP BY 1),
-  r AS (SELECT 'checks:' || decision AS figure, [check_id] AS at_, 'chk|' || check_id || '|pass|all' AS tuple_id FROM decision_of UNION ALL SELECT 'decisions', [c], 'dec|' || decision || '|all' FROM d
+_PART_SQL = """parts AS (SELECT DISTINCT 'q' || CAST(quarter AS VARCHAR) AS partition, 'cohort' AS kind, quarter AS o FROM projects
+  UNION ALL SELECT 'src:' || source, 'source', 4 + row_number() OVER (ORDER BY source) FROM (SELECT DISTINCT source FROM projects))"""
+_ROWS_SQL = f"""{DECISIONS}, {PROJECTS}, checks AS (SELECT * FROM decision_of WHERE check_id IN (SELECT CAST(l_linenumber AS VARCHAR) FROM lineitem)), {_PART_SQL}, s AS (SELECT * FROM (VALUES ('claimed', 0), ('pass', 1)) AS t(state, s)), d AS (SELECT decision, min(check_id) AS c FROM checks GROUP BY 1),
+  r AS (SELECT 'checks:' || decision AS figure, [check_id] AS at_, 'chk|' || check_id || '|pass|all' AS tuple_id FROM checks UNION ALL SELECT 'decisions', [c], 'dec|' || decision || '|all' FROM d
     UNION ALL SELECT CASE kind WHEN 'cohort' THEN 'cohorts:' ELSE 'sources:' END || decision, [CAST(o AS VARCHAR)], 'dec|' || decision || '|' || partition FROM d, parts WHERE kind <> 'all'
-    UNION ALL SELECT 'claims', [check_id, CAST(s AS VARCHAR)], 'chk|' || check_id || '|' || state || '|all' FROM decision_of, s
-    UNION ALL SELECT CASE kind WHEN 'cohort' THEN 'checksByCohort' ELSE 'checksBySource' END, [check_id, CAST(1 - s AS VARCHAR), CAST(o AS VARCHAR)], 'chk|' || check_id || '|' || state || '|' || partition FROM decision_of, s, parts WHERE kind <> 'all'),
+    UNION ALL SELECT 'claims', [check_id, CAST(s AS VARCHAR)], 'chk|' || check_id || '|' || state || '|all' FROM checks, s
+    UNION ALL SELECT CASE kind WHEN 'cohort' THEN 'checksByCohort' ELSE 'checksBySource' END, [check_id, CAST(1 - s AS VARCHAR), CAST(o AS VARCHAR)], 'chk|' || check_id || '|' || state || '|' || partition FROM checks, s, parts WHERE kind <> 'all'),
   rows AS (SELECT figure, row_number() OVER (PARTITION BY figure ORDER BY at_) AS ordinal, tuple_id FROM r)"""
 
 
-def _figures(spark):
-    checks = shims.decision_of(spark).withColumn("ordinal", F.col("check_id").cast("int"))
-    return vw.figure_rows(checks, spark.createDataFrame(_PARTS, "partition string, kind string, ordinal int"))
+def _figures(spark, d):
+    """Figures of the checks that line items have, over the cohorts and sources that customers have."""
+    seen = table(spark, d, "lineitem").select(F.col("l_linenumber").cast("string").alias("check_id")).distinct()
+    checks = shims.decision_of(spark).join(seen, "check_id", "left_semi").withColumn("ordinal", F.col("check_id").cast("int"))
+    projects = shims.projects(spark, d)
+    cohorts = projects.select(F.concat(F.lit("q"), "quarter").alias("partition"), F.lit("cohort").alias("kind"), F.col("quarter").cast("int").alias("ordinal")).distinct()
+    sources = projects.agg(F.array_sort(F.collect_set("source")).alias("s")).select(F.posexplode("s").alias("i", "source"))  # a handful of sources
+    sources = sources.select(F.concat(F.lit("src:"), "source").alias("partition"), F.lit("source").alias("kind"), (F.col("i") + 5).alias("ordinal"))
+    return vw.figure_rows(checks, cohorts.unionByName(sources))
 
 
 @query(f"WITH {_ROWS_SQL} SELECT * FROM rows")
 def figure_rows(spark, d):
-    return _figures(spark)
+    return _figures(spark, d)
 
 
 @query(f"""WITH {_ROWS_SQL}, {_GATE}, n AS (SELECT split_part(tuple_id, '|', 2) AS check_id, count(DISTINCT figure) AS n_figures FROM rows WHERE starts_with(tuple_id, 'chk|') GROUP BY 1)
-  SELECT check_id, status, status IN {_OK} AS publishable, n_figures, CASE WHEN check_id <> '7' THEN 'check ' || check_id END AS statement FROM gate JOIN n USING (check_id)""")
+  SELECT check_id, status, status IN {_OK} AS publishable, n_figures, CASE WHEN p_size > 9 THEN p_name END AS statement FROM gate JOIN n USING (check_id) LEFT JOIN part ON CAST(p_partkey AS VARCHAR) = check_id""")
 def method_view(spark, d):
-    gate = _gate(spark)
-    return vw.method_view(gate, _figures(spark), gate.where("check_id <> '7'").select("check_id", F.concat(F.lit("check "), "check_id").alias("statement")))
+    statements = table(spark, d, "part").where("p_size > 9").select(F.col("p_partkey").cast("string").alias("check_id"), F.col("p_name").alias("statement"))
+    return vw.method_view(_gate(spark, d), _figures(spark, d), statements)
 
 
-_GAPS = "gaps AS (SELECT check_id, CASE WHEN check_id IN ('1', '4') THEN 'gap ' || check_id ELSE 'rule ' || check_id END AS text, CASE WHEN check_id IN ('1', '4') THEN 'gap-text' ELSE 'passRule' END AS source FROM domain)"
+#: A codebook of parts: a rule for each, a gap text for every third, approved by its digest or by that of a draft.
+_GAP_OK = "p_partkey % 3 = 1 AND sha256(p_brand || p_type) = sha256(p_brand || CASE WHEN p_size % 2 = 0 THEN p_type ELSE 'draft' END)"
+_GAPS = f"gaps AS (SELECT CAST(p_partkey AS VARCHAR) AS check_id, CASE WHEN {_GAP_OK} THEN p_brand || p_type ELSE p_name END AS text, CASE WHEN {_GAP_OK} THEN 'gap-text' ELSE 'passRule' END AS source FROM part)"
 
 
-def _gaps(spark):
-    checks = shims.domain(spark)
-    entries = checks.where("check_id IN ('1', '4')").select("check_id", F.concat(F.lit("gap "), "check_id").alias("text"))
-    return vw.gap_texts(checks.withColumn("pass_rule", F.concat(F.lit("rule "), "check_id")), entries, F.lit(True))
+def _gaps(spark, d, approved: str = "p_type"):
+    part = table(spark, d, "part").withColumn("check_id", F.col("p_partkey").cast("string"))
+    text = F.concat("p_brand", "p_type")
+    draft = F.concat("p_brand", F.when(F.col("p_size") % 2 == 0, F.col(approved)).otherwise("draft"))
+    entries = part.where("p_partkey % 3 = 1").select("check_id", text.alias("text"), F.sha2(draft, 256).alias("approved"))
+    return vw.gap_texts(part.select("check_id", F.col("p_name").alias("pass_rule")), entries, F.sha2("text", 256) == F.col("approved"))
 
 
-@query(f"WITH {shims.DOMAIN}, {_GAPS} SELECT * FROM gaps")
+@query(f"WITH {_GAPS} SELECT * FROM gaps")
 def gap_texts(spark, d):
-    return _gaps(spark)
+    return _gaps(spark, d)
 
 
-@query(f"WITH {shims.DOMAIN} SELECT check_id, 'rule ' || check_id AS text, 'passRule' AS source FROM domain")
+@query("SELECT CAST(p_partkey AS VARCHAR) AS check_id, p_name AS text, 'passRule' AS source FROM part")
 def gap_texts_unapproved(spark, d):
-    checks = shims.domain(spark)
-    return vw.gap_texts(checks.withColumn("pass_rule", F.concat(F.lit("rule "), "check_id")), checks.withColumn("text", F.lit("draft")), F.lit(False))
+    return _gaps(spark, d, "p_name")
 
 
-@query(f"""WITH {STATES}, {BOUND}, {shims.DOMAIN}, {_GAPS}, q AS (SELECT project, check_id, len(span_ids) AS n, len(list_filter(span_ids, lambda x: CAST(x AS BIGINT) % 2 = 0)) AS flagged FROM states)
+@query(f"""WITH {STATES}, {BOUND}, {_GAPS}, q AS (SELECT project, check_id, len(span_ids) AS n, len(list_filter(span_ids, lambda x: CAST(x AS BIGINT) % 2 = 0)) AS flagged FROM states)
   SELECT p.project, p.check_id, p.published, p.basis, q.n AS n_quotes, q.flagged AS n_flagged, CASE WHEN p.published IS DISTINCT FROM 'pass' THEN g.text END AS gap_text FROM published p JOIN q USING (project, check_id) JOIN gaps g USING (check_id)""")
 def report_views(spark, d):
     s = shims.states(spark, d)
     cites = s.select("project", "check_id", F.explode("span_ids").alias("span_id"))
     k = F.col("span_id").cast("long")
     spans = cites.select("project", "span_id").distinct().select("project", "span_id", F.lit("t").alias("text"), F.lit("u").alias("url"), (k % 2 == 0).alias("flagged"))
-    views = vw.report_views(st.published_states(*_bound(spark, d)), cites, spans, _gaps(spark))
+    views = vw.report_views(st.published_states(*_bound(spark, d)), cites, spans, _gaps(spark, d))
     c = views.select("project", F.explode("checks").alias("c"))
     return c.select("project", "c.check_id", "c.published", "c.basis", F.size("c.quotes").cast("long").alias("n_quotes"), F.size(F.filter("c.quotes", lambda q: q["flagged"])).cast("long").alias("n_flagged"), "c.gap_text")
 
