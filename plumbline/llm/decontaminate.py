@@ -2,8 +2,8 @@
 
 A text within e edits of an item of m characters keeps at least m - q + 1 - q * e of its q-grams, all
 on diagonals that lie at most e apart. For each document the places with a shared q-gram are counted in overlapping
-diagonal bands of 2 * (e + 1); bands that reach the bound become regions, and a banded alignment of the
-item against the region keeps those within the budget e = floor(EDIT_RATE * m). q is the largest for which the bound
+diagonal bands of 2 * (e + 1); bands that reach the bound become regions, those that touch become one, ends within the budget
+e = floor(EDIT_RATE * m) are found in one pass over a region, and a banded alignment of the item verifies each place. q is the largest for which the bound
 is at least one: short items have shorter grams. Items of fewer than EXACT characters are looked for as they are, as whole words.
 
 A gram that an item repeats counts a place once for each band: offsets at most a band apart are one interval, so a run of
@@ -19,9 +19,11 @@ repeat are reported under each id. Other columns are ignored.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
+from itertools import groupby, islice
 
 import numpy as np
 import pyarrow as pa
@@ -170,11 +172,9 @@ class Index:
         # How many rows each place makes, so that they are made and counted some at a time.
         bands = np.add.reduceat(np.append((g.high_of - g.low_of) // (edits[g.item_of] + 1) + 2, 0), g.first[:-1])
         part = np.cumsum(bands[k]) // _ROWS
-        keys, counts = np.zeros((0, 3), np.int64), np.zeros(0, np.int64)
-        for p in np.unique(part):
-            here = part == p
-            more = self._count(g, at[here], k[here], starts, edits, longest)
-            keys, counts = np.concatenate([keys, more[0]]), np.concatenate([counts, more[1]])
+        cut = np.flatnonzero(np.diff(part)) + 1
+        some = [self._count(g, x, y, starts, edits, longest) for x, y in zip(np.split(at, cut), np.split(k, cut), strict=True)]
+        keys, counts = np.concatenate([x for x, _ in some]), np.concatenate([x for _, x in some])
         order = np.lexsort((keys[:, 2], keys[:, 1], keys[:, 0]))
         keys, counts = keys[order], counts[order]
         head = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(1)]))
@@ -237,22 +237,82 @@ def align(item: np.ndarray, regions: list[np.ndarray], e: int) -> tuple[np.ndarr
     return cost[np.arange(len(regions)), best], m + best - e
 
 
+def _ends(item: np.ndarray, e: int, region: np.ndarray) -> list[tuple[int, int]]:
+    """(edits, end) of all ends in the region where the item lies within e edits, whatever its start.
+
+    A column of the alignment's table is two whole numbers of one bit for each character of the item: the signs of its steps.
+    """
+    m, bits = len(item), {}
+    for i, c in enumerate(item.tolist()):
+        bits[c] = bits.get(c, 0) | 1 << i
+    every, last = (1 << m) - 1, 1 << m - 1
+    up, down, edits, out = every, 0, m, []
+    for end, c in enumerate(region.tolist(), 1):
+        same = bits.get(c, 0)
+        level = same | down
+        across = ((same & up) + up ^ up | same) & every
+        right, left = down | every & ~(across | up), up & across
+        edits += bool(right & last) - bool(left & last)
+        right, left = right << 1 & every, left << 1 & every
+        up, down = left | every & ~(level | right), right & level
+        if edits <= e:
+            out.append((edits, end))
+    return out
+
+
+def _apart(hits: list[tuple[int, int]], m: int, e: int) -> list[tuple[int, int]]:
+    """The (edits, end) of a region that stand for its places: fewest edits first, then the first end.
+
+    Ends lie an item's length apart, then those are added that leave room for its shortest form.
+    """
+    taken: list[int] = []
+    out, left = [], sorted(hits)
+    for least in (m, m - e):
+        rest = []
+        for x in left:
+            k = bisect_left(taken, x[1])
+            before, after = x[1] - taken[k - 1] if k else m, taken[k] - x[1] if k < len(taken) else m
+            if before >= least and after >= least:
+                taken.insert(k, x[1])
+                out.append(x)
+            elif before >= m - e and after >= m - e:
+                rest.append(x)
+        left = rest
+    return out
+
+
 def _verified(index: Index, kept: list[tuple]) -> Iterator[tuple]:
-    """(text number, item number, start, end, edits) in original offsets, from (number, item, region, offsets)."""
+    """(text number, item number, start, end, edits) in original offsets, from (number, item, region, offsets).
+
+    Ends within the budget are found in one pass over a region; each place's end is then aligned backward over its band of diagonals.
+    """
     by_item: dict[int, list[tuple]] = {}
     for x in kept:
         by_item.setdefault(x[1], []).append(x)
     for i, xs in by_item.items():
-        item, e = index.items[i], budget(len(index.items[i]))
-        few = max(1, _CELLS // (3 * len(item) + max(len(x[2]) for x in xs)))
-        for at in range(0, len(xs), few):
-            some = xs[at : at + few]
-            edits, ends = align(item, [x[2] for x in some], e)
-            some = [(x, int(d), int(end)) for x, d, end in zip(some, edits, ends, strict=True) if d <= e]
-            if some:
-                _, back = align(item[::-1], [x[2][:end][::-1] for x, _, end in some], e)
-                for (x, d, end), b in zip(some, back, strict=True):
-                    yield x[0], i, int(x[3][end - int(b)]), int(x[3][end - 1]) + 1, d
+        item, m = index.items[i], len(index.items[i])
+        e = budget(m)
+        places = sorted(((d, end, n) for n, x in enumerate(xs) for d, end in _apart(_ends(item, e, x[2]), m, e)))
+        for d, same in groupby(places, lambda x: x[0]):  # a band as wide as their edits
+            while some := list(islice(same, max(1, _CELLS // (4 * m + 2 * d)))):
+                edits, back = align(item[::-1], [xs[n][2][max(0, end - m - d) : end][::-1] for _, end, n in some], d)
+                for (_, end, n), k, size in zip(some, edits.tolist(), back.tolist(), strict=True):
+                    if k <= d:
+                        yield xs[n][0], i, int(xs[n][3][end - size]), int(xs[n][3][end - 1]) + 1, k
+
+
+def _joined(regions: Iterator[tuple[int, int, int, int]], index: Index) -> Iterator[tuple[int, int, int, int]]:
+    """Regions of one text and item that overlap or touch as one, so that nothing is aligned twice; short items' are places already."""
+    now = None
+    for t, i, a, b in sorted(regions):
+        if now and now[:2] == (t, i) and a <= now[3] and len(index.items[i]) >= EXACT:
+            now = (t, i, now[2], max(b, now[3]))
+        else:
+            if now:
+                yield now
+            now = (t, i, a, b)
+    if now:
+        yield now
 
 
 def _scan(index: Index, texts: list[str | None]) -> list[tuple[int, int, int, int, int]]:
@@ -260,7 +320,7 @@ def _scan(index: Index, texts: list[str | None]) -> list[tuple[int, int, int, in
     kept, some, numbers, size = [], [], [], 0
 
     def look() -> None:
-        for t, i, a, b in index.regions([x[0] for x in some]):
+        for t, i, a, b in _joined(index.regions([x[0] for x in some]), index):
             kept.append((numbers[t], i, some[t][0][a:b], some[t][1][a:b]))
 
     for n, text in enumerate(texts):

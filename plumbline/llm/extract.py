@@ -55,7 +55,10 @@ _TAG_OF = {t: i for i, g in enumerate(TAG_GROUPS) for t in g.split()}
 _TOKEN_OF = {t: i for i, g in enumerate(TOKEN_GROUPS) for t in g.split()}
 _MARK = "\ue000"  # private use: in generated pages, in front of article text
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+# A tag whose quotes never end stops at its first ">"; markup that the page's end cuts off is no text.
+_TOKEN = re.compile(
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)>|<(?:/?[a-zA-Z]|[!?])[^>]*\Z", re.S
+)
 _ATTRIBUTE = re.compile(r"(?:^|\s)(id|class|role|name|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _SPLIT = re.compile(r"[a-z]+")
 _PUNCTUATION = re.compile(r"[.,;:!?]")

@@ -93,3 +93,39 @@ def test_blocks_give_the_same(spark, sf, monkeypatch):
     whole = sorted(map(tuple, dc.contamination(docs, bench).collect()))
     monkeypatch.setattr(dc, "BLOCK_CHARS", 2000)
     assert sorted(map(tuple, dc.contamination(docs, bench).collect())) == whole and whole
+
+
+def test_ends_and_places_equal_plain_tables():
+    rng = random.Random(8)
+    for _ in range(60):
+        item = [rng.randrange(3) for _ in range(rng.randrange(1, 90))]
+        text = [rng.randrange(3) for _ in range(rng.randrange(0, 120))]
+        if rng.random() < 0.7:
+            text[5:5] = [x for x in item if rng.random() < 0.95]
+        e = rng.randrange(0, 12)
+        row, want = list(range(len(item) + 1)), []
+        for j, b in enumerate(text, 1):
+            new = [0]
+            for i, a in enumerate(item, 1):
+                new.append(min(new[-1] + 1, row[i] + 1, row[i - 1] + (a != b)))
+            row = new
+            if row[-1] <= e:
+                want.append((row[-1], j))
+        got = dc._ends(np.array(item, np.uint32), e, np.array(text, np.uint32))
+        assert got == want
+        some = dc._apart(got, 9, 2)
+        assert all(abs(a[1] - b[1]) >= 7 for a in some for b in some if a != b)
+        assert all(any(abs(end - k) < 7 for _, k in some) for _, end in got) and min(got, default=None) == min(some, default=None)
+
+
+def test_long_runs_of_one_sign_end_soon():
+    """A million equal signs, with and without flaws, against four thousand of them."""
+    import time
+
+    index, began = dc.Index.build([(1, "=" * 4000)]), time.process_time()
+    whole = dc._scan(index, ["=" * 1_000_000])
+    assert len(whole) == 250 and all(x[4] == 0 and x[3] - x[2] == 4000 for x in whole)
+    flawed = dc._scan(index, [("=" * 99 + "-") * 10_000])
+    assert len(flawed) >= 240 and all(30 <= x[4] <= 320 for x in flawed)
+    print("seconds of both:", time.process_time() - began)
+    assert time.process_time() - began < 120

@@ -98,3 +98,24 @@ def test_edges(spark, trees):
     got = ex.extract(df, trees=trees).collect()
     assert len(got) == len(rows) and {r.text for r in got if r.page_id in (1, 2)} == {""}
     assert ex.extract(df.limit(0), trees=trees).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("page", "texts"),
+    [
+        ("<p>one</p><!--><p>two</p>", ["one", "two"]),
+        ("<p>one</p><!---><p>two</p>", ["one", "two"]),
+        ("<p>one</p><!-- a --!><p>two</p>", ["one", "two"]),
+        ("<p>one</p><!-- a > b --><p>two</p>", ["one", "two"]),
+        ("<p>one</p><!-- no end <p>two</p>", ["one"]),
+        ('<p><a href="x>text</a></p><p>after</p>', ["text", "after"]),
+        ("<p title='it>one</p><p>two</p>", ["one", "two"]),
+        ('<p title="a > b">one</p><p>two</p>', ["one", "two"]),
+        ("<p>one</p><p>two <b cl", ["one", "two"]),
+        ("<p>one</p></di", ["one"]),
+        ("<p>1 < 2 and 3 > 2</p>", ["1 < 2 and 3 > 2"]),
+        ("<p>one <", ["one <"]),
+    ],
+)
+def test_broken_markup(page, texts):
+    assert [t for _, t in ex.parse(page)[1]] == texts
