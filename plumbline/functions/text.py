@@ -155,6 +155,19 @@ def within(url: Column, b: Column) -> Column:
     return F.coalesce(is_url(url) & F.when(prefix.isNull(), (h == own) | under).otherwise((h == own) & below), F.lit(False))
 
 
+def own_repository(owner: Column, repo: Column, homepage: Column, fork: Column, b: Column, suffixes: Sequence[str] = PUBLIC_SUFFIXES) -> Column:
+    """Whether a repository that a site links to is the site's: its homepage lies in the boundary, or its owner or name is the domain's label.
+
+    Letter case, hyphens, underscores and dots do not count in names; a homepage without a scheme is https. A fork never is, null is no fork.
+    """
+    squash = lambda c: F.regexp_replace(F.lower(c), "[-_.]", "")
+    page = F.trim(F.coalesce(homepage, F.lit("")))
+    page = F.when(page.rlike(r"(?i)^[a-z][a-z0-9+.-]*://"), page).otherwise(F.concat(F.lit("https://"), page))
+    domain = registrable(F.lower(b.getField("host")), suffixes)
+    label = F.when(domain.contains(".") & ~domain.rlike(r"^[0-9.]+$"), squash(F.substring_index(domain, ".", 1)))
+    return ~F.coalesce(fork, F.lit(False)) & (within(page, b) | F.coalesce((squash(owner) == label) | (squash(repo) == label), F.lit(False)))
+
+
 def source_type(url: Column) -> Column:
     h, p = F.regexp_replace(host(url), r"^www\.", ""), F.lower(F.regexp_replace(path(url), "/+$", ""))
     parts = F.size(F.filter(F.split(p, "/"), lambda x: x != ""))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..constants import AUDIT_BAR, RECALL_BAR, STATES
 from ..functions.numbers import ratio, wilson
-from ..functions.text import within
+from ..functions.text import json_in, within
 from .states import rule_gate
 
 # Gate statuses whose checks may be published, and the size of a screening audit.
@@ -186,6 +186,23 @@ def own_repositories(links: DataFrame, most_asked: int = 10, most_kept: int = 3)
     return asked.where("own").withColumn("place", at).where(F.col("place") <= most_kept).select("project", "repo", "place")
 
 
+def recall_items(replies: DataFrame, check_ids: list[str]) -> DataFrame:
+    """(id, outcome, items) of (id, raw): the valid items of each reply, in order, as structs (check_id, url, quote, state).
+
+    A reply's JSON is an array, or an object with an array `items`. An item is valid if its check is known, its state is pass or claimed, and its
+    address and quote are strings, the quote not blank. `outcome` is items, else what a gatherer retries: unreadable, no items array,
+    empty, no valid items. A null or empty reply is unreadable.
+    """
+    text = lambda k: f"IF(schema_of_variant(try_variant_get(x, '$.{k}', 'variant')) = 'STRING', try_variant_get(x, '$.{k}', 'string'), NULL)"
+    parsed = replies.select("id", F.try_parse_json(json_in(F.col("raw"))).alias("v"))
+    rows = parsed.withColumn("found", F.expr("IF(startswith(schema_of_variant(v), 'ARRAY'), try_variant_get(v, '$', 'array<variant>'), try_variant_get(v, '$.items', 'array<variant>'))"))
+    read = F.expr(f"transform(found, x -> named_struct('check_id', {text('checkId')}, 'url', {text('url')}, 'quote', {text('quote')}, 'state', {text('state')}))")
+    valid = F.filter(read, lambda x: x["check_id"].isin(check_ids) & x["state"].isin("pass", "claimed") & x["url"].isNotNull() & x["quote"].rlike(r"\S"))
+    rows = rows.withColumn("items", F.coalesce(valid, F.expr("CAST(array() AS array<struct<check_id: string, url: string, quote: string, state: string>>)")))
+    outcome = F.when(F.col("v").isNull(), "unreadable").when(F.col("found").isNull(), "no items array").when(F.size("found") == 0, "empty").when(F.size("items") == 0, "no valid items")
+    return rows.select("id", outcome.otherwise("items").alias("outcome"), "items")
+
+
 # --- joins and sets ---
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import pages as pg
+from ..functions import text as tx
 from ..operators import review as rv
 from ..operators import states as st
 from ..operators import stats as ss
@@ -184,6 +185,31 @@ def own_repositories(spark, d):
     return rv.own_repositories(li.select(F.col("l_suppkey").alias("project"), seen.alias("seen"), seen.alias("repo"), (F.col("l_partkey") % 3 == 0).alias("own"))).withColumn("place", F.col("place").cast("long"))
 
 
+@query("""SELECT conv_id, turn, CASE k WHEN 0 THEN 'unreadable' WHEN 3 THEN 'empty' WHEN 4 THEN 'no items array' ELSE CASE WHEN ok THEN 'items' ELSE 'no valid items' END END AS outcome,
+  CASE WHEN k IN (1, 2) AND ok THEN [text] ELSE CAST([] AS VARCHAR[]) END AS quotes FROM (SELECT *, conv_id % 5 AS k, turn % 2 = 0 AND regexp_matches(coalesce(text, ''), '\\S') AS ok FROM conversations)""")
+def recall_items(spark, d):
+    """Turns as a gatherer's replies: prose, a bare array, a fenced object, an empty one, an object without items."""
+    k = F.col("conv_id") % 5
+    item = lambda check: F.struct(F.lit(check).alias("checkId"), F.lit("https://a.example/").alias("url"), F.col("text").alias("quote"), F.when(F.col("turn") % 2 == 0, "pass").otherwise("fail").alias("state"))
+    items = F.array(item("9"), item("1"))
+    fenced = F.concat(F.lit("Here:\n```json\n"), F.to_json(F.struct(items.alias("items"))), F.lit("\n```"))
+    prose = F.concat(F.lit("none: "), F.regexp_replace(F.coalesce("text", F.lit("")), r"[\[\]{}`]", " "))
+    raw = F.when(k == 0, prose).when(k == 1, F.to_json(items)).when(k == 2, fenced).when(k == 3, '{"items": []}').otherwise(F.to_json(F.struct("text")))
+    replies = table(spark, d, "conversations").select(F.struct("conv_id", "turn").alias("id"), raw.alias("raw"))
+    return rv.recall_items(replies, list("1234567")).select("id.conv_id", "id.turn", "outcome", F.col("items.quote").alias("quotes"))
+
+
+@query("""WITH p AS (SELECT page_id, split_part(split_part(url, '/', 3), '.', -2) AS label, page_id % 7 = 0 AS fork, page_id % 4 = 0 AS home, page_id % 3 = 0 AS named FROM pages)
+  SELECT page_id, NOT fork AND (home OR named) AS own FROM p""")
+def own_repository(spark, d):
+    """Repositories told to be a site's by their homepage or their owner's name."""
+    k, label = F.col("page_id"), F.element_at(F.split(tx.host(F.col("url")), r"\."), -2)
+    owner = F.when(k % 3 == 0, F.concat(F.upper(F.substring(label, 1, 1)), F.lit("-"), F.expr("substring(label, 2)"))).otherwise("someone")
+    pages = table(spark, d, "pages").withColumn("label", label)
+    home = F.when(k % 4 == 0, F.regexp_replace("url", "^https?://", "")).when(k % 4 == 1, "https://elsewhere.test/")
+    return pages.select("page_id", tx.own_repository(owner, F.lit("tool"), home, k % 7 == 0, tx.boundary(F.col("url"))).alias("own"))
+
+
 # --- joins and sets ---
 
 
