@@ -4,7 +4,7 @@ A text becomes units: white space is written as U+2581, one is put in front, and
 those with what follows up to the next; no piece crosses a unit. Each distinct unit of the corpus is
 segmented once:
 
-1. its substrings, bounded by the longest piece that begins as they do, are exploded and equi-joined to the
+1. its substrings, of the lengths that pieces which begin as they do have, are exploded and equi-joined to the
    piece table: the lattice's edges;
 2. the edges are packed and grouped by unit, on the partitioning that made the units distinct (no shuffle);
 3. a higher-order `aggregate` folds them. For a unigram model that is Viterbi over the scores. A BPE
@@ -42,6 +42,8 @@ UNKNOWN = -1e6
 _SLICE, _FLUSH = 1 << 21, 1 << 17  # bytes looked at together; distinct units counted together
 #: Longer units are segmented one by one, in an Arrow function: the fold's boundaries are bits of a long.
 LONG_UNIT = 60
+#: First characters of a substring that tell its possible lengths.
+HEAD = 4
 
 
 @dataclass
@@ -168,6 +170,19 @@ def turns_late(pieces: Pieces) -> set[str]:
     return late
 
 
+def lengths_by_head(pieces: Pieces) -> dict[str, set[int]]:
+    """For what a piece begins with, HEAD characters or all of a shorter one: the lengths of pieces that begin so, or that it begins with.
+
+    After any other HEAD characters there are only pieces of fewer.
+    """
+    lengths: dict[str, set[int]] = {}
+    for p in pieces.score_of:
+        lengths.setdefault(p[:HEAD], set()).add(len(p))
+    for h, ns in lengths.items():
+        ns |= {i for i in range(2, min(len(h), HEAD - 1) + 1) if h[:i] in pieces.score_of}
+    return lengths
+
+
 def lattice(units: DataFrame, pieces: Pieces) -> DataFrame:
     """(unit, n, edges, late) of distinct units; longer ones than LONG_UNIT have no edges.
 
@@ -178,19 +193,17 @@ def lattice(units: DataFrame, pieces: Pieces) -> DataFrame:
     late = pieces.late if merges else set()
     rank = {s: i for i, s in enumerate(sorted({s for _, _, s in pieces.rows}, reverse=True))}
     table = spark.createDataFrame([(p, rank[s], s, p in late) for p, _, s in pieces.rows if len(p) > merges], "piece string, rank long, score double, late boolean")
-    reach: dict[str, int] = {}
-    for p, _, _ in pieces.rows:
-        if len(p) >= 3:
-            reach[p[:3]] = max(reach.get(p[:3], 0), len(p))
-    heads = spark.createDataFrame(list(reach.items()), "head string, reach int")
+    heads = spark.createDataFrame([(h, sorted({1, *ns})) for h, ns in lengths_by_head(pieces).items()], "head string, lengths array<int>")
     # Both tables come from the vocabulary file: their rows do not grow with the corpus.
     rows = units.select(F.monotonically_increasing_id().alias("uid"), "unit", "n")
     short, last = f"length(unit) <= {LONG_UNIT}", "greatest(length(unit) - 2, 0)" if merges else "length(unit) - 1"
     starts = rows.select("uid", "unit", "n", F.explode(F.expr(f"sequence(0, IF({short}, {last}, 0))")).alias("s"))
-    starts = starts.withColumn("head", F.expr("substring(unit, s + 1, 3)")).join(F.broadcast(heads), "head", "left")
-    least = "IF(s = 0, 1, s + 2)" if merges else "s + 1"
-    ends = f"sequence({least}, IF({short}, least(s + coalesce(reach, 2), length(unit)), 1))"
-    spans = starts.select("uid", "unit", "n", "s", F.explode(F.expr(ends)).alias("e"))
+    starts = starts.withColumn("head", F.expr(f"substring(unit, s + 1, {HEAD})")).join(F.broadcast(heads), "head", "left")
+    # A single character is only asked for where each start needs one, or to keep a unit without any edge.
+    known = f"coalesce(lengths, array({', '.join(str(i) for i in range(1, HEAD))}))"
+    spans = starts.select("uid", "unit", "n", "s", F.explode(F.expr(f"IF({short}, {known}, array(1))")).alias("size"))
+    spans = spans.where("s + size <= length(unit)" + (" AND (size > 1 OR s = 0)" if merges else ""))
+    spans = spans.select("uid", "unit", "n", "s", F.expr("s + size").alias("e"))
     found = spans.withColumn("piece", F.expr("substring(unit, s + 1, e - s)")).join(F.broadcast(table), "piece", "left")
     edge = F.expr("shiftleft(rank, 12) | shiftleft(s, 6) | e") if merges else F.struct("e", "s", F.coalesce("score", F.lit(UNKNOWN)).alias("score"))
     # Rows of a unit follow each other and ids rise, so the sort below the aggregate finds them in order; no shuffle: `unit` is a key.
