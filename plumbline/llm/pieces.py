@@ -25,6 +25,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cached_property
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -83,8 +84,9 @@ def _split(text: str) -> list[str]:
     """The units of a text, each without the U+2581 that all begin with."""
     if not text:
         return []
-    words = text.replace(SPACE, " ").split(" ")
-    if "" not in words:
+    text = text.replace(SPACE, " ")
+    words = text.split(" ")
+    if "  " not in text and text[0] != " " and text[-1] != " ":
         return words
     out: list[str] = []
     spaces = 0
@@ -207,8 +209,8 @@ def lattice(units: DataFrame, pieces: Pieces) -> DataFrame:
     found = spans.withColumn("piece", F.expr("substring(unit, s + 1, e - s)")).join(F.broadcast(table), "piece", "left")
     edge = F.expr("shiftleft(rank, 12) | shiftleft(s, 6) | e") if merges else F.struct("e", "s", F.coalesce("score", F.lit(UNKNOWN)).alias("score"))
     # Rows of a unit follow each other and ids rise, so the sort below the aggregate finds them in order; no shuffle: `unit` is a key.
-    grouped = found.where("rank IS NOT NULL OR e = s + 1").groupBy("uid", "unit", "n")
-    return grouped.agg(F.collect_list(edge).alias("edges"), F.coalesce(F.max("late"), F.lit(False)).alias("late")).drop("uid")
+    grouped = found.where("rank IS NOT NULL OR e = s + 1").groupBy("uid", "unit")
+    return grouped.agg(F.first("n").alias("n"), F.collect_list(edge).alias("edges"), F.coalesce(F.max("late"), F.lit(False)).alias("late")).drop("uid")
 
 
 def fold_merges(latticed: DataFrame) -> DataFrame:
@@ -216,7 +218,8 @@ def fold_merges(latticed: DataFrame) -> DataFrame:
     # Bit i of the state: a boundary at i. An edge joins two neighbours if both its ends are boundaries and one lies within.
     s, e = "cast(shiftright(x, 6) & 63 AS int)", "cast(x & 63 AS int)"
     span, ends = f"(shiftleft(2L, {e}) - shiftleft(1L, {s}))", f"(shiftleft(1L, {s}) | shiftleft(1L, {e}))"
-    fits = f"(bit_count(m & {span}) = 3 AND (m & {ends}) = {ends})"
+    # The ends come first: most edges that do not fit fail there.
+    fits = f"((m & shiftleft(1L, {s})) <> 0 AND (m & shiftleft(1L, {e})) <> 0 AND bit_count(m & {span}) = 3)"
     full = "shiftleft(2L, length(unit)) - 1"
     merged = f"m & ~{span} | {ends}"
     # What is used in a lambda is bound by one, else the planner copies it there, to be evaluated again and again.
@@ -334,15 +337,14 @@ def encode(docs: DataFrame, model: str = DEFAULT_MODEL, kind: str = "bpe", table
     def find_rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = handle.value
         for b in _slices(batches, "text"):
-            row, nth, units = [], [], []
-            for r, t in enumerate(b.column("text").to_pylist()):
-                some = [SPACE + u for u in _split(t) if u not in known]
-                units += some
-                row += [r] * len(some)
-                nth += range(len(some))
-            at = pa.array(row, pa.int32())
-            place = b.column("k2").to_numpy()[row] | np.array(nth, np.int64)
-            yield pa.record_batch([b.column("k1").take(at), pa.array(place, pa.int64()), pa.array(units, pa.string())], ["k1", "place", "unit"])
+            units, stops = [], [0]
+            for t in b.column("text").to_pylist():
+                units.extend(filterfalse(known.__contains__, _split(t)))
+                stops.append(len(units))
+            sizes = np.diff(stops)
+            row, nth = np.repeat(np.arange(b.num_rows), sizes), np.arange(len(units)) - np.repeat(stops[:-1], sizes)
+            place = b.column("k2").to_numpy()[row] | nth
+            yield pa.record_batch([b.column("k1").take(pa.array(row)), pa.array(place, pa.int64()), pa.array(units, pa.string())], ["k1", "place", "unit"])
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -403,7 +405,8 @@ def encode(docs: DataFrame, model: str = DEFAULT_MODEL, kind: str = "bpe", table
     # Where rare units occur, dealt by unit once: the distinct ones become edges, and find their occurrences again, where they are.
     # Both sides take all columns and drop nulls themselves, so that the planner sees one and the same exchange.
     n = partitions(spark, rows)
-    places = keyed.select("text", "k1", "k2").mapInArrow(find_rare, "k1 long, place long, unit string").where("unit IS NOT NULL").repartition(n, "unit")
+    places = keyed.select("text", "k1", "k2").mapInArrow(find_rare, "k1 long, place long, unit string").where("unit IS NOT NULL")
+    places = places.withColumn("unit", F.concat(F.lit(SPACE), "unit")).repartition(n, "unit")
     distinct = places.groupBy("unit").agg(F.count("*").alias("n"), F.max("k1").alias("k1"), F.max("place").alias("place"))
     rare = _segmented(distinct.where("n > 0 OR k1 > place"), pieces).select("unit", "cuts")
     spelt = places.join(rare, "unit").select("k1", "place", "unit", "cuts").mapInArrow(_speller(pieces, ["k1", "place"]), "k1 long, place long, ids binary")
