@@ -344,7 +344,7 @@ def encode(docs: DataFrame, model: str = DEFAULT_MODEL, kind: str = "bpe", table
             sizes = np.diff(stops)
             row, nth = np.repeat(np.arange(b.num_rows), sizes), np.arange(len(units)) - np.repeat(stops[:-1], sizes)
             place = b.column("k2").to_numpy()[row] | nth
-            yield pa.record_batch([b.column("k1").take(pa.array(row)), pa.array(place, pa.int64()), pa.array(units, pa.string())], ["k1", "place", "unit"])
+            yield pa.record_batch([b.column("k1").take(pa.array(row)), pa.array(place, pa.int64()), pa.array([SPACE + u for u in units], pa.string())], ["k1", "place", "unit"])
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -405,8 +405,7 @@ def encode(docs: DataFrame, model: str = DEFAULT_MODEL, kind: str = "bpe", table
     # Where rare units occur, dealt by unit once: the distinct ones become edges, and find their occurrences again, where they are.
     # Both sides take all columns and drop nulls themselves, so that the planner sees one and the same exchange.
     n = partitions(spark, rows)
-    places = keyed.select("text", "k1", "k2").mapInArrow(find_rare, "k1 long, place long, unit string").where("unit IS NOT NULL")
-    places = places.withColumn("unit", F.concat(F.lit(SPACE), "unit")).repartition(n, "unit")
+    places = keyed.select("text", "k1", "k2").mapInArrow(find_rare, "k1 long, place long, unit string").where("unit IS NOT NULL").repartition(n, "unit")
     distinct = places.groupBy("unit").agg(F.count("*").alias("n"), F.max("k1").alias("k1"), F.max("place").alias("place"))
     rare = _segmented(distinct.where("n > 0 OR k1 > place"), pieces).select("unit", "cuts")
     spelt = places.join(rare, "unit").select("k1", "place", "unit", "cuts").mapInArrow(_speller(pieces, ["k1", "place"]), "k1 long, place long, ids binary")
