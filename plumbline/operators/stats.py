@@ -146,14 +146,16 @@ def _shuffles(order: list[int], stream: bytes, first: int, last: int) -> Iterato
 
     A shuffle of n takes the next n - 1 uniforms of the stream.
     """
-    n, digest = len(order), hashlib.sha256
+    n, digest, at_once = len(order), hashlib.sha256, 1 << 16
     for draw in range(first, last):
-        i = draw * max(n - 1, 0)
-        for j in range(n - 1, 0, -1):
-            u = (int.from_bytes(digest(b"%b%d" % (stream, i)).digest()[:7]) >> 4) / (1 << 52)  # the first 13 hex digits
-            k = int(u * (j + 1))
-            order[j], order[k] = order[k], order[j]
-            i += 1
+        at = draw * max(n - 1, 0)
+        for high in range(n - 1, 0, -at_once):
+            js = np.arange(high, max(high - at_once, 0), -1)
+            found = b"".join([digest(b"%b%d" % (stream, i)).digest() for i in range(at, at + len(js))])
+            u = (np.frombuffer(found, ">u8")[::4] >> np.uint64(12)).astype(float) / (1 << 52)  # the first 13 hex digits
+            for j, k in zip(js.tolist(), (u * (js + 1)).astype(np.int64).tolist(), strict=True):
+                order[j], order[k] = order[k], order[j]
+            at += len(js)
         yield order
 
 
@@ -219,8 +221,8 @@ def permutation_test(rows: DataFrame, seed: str, draws: int = 2000, by: str = "f
     A check that a project lacks counts as not positive; rows without project, group or check are left out.
 
     Each shuffle goes on from the last, so a draw is a product of all shuffles before it. Blocks of shuffles are multiplied out apart,
-    their products joined to products of the blocks before in doubling steps, and each block then goes on from its own start: a task has one
-    block of a family, whose memory is its projects' numbers.
+    their products multiplied by those of the blocks before in one task for each size, and each block then goes on from its own start: a task has
+    one block of a family, whose memory is its projects' numbers, or one number for each project and block.
     """
     stream = f"{seed}:h2-permutation:bootstrap:".encode()
     samples = _family_samples(rows, by)
@@ -244,13 +246,15 @@ def permutation_test(rows: DataFrame, seed: str, draws: int = 2000, by: str = "f
     # Shuffles know only how many are shuffled, so families of one size share them.
     tasks = tested.select("n").distinct().select("n", blocks.alias("block")).repartition(max(n_blocks, 1), "n", "block")
     product = tasks.mapInPandas(products, "n int, block int, product array<int>")
-    step = 1
-    while step < n_blocks:
-        earlier = product.select("n", (F.col("block") + step).alias("block"), F.col("product").alias("before"))
-        after = F.transform("product", lambda i: F.element_at("before", i + 1))
-        product = product.join(earlier, ["n", "block"], "left").select("n", "block", F.when(F.col("before").isNull(), F.col("product")).otherwise(after).alias("product"))
-        step *= 2
-    starts = product.select("n", (F.col("block") + 1).alias("block"), F.col("product").alias("start"))
+
+    def multiplied(pdf: pd.DataFrame) -> pd.DataFrame:
+        before, starts = None, []
+        for product in pdf.sort_values("block")["product"]:
+            before = product if before is None else before[product]
+            starts.append(before)
+        return pd.DataFrame({"n": pdf["n"].to_numpy(), "block": np.sort(pdf["block"].to_numpy()) + 1, "start": starts})
+
+    starts = product.groupBy("n").applyInPandas(multiplied, "n int, block int, start array<int>")
 
     def statistics(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
@@ -264,7 +268,7 @@ def permutation_test(rows: DataFrame, seed: str, draws: int = 2000, by: str = "f
                 observed = statistic(list(range(r.n)))
                 yield pd.DataFrame({by: [r[0]] * len(each), "draw": range(first, last), "part": each, "observed": observed, "size": r.n * r.checks})
 
-    work = tested.select(by, "slice", "labels", "bits", "n", "checks", blocks.alias("block")).join(starts, ["n", "block"], "left")
+    work = tested.select(by, "slice", "labels", "bits", "n", "checks", blocks.alias("block")).join(starts.hint("merge"), ["n", "block"], "left")
     work = work.select(by, "slice", "labels", "bits", "n", "checks", "block", "start").repartition(max(n_blocks, 1), by, "slice", "block")
     parts = work.mapInPandas(statistics, f"`{by}` {kind}, draw long, part double, observed double, size long")
     drawn = parts.groupBy(by, "draw").agg(F.sum("part").alias("part"), F.sum("observed").alias("t"), F.first("size").alias("size"))
