@@ -28,7 +28,7 @@ def _gate(spark, d):
     li = table(spark, d, "lineitem")
     check, gold = F.col("l_linenumber").cast("string").alias("check_id"), F.col("l_returnflag") == "A"
     pairs = li.select(check, (gold != (F.col("l_partkey") % 64 < F.col("l_linenumber"))).alias("a"), gold.alias("b"))
-    flags = li.groupBy(check).agg((F.sum("l_suppkey") % 2 == 1).alias("withheld"), (F.count("*") % 4 == 1).alias("person_coded"))
+    flags = li.groupBy(check).agg((F.sum(F.col("l_suppkey").cast("decimal(20,0)")) % 2 == 1).alias("withheld"), (F.count("*") % 4 == 1).alias("person_coded"))
     metrics = ss.binary_agreement(pairs, ["check_id"]).join(flags, "check_id").withColumn("revalidated", F.lit(None).cast("boolean"))
     return ss.gate_ladder(metrics)
 
