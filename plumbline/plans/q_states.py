@@ -151,7 +151,7 @@ def first_valid_attempt(spark, d):
 def store_upsert(spark, d):
     e = table(spark, d, "events")
     old = e.where("event_id % 2 = 0").groupBy(F.col("user_id").alias("k")).agg(F.max("event_id").alias("v"))
-    return tb.upsert(old, e.where("event_id % 3 = 0").select(F.col("user_id").alias("k"), F.col("event_id").alias("v"), F.col("value").alias("ord")), ["k"])
+    return tb.upsert(old, e.where("event_id % 3 = 0").select(F.col("user_id").alias("k"), F.col("event_id").alias("v"), F.struct("value", -F.col("event_id")).alias("ord")), ["k"])
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R') UNION ALL SELECT o_orderkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
