@@ -26,9 +26,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import resemblance
 from .common import id_text, materialize
 from .components import connected_components
-from .resemblance import keep_one as keep_one  # what documents stay is decided on whole shingle sets
 
 MAX_DISTANCE, N_PIVOTS, MAX_BLOCK = 2, 16, 64
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -128,3 +128,20 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 3) -> DataFrame:
     best = classes.groupBy("root").agg(F.min("least_id").alias("component_id"))
     named = classes.join(best, "root").select("fp", "component_id")
     return fps.join(named, "fp", "left").select("doc_id", "fp", "component_id")
+
+
+def text_links(texts: DataFrame) -> DataFrame:
+    """Edges (a, b) between texts (num, fp) that connect all those of equal fingerprints or of ones within MAX_DISTANCE."""
+    least = materialize(texts.groupBy("fp").agg(F.min("num").alias("least")))
+    same = texts.join(least, "fp").where("num <> least").select(F.col("num").alias("a"), F.col("least").alias("b"))
+    of = lambda c: least.select(F.col("fp").alias(c), F.col("least").alias(f"n{c}"))
+    near = links(least.select("fp")).join(of("a"), "a").join(of("b"), "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
+    return same.union(near)
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One row of `docs` for each class of documents that SimHash links or the similarity of whole shingle sets lead to.
+
+    Fingerprints alone miss near copies that differ by more bits, so both kinds of links make the classes; no link of either is lost.
+    """
+    return resemblance.keep_one(docs, fingerprint=fingerprint, also=text_links)
