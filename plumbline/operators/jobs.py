@@ -38,14 +38,18 @@ def rolling_count(events: DataFrame, keys: list[str], at: str = "at", seconds: i
     """`recent`: earlier events of the key strictly within the last `seconds`; equal times do not count each other.
 
     Time is cut into spans of `seconds`; an event counts in its own span and stands by in the next, so that a key's spans are apart
-    and a key with most of the events is no single task's work.
+    and a key with most of the events is no single task's work. Moved on by `seconds`, an event that stands by falls among those of the
+    span, and counts for those before it: two running counts and a total, which take a pass each, however many events a window has.
     """
     micros, length = F.unix_micros(F.col(at).cast("timestamp")), seconds * 1_000_000
     span = F.floor(micros / length)
-    both = F.explode(F.array(F.struct(span.alias("span"), F.lit(True).alias("own")), F.struct((span + 1).alias("span"), F.lit(False).alias("own")))).alias("_s")
-    w = Window.partitionBy(*keys, "_s.span").orderBy("_micros").rangeBetween(-length + 1, -1)
-    counted = events.select("*", micros.alias("_micros"), both).withColumn("recent", F.count("*").over(w))
-    return counted.where("_s.own").drop("_micros", "_s")
+    one = lambda own, by: F.struct((span + by).alias("span"), (micros + by * length).alias("at"), F.lit(own).alias("own"))
+    placed = events.select("*", F.explode(F.array(one(True, 0), one(False, 1))).alias("_s"))
+    part = Window.partitionBy(*keys, "_s.span")
+    upto = lambda last: part.orderBy("_s.at").rangeBetween(Window.unboundedPreceding, last)
+    own = F.col("_s.own")
+    recent = F.count_if(own).over(upto(-1)) + F.count_if(~own).over(part) - F.count_if(~own).over(upto(0))
+    return placed.withColumn("recent", recent).where("_s.own").drop("_s")
 
 
 def quota_resets(events: DataFrame, keys: list[str], limit: int, seconds: int = 86400) -> DataFrame:
