@@ -19,9 +19,10 @@ def merge_chunks(codings: DataFrame) -> DataFrame:
     """(project, check_id, state, span_ids) from (project, check_id, chunk, state, span_ids).
 
     The strongest state over chunks wins and keeps the distinct spans of the chunks that have it, first seen first; unknown keeps
-    none. One aggregation: the lists are gathered for each rank, so no row meets its group twice.
+    none. The lists are gathered for each rank, so no row meets its group twice; a project's rows move once, to both aggregations and to
+    what is asked of its spans after them.
     """
-    by_rank = codings.groupBy("project", "check_id", state_rank(F.col("state")).alias("rank")).agg(F.sort_array(F.collect_list(F.struct("chunk", "span_ids"))).alias("lists"))
+    by_rank = codings.repartition("project").groupBy("project", "check_id", state_rank(F.col("state")).alias("rank")).agg(F.sort_array(F.collect_list(F.struct("chunk", "span_ids"))).alias("lists"))
     best = by_rank.groupBy("project", "check_id").agg(F.max_by(F.struct("rank", "lists"), "rank").alias("b"))
     names = F.element_at(F.array(*(F.lit(s) for s, _ in sorted(STATE_RANK.items(), key=lambda x: x[1]))), F.col("b.rank") + 1)
     spans = F.array_distinct(F.flatten(F.transform("b.lists", lambda x: x["span_ids"])))

@@ -11,7 +11,7 @@ from ..operators import identifiers as idn
 from ..operators import release as rl
 from ..operators import states as st
 from ..registry import query, table
-from ..sources.tables import checkpointed
+from ..sources.tables import checkpointed, stored
 from . import shims
 from .shims import DECISIONS, DOMAIN, GATED, PROJECTS, STATES
 
@@ -142,6 +142,7 @@ def _model(spark, d):
     projects = c.select(F.col("c_custkey").alias("project"), F.col("c_nationkey").alias("quarter"), F.col("c_mktsegment").alias("source"), (F.col("c_custkey") % 7 == 0).alias("failed"))
     states, of = shims.states(spark, d).select("project", "check_id", "state"), shims.decision_of(spark)
     dense = projects.select("project").crossJoin(shims.domain(spark)).join(states, ["project", "check_id"], "left").withColumn("state", F.coalesce("state", F.lit("unknown")))  # seven checks
+    dense = stored(dense)  # every family of tuples reads it
     basis = F.when(F.col("state") == "fail", "rejected").when(F.col("state") == "claimed", "downgraded").otherwise("confirmed")
     decided = dense.where("state <> 'unknown'").select("project", "check_id", basis.alias("basis"))
     shares = [rl.check_shares(dense, projects, shims.domain(spark), s).select(F.concat_ws("|", F.lit("chk"), "check_id", F.lit(s), "partition").alias("tuple_id"), F.col("n").cast("long").alias("n"), "c") for s in ("pass", "claimed")]

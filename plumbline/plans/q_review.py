@@ -114,7 +114,7 @@ def _sources(spark, d):
 def review_trail(spark, d):
     s, e, one = _sources(spark, d)
     people = e.where("kind = 'person'").withColumn("decision", F.col("state"))
-    trail = rv.review_trail(s, one.where("project % 2 = 0"), people, e.where("kind = 'agent'"), one.where("project % 3 = 0"), st.published_states(*_bound(spark, d)))
+    trail = rv.review_trail(s, one.where("project % 2 = 0"), people, e.where("kind = 'agent'"), one.where("project % 3 = 0"), st.published_states(*_bound(spark, d, s)))
     n = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
     count = lambda c: F.when(F.col(c).isNull(), F.lit(0)).otherwise(n(c)).cast("long")
     return trail.select("project", "check_id", "model_state", "second_state", "gold_state", "published", "basis", count("confirmations").alias("n_confirmations"), count("edits").alias("n_edits"), F.get("confirmations", 0)["ord"].alias("first_confirmation"))
@@ -123,7 +123,7 @@ def review_trail(spark, d):
 @query(f"WITH {STATES} SELECT project, check_id, len(span_ids) AS n_spans FROM states")
 def blind_trail(spark, d):
     s, e, one = _sources(spark, d)
-    trail = rv.review_trail(s, one, e.withColumn("decision", F.col("state")), e, one, st.published_states(*_bound(spark, d)), blind=True)
+    trail = rv.review_trail(s, one, e.withColumn("decision", F.col("state")), e, one, st.published_states(*_bound(spark, d, s)), blind=True)
     return trail.select("project", "check_id", F.size("span_ids").cast("long").alias("n_spans"))
 
 
