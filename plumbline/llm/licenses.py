@@ -12,6 +12,9 @@ are exploded from distinct directories and equi-joined.
 
 Null and empty texts have no units and can only inherit; a file with a null path inherits nothing. Repeated rows each
 get their row. Extra columns are kept out.
+
+Texts are read three times: for the files' names, for the tokens of lines and for those of licence files. All else follows from what
+these wrote, so that no plan holds a scan of the texts more than once.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import materialize
 from .licence_texts import WHOLE
 
 THRESHOLD, VERBATIM = 0.6, 0.85
@@ -76,10 +80,14 @@ def templates(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(TEMPLATES, "license_id string, text string")
 
 
-def _tokens(units: DataFrame, *keys: str) -> DataFrame:
+def _words(units: DataFrame, *keys: str) -> DataFrame:
+    """(keys, tokens)."""
+    return units.select(*keys, F.expr(r"regexp_extract_all(lower(text), '[a-z0-9]+(?:[.-][a-z0-9]+)*', 0)").alias("tokens"))
+
+
+def _tokens(said: DataFrame, *keys: str) -> DataFrame:
     """(keys, token, tf)."""
-    words = F.expr(r"regexp_extract_all(lower(text), '[a-z0-9]+(?:[.-][a-z0-9]+)*', 0)")
-    return units.select(*keys, F.explode(words).alias("token")).groupBy(*keys, "token").agg(F.count("*").alias("tf"))
+    return said.select(*keys, F.explode("tokens").alias("token")).groupBy(*keys, "token").agg(F.count("*").alias("tf"))
 
 
 def named_as_licence(path: Column) -> Column:
@@ -105,11 +113,12 @@ def matches(found: DataFrame, copies: DataFrame, patterns: DataFrame) -> DataFra
     """(a, b, unit, license_id, score): each unit's best template. `copies` (a, b, m) are names of rows that are there m times, not once."""
     patterns = patterns.where("text IS NOT NULL").select("license_id", "text", F.xxhash64("license_id", "text").alias("template")).dropDuplicates(["template"])
     keys = ("a", "b", "unit")
+    said = materialize(_words(found, *keys))
     # Texts are not shuffled to find copies: their counts are divided instead.
-    of_units = _tokens(found, *keys).join(copies, ["a", "b"], "left").select(*keys, "token", F.expr("tf div coalesce(m, 1)").alias("tf"))
-    of_patterns = _tokens(patterns, "license_id", "template")
+    of_units = _tokens(said, *keys).join(copies, ["a", "b"], "left").select(*keys, "token", F.expr("tf div coalesce(m, 1)").alias("tf"))
+    of_patterns = _tokens(_words(patterns, "license_id", "template"), "license_id", "template")
     seen = of_units.select("token").unionByName(of_patterns.select("token")).groupBy("token").agg(F.count("*").alias("df"))
-    n = found.select(*keys).distinct().select(F.lit(1)).unionByName(patterns.select(F.lit(1))).agg(F.count("*").alias("n_units"))
+    n = said.select(*keys).distinct().select(F.lit(1)).unionByName(patterns.select(F.lit(1))).agg(F.count("*").alias("n_units"))
     idf = seen.join(F.broadcast(n)).select("token", (F.log((1 + F.col("n_units")) / (1 + F.col("df"))) + 1).alias("idf"))
     weigh = lambda df, *by: df.join(idf, "token").select(*by, "token", (F.col("tf") * F.col("idf")).alias("w"))
     unit_w, pattern_w = weigh(of_units, *keys), weigh(of_patterns, "license_id", "template")
@@ -131,12 +140,12 @@ def scan(files: DataFrame, patterns: DataFrame, threshold: float = THRESHOLD) ->
     # Files go by 128 bits of path and text; two equal files are one.
     name = [F.xxhash64(F.lit(i), F.col("path"), F.col("path").isNull(), text) for i in (0, 1)]
     whole = files.select("id", "path", text.alias("text"), name[0].alias("a"), name[1].alias("b"))
-    rows = whole.drop("text")
+    rows = materialize(whole.drop("text"))
     copies = rows.groupBy("a", "b").agg(F.count("*").alias("m")).where("m > 1")
     hits = matches(units(whole.drop("id")), copies, patterns).where(F.col("score") >= threshold)
     first = (F.col("unit") == -1) & (F.col("score") >= VERBATIM)
     best = F.min(F.struct((~first).alias("part"), (-F.col("score")).alias("o"), "license_id"))
-    own = hits.groupBy("a", "b").agg(best.alias("best")).select("a", "b", F.struct("best.o", "best.license_id").alias("own"))
+    own = materialize(hits.groupBy("a", "b").agg(best.alias("best")).select("a", "b", F.struct("best.o", "best.license_id").alias("own")))
     joined = rows.join(own, ["a", "b"], "left")
     folder = F.regexp_replace("path", r"/?[^/]*$", "")
     licence_files = rows.where("path IS NOT NULL").where(named_as_licence(F.col("path"))).join(own, ["a", "b"])
