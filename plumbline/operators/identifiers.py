@@ -8,12 +8,15 @@ broadcasts at a time. With more than one block the texts are read once for each,
 from __future__ import annotations
 
 import math
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numbers import sliced
 from ..functions.text import host, title_forms, url_key
 from ..sources.tables import checkpointed
 from .domains import registrable_domains
@@ -33,32 +36,38 @@ NEIGHBOURS = {
 
 def _search(texts: DataFrame, block: pa.Table) -> DataFrame:
     """(file, rule, id) of one block over texts (file, t), each identifier once for each text."""
-    spark = texts.sparkSession
-    values = spark.sparkContext.broadcast(list(zip(*(block.column(c).to_pylist() for c in ("v", "rule", "id")), strict=True)))
-    edges = {rule: frozenset(signs) for rule, signs in NEIGHBOURS.items()}
+    handle = texts.sparkSession.sparkContext.broadcast(block.sort_by("v").combine_chunks())
+    edges = [frozenset(signs) for signs in NEIGHBOURS.values()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ahocorasick
 
-        named: dict[str, list[tuple[str, int]]] = {}
-        for v, rule, i in values.value:
-            named.setdefault(v, []).append((rule, i))
-        automaton = ahocorasick.Automaton()
-        for v, ids in named.items():
-            automaton.add_word(v, (len(v), ids))
+        # The automaton holds a number for each value, arrays what belongs to it: a worker has no Python object for each identifier.
+        block, ids = handle.value, handle.value.column("id").to_numpy()
+        rules = pc.index_in(block.column("rule"), pa.array(list(NEIGHBOURS))).to_numpy()
+        automaton, first, sizes, last = ahocorasick.Automaton(ahocorasick.STORE_INTS), array("q"), array("q"), None
+        for at in range(0, block.num_rows, 4096):
+            for row, v in enumerate(block.column("v").slice(at, 4096).to_pylist(), at):
+                if v != last:
+                    automaton.add_word(v, len(first))
+                    first.append(row), sizes.append(len(v))
+                    last = v
+        first.append(block.num_rows)
         automaton.make_automaton()
-        for b in batches:
+        for b in sliced(batches):
             files, texts = b.column("file"), b.column("t").to_pylist()
-            at, rules, found = [], [], []
+            at, kinds, found = [], [], []
             for row, t in enumerate(texts):
                 seen: set[int] = set()
-                for end, (size, ids) in automaton.iter(t) if named and t else ():
+                for end, k in automaton.iter(t) if sizes and t else ():
+                    size = sizes[k]
                     around = t[end - size : end - size + 1] if end >= size else "", t[end + 1 : end + 2]
-                    for rule, i in ids:
-                        if i not in seen and not (around[0] in edges[rule] or around[1] in edges[rule]):
+                    for i in range(first[k], first[k + 1]):
+                        if i not in seen and not (around[0] in edges[rules[i]] or around[1] in edges[rules[i]]):
                             seen.add(i)
-                            at.append(row), rules.append(rule), found.append(i)
-            yield pa.record_batch([files.take(pa.array(at, pa.int64())), pa.array(rules, pa.string()), pa.array(found, pa.int64())], ["file", "rule", "id"])
+                            at.append(row), kinds.append(rules[i]), found.append(ids[i])
+            named = pa.array(list(NEIGHBOURS)).take(pa.array(kinds, pa.int32()))
+            yield pa.record_batch([files.take(pa.array(at, pa.int64())), named, pa.array(found, pa.int64())], ["file", "rule", "id"])
 
     return texts.mapInArrow(run, f"file {texts.schema['file'].dataType.simpleString()}, rule string, id long")
 
