@@ -19,19 +19,25 @@ def merge_chunks(codings: DataFrame) -> DataFrame:
     """(project, check_id, state, span_ids) from (project, check_id, chunk, state, span_ids).
 
     The strongest state over chunks wins and keeps the distinct spans of the chunks that have it, first seen first; unknown keeps
-    none. The lists are gathered for each rank, so no row meets its group twice; a project's rows move once, to both aggregations and to
-    what is asked of its spans after them.
+    none. A check's lists are gathered once, beside their rank; a project's rows move once, to the aggregation and to what is asked of
+    its spans after it.
     """
-    by_rank = codings.repartition("project").groupBy("project", "check_id", state_rank(F.col("state")).alias("rank")).agg(F.sort_array(F.collect_list(F.struct("chunk", "span_ids"))).alias("lists"))
-    best = by_rank.groupBy("project", "check_id").agg(F.max_by(F.struct("rank", "lists"), "rank").alias("b"))
-    names = F.element_at(F.array(*(F.lit(s) for s, _ in sorted(STATE_RANK.items(), key=lambda x: x[1]))), F.col("b.rank") + 1)
-    spans = F.array_distinct(F.flatten(F.transform("b.lists", lambda x: x["span_ids"])))
-    return best.select("project", "check_id", names.alias("state"), F.when(F.col("b.rank") > 0, spans).otherwise(F.slice(spans, 1, 0)).alias("span_ids"))
+    rank = state_rank(F.col("state"))
+    lists = F.collect_list(F.struct("chunk", "span_ids", rank.alias("rank")))
+    best = codings.repartition("project").groupBy("project", "check_id").agg(F.max(rank).alias("rank"), lists.alias("lists"))
+    names = F.element_at(F.array(*(F.lit(s) for s, _ in sorted(STATE_RANK.items(), key=lambda x: x[1]))), F.col("rank") + 1)
+    strongest = F.sort_array(F.filter("lists", lambda x: x["rank"] == F.col("rank")))
+    spans = F.array_distinct(F.flatten(F.transform(strongest, lambda x: x["span_ids"])))
+    return best.select("project", "check_id", names.alias("state"), F.when(F.col("rank") > 0, spans).otherwise(F.array().cast(codings.schema["span_ids"].dataType)).alias("span_ids"))
 
 
 def quote_or_unknown(states: DataFrame, known: DataFrame) -> DataFrame:
     """Downgrade to unknown without spans: no span cited, or one that is not among the project's `known` (project, known_ids)."""
-    cited = states.join(known, "project", "left")
+    return resolved_or_unknown(states.join(known, "project", "left"))
+
+
+def resolved_or_unknown(cited: DataFrame) -> DataFrame:
+    """The same of states whose rows hold their project's `known_ids`; null: none."""
     unresolved = F.size(F.array_except("span_ids", F.coalesce("known_ids", F.slice("span_ids", 1, 0)))) > 0
     drop = (F.col("state") == "unknown") | (F.size("span_ids") == 0) | unresolved
     return cited.select(
