@@ -1,8 +1,9 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
 A text becomes units: white space is written as U+2581, one is put in front, and a unit is a run of
-those with what follows up to the next; no piece crosses a unit. Each distinct unit of the corpus is
-segmented once:
+those with what follows up to the next; no piece crosses a unit. Nor does one cross two neighbouring characters
+that stand together in no piece: a BPE model's units are cut there into parts, each with the same pieces alone as in
+its unit. Each distinct part of the corpus is segmented once:
 
 1. its substrings, of the lengths that pieces which begin as they do have, are exploded and equi-joined to the
    piece table: the lattice's edges;
@@ -12,8 +13,10 @@ segmented once:
    fold goes through the edges by rank and applies each that joins two neighbours. Single characters that are no
    piece fall back to bytes.
 
-Units that a text uses are then replaced by their ids: those of at least 1 / TABLE of all occurrences (so at
-most TABLE units, whatever the corpus) from a broadcast table, all others by a join on the unit and one back on the row.
+Parts that a text uses are then replaced by numbers, the more frequent the smaller, and these by ids: those of at least 1 / TABLE of all occurrences (so at
+most TABLE, whatever the corpus) from a broadcast table, all others by a join on the part and one back on the row. Uncut
+units that are met often are in the table, too, so that they need not be cut. Texts are looked up once: both joins
+read the same shuffled rows, with the ids found and the parts that were not.
 
 Null and empty texts have no ids. Decoding inverts encoding but for U+2581 itself, which comes back as a space
 (as in the library). Repeated rows and null ids each keep their row; other columns are ignored.
@@ -25,7 +28,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cached_property
-from itertools import filterfalse
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +43,9 @@ DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 TABLE = 1 << 23
 #: Score of a character that is no piece, in a unigram model.
 UNKNOWN = -1e6
-_SLICE, _FLUSH = 1 << 21, 1 << 17  # bytes looked at together; distinct units counted together
+_SLICE, _FLUSH = 1 << 20, 1 << 17  # bytes looked at together; distinct units counted together
+#: Of so many occurrences among those counted together, a unit of several parts is counted as a whole, too.
+_WHOLE = 4
 #: Longer units are segmented one by one, in an Arrow function: the fold's boundaries are bits of a long.
 LONG_UNIT = 60
 #: First characters of a substring that tell its possible lengths.
@@ -75,6 +80,11 @@ class Pieces:
     def late(self) -> set[str]:
         return turns_late(self)
 
+    @cached_property
+    def pairs(self) -> set[str]:
+        """Neighbouring characters of pieces."""
+        return {p[i : i + 2] for p in self.score_of for i in range(len(p) - 1)}
+
     @property
     def longest(self) -> int:
         return max(len(p) for p, _, _ in self.rows)
@@ -101,6 +111,33 @@ def _split(text: str) -> list[str]:
     return out
 
 
+def _cutter(pieces: Pieces):
+    """A function from units (without the first U+2581) to their parts (with it), in order, and where each unit's begin and the last ends.
+
+    For a unigram model a unit is one part: sums of scores over parts may round in another way.
+    """
+    chars = sorted({c for p in pieces.pairs for c in p})
+    code = np.zeros(0x110000, np.int32)
+    code[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
+    joined = np.zeros((len(chars) + 1, len(chars) + 1), bool)
+    for p in pieces.pairs:
+        joined[code[ord(p[0])], code[ord(p[1])]] = True
+
+    def cut(units: list[str]) -> tuple[list[str], np.ndarray]:
+        whole = [SPACE + u for u in units]
+        if pieces.kind != "bpe" or not units:
+            return whole, np.arange(len(units) + 1)
+        text, stops = "".join(whole), np.cumsum([0, *map(len, whole)])
+        codes = code[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")]
+        apart = np.concatenate([[True], ~joined[codes[:-1], codes[1:]], [True]])
+        apart[stops] = True
+        at = np.flatnonzero(apart)
+        ends = at.tolist()
+        return [text[x:y] for x, y in zip(ends, ends[1:], strict=False)], np.searchsorted(at, stops)
+
+    return cut
+
+
 def _by_heap(unit: str, pieces: Pieces) -> list[int]:
     """Merges of a unit of any length in n log n; the same as the fold over merges."""
     import heapq
@@ -242,7 +279,7 @@ def fold_viterbi(latticed: DataFrame) -> DataFrame:
 
 
 def _id_kind(pieces: Pieces) -> np.dtype:
-    """Of packed ids: two bytes where they fit. The largest number is no id."""
+    """Of packed ids: two bytes where they fit."""
     return np.dtype("<u2" if len(pieces.names) < 1 << 16 else "<u4")
 
 
@@ -292,130 +329,163 @@ def encode_units(units: DataFrame, pieces: Pieces) -> DataFrame:
     return spelt.mapInArrow(run, "unit string, n long, ids array<int>")
 
 
-def _slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
-    """Parts of batches of about _SLICE bytes of a column, so that a task holds few of them at once."""
+def _slices(batches: Iterator[pa.RecordBatch], column: str, size_of=None) -> Iterator[pa.RecordBatch]:
+    """Parts of batches of about _SLICE bytes of a column, or of what `size_of` tells of its values, so that a task holds few of them at once."""
     for b in batches:
-        sizes = np.diff(np.frombuffer(b.column(column).buffers()[1], "<i4")[b.column(column).offset :][: b.num_rows + 1]) if b.num_rows else np.zeros(0)
+        if size_of:
+            sizes = np.array([size_of(x) for x in b.column(column).to_pylist()], np.int64)
+        else:
+            sizes = np.diff(np.frombuffer(b.column(column).buffers()[1], "<i4")[b.column(column).offset :][: b.num_rows + 1]) if b.num_rows else np.zeros(0)
         part = np.cumsum(sizes) // _SLICE
         heads = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if b.num_rows else []
         for x, y in zip(heads, [*heads[1:], b.num_rows], strict=False):
             yield b.slice(x, y - x)
 
 
-def _count_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter[str] = Counter()
+def _count_parts(pieces: Pieces):
+    """An Arrow function from texts to (unit, n) of parts, and of units of several parts that it meets often."""
 
-    def rows() -> pa.RecordBatch:
-        return pa.record_batch([pa.array([SPACE + u for u in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], ["unit", "n"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut, counts, found = _cutter(pieces), Counter(), Counter()
 
-    for b in _slices(batches, "text"):
-        for t in b.column("text").to_pylist():
-            counts.update(_split(t))
-        if len(counts) >= _FLUSH:
-            yield rows()
+        def take() -> None:
+            units, ns = list(counts), np.array(list(counts.values()), np.int64)
             counts.clear()
-    yield rows()
+            parts, at = cut(units)
+            sizes = np.diff(at)
+            for p, n in zip(parts, np.repeat(ns, sizes).tolist(), strict=True):
+                found[p] += n
+            for i in np.flatnonzero((sizes > 1) & (ns >= _WHOLE)).tolist():
+                found[SPACE + units[i]] += int(ns[i])
+
+        def rows() -> pa.RecordBatch:
+            return pa.record_batch([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["unit", "n"])
+
+        for b in _slices(batches, "text"):
+            for t in b.column("text").to_pylist():
+                counts.update(_split(t))
+            if len(counts) >= _FLUSH:
+                take()
+                if len(found) >= _FLUSH:
+                    yield rows()
+                    found.clear()
+        take()
+        yield rows()
+
+    return run
 
 
 def encode(docs: DataFrame, model: str = DEFAULT_MODEL, kind: str = "bpe", table_rows: int = TABLE) -> DataFrame:
     """(doc_id, digest, ids) of every row; digest is the xxhash64 of the text that decoding gives back."""
     spark, pieces = docs.sparkSession, Pieces.load(model, kind)
     rows, id_kind = id_text(docs), _id_kind(pieces)
-    gap = np.iinfo(id_kind).max
-    counts = materialize(rows.select("text").mapInArrow(_count_units, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n")))
+    counts = materialize(rows.select("text").mapInArrow(_count_parts(pieces), "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n")))
     total = counts.agg(F.sum("n")).first()[0] or 0
     # At most `table_rows` units can have this share of all occurrences.
     often = _segmented(counts.where(F.col("n") * table_rows >= total).repartition(partitions(spark, counts), "unit"), pieces)
     with settings(spark, spark__sql__execution__useObjectHashAggregateExec="false"):
         # The edges of a unit come one after another: a sort finds them in order, where a hash table would first fill up.
-        often = often.mapInArrow(_speller(pieces, ["unit"]), "unit string, ids binary").toArrow()
-    handle = spark.sparkContext.broadcast(dict(zip((u[1:] for u in often["unit"].to_pylist()), often["ids"].to_pylist(), strict=True)))
+        often = often.mapInArrow(_speller(pieces, ["unit", "n"]), "unit string, n long, ids binary").toArrow().sort_by([("n", "descending")])
+    # A number tells an entry; 0 is none. Units and their first parts go without the U+2581 that they begin with, which no other part does.
+    heads, others = {}, {}
+    for i, u in enumerate(often["unit"].to_pylist(), 1):
+        if u[0] == SPACE:
+            heads[u[1:]] = i
+        else:
+            others[u] = i
+    packed = often["ids"].to_pylist()
+    stops = np.cumsum([0, 0, *map(len, packed)]) // id_kind.itemsize
+    handle, spelling = spark.sparkContext.broadcast((heads, others)), spark.sparkContext.broadcast((stops, np.frombuffer(b"".join(packed), id_kind)))
     discard(counts)
-    hole = np.array([gap], id_kind).tobytes()
     id_type = rows.schema["doc_id"].dataType.simpleString()
 
-    def find_rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = handle.value
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The numbers of a row, 0 for each rare part, and its rare parts in order, with a space between."""
+        import zstandard
+
+        (known, inner), cut, small = handle.value, _cutter(pieces), zstandard.ZstdCompressor(level=1)
         for b in _slices(batches, "text"):
             units, stops = [], [0]
             for t in b.column("text").to_pylist():
-                units.extend(filterfalse(known.__contains__, _split(t)))
+                units += _split(t)
                 stops.append(len(units))
-            sizes = np.diff(stops)
-            row, nth = np.repeat(np.arange(b.num_rows), sizes), np.arange(len(units)) - np.repeat(stops[:-1], sizes)
-            place = b.column("k2").to_numpy()[row] | nth
-            yield pa.record_batch([b.column("k1").take(pa.array(row)), pa.array(place, pa.int64()), pa.array([SPACE + u for u in units], pa.string())], ["k1", "place", "unit"])
+            found = np.array(list(map(known.get, units, repeat(0))), np.uint32)
+            unknown = np.flatnonzero(found == 0)
+            parts, at = cut([units[i] for i in unknown.tolist()])
+            numbers = np.array([known.get(p[1:], 0) if p[0] == SPACE else inner.get(p, 0) for p in parts], np.uint32)
+            times = np.ones(len(units), np.int64)
+            times[unknown] = np.diff(at)
+            flat = np.repeat(found, times)
+            flat[np.repeat(found == 0, times)] = numbers
+            ends = np.concatenate([[0], np.cumsum(times)])[stops].tolist()
+            rare = np.flatnonzero(flat == 0)
+            first = np.searchsorted(rare, ends).tolist()
+            texts = [parts[j] for j in np.flatnonzero(numbers == 0).tolist()]
+            low, high = flat.astype("<u2"), (flat >> 16).astype("<u2")
+            ids = [small.compress(low[x:y].tobytes() + high[x:y].tobytes()) for x, y in zip(ends, ends[1:], strict=False)]
+            left = [small.compress(" ".join(texts[x:y]).encode()) if x < y else None for x, y in zip(first, first[1:], strict=False)]
+            yield pa.record_batch([*(b.column(c) for c in ("doc_id", "digest", "k1", "k2")), pa.array(ids, pa.binary()), pa.array(left, pa.binary())], ["doc_id", "digest", "k1", "k2", "ids", "rare"])
 
-    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def find_rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        known, small = handle.value, zstandard.ZstdCompressor(level=1)
-        for b in _slices(batches, "text"):
-            ids = [small.compress(b"".join([known.get(u, hole) for u in _split(t)])) for t in b.column("text").to_pylist()]
-            yield pa.record_batch([*(b.column(c) for c in ("doc_id", "digest", "k1", "k2")), pa.array(ids, pa.binary())], ["doc_id", "digest", "k1", "k2", "ids"])
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row's rare units in order: how many, how many ids each has, and the ids."""
-        for b in batches:
-            lists, packed = b.column("extra"), []
-            ends, values = lists.offsets.to_numpy(), lists.flatten()
-            ends = ends - ends[0]
-            row, place = np.repeat(np.arange(b.num_rows), np.diff(ends)), values.field("place").to_numpy()
-            order = np.lexsort((place, row))
-            row, place = row[order], place[order]
-            once = np.ones(len(row), bool)  # equal rows each bring their units: one of each place
-            once[1:] = (row[1:] != row[:-1]) | (place[1:] != place[:-1])
-            ids = values.field("ids").take(pa.array(order[once])).cast(pa.large_binary())
-            at = np.frombuffer(ids.buffers()[1], np.int64)[ids.offset : ids.offset + len(ids) + 1]
-            data, sizes = bytes(ids.buffers()[2] or b""), (np.diff(at) // id_kind.itemsize).astype("<u4")
-            cut = np.searchsorted(row[once], np.arange(b.num_rows + 1))
-            for x, y in zip(cut.tolist(), cut[1:].tolist(), strict=False):
-                packed.append(np.uint32(y - x).tobytes() + sizes[x:y].tobytes() + data[at[x] : at[y]])
-            yield pa.record_batch([b.column("k1"), b.column("k2"), pa.array(packed, pa.binary())], ["k1", "k2", "extra"])
+        large = zstandard.ZstdDecompressor()
+        for b in _slices(batches, "rare"):
+            units, sizes = [], []
+            for x in b.column("rare").to_pylist():
+                parts = large.decompress(x).decode().split(" ") if x else []
+                units += parts
+                sizes.append(len(parts))
+            row, nth = np.repeat(np.arange(b.num_rows), sizes), np.arange(len(units)) - np.repeat(np.cumsum([0, *sizes])[:-1], sizes)
+            place = b.column("k2").to_numpy()[row] | nth
+            yield pa.record_batch([b.column("k1").take(pa.array(row)), pa.array(place, pa.int64()), pa.array(units, pa.string())], ["k1", "place", "unit"])
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        large = zstandard.ZstdDecompressor()
-        for b in _slices(batches, "ids"):
-            out = []
-            for raw, extra in zip(b.column("ids").to_pylist(), b.column("extra").to_pylist(), strict=True):
-                raw = large.decompress(raw)
-                if extra:
-                    n = int(np.frombuffer(extra, "<u4", 1)[0])
-                    stops = (np.cumsum(np.frombuffer(extra, "<u4", n, 4)) * id_kind.itemsize + 4 * (n + 1)).tolist()
-                    gaps = (np.flatnonzero(np.frombuffer(raw, id_kind) == gap) * id_kind.itemsize).tolist()
-                    if len(gaps) != n:
-                        raise ValueError("two texts under one id have the same hash")
-                    parts, at, start = [], 0, 4 * (n + 1)
-                    for x, stop in zip(gaps, stops, strict=True):
-                        parts += (raw[at:x], extra[start:stop])
-                        at, start = x + id_kind.itemsize, stop
-                    raw = b"".join(parts) + raw[at:]
-                out.append(raw)
-            ends = np.cumsum([0, *map(len, out)]) // id_kind.itemsize
-            flat = np.frombuffer(b"".join(out), id_kind).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
+        large, (stops, spelt) = zstandard.ZstdDecompressor(), spelling.value
+        lengths = np.diff(stops)
+        for b in _slices(batches, "ids", zstandard.frame_content_size):
+            raw = [np.frombuffer(large.decompress(x), "<u2").reshape(2, -1) for x in b.column("ids").to_pylist()]
+            ends = np.cumsum([0, *(x.shape[1] for x in raw)])
+            low, high = np.concatenate(raw, 1).astype(np.int64)
+            flat = low | high << 16
+            holes = flat == 0
+            sizes, values = b.column("extra").value_lengths().fill_null(0).to_numpy(zero_copy_only=False), b.column("extra").flatten()
+            row = np.repeat(np.arange(b.num_rows), sizes)
+            if not np.array_equal(row, np.searchsorted(ends, np.flatnonzero(holes), "right") - 1):
+                raise ValueError("two texts under one id have the same hash")
+            ids = values.field("ids").take(pa.array(np.lexsort((values.field("place").to_numpy(), row)))).cast(pa.large_binary())
+            at = np.frombuffer(ids.buffers()[1], np.int64)[ids.offset : ids.offset + len(ids) + 1]
+            times = lengths[flat]
+            times[holes] = np.diff(at) // id_kind.itemsize
+            before = np.concatenate([[0], np.cumsum(times)])
+            gaps = np.repeat(holes, times)
+            out = np.empty(len(gaps), np.int32)
+            out[~gaps] = spelt[(np.arange(len(gaps)) + np.repeat(stops[flat] - before[:-1], times))[~gaps]]
+            out[gaps] = np.frombuffer(bytes(ids.buffers()[2] or b""), id_kind, (at[-1] - at[0]) // id_kind.itemsize, at[0])
+            lists = pa.ListArray.from_arrays(pa.array(before[ends], pa.int32()), pa.array(out))
             yield pa.record_batch([b.column("doc_id"), b.column("digest"), lists], ["doc_id", "digest", "ids"])
 
     # A row is known by its id, or a hash of it or, without one, of the text, and by 32 more bits of the text.
     own = F.col("doc_id").cast("long") if id_type in ("tinyint", "smallint", "int", "bigint") else F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id"))
     k1, k2 = F.coalesce(own, F.xxhash64("text")).alias("k1"), F.shiftleft(F.hash("text").cast("long"), 32).alias("k2")
     keyed = rows.select("doc_id", "text", F.xxhash64(F.replace("text", F.lit(SPACE), F.lit(" "))).alias("digest"), k1, k2)
-    # Where rare units occur, dealt by unit once: the distinct ones become edges, and find their occurrences again, where they are.
-    # Both sides take all columns and drop nulls themselves, so that the planner sees one and the same exchange.
+    # Dealt by row once: rare parts are taken from there and come back there. Both Arrow functions take all columns, so that
+    # the planner sees one and the same exchange.
     n = partitions(spark, rows)
-    places = keyed.select("text", "k1", "k2").mapInArrow(find_rare, "k1 long, place long, unit string").where("unit IS NOT NULL").repartition(n, "unit")
+    looked = keyed.mapInArrow(look_up, f"doc_id {id_type}, digest long, k1 long, k2 long, ids binary, rare binary").repartition(n, "k1", "k2")
+    # Where rare parts occur, dealt by part once: the distinct ones become edges, and find their occurrences again, where they are.
+    # Both sides take all columns and drop nulls themselves, likewise.
+    places = looked.mapInArrow(find_rare, "k1 long, place long, unit string").where("unit IS NOT NULL").repartition(n, "unit")
     distinct = places.groupBy("unit").agg(F.count("*").alias("n"), F.max("k1").alias("k1"), F.max("place").alias("place"))
     rare = _segmented(distinct.where("n > 0 OR k1 > place"), pieces).select("unit", "cuts")
     spelt = places.join(rare, "unit").select("k1", "place", "unit", "cuts").mapInArrow(_speller(pieces, ["k1", "place"]), "k1 long, place long, ids binary")
-    spelt = spelt.repartition(n, "k1").withColumn("k2", F.shiftleft(F.shiftright("place", 32), 32))
-    of_rows = spelt.groupBy("k1", "k2").agg(F.collect_list(F.struct("place", "ids")).alias("extra"))
-    with settings(spark, spark__sql__execution__useObjectHashAggregateExec="false"):
-        extra = materialize(of_rows.mapInArrow(pack, "k1 long, k2 long, extra binary"))
-    looked = keyed.mapInArrow(look_up, f"doc_id {id_type}, digest long, k1 long, k2 long, ids binary")
+    spelt = spelt.withColumn("k2", F.shiftleft(F.shiftright("place", 32), 32)).repartition(n, "k1", "k2")
+    # A set: equal rows each bring their parts, one of each place is kept.
+    extra = spelt.groupBy("k1", "k2").agg(F.collect_set(F.struct("place", "ids")).alias("extra"))
     joined = looked.join(extra, ["k1", "k2"], "left")
-    return joined.select("doc_id", "digest", "ids", "extra").mapInArrow(fill, f"doc_id {id_type}, digest long, ids array<int>")
+    return joined.select("doc_id", "digest", "ids", "rare", "extra").mapInArrow(fill, f"doc_id {id_type}, digest long, ids array<int>")
 
 
 def decode(encoded: DataFrame, model: str = DEFAULT_MODEL) -> DataFrame:

@@ -79,3 +79,35 @@ def test_one_pass_of_merges_and_those_that_come_late(spark):
         for r in pc.encode_units(df, model).collect():
             assert r.ids == pc._by_heap(r.unit, model), r.unit
     assert seen
+
+
+def test_units_are_cut_where_no_piece_crosses(spark, sf, library):
+    """The parts of a unit have the ids that it has, and only distinct parts are segmented, not each way that they are put together."""
+    model = pc.Pieces.load()
+    cut = pc._cutter(model)
+    units = sorted({u for t in ODD + [t for _, t in documents(sf)[:60]] for u in pc._split(t)})
+    parts, at = cut(units)
+    assert len(at) == len(units) + 1 and len(parts) > len(units)
+    for u, x, y in zip(units, at, at[1:]):
+        assert "".join(parts[x:y]) == pc.SPACE + u
+        assert [i for p in parts[x:y] for i in pc._by_heap(p, model)] == pc._by_heap(pc.SPACE + u, model), u
+    assert cut([])[0] == []
+    unigram = pc.Pieces(model.rows, model.names, model.byte_ids, model.unk, "unigram")
+    assert pc._cutter(unigram)(["a.\nB", ""])[0] == [pc.SPACE + "a.\nB", pc.SPACE]
+
+
+def test_parts_are_segmented_once_however_they_are_put_together(spark, library, monkeypatch):
+    names = [a + b + c for a in "bdfgk" for b in "aeio" for c in "lmn"]
+    rows = [(i, " ".join(f"{x}.\n{y}" for y in names)) for i, x in enumerate(names)]
+    df, seen, segmented = spark.createDataFrame(rows, "doc_id long, text string"), [], pc._segmented
+    monkeypatch.setattr(pc, "_segmented", lambda units, pieces: seen.append(units) or segmented(units, pieces))
+    got = {r.doc_id: r.ids for r in pc.encode(df, table_rows=20).collect()}
+    assert got == {i: library.encode(t) for i, t in rows}
+    rare = seen[-1].count()
+    assert 0 < rare <= 2 * len(names) + 3  # not the 3,600 units
+
+
+def test_equal_rows_share_their_rare_parts(spark, library):
+    rows = [(1, "abc.\nxyz qqq.\nrst"), (1, "abc.\nxyz qqq.\nrst"), (1, "other text"), (2, "abc.\nxyz qqq.\nrst"), (None, "qqq.\nabc"), (None, "qqq.\nabc"), (3, None)]
+    got = pc.encode(spark.createDataFrame(rows, "doc_id long, text string"), table_rows=1).collect()
+    assert Counter((r.doc_id, tuple(r.ids)) for r in got) == Counter((i, tuple(library.encode(t or ""))) for i, t in rows)
