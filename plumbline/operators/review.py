@@ -102,11 +102,11 @@ def hypothesis_family(tests: DataFrame, alpha: float = 0.05) -> DataFrame:
 
 
 def gate_report(gate: DataFrame) -> DataFrame:
-    """(check_id, line): a Markdown row for each check of a gate; an inestimable figure says so."""
+    """(check_id, line): a Markdown row for each check of a gate; an inestimable figure says so, and a line with a cell missing is null."""
     precision = F.coalesce(F.col("precision").cast("string"), F.lit("not estimable"))
     status = F.when(F.col("status") == "released-not-estimable", "not estimable").otherwise(F.col("status"))
-    cells = F.concat_ws(" | ", "check_id", F.col("n").cast("string"), F.col("gold_passes").cast("string"), F.col("ac1").cast("string"), precision, status)
-    return gate.select("check_id", F.concat(F.lit("| "), cells, F.lit(" |")).alias("line"))
+    cells = [F.col("check_id"), F.col("n").cast("string"), F.col("gold_passes").cast("string"), F.col("ac1").cast("string"), precision, status]
+    return gate.select("check_id", F.concat(*(x for c in cells for x in (F.lit("| "), c, F.lit(" "))), F.lit("|")).alias("line"))
 
 
 # --- review ---

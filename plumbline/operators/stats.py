@@ -296,12 +296,12 @@ def audit_figure(records: DataFrame) -> DataFrame:
 def gate_ladder(metrics: DataFrame) -> DataFrame:
     """`status` and `reason` of each check's agreement, later rungs over earlier ones.
 
-    Needs n, gold_passes, ac1, precision and the flags withheld, person_coded, revalidated (all nullable booleans).
+    A person's coding counts before the withholding after a miss, as in the reference, whatever the agreement. Needs n, gold_passes, ac1, precision and the flags withheld, person_coded, revalidated (all nullable booleans).
     """
     within = F.coalesce((F.col("ac1") >= AC1_MIN) & (F.col("precision") >= PRECISION_MIN), F.lit(False))
     flag = lambda c: F.coalesce(F.col(c), F.lit(False))
     base = F.when(F.col("n") == 0, "missed").when(F.col("gold_passes") < ESTIMABLE_PASSES, "released-not-estimable").when(within, "released").otherwise("missed")
-    status = F.when(flag("withheld") & (base == "missed"), "withheld").when(flag("person_coded"), "person-coded").when(flag("revalidated"), "corrected-revalidated").otherwise(base)
+    status = F.when(flag("person_coded"), "person-coded").when(flag("withheld") & (base == "missed"), "withheld").when(flag("revalidated"), "corrected-revalidated").otherwise(base)
     reason = (
         F.when(status == "released", "both thresholds met").when(status == "released-not-estimable", "fewer than 10 gold passes").when(status == "withheld", "withheld after a miss")
         .when(status == "person-coded", "coded by a person").when(status == "corrected-revalidated", "passed after correction").otherwise("a threshold missed, or no pairs")

@@ -12,7 +12,7 @@ from ..operators import stats as ss
 from ..registry import query, table
 from . import shims
 from .q_states import BOUND, _bound
-from .q_stats import COUNTS, DERIVED, METRICS
+from .q_stats import COUNTS, DERIVED, METRICS, _r
 from .shims import DECISIONS, EDITS, PROJECTS, STATES
 
 #: The gate over line items as pairs of two coders: the second errs the more often, the higher a check's number.
@@ -29,8 +29,8 @@ def _gate(spark, d):
     check, gold = F.col("l_linenumber").cast("string").alias("check_id"), F.col("l_returnflag") == "A"
     pairs = li.select(check, (gold != (F.col("l_partkey") % 64 < F.col("l_linenumber"))).alias("a"), gold.alias("b"))
     flags = li.groupBy(check).agg((F.sum(F.col("l_suppkey").cast("decimal(20,0)")) % 2 == 1).alias("withheld"), (F.count("*") % 4 == 1).alias("person_coded"))
-    metrics = ss.binary_agreement(pairs, ["check_id"]).join(flags, "check_id").withColumn("revalidated", F.lit(None).cast("boolean"))
-    return ss.gate_ladder(metrics)
+    metrics = _r(ss.binary_agreement(pairs, ["check_id"])).join(flags.withColumnRenamed("check_id", "of"), F.col("check_id").eqNullSafe(F.col("of")))
+    return ss.gate_ladder(metrics.drop("of").withColumn("revalidated", F.lit(None).cast("boolean")))
 
 
 @query(f"WITH {_GATE} SELECT check_id FROM gate WHERE status IN {_OK}")
