@@ -97,19 +97,23 @@ def bootstrap_ci(pairs: DataFrame, seed: str, draws: int = 2000, by: list[str] =
     return values.select(*by, "metric", at(F.floor(0.025 * (m - 1))).alias("low"), at(F.ceil(0.975 * (m - 1))).alias("high"))
 
 
-def _binomial_sum(low: str, high: str) -> Column:
-    """Sum of the terms low..high of n fair coins, over the columns n and k, each from a sum of logs."""
-    log_choose = "aggregate(sequence(1, i), 0D, (s, j) -> s + ln(n - i + j) - ln(j))"
-    terms = f"transform(sequence(int({low}), int({high})), i -> exp(IF(i = 0, 0D, {log_choose}) - n * ln(2D)))"
-    return F.expr(f"least(1D, aggregate({terms}, 0D, (s, x) -> s + x))")
+def _binomial_upper(k: str) -> Column:
+    """P(X >= k) of n fair coins, over the column n; each term from the one nearer to the middle, relative to the middle one, all in one pass.
+
+    Beyond the middle the tail is added up, before it that of the other side is taken from one.
+    """
+    middle, w = "(n div 2)", "s.w * (n - i + 1) / i"
+    far = f"IF({k} > {middle}, {k}, n - {k} + 1)"
+    state = f"struct({w} AS w, s.every + {w} AS every, s.tail + IF(i >= {far}, {w}, 0D) AS tail)"
+    # Both halves: an even n has one middle term, an odd one two, the first of which the pass begins with.
+    every = "IF(n % 2 = 0, 2 * s.every - 1, 2 * (s.every - 1))"
+    tail = f"aggregate(sequence({middle} + 1, greatest(n, {middle} + 1)), struct(1D AS w, 1D AS every, 0D AS tail), (s, i) -> {state}, s -> s.tail / {every})"
+    return F.expr(f"CASE WHEN {k} <= 0 THEN 1D WHEN {k} > n THEN 0D WHEN {k} > {middle} THEN {tail} ELSE 1 - {tail} END")
 
 
 def binomial_tails(rows: DataFrame) -> DataFrame:
     """`upper` = P(X >= k) and `lower` = P(X <= k) of n fair coins, for (n, k)."""
-    n, k = F.col("n"), F.col("k")
-    upper = F.when(k <= 0, 1.0).when(k > n, 0.0).otherwise(_binomial_sum("k", "n"))
-    lower = F.when(k < 0, 0.0).when(k >= n, 1.0).otherwise(_binomial_sum("0", "k"))
-    return rows.withColumn("upper", upper).withColumn("lower", lower)
+    return rows.withColumn("upper", _binomial_upper("k")).withColumn("lower", _binomial_upper("(n - k)"))
 
 
 def holm(tests: DataFrame) -> DataFrame:
