@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -145,38 +145,90 @@ def cramers_v(statistic: Column, n: Column, checks: Column, groups: Column) -> C
     return F.sqrt(F.try_divide(statistic, n * checks * F.least(F.lit(1), groups - 1)))
 
 
-def _shuffles(order: list[int], stream: bytes, first: int, last: int) -> Iterator[list[int]]:
-    """`order` after each of the seeded Fisher-Yates shuffles first..last, each going on from the last; changed in place.
+#: Uniforms made together, and projects of a sample from which on swaps are made many at a time.
+_UNIFORMS, _MANY = 1 << 16, 2048
 
-    A shuffle of n takes the next n - 1 uniforms of the stream.
+
+def _uniforms(stream: bytes) -> Callable[[int, int], np.ndarray]:
+    """A function to the uniforms first..last of a seed's stream; its calls go upward, so that what lies before is forgotten."""
+    made, digest = {}, hashlib.sha256
+
+    def take(first: int, last: int) -> np.ndarray:
+        parts = range(first // _UNIFORMS, -(-last // _UNIFORMS))
+        for p in [p for p in made if p < parts.start]:
+            del made[p]
+        for p in parts:
+            if p not in made:
+                found = b"".join([digest(b"%b%d" % (stream, i)).digest() for i in range(p * _UNIFORMS, (p + 1) * _UNIFORMS)])
+                made[p] = (np.frombuffer(found, ">u8")[::4] >> np.uint64(12)).astype(float) / (1 << 52)  # the first 13 hex digits
+        whole = np.concatenate([made[p] for p in parts]) if parts else np.zeros(0)
+        at = first - parts.start * _UNIFORMS
+        return whole[at : at + last - first]
+
+    return take
+
+
+def _shuffles(sizes: Iterable[int], stream: bytes, first: int, last: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(n, draw, picks) of the seeded Fisher-Yates shuffles first..last of each size: what the places n - 1 to 1 are swapped with.
+
+    A shuffle of n takes the next n - 1 uniforms of the stream, so in order of the stream all sizes share them.
+    """
+    take = _uniforms(stream)
+    for start, n, draw in sorted((draw * max(n - 1, 0), n, draw) for n in {*sizes} for draw in range(first, last)):
+        yield n, draw, (take(start, start + max(n - 1, 0)) * np.arange(n, 1, -1)).astype(np.int32)
+
+
+def _swap(picks: np.ndarray, arrays: list[np.ndarray]) -> None:
+    """One shuffle of each array, in place.
+
+    Swaps that have no place in common with others among the next few can be made at once; the rest follow in order.
     """
-    n, digest, at_once = len(order), hashlib.sha256, 1 << 16
-    for draw in range(first, last):
-        at = draw * max(n - 1, 0)
-        for high in range(n - 1, 0, -at_once):
-            js = np.arange(high, max(high - at_once, 0), -1)
-            found = b"".join([digest(b"%b%d" % (stream, i)).digest() for i in range(at, at + len(js))])
-            u = (np.frombuffer(found, ">u8")[::4] >> np.uint64(12)).astype(float) / (1 << 52)  # the first 13 hex digits
-            for j, k in zip(js.tolist(), (u * (js + 1)).astype(np.int64).tolist(), strict=True):
-                order[j], order[k] = order[k], order[j]
-            at += len(js)
-        yield order
+    high, at = len(picks), 0
+    seen, twice = np.zeros(high + 1, np.int32), np.zeros(high + 1, bool)
+    while high > _MANY:
+        size = min(int(6 * high**0.5), high - _MANY)
+        pick, nth = picks[at : at + size], np.arange(size, dtype=np.int32)
+        met = pick > high - size  # one of these very places
+        met[high - pick[met]] = True
+        seen[pick] = nth
+        again = pick[seen[pick] != nth]
+        twice[again] = True
+        met |= twice[pick]
+        twice[again] = False
+        alone, rest = np.flatnonzero(~met), np.flatnonzero(met)
+        here, there = high - alone, pick[alone]
+        pairs = list(zip((high - rest).tolist(), pick[rest].tolist(), strict=True))
+        for a in arrays:
+            a[here], a[there] = a[there], a[here]
+            for j, k in pairs:
+                a[j], a[k] = a[k], a[j]
+        high, at = high - size, at + size
+    last = picks[at:].tolist()
+    for a in arrays:
+        few = a[: high + 1].tolist()
+        for j, k in zip(range(high, 0, -1), last, strict=True):
+            few[j], few[k] = few[k], few[j]
+        a[: high + 1] = few
 
 
 class _Omnibus:
-    """The omnibus statistic of group numbers and positives (projects x checks) under orders of the projects."""
+    """The omnibus statistic of projects, whose positives are a row of `kinds` (kinds x checks) each, under the group numbers that they get."""
 
-    def __init__(self, labels: np.ndarray, positives: np.ndarray):
-        n, totals = len(labels), positives.sum(0)
+    def __init__(self, labels: np.ndarray, kinds: np.ndarray, kind_of: np.ndarray):
+        n, kinds = len(labels), np.asarray(kinds, float)
+        totals = np.bincount(kind_of, minlength=len(kinds)) @ kinds
         live = (totals > 0) & (totals < n)
-        self.groups = np.eye(labels.max() + 1)[labels] if n else np.zeros((0, 1))
-        self.positives = positives[:, live]
-        sizes = self.groups.sum(0)[:, None]
-        self.expected = sizes * (totals[live] / n) if n else np.zeros((1, 0))
+        self.kinds, self.kind_of, self.groups = kinds[:, live], kind_of, int(labels.max(initial=0)) + 1
+        sizes = np.bincount(labels, minlength=self.groups).astype(float)[:, None]
+        self.expected = sizes * (totals[live] / max(n, 1))
         self.weight = 1 / self.expected + 1 / (sizes - self.expected)
 
-    def __call__(self, order: list[int]) -> float:
-        c = self.groups[np.asarray(order, int)].T @ self.positives
+    def __call__(self, labels: np.ndarray) -> float:
+        k = len(self.kinds)
+        if self.groups * k <= max(4 * len(labels), 1 << 16):
+            c = np.bincount(labels * k + self.kind_of, minlength=self.groups * k).reshape(-1, k) @ self.kinds
+        else:
+            c = np.array([np.bincount(labels, x[self.kind_of], self.groups) for x in self.kinds.T]).reshape(-1, self.groups).T
         return float(((c - self.expected) ** 2 * self.weight).sum())
 
 
@@ -187,13 +239,16 @@ def _reaches(statistic, observed):
 
 def permutation_p(labels: list[int], positives: np.ndarray, seed: str, draws: int = 2000) -> tuple[float, float]:
     """(statistic, p) of one family in memory, shuffle by shuffle; `permutation_test` gives the same over many."""
-    n, statistic = len(labels), _Omnibus(np.asarray(labels), positives)
-    t = statistic(list(range(n)))
-    hits = sum(_reaches(statistic(x), t) for x in _shuffles(list(range(n)), f"{seed}:bootstrap:".encode(), 0, draws))
+    now, hits = np.array(labels, np.int64), 0
+    statistic = _Omnibus(now, positives, np.arange(len(now)))
+    t = statistic(now)
+    for _, _, picks in _shuffles([len(now)], f"{seed}:bootstrap:".encode(), 0, draws):
+        _swap(picks, [now])
+        hits += _reaches(statistic(now), t)
     return t, (1 + hits) / (draws + 1)
 
 
-#: Checks that share one long for each project, and shuffles that one task of a family makes.
+#: Checks that share one long for each project, and shuffles that one task makes.
 _SLICE, _BLOCK = 62, 50
 
 
@@ -226,7 +281,7 @@ def permutation_test(rows: DataFrame, seed: str, draws: int = 2000, by: str = "f
 
     Each shuffle goes on from the last, so a draw is a product of all shuffles before it. Blocks of shuffles are multiplied out apart,
     their products multiplied by those of the blocks before in one task for each size, and each block then goes on from its own start: a task has
-    one block of a family, whose memory is its projects' numbers, or one number for each project and block.
+    one block of all families, so that each uniform is made once, and holds their projects' numbers, or one number for each project of a size and block.
     """
     stream = f"{seed}:h2-permutation:bootstrap:".encode()
     samples = _family_samples(rows, by)
@@ -239,16 +294,14 @@ def permutation_test(rows: DataFrame, seed: str, draws: int = 2000, by: str = "f
 
     def products(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            done = []
-            for n, block in zip(pdf["n"], pdf["block"], strict=True):
-                order = list(range(n))
-                for order in _shuffles(order, stream, block * _BLOCK, min(draws, (block + 1) * _BLOCK)):  # noqa: B007
-                    pass
-                done.append(order)
-            yield pdf[["n", "block"]].assign(product=done)
+            for block, part in pdf.groupby("block"):
+                orders = {n: np.arange(n, dtype=np.int32) for n in part["n"].tolist()}
+                for n, _, picks in _shuffles(orders, stream, block * _BLOCK, min(draws, (block + 1) * _BLOCK)):
+                    _swap(picks, [orders[n]])
+                yield pd.DataFrame({"n": list(orders), "block": block, "product": list(orders.values())})
 
     # Shuffles know only how many are shuffled, so families of one size share them.
-    tasks = tested.select("n").distinct().select("n", blocks.alias("block")).repartition(max(n_blocks, 1), "n", "block")
+    tasks = tested.select("n").distinct().select("n", blocks.alias("block")).repartitionById(max(n_blocks, 1), "block")
     product = tasks.mapInPandas(products, "n int, block int, product array<int>")
 
     def multiplied(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -262,18 +315,24 @@ def permutation_test(rows: DataFrame, seed: str, draws: int = 2000, by: str = "f
 
     def statistics(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            for r in pdf.itertuples(index=False):
-                bits = np.asarray(r.bits, np.int64)
-                width = min(_SLICE, r.checks - _SLICE * r.slice)
-                statistic = _Omnibus(np.asarray(r.labels), (bits[:, None] >> np.arange(width) & 1).astype(float))
-                order = list(range(r.n)) if r.start is None else [int(x) for x in r.start]
-                first, last = r.block * _BLOCK, min(draws, (r.block + 1) * _BLOCK)
-                each = [statistic(x) for x in _shuffles(order, stream, first, last)]
-                observed = statistic(list(range(r.n)))
-                yield pd.DataFrame({by: [r[0]] * len(each), "draw": range(first, last), "part": each, "observed": observed, "size": r.n * r.checks})
+            for block, part in pdf.groupby("block"):
+                first, last = block * _BLOCK, min(draws, (block + 1) * _BLOCK)
+                of_size = {n: [] for n in part["n"].tolist()}
+                for r in part.itertuples(index=False):
+                    labels, (bits, kind_of) = np.array(r.labels, np.int32), np.unique(np.asarray(r.bits, np.int64), return_inverse=True)
+                    width = min(_SLICE, r.checks - _SLICE * r.slice)
+                    statistic = _Omnibus(labels, bits[:, None] >> np.arange(width) & 1, kind_of.astype(np.int32))
+                    of_size[r.n].append((r, statistic, statistic(labels), labels if r.start is None else labels[r.start], []))
+                # Families of a block share its uniforms, those of one size its shuffles, too.
+                for n, _, picks in _shuffles(of_size, stream, first, last):
+                    _swap(picks, [labels for _, _, _, labels, _ in of_size[n]])
+                    for _, statistic, _, labels, each in of_size[n]:
+                        each.append(statistic(labels))
+                for r, _, observed, _, each in (x for xs in of_size.values() for x in xs):
+                    yield pd.DataFrame({by: [r[0]] * len(each), "draw": range(first, last), "part": each, "observed": observed, "size": r.n * r.checks})
 
     work = tested.select(by, "slice", "labels", "bits", "n", "checks", blocks.alias("block")).join(starts.hint("merge"), ["n", "block"], "left")
-    work = work.select(by, "slice", "labels", "bits", "n", "checks", "block", "start").repartition(max(n_blocks, 1), by, "slice", "block")
+    work = work.select(by, "slice", "labels", "bits", "n", "checks", "block", "start").repartitionById(max(n_blocks, 1), "block")
     parts = work.mapInPandas(statistics, f"`{by}` {kind}, draw long, part double, observed double, size long")
     drawn = parts.groupBy(by, "draw").agg(F.sum("part").alias("part"), F.sum("observed").alias("t"), F.first("size").alias("size"))
     near = F.col("part") >= F.col("t") - 1e-9 * F.greatest(F.lit(1.0), F.col("t"))
