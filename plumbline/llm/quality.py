@@ -96,14 +96,15 @@ def measure(docs: DataFrame, lexicon: Sequence[str] = ()) -> DataFrame:
     """(doc_id, measurements) of each whole text, by built-in expressions only. `lexicon` adds to the plain insults.
 
     What can be skipped is: only a text with two equal hashes of 3-word windows has its windows compared as text,
-    and characters are counted in what one regular expression leaves of the text.
+    and characters are counted in what one regular expression finds in the text.
     """
     toxic = [*TOXIC_WORDS, *lexicon]
     rows = id_text(docs).select(
         "doc_id",
         F.expr(words_sql("text")).alias("words"),
         F.expr(r"filter(split(text, '\n'), l -> l rlike '[^\\x20\\x09-\\x0D]')").alias("lines"),
-        F.expr("regexp_replace(text, '[^A-Z0-9#*$%&|<>]+', '')").alias("marks"),
+        # Found, not left over by replacing the rest of the text, which takes ten times as long.
+        F.expr("array_join(regexp_extract_all(text, '[A-Z0-9#*$%&|<>]+', 0), '')").alias("marks"),
     )
     pairs = "zip_with(words, slice(words, 2, size(words)), (a, b) -> {})"
     third = "slice(words, 3, greatest(size(words) - 2, 0))"
